@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import jaccard_join, suffix_dedup
+from quern.llm import jaccard_join, language_id, packing, quality, suffix_dedup
 from quern.llm.common import Scratch
+from quern.llm.queries import JSON, PATTERN, RANKS
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score is below the threshold go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised with a clear margin go."""
+    return language_id.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +29,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffix_dedup.remove_repeats(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages)]
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and place."""
+    return packing.pack(docs, JSON, RANKS, PATTERN)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_identification),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("best_fit_packing", packed_sequences),
+]
 
 #: SQL cannot express the trained stages; tests hold each stage against a plain version instead.
 ORACLE_SQL = None
