@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, neighbours, packing, quality, suffix_dedup, vector_dedup
+from . import bpe, chat_format, jaccard_join, language_id, license_scan, neighbours, packing, quality, suffix_dedup, vector_dedup
 
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), JSON, RANKS, PATTERN)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.links(_table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(_table(spark, sf_dir, "documents"))
 
@@ -50,13 +58,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_scan": op2_license_scan,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op8_chat_format": chat_format.ORACLE}
