@@ -1,25 +1,563 @@
-"""The registered queries of the reference's operators, with their SQL counterparts."""
+"""The registered queries: each operator applied to whole tables, with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import answers, schedules, text, tokens
+from quern.operators import chat, chunks, mixing, ordering, packing, questions
+from quern.sources import packed
+from quern.sources.tables import table
+from quern.streaming import packer
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+STRIDE, SHARD = 513, 20_000
+#: Uniform number of a key in SQL, as quern.operators.ordering.uniform.
+U = "(('0x' || substr(md5({}), 1, 13))::bigint::double / 4503599627370496)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that executors share; a local one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    return f"{root.removeprefix('file://').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# Token counts and byte profiles
+
+N = "(octet_length(encode(text)) + 2)"
+
+
+@query(f"""select source, count(*) records_seen, count(*) filter (text <> '') records_used,
+  coalesce(sum({N}) filter (text <> ''), 0)::bigint total_tokens, (coalesce(sum({N}) filter (text <> ''), 0) // {STRIDE})::bigint windows from documents group by 1""")
+def token_count_by_source(spark, sf):
+    n = F.when(F.col("text") != "", tokens.token_count(F.col("text"))).otherwise(0)
+    out = _docs(spark, sf).groupBy("source").agg(F.count("*").alias("records_seen"), F.count_if(F.col("text") != "").alias("records_used"), F.sum(n).alias("total_tokens"))
+    return out.withColumn("windows", F.expr(f"total_tokens div {STRIDE}"))
+
+
+@query("select source, count(*) records_seen, sum(octet_length(encode(text)))::bigint total_tokens from documents group by rollup(source)")
+def token_count_rollup(spark, sf):
+    return _docs(spark, sf).rollup("source").agg(F.count("*").alias("records_seen"), F.sum(tokens.token_count(F.col("text"), False, False)).alias("total_tokens"))
+
+
+@query("""select lang, sum(octet_length(encode(text)))::bigint n_bytes, sum(length(text))::bigint n_characters, sum(octet_length(encode(text)) - length(text))::bigint n_continuation,
+  round(sum(octet_length(encode(text))) / sum(length(text))::double, 6) bytes_per_character from documents group by 1""")
+def utf8_profile_by_lang(spark, sf):
+    c, b = F.sum(F.length("text").cast("long")), F.sum(F.octet_length("text").cast("long"))
+    return _docs(spark, sf).groupBy("lang").agg(b.alias("n_bytes"), c.alias("n_characters"), F.sum(tokens.continuation_bytes(F.col("text"))).alias("n_continuation"), F.round(b / c, 6).alias("bytes_per_character"))
+
+
+@query("select doc_id, '3C424F533E' || hex(encode(left(text, 20))) || '3C454F533E' shown from documents")
+def display_tokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.hex(F.encode(tokens.display(tokens.encode(F.substring("text", 1, 20))), "UTF-8")).alias("shown"))
+
+
+# Packing
+
+_WINDOWS = f"""with d as (select source, doc_id, 'FE' || hex(encode(text)) || 'FF' h, {N} n from documents where text <> ''),
+o as (select *, coalesce(sum(n) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint s from d),
+e as (select *, unnest(range(s // {STRIDE}, (s + n - 1) // {STRIDE} + 1)) k from o),
+p as (select source, k, greatest(s, k * {STRIDE}) a, least(s + n, (k + 1) * {STRIDE}) b, substr(h, (2 * (greatest(s, k * {STRIDE}) - s) + 1)::bigint, (2 * (least(s + n, (k + 1) * {STRIDE}) - greatest(s, k * {STRIDE})))::bigint) h from e),
+w as (select source, k as "window", sum(b - a) size, string_agg(h, '' order by a) h from p group by 1, 2)
+"""
+
+
+@query(_WINDOWS + f"""select source, "window", md5(h) digest from w where size = {STRIDE}""")
+def pack_windows(spark, sf):
+    return packing.windows(_docs(spark, sf), "doc_id", "source", STRIDE).select("source", "window", F.md5(F.hex("bytes")).alias("digest"))
+
+
+@query(_WINDOWS + f"""select source, "window", substr(h, 1, 2) input_first, substr(h, 1023, 2) input_last, substr(h, 3, 2) label_first, substr(h, 1025, 2) label_last from w where size = {STRIDE}""")
+def sample_labels(spark, sf):
+    a, b = tokens.input_and_label(F.col("bytes"), STRIDE - 1)
+    rows = packing.windows(_docs(spark, sf), "doc_id", "source", STRIDE).select("source", "window", a.alias("a"), b.alias("b"))
+    return rows.select("source", "window", F.hex(F.substring("a", 1, 1)).alias("input_first"), F.hex(F.substring("a", -1, 1)).alias("input_last"), F.hex(F.substring("b", 1, 1)).alias("label_first"), F.hex(F.substring("b", -1, 1)).alias("label_last"))
+
+
+@query(f"""select doc_id, least({N}, 513)::bigint n, md5(substr(rpad(substr('FE' || hex(encode(text)) || 'FF', 1, 1026), 1026, 'F'), 1, 1024)) input, (least({N}, 513) - 1)::bigint valid from documents where text <> ''""")
+def padded_samples(spark, sf):
+    return packing.padded(_docs(spark, sf), 512).select("doc_id", F.col("n").cast("long").alias("n"), F.md5(F.hex("input")).alias("input"), F.col("valid").cast("long").alias("valid"))
+
+
+@query(f"""select source, doc_id, {N}::bigint n, coalesce(sum({N}) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint start from documents where text <> ''""")
+def doc_offsets(spark, sf):
+    rows = packing.framed(_docs(spark, sf)).select("source", "doc_id", "n")
+    return packing.offsets(rows, "doc_id", "source")
+
+
+_SHARDS = f"""with recursive d as (select source, doc_id, {N}::bigint n, row_number() over (partition by source order by doc_id) r from documents where text <> ''),
+f as (select source, doc_id, n, r, 0::bigint shard, n used from d where r = 1
+  union all select d.source, d.doc_id, d.n, d.r, case when f.used > 0 and f.used + d.n > {SHARD} then f.shard + 1 else f.shard end, case when f.used > 0 and f.used + d.n > {SHARD} then d.n else f.used + d.n end
+  from f join d on d.source = f.source and d.r = f.r + 1),
+m as (select source, shard, sum(n)::bigint token_count, count(*) doc_count from f group by 1, 2),
+c as (select source, shard, unnest(range(token_count // {STRIDE})) chunk from m),
+s as (select source, shard, chunk, source || '/' || shard || '/' || chunk key from c)
+"""
+
+
+def _shards(spark, sf):
+    rows = packing.framed(_docs(spark, sf)).select("source", "doc_id", "n")
+    return packing.greedy_shards(rows, "doc_id", "source", SHARD)
+
+
+@query(_SHARDS + "select source, doc_id, n, shard from f")
+def greedy_shards(spark, sf):
+    return _shards(spark, sf)
+
+
+@query(_SHARDS + "select source, shard, token_count, doc_count, printf('data-%05d.bin', shard) bin_file, printf('data-%05d.idx', shard) idx_file from m")
+def shard_manifest(spark, sf):
+    return packing.manifest(_shards(spark, sf), "source").select("source", "shard", "token_count", "doc_count", "bin_file", "idx_file")
+
+
+@query(_SHARDS + "select source, sum(token_count)::bigint total_tokens, count(*) shard_count, sum(doc_count)::bigint total_records_used from m group by 1")
+def source_manifest_totals(spark, sf):
+    seen = _docs(spark, sf).groupBy("source").agg(F.count("*").alias("total_records_seen"))
+    json = packing.source_manifest(packing.manifest(_shards(spark, sf), "source"), seen, "source")
+    m = F.from_json("manifest", "total_tokens bigint, shard_count bigint, shards array<struct<doc_count:bigint>>")
+    return json.select("source", m.alias("m")).select("source", "m.total_tokens", "m.shard_count", F.aggregate("m.shards", F.lit(0).cast("long"), lambda a, x: a + x["doc_count"]).alias("total_records_used"))
+
+
+@query(_SHARDS + "select source, shard, chunk from s")
+def sample_index(spark, sf):
+    return packing.shard_chunks(packing.manifest(_shards(spark, sf), "source"), STRIDE, "source", "shard")
+
+
+@query(_SHARDS + f"select source, shard, chunk, row_number() over (order by {U.format(chr(39) + '42:' + chr(39) + ' || key')}) - 1 pos from s")
+def permuted_samples(spark, sf):
+    index = packing.shard_chunks(packing.manifest(_shards(spark, sf), "source"), STRIDE, "source", "shard")
+    return ordering.permutation(index.withColumn("key", F.concat_ws("/", "source", F.col("shard").cast("string"), F.col("chunk").cast("string"))), "key", 42).drop("key")
+
+
+@query("with t as (select source, count(*) take from documents group by 1) select source, take, round(take / sum(take) over (), 12) weight from t")
+def mix_weights(spark, sf):
+    return packing.weights(_docs(spark, sf).groupBy("source").agg(F.count("*").alias("take")), "take").withColumn("weight", F.round("weight", 12))
+
+
+# Order, mixing, splits
+
+
+def _sources(spark, sf, names):
+    docs = _docs(spark, sf).select("doc_id", "source", "lang")
+    return [docs.where(F.col("source") == n).drop("source") for n in names]
+
+
+@query("select doc_id, lang, case source when 'src0' then 0 when 'src1' then 1 else 2 end source_ord from documents where source in ('src0', 'src1', 'src2')")
+def concat_sources(spark, sf):
+    return mixing.concatenate(_sources(spark, sf, ("src0", "src1", "src2")), "doc_id")
+
+
+@query("select source, doc_id from (select *, row_number() over (partition by source order by doc_id) r from documents) where r > 5 and r <= 15")
+def skip_take_slice(spark, sf):
+    return ordering.skip_take(_docs(spark, sf).select("source", "doc_id"), "doc_id", 5, 10, by="source")
+
+
+def _interleave_sql(name: str, inputs: list[str], shares: list[float], seed: int, order: str) -> str:
+    """CTEs that leave ``name(slot, source, <columns>)``; inputs are relations with column ``order``."""
+    edges = [sum(shares[: i + 1]) for i in range(len(shares) - 1)]
+    source = " + ".join(f"(u >= {e!r})::int" for e in edges) or "0"
+    ranked = " union all ".join(f"select {i} source, row_number() over (order by {order}) rank, * from {x}" for i, x in enumerate(inputs))
+    u = U.format(f"'{seed}:' || slot")
+    return f"""{name}_r as ({ranked}), {name}_u as (select slot, {u} u from (select unnest(range((select count(*) + 1 from {name}_r))) slot)),
+{name}_s as (select slot, {source} source, row_number() over (partition by {source} order by slot) rank from {name}_u),
+{name}_x as (select min(slot) stop from {name}_s s where rank > (select count(*) from {name}_r r where r.source = s.source)),
+{name} as (select s.slot, r.* exclude (rank) from {name}_s s join {name}_r r using (source, rank), {name}_x where stop is null or slot < stop)"""
+
+
+_POOLS = ", ".join(f"p{i} as (select doc_id, lang from documents where source = 'src{i}')" for i in range(4))
+
+
+@query(f"with {_POOLS}, " + _interleave_sql("mix", ["p0", "p1", "p2"], [0.5, 0.3, 0.2], 7, "doc_id") + " select slot, source, doc_id, lang from mix")
+def weighted_interleave(spark, sf):
+    return mixing.interleave(_sources(spark, sf, ("src0", "src1", "src2")), [5, 3, 2], "doc_id", 7).select("slot", "source", "doc_id", "lang")
+
+
+@query(f"with {_POOLS}, " + _interleave_sql("a", ["p0", "p1"], [0.75, 0.25], 8, "doc_id") + ", " + _interleave_sql("b", ["p2", "p3"], [0.5, 0.5], 9, "doc_id") + ", aa as (select slot inner_slot, doc_id, lang from a), bb as (select slot inner_slot, doc_id, lang from b), " + _interleave_sql("mix", ["aa", "bb"], [0.5, 0.5], 7, "inner_slot") + " select slot, source, doc_id, lang from mix")
+def two_level_mix(spark, sf):
+    s = _sources(spark, sf, ("src0", "src1", "src2", "src3"))
+    return mixing.two_level([s[:2], s[2:]], [[3, 1], [2, 2]], "doc_id", 7).select("slot", "source", "doc_id", "lang")
+
+
+@query("""with d as (select source, doc_id, count(*) over (partition by source) n, row_number() over (partition by source order by doc_id) r from documents)
+select source, doc_id, case when n >= 2 and r > n - greatest(1, least(n - 1, round_even(n * 0.1, 0)::bigint)) then 'val' else 'train' end part from d""")
+def train_val_split(spark, sf):
+    return mixing.split(_docs(spark, sf).select("source", "doc_id"), "doc_id", "source", 0.1)
+
+
+@query(_SHARDS + ", t as (select source, shard, count(*) over () n, row_number() over (order by source || '/' || shard) r from m) select source, shard, case when r > n - greatest(1, least(n - 1, round_even(n * 0.1, 0)::bigint)) then 'val' else 'train' end part from t")
+def tail_shard_split(spark, sf):
+    m = packing.manifest(_shards(spark, sf), "source").select("source", "shard", F.concat_ws("/", "source", F.col("shard").cast("string")).alias("key"))
+    return mixing.tail_shards(m, "key", 0.1).drop("key")
+
+
+@query("select min(doc_id) doc_id from documents where text <> '' group by text")
+def dedup_first(spark, sf):
+    return mixing.first_of(_docs(spark, sf).select("doc_id", F.md5("text").alias("h"), F.col("text") != ""), ["h"], "doc_id").select("doc_id")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def unseen_documents(spark, sf):
+    return mixing.remaining(_docs(spark, sf), "doc_id", table(spark, sf, "labels")).select("doc_id")
+
+
+@query(f"select doc_id from documents order by {U.format(chr(39) + '5:' + chr(39) + ' || doc_id')}, doc_id limit 100")
+def sample_by_hash(spark, sf):
+    return ordering.sample(_docs(spark, sf).select("doc_id"), 100, "doc_id", seed=5)
+
+
+@query("select doc_id, ((row_number() over (order by doc_id) - 1) // 32)::bigint batch from documents")
+def batch_assign(spark, sf):
+    return ordering.row_ids(_docs(spark, sf).select("doc_id"), "doc_id", "at").select("doc_id", ordering.batch_of(F.col("at"), 32).alias("batch"))
+
+
+@query("select doc_id, row_number() over (order by doc_id) - 1 row_id from documents where lower(lang) in ('en', 'eng')")
+def row_ids_after_filter(spark, sf):
+    return ordering.row_ids(_docs(spark, sf).where(F.lower("lang").isin("eng", "en")).select("doc_id"), "doc_id")
+
+
+# Text rendering
+
+
+@query("select doc_id, lang || case when lang = source then '' else chr(10) || chr(10) || source end record from documents")
+def record_text_render(spark, sf):
+    cols = {"title": F.col("source"), "output": F.col("lang"), "input": F.concat(F.lit(" "), F.col("lang")), "_private": F.lit("x")}
+    return _docs(spark, sf).select("doc_id", text.render_record(cols).alias("record"))
+
+
+@query("select conv_id, string_agg(role || ': ' || trim(text), chr(10) order by turn) rendered from conversations where trim(text) <> '' group by 1")
+def message_render(spark, sf):
+    listed = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return listed.select("conv_id", text.render_messages(F.col("m")).alias("rendered"))
+
+
+# Dialogues
+
+_DIALOGUE = "with d as (select conv_id, turn, role, trim(text) x from conversations where trim(text) <> ''), g as (select conv_id, count(*) n, arg_max(role, turn) last_role, arg_min(role, turn) first_role, bool_or(role = 'user') has_user, arg_min(x, turn) first_text from d group by 1)"
+
+
+def _dialogues(spark, sf):
+    return chat.dialogues(table(spark, sf, "conversations"))
+
+
+@query(_DIALOGUE + " select conv_id, n n_messages, first_role, last_role from g")
+def dialogue_messages(spark, sf):
+    m = F.col("messages")
+    return _dialogues(spark, sf).select("conv_id", F.size(m).cast("long").alias("n_messages"), m[0]["role"].alias("first_role"), F.element_at(m, -1)["role"].alias("last_role"))
+
+
+@query(_DIALOGUE + " select conv_id from g where n >= 2 and last_role = 'assistant' and has_user")
+def valid_dialogues(spark, sf):
+    return _dialogues(spark, sf).where(chat.valid(F.col("messages"))).select("conv_id")
+
+
+@query(_DIALOGUE + " select conv_id, case when first_role = 'system' then first_text || chr(10) || '/no_think' else 'You help.' || chr(10) || '/no_think' end system, n + (first_role <> 'system')::int n_messages from g")
+def dialogue_with_system(spark, sf):
+    m = chat.with_system(F.col("messages"), False, "You help.")
+    return _dialogues(spark, sf).select("conv_id", m.alias("m")).select("conv_id", F.col("m")[0]["content"].alias("system"), F.size("m").cast("long").alias("n_messages"))
+
+
+@query("with d as (select conv_id, turn, role, trim(text) x from conversations where trim(text) <> '') select conv_id, sum(octet_length(encode('<|im_start|>' || role || chr(10) || x || '<|im_end|>' || chr(10))))::bigint n_tokens from d group by 1")
+def chat_render_tokens(spark, sf):
+    return _dialogues(spark, sf).select("conv_id", F.octet_length(chat.render(F.col("messages"))).cast("long").alias("n_tokens"))
+
+
+@query("select conv_id, turn, case when role = 'assistant' then '<think>' || chr(10) || trim(text) || chr(10) || '</think>' || chr(10) || chr(10) || '42' else trim(text) end content from conversations where trim(text) <> ''")
+def think_format(spark, sf):
+    rows = table(spark, sf, "conversations").where(F.trim("text") != "")
+    marked = F.when(F.col("role") == "assistant", chat.think_format(F.concat("text", F.lit("\n#### 42 ")))).otherwise(text.strip(F.col("text")))
+    return rows.select("conv_id", "turn", marked.alias("content"))
+
+
+def _map_query(name: str, shape, mapper, sql: str):
+    """A mapper over documents dressed as its source."""
+
+    def run(spark, sf):
+        out = mapper(shape(_docs(spark, sf)))
+        return out.select(chat.render(F.col("messages")).alias("rendered"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_R = lambda role, x: f"'<|im_start|>{role}' || chr(10) || {x} || '<|im_end|>' || chr(10)"
+_SQL = lambda *turns: "select " + " || ".join(_R(r, x) for r, x in turns) + " rendered from documents"
+_NO = "'/no_think'"
+_Q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sql_fill(template: str, *values: str) -> str:
+    parts = template.split("{}")
+    return " || ".join([_Q(parts[0])] + [x for v, p in zip(values, parts[1:], strict=True) for x in (v, _Q(p))])
+
+
+_map_query("map_text_output", lambda d: d.select(F.col("doc_id").cast("string").alias("text"), F.col("source").alias("output")), chat.from_text_output, _SQL(("system", _NO), ("user", _sql_fill(chat.INSTRUCTION_TEXT, "doc_id")), ("assistant", "source")))
+_map_query("map_instruction", lambda d: d.select(F.col("doc_id").alias("instruction"), F.col("lang").alias("input"), F.col("source").alias("output")), lambda d: chat.from_instruction(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think'"), ("user", _sql_fill(chat.INSTRUCTION_INPUT, "doc_id", "lang")), ("assistant", "source")))
+_map_query("map_inputs_targets", lambda d: d.select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("inputs"), F.col("source").alias("targets")), chat.from_inputs_targets, _SQL(("system", _NO), ("user", "doc_id"), ("assistant", "source")))
+_map_query("map_few_shot", lambda d: d.select(F.col("doc_id").cast("string").alias("question"), F.col("source").alias("answer"), *[F.col("lang").alias(f"example{i}_{f}") for i in (1, 2, 3, 4) for f in ("question", "answer")]), chat.from_few_shot, _SQL(("system", _NO), ("user", _Q(chat.FEW_SHOT_HEAD) + " || " + " || ".join(_sql_fill(chat.FEW_SHOT_ITEM, f"'{i}'", "lang", "lang", f"'{i}'") for i in (1, 2, 3, 4)) + " || " + _sql_fill(chat.FEW_SHOT_TAIL, "doc_id")), ("assistant", "source")))
+_map_query("map_single_call", lambda d: d.select(F.lit('[{"name": "f"}]').alias("tools"), F.col("doc_id").cast("string").alias("query"), F.col("source").alias("answers")), lambda d: chat.from_single_call(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[{\"name\": \"f\"}]' || chr(10) || '</tools>'"), ("user", "doc_id"), ("assistant", "source")))
+_turns = lambda *names: lambda d: d.select(F.lit("Sys").alias("system"), F.lit("[1]").alias("tools"), F.array(*[F.struct(F.lit(n).alias("from"), (F.col("doc_id").cast("string") if i else F.col("source")).alias("value")) for i, n in enumerate(names)]).alias("conversations"))
+_map_query("map_tool_turns", _turns("user", "assistant", "tool"), chat.from_tool_turns, _SQL(("system", "'Sys' || chr(10) || '/no_think'"), ("user", "source"), ("assistant", "doc_id"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'")))
+_map_query("map_function_calls", _turns("human", "function_call", "observation", "gpt"), chat.from_function_calls, _SQL(("system", "'Sys' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[1]' || chr(10) || '</tools>'"), ("user", "source"), ("assistant", "'<tool_call>' || chr(10) || doc_id || chr(10) || '</tool_call>'"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'"), ("assistant", "doc_id")))
+_map_query("map_conversations", _turns("human", "gpt"), chat.from_conversations, _SQL(("system", _NO), ("user", "source"), ("assistant", "doc_id")))
+_map_query("map_messages", lambda d: d.select(F.array(chat.message("System ", F.lit("S")), chat.message("user", F.lit("  ")), chat.message("user", F.col("source"))).alias("messages")), chat.from_messages, _SQL(("system", "'S' || chr(10) || '/no_think'"), ("user", "source")))
+_map_query("map_reasoning", lambda d: d.select(F.array(chat.message("user", F.col("source")), chat.message("assistant", F.concat(F.col("lang"), F.lit("\n答え： "), F.col("doc_id").cast("string")))).alias("messages")), chat.from_reasoning, _SQL(("system", "'/think'"), ("user", "source"), ("assistant", "'<think>' || chr(10) || lang || chr(10) || '</think>' || chr(10) || chr(10) || doc_id")))
+
+
+# Questions and answers
+
+_PAIRS = "with n as (select conv_id, turn, role, text question, lead(role) over w next_role, lead(text) over w answer from conversations window w as (partition by conv_id order by turn)), q as (select conv_id, turn, question, answer, conv_id || '/' || turn as key from n where role = 'user' and next_role = 'assistant')"
+
+
+def _pairs(spark, sf):
+    return questions.pairs(table(spark, sf, "conversations")).withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+
+
+@query(_PAIRS + " select conv_id, turn, question, answer from q")
+def qa_pairs(spark, sf):
+    return _pairs(spark, sf).drop("key")
+
+
+@query(_PAIRS + " select conv_id, turn from q where question <> '' and answer <> '' and question <> answer and length(question) between 4 and 180 and length(answer) between 1 and 300 and not regexp_matches(answer, 'https?://|[<>]') and not regexp_matches(question, '" + "|".join(questions.BANNED) + "')")
+def qa_filtered(spark, sf):
+    return _pairs(spark, sf).where(questions.valid_item(F.col("question"), F.col("answer"))).select("conv_id", "turn")
+
+
+@query(_PAIRS + " select conv_id, turn from q where length(trim(answer)) between 1 and 30")
+def short_answers(spark, sf):
+    return _pairs(spark, sf).where(questions.short_answer(F.col("answer"))).select("conv_id", "turn")
+
+
+@query(_PAIRS + f""", pool as (select key, question, answer, row_number() over (order by key) - 1 as "at" from q), c as (select count(*) n from pool),
+d as (select q.key, q.question, q.answer, draw, floor({U.format("'3:' || key || ':' || draw")} * n)::bigint as "at" from q, c, (select unnest(range(16)) draw)),
+h as (select d.key, d.question, d.answer, p.key k, p.question pq, p.answer pa, min(draw) draw from d join pool p using ("at") where p.key <> d.key and p.question <> d.question and p.answer <> d.answer group by all),
+r as (select *, row_number() over (partition by key order by draw) rn, count(*) over (partition by key) n from h)
+select question, answer, max(pq) filter (rn = 1) example1_question, max(pa) filter (rn = 1) example1_answer, max(pq) filter (rn = 2) example2_question, max(pa) filter (rn = 2) example2_answer
+from r where n >= 2 group by key, question, answer""")
+def fewshot_examples(spark, sf):
+    p = _pairs(spark, sf)
+    return questions.widen(questions.few_shot(p, p, 2, seed=3), 2)
+
+
+@query(f"""with d as (select doc_id, source answer, [{{'u': {U.format("'1:' || doc_id || ':0'")}, 'c': source}}, {{'u': {U.format("'1:' || doc_id || ':1'")}, 'c': 'x'}}, {{'u': {U.format("'1:' || doc_id || ':2'")}, 'c': 'y'}}, {{'u': {U.format("'1:' || doc_id || ':3'")}, 'c': 'z'}}] l from documents),
+s as (select answer, list_transform(list_sort(l), lambda x: x.c) c, doc_id from d)
+select '<|im_start|>system' || chr(10) || '/no_think<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {_sql_fill(chat.CHOICE, "doc_id", "c[1]", "c[2]", "c[3]", "c[4]")} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '{chat.CHOICE_ANSWER}' || substr('ABCD', list_position(c, answer)::int, 1) || '<|im_end|>' || chr(10) rendered from s""")
+def mcq_choices(spark, sf):
+    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("query"), F.col("source").alias("answer"), F.lit("x").alias("wrong_answer_1"), F.lit("y").alias("wrong_answer_2"), F.lit("z").alias("wrong_answer_3"))
+    return chat.from_choices(rows, F.col("query"), seed=1).select(chat.render(F.col("messages")).alias("rendered"))
+
+
+@query("select doc_id, case when source in ('src1', 'src2') then null else 'x,y,z' end wrongs from documents")
+def distractor_validation(spark, sf):
+    raw = F.concat(F.lit('```json\n{"wrong_answers": ["x", " X ", "'), "source", F.lit('", "y", "in '), "source", F.lit('", "z"'), F.when(F.col("source") == "src1", F.lit(', "w"')).otherwise(F.lit("")), F.lit(']}\n```'))
+    raw = F.when(F.col("source") == "src2", F.lit('{"wrong_answers": ["x", "x", "y"]}')).otherwise(raw)
+    return _docs(spark, sf).select("doc_id", F.array_join(questions.wrong_answers(raw, F.col("source")), ",").alias("wrongs"))
+
+
+@query("select event_id, regexp_extract(props, '(\\d+)', 1)::double number from events")
+def number_extract(spark, sf):
+    number = F.regexp_extract("props", r"(\d+)", 1)
+    said = F.concat(F.lit("7 of 9.\n答え： "), number, F.lit(" / 1, that is it: 3"))
+    return table(spark, sf, "events").select("event_id", answers.extract(said).alias("q")).select("event_id", (F.col("q")["n"] / F.col("q")["d"]).cast("double").alias("number"))
+
+
+@query("""with e as (select event_id, regexp_extract(props, '(\\d+)', 1)::bigint k, value from events where event_id % 7 <> 0),
+g as (select k = user_mod correct from (select k, k - (k % 3) user_mod from e))
+select count(*) total, count(*) filter (correct) as correct, coalesce(avg(correct::int), 0) accuracy from g""")
+def accuracy_with_resume(spark, sf):
+    events = table(spark, sf, "events")
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    todo = mixing.remaining(events, "event_id", events.where("event_id % 7 = 0"))
+    rows = todo.select(F.concat(F.lit("so the answer:\n#### "), k, F.lit(".")).alias("output"), (k.cast("long") - k.cast("long") % 3).cast("string").alias("answer_number"))
+    return questions.accuracy(questions.graded(rows))
+
+
+# Chunk boundaries over embeddings: a label is a sequence, vec_id its order
+
+_ROUTE = """with recursive v as (select label, vec_id, embedding, lag(embedding) over (partition by label order by vec_id) prev, row_number() over (partition by label order by vec_id) r, embedding[1]::double x from embeddings),
+p as (select label, vec_id, r, x, case when prev is null then 1.0 else greatest(0, least(1, (1 - list_cosine_similarity(embedding::double[], prev::double[])) / 2)) end p from v),
+b as (select *, p > 0.5 is_boundary from p)"""
+
+
+def _routed(spark, sf):
+    rows = chunks.routing(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding")
+    return chunks.boundaries(rows)
+
+
+def _length(spark, sf):
+    return table(spark, sf, "embeddings").groupBy("label").agg((F.max("vec_id") + 1).alias("len"))
+
+
+@query(_ROUTE + " select label, vec_id, round(p, 6) p from p")
+def routing_probs(spark, sf):
+    return _routed(spark, sf).select("label", "vec_id", F.round("p", 6).alias("p"))
+
+
+@query(_ROUTE + " select label, count(*) filter (is_boundary) n_boundaries, count(*) n from b group by 1")
+def routing_boundaries(spark, sf):
+    return _routed(spark, sf).groupBy("label").agg(F.count_if("is_boundary").alias("n_boundaries"), F.count("*").alias("n"))
+
+
+_CHUNKS = _ROUTE + ', l as (select label, max(vec_id) + 1 len from embeddings group by 1), c as (select label, row_number() over w - 1 chunk, vec_id start, coalesce(lead(vec_id) over w, len) as "end" from b join l using (label) where is_boundary window w as (partition by label order by vec_id))'
+
+
+def _chunked(spark, sf):
+    return chunks.chunks(_routed(spark, sf).join(_length(spark, sf), "label"), "label", "vec_id", F.col("len"))
+
+
+@query(_CHUNKS + ' select label, chunk, start, "end" from c')
+def chunks_from_boundaries(spark, sf):
+    return _chunked(spark, sf)
+
+
+@query(_CHUNKS + ' , u as (select c.label, start, len from c join l using (label) where chunk % 3 = 0) select label, row_number() over w - 1 chunk, start, coalesce(lead(start) over w, len) as "end" from u window w as (partition by label order by start)')
+def hierarchy_level2(spark, sf):
+    lower = _chunked(spark, sf)
+    upper = lower.select("label", F.col("chunk").alias("pos"), (F.col("chunk") % 3 == 0).alias("is_boundary"))
+    return chunks.second_level(lower.select("label", "chunk", "start").join(_length(spark, sf), "label"), upper, "label", F.col("len")).select("label", "chunk", "start", "end")
+
+
+@query(_ROUTE + ", f as (select label, vec_id, r, least(1 - 1e-4, greatest(1e-4, p)) * x z from p where r = 1 union all select p.label, p.vec_id, p.r, least(1 - 1e-4, greatest(1e-4, p.p)) * p.x + (1 - least(1 - 1e-4, greatest(1e-4, p.p))) * f.z from f join p on p.label = f.label and p.r = f.r + 1) select label, vec_id, round(z, 6) z from f")
+def ema_dechunk(spark, sf):
+    rows = _routed(spark, sf).withColumn("x", F.element_at("embedding", 1).cast("double"))
+    return chunks.smoothed(rows, "label", "vec_id", "x").select("label", "vec_id", F.round("z", 6).alias("z"))
+
+
+@query(_ROUTE + " select label, vec_id, last_value(case when is_boundary then vec_id end ignore nulls) over (partition by label order by vec_id rows unbounded preceding) value, sum(is_boundary::int) over (partition by label order by vec_id rows unbounded preceding)::bigint - 1 ordinal from b")
+def asof_plugback(spark, sf):
+    rows = chunks.as_of(_routed(spark, sf), "label", "vec_id", F.col("vec_id"), "value")
+    return chunks.chunk_ordinal(rows, "label", "vec_id").select("label", "vec_id", "value", "ordinal")
+
+
+@query(_ROUTE + " select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as \"inner\" from b where is_boundary")
+def compacted_boundaries(spark, sf):
+    return chunks.compact(_routed(spark, sf), "label", "vec_id").select("label", "vec_id", "inner")
+
+
+@query(_ROUTE + ", r as (select *, row_number() over (partition by label order by vec_id) k from b where is_boundary) select label, string_agg(vec_id::varchar, '|' order by vec_id) filter (k <= 64) || case when max(k) > 64 then '|...' else '' end positions from r group by 1")
+def boundary_positions_text(spark, sf):
+    return chunks.positions_sample(_routed(spark, sf), "label", "vec_id")
+
+
+@query(_ROUTE + ", a as (select label, avg(is_boundary::int) f, avg(p) g from b group by 1) select label, round(((1 - f) * (1 - g) + f * g * (3.0 - 1)) * 3.0 / (3.0 - 1), 6) loss from a")
+def load_balance_loss(spark, sf):
+    a = _routed(spark, sf).groupBy("label").agg(F.avg(F.col("is_boundary").cast("int")).alias("f"), F.avg("p").alias("g"))
+    return a.select("label", F.round(chunks.balance_loss(F.col("f"), F.col("g"), F.lit(3.0)), 6).alias("loss"))
+
+
+# Boundary metrics over documents: words are positions, a sentence end opens the next chunk; sources are batches
+
+_WORDS = r"""with d as (select source, doc_id, string_split(text, ' ') w from documents),
+t as (select source, doc_id, w, unnest(range(1, len(w) + 1)) i from d),
+x as (select source, 0 stage, i = 1 or ends_with(w[i - 1], '.') is_boundary, (i % 10) / 10.0 p, w[i] <> '' valid, length(w[i]) <> octet_length(encode(w[i])) continuation from t
+  union all select source, 1, i % 5 = 1, (i % 4) / 4.0, true, false from t where i = 1 or ends_with(w[i - 1], '.')),
+k as (select source, stage, count(*) filter (is_boundary and valid) / greatest(count(*) filter (valid), 1)::double selected, coalesce(sum(p) filter (valid), 0) / greatest(count(*) filter (valid), 1) mean_p,
+  count(*) filter (is_boundary and valid and continuation) / greatest(count(*) filter (valid and continuation), 1)::double mid from x group by 1, 2),
+s as (select stage, avg(selected) selected, avg(mean_p) mean_p, avg(mid) mid_character, avg(selected - 1 / (case stage when 0 then 4.0 else 3.0 end)) gap from k group by 1)
+"""
+
+
+def _stage_metrics(spark, sf):
+    words = _docs(spark, sf).select("source", F.split("text", " ").alias("w")).select("source", F.posexplode(F.arrays_zip("w", F.concat(F.array(F.lit(".")), F.slice("w", 1, F.size("w"))).alias("prev"))).alias("i", "x"))
+    words = words.select("source", (F.col("i") + 1).alias("i"), F.col("x.w").alias("w"), F.col("x.prev").alias("prev")).where("w is not null")
+    opens = F.endswith("prev", F.lit("."))
+    zero = words.select("source", F.lit(0).alias("stage"), opens.alias("is_boundary"), (F.col("i") % 10 / 10.0).alias("p"), (F.col("w") != "").alias("valid"), (F.length("w") != F.octet_length("w")).alias("continuation"))
+    one = words.where(opens).select("source", F.lit(1).alias("stage"), (F.col("i") % 5 == 1).alias("is_boundary"), (F.col("i") % 4 / 4.0).alias("p"), F.lit(True).alias("valid"), F.lit(False).alias("continuation"))
+    return chunks.stage_metrics(chunks.batch_metrics(zero.unionByName(one), "source", "stage"), "stage", [4.0, 3.0])
+
+
+@query(_WORDS + "select stage, round(selected, 6) selected, round(mean_p, 6) mean_p, round(mid_character, 6) mid_character, round(gap, 6) gap from s")
+def boundary_metrics(spark, sf):
+    return _stage_metrics(spark, sf).select("stage", *[F.round(c, 6).alias(c) for c in ("selected", "mean_p", "mid_character", "gap")])
+
+
+@query(_WORDS + ", o as (select avg(selected) a, avg(mean_p) m, avg(gap) g, max(selected) filter (stage = 0) f0, max(selected) filter (stage = 1) f1 from s) select round(a, 6) actual_selected_fraction, round(m, 6) mean_boundary_probability, round(g, 6) target_ratio_gap, round(1 / f0, 6) compression_l1_l0, round(1 / f1, 6) compression_l2_l1, round(1 / (f0 * f1), 6) compression_l2_l0 from o")
+def boundary_summary(spark, sf):
+    cols = ("actual_selected_fraction", "mean_boundary_probability", "target_ratio_gap", "compression_l1_l0", "compression_l2_l1", "compression_l2_l0")
+    return chunks.summary(_stage_metrics(spark, sf), "stage").select(*[F.round(c, 6).alias(c) for c in cols])
+
+
+@query(f"select round(sum(u * n) / sum(n), 9) ce, round(sum(u * n) / sum(n) / ln(2), 9) bpb from (select {U.format(chr(39) + '0:' + chr(39) + ' || doc_id')} u, n_chars n from documents)")
+def loss_bits(spark, sf):
+    out = chunks.loss_summary(_docs(spark, sf).select(ordering.uniform("doc_id").alias("u"), "n_chars"), "u", "n_chars")
+    return out.select(F.round("ce", 9).alias("ce"), F.round("bpb", 9).alias("bpb"))
+
+
+@query("select lang, count(*) n, min(octet_length(encode(c)))::bigint least, max(octet_length(encode(c)))::bigint most, round(avg(octet_length(encode(c))), 6) mean, quantile_disc(octet_length(encode(c)), 0.5)::bigint p50, quantile_disc(octet_length(encode(c)), 0.99)::bigint p99 from (select lang, unnest(string_split(text, '. ')) c from documents) group by 1")
+def chunk_length_stats(spark, sf):
+    c = _docs(spark, sf).select("lang", F.explode(F.split("text", r"\. ")).alias("c")).select("lang", F.octet_length("c").cast("long").alias("n"))
+    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by n)").cast("long")
+    return c.groupBy("lang").agg(F.count("*").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), disc(0.5).alias("p50"), disc(0.99).alias("p99"))
+
+
+@query("with w as (select lang, doc_id, n_chars / sum(n_chars) over (partition by lang)::double p from documents), c as (select *, coalesce(sum(p) over (partition by lang order by p desc, doc_id rows between unbounded preceding and 1 preceding), 0) before from w) select lang, count(*) n from c where before <= 0.9 group by 1")
+def nucleus_cut(spark, sf):
+    p = F.col("n_chars") / F.sum("n_chars").over(Window.partitionBy("lang"))
+    return chunks.nucleus(_docs(spark, sf).select("lang", "doc_id", p.alias("p")), "lang", "p", "doc_id", 0.9).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# Schedules and estimates
+
+
+@query("""with s as (select doc_id, doc_id % 2000 t from documents) select doc_id, round(case when t < 200 then 0.001 * (t + 1) / 200 when t < 1600 then 0.001
+  else 0.0001 + 0.0009 * (1 / sqrt(1 + least(1, (t - 1600) / 400.0) * 99) - 0.1) / 0.9 end, 9) rate from s""")
+def wsd_schedule(spark, sf):
+    rate = schedules.warm_stable_decay(F.col("doc_id") % 2000, 2000, 1e-3, 1e-4)
+    return _docs(spark, sf).select("doc_id", F.round(rate, 9).alias("rate"))
+
+
+@query(f"select source, count(*) samples, ceil(count(*) / 4.0)::bigint batches, ceil(ceil(count(*) / 4.0) / 3)::bigint steps, ceil((sum({N}) // {STRIDE}) / 12.0)::bigint packed_steps from documents where text <> '' group by 1")
+def epoch_steps(spark, sf):
+    rows = packing.framed(_docs(spark, sf)).groupBy("source").agg(F.count("*").alias("samples"), F.sum("n").alias("total"))
+    return rows.select("source", "samples", schedules.batches(F.col("samples"), 4).alias("batches"), schedules.steps(F.col("samples"), 4, 3).alias("steps"), packing.packed_estimate(F.col("total"), STRIDE, 4, 3).alias("packed_steps"))
+
+
+# Beyond SQL: normal forms, byte rendering, files, streams
+
+
+@query()
+def nfkc_items(spark, sf):
+    pages = table(spark, sf, "pages").select(F.substring("html", 1, 200).alias("query"), "url", F.col("page_id").cast("string").alias("passage_id"), F.lit("a").alias("answer"), F.lit("ｔ").alias("title"))
+    return questions.items(pages, True)
+
+
+@query("select doc_id, '<0xFE>' || text || '<0xFF>' shown from documents")
+def chunk_render(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.render_chunk(tokens.encode(F.col("text"))).alias("shown"))
 
 
-def token_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = F.when(F.col("text") != "", F.octet_length("text") + 2).otherwise(0).cast("long")
-    return docs.groupBy("source").agg(F.count("*").alias("records_seen"), F.count_if(F.col("text") != "").alias("records_used"), F.sum(n).alias("total_tokens")).withColumn("windows", F.expr("total_tokens div 513"))
+@query(_SHARDS + ", g as (select dense_rank() over (order by source, shard) - 1 as shard, token_count from m) select shard, unnest(range(token_count // 513)) chunk from g")
+def packed_datasource_roundtrip(spark, sf):
+    folder = _folder(spark)
+    shards = _shards(spark, sf).select("source", "doc_id", "shard")
+    number = shards.select("source", "shard").distinct().withColumn("g", (F.row_number().over(Window.orderBy("source", "shard")) - 1).cast("long"))
+    rows = packing.framed(_docs(spark, sf)).select("doc_id", "bytes").join(shards, "doc_id").join(number, ["source", "shard"])
+    packed.write_packed(rows.select(F.col("g").alias("shard"), F.col("doc_id").alias("ord"), "bytes"), folder)
+    return packed.read_packed(spark, folder, STRIDE).select("shard", "chunk")
 
 
-QUERIES["token_count_by_source"] = token_count_by_source
-ORACLES["token_count_by_source"] = """
-select source, count(*) records_seen, count(*) filter (text <> '') records_used,
-  coalesce(sum(octet_length(encode(text)) + 2) filter (text <> ''), 0)::bigint total_tokens,
-  (coalesce(sum(octet_length(encode(text)) + 2) filter (text <> ''), 0) // 513)::bigint windows
-from documents group by 1"""
+@query(_WINDOWS + f"""select source, "window", md5(h) digest from w where size = {STRIDE}""")
+def stream_pack(spark, sf):
+    schema = _docs(spark, sf).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").option("recursiveFileLookup", False).parquet(sf)
+    out = packer.run_to_end(packer.pack_stream(stream, "doc_id", "source", STRIDE), _folder(spark), "windows")
+    return out.select("source", "window", F.md5(F.hex("bytes")).alias("digest"))

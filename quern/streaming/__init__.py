@@ -1 +1 @@
-
+"""Stateful streaming forms of the sequential operators."""
