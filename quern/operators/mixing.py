@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.schedules import half_even_count
-from quern.operators.ordering import uniform
+from quern.operators.ordering import running, uniform
 from quern.operators.packing import probabilities
 
 
@@ -23,7 +23,7 @@ def slots(spark: SparkSession, shares: list[float], n: int, seed: int) -> DataFr
     edges = [sum(shares[: i + 1]) for i in range(len(shares) - 1)]
     source = sum(((F.col("u") >= F.lit(e)).cast("int") for e in edges), F.lit(0))
     drawn = spark.range(n).withColumnRenamed("id", "slot").withColumn("u", u).withColumn("source", source)
-    return drawn.select("slot", "source", F.row_number().over(Window.partitionBy("source").orderBy("slot")).alias("rank"))
+    return running(drawn, "slot", F.lit(1), "rank", ["source"]).select("slot", "source", (F.col("rank") + 1).alias("rank"))
 
 
 def interleave(frames: list[DataFrame], takes: list[int], order: str, seed: int = 0) -> DataFrame:
@@ -35,9 +35,9 @@ def interleave(frames: list[DataFrame], takes: list[int], order: str, seed: int
     if not live:
         return frames[0].where(F.lit(False)).withColumn("source", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     if len(live) == 1:
-        turn = Window.orderBy(order)
-        return live[0][0].withColumn("source", F.lit(0)).withColumn("slot", (F.row_number().over(turn) - 1).cast("long"))
-    ranked = reduce(DataFrame.unionByName, [f.withColumn("source", F.lit(i)).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(order))) for i, (f, _) in enumerate(live)])
+        return running(live[0][0].withColumn("source", F.lit(0)), order, F.lit(1), "slot")
+    ranked = reduce(DataFrame.unionByName, [f.withColumn("source", F.lit(i)) for i, (f, _) in enumerate(live)])
+    ranked = running(ranked, order, F.lit(1), "rank", ["source"]).withColumn("rank", F.col("rank") + 1)
     sizes = ranked.groupBy("source").agg(F.count("*").alias("size"))
     total = ranked.count()
     drawn = slots(live[0][0].sparkSession, probabilities([t for _, t in live]), total + 1, seed)
@@ -54,10 +54,12 @@ def two_level(pools: list[list[DataFrame]], takes: list[list[int]], order: str,
 
 def split(df: DataFrame, order: str, by: str, ratio: float) -> DataFrame:
     """Adds part: of each source's n rows the last half-even-rounded share is validation; a source of one row is all train."""
-    w = Window.partitionBy(by)
-    n = F.count("*").over(w)
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
+    n = F.col("_n")
     held = F.when(n >= 2, half_even_count(n, ratio)).otherwise(0)
-    return df.withColumn("_n", n).withColumn("_rn", F.row_number().over(w.orderBy(order))).withColumn("part", F.when(F.col("_rn") > F.col("_n") - held, "val").otherwise("train")).drop("_n", "_rn")
+    ranked = running(df, order, F.lit(1), "_rn", [by])
+    ranked = ranked.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    return ranked.withColumn("part", F.when(F.col("_rn") >= n - held, "val").otherwise("train")).drop("_n", "_rn", "_by")
 
 
 def tail_shards(shards: DataFrame, order: str, ratio: float) -> DataFrame:

@@ -14,14 +14,13 @@ def uniform(*key: Column | str, seed: int = 0) -> Column:
 
 
 def skip_take(df: DataFrame, order: str, skip: int = 0, take: int = -1, by: str | None = None, none_if_zero: bool = False) -> DataFrame:
-    """Rows skip + 1 .. skip + take by order; take below 1 takes all, unless none_if_zero."""
+    """Rows skip + 1 .. skip + take by order (within ``by``); take below 1 takes all, unless none_if_zero."""
     if none_if_zero and take == 0:
         return df.where(F.lit(False))
-    w = Window.partitionBy(by).orderBy(order) if by else Window.orderBy(order)
     if by is None and skip <= 0:
         return df.orderBy(order).limit(take) if take > 0 else df
-    ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > max(0, skip))
-    return (ranked.where(F.col("_rn") <= max(0, skip) + take) if take > 0 else ranked).drop("_rn")
+    ranked = running(df, order, F.lit(1), "_rn", [by] if by else None).where(F.col("_rn") >= max(0, skip))
+    return (ranked.where(F.col("_rn") < max(0, skip) + take) if take > 0 else ranked).drop("_rn")
 
 
 def hash_shuffle(df: DataFrame, *key: str, seed: int = 0) -> DataFrame:
@@ -34,29 +33,48 @@ def sample(df: DataFrame, k: int, *key: str, seed: int = 0) -> DataFrame:
     return hash_shuffle(df, *key, seed=seed).limit(k)
 
 
-def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
-    """0, 1, 2, ... by order, without gathering the rows: ranks within sorted ranges plus the ranges' offsets."""
-    return dense_rank_global(df, F.col(order), name)
-
-
-def dense_rank_global(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Position by key over the whole frame, in two steps: sizes of range buckets, then positions within each."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    keyed = df.withColumn("_k", key)
+def _buckets(df: DataFrame, order: Column) -> DataFrame:
+    """Adds _k (the order) and _b, its range bucket: ranges of about equal size, as many as the session's shuffles have."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keyed = df.withColumn("_k", order)
     cuts = keyed.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 10_000).alias("c")).first().c if n > 1 else None
     cuts = sorted(set(cuts or []))
-    bucket = sum(((F.col("_k") > F.lit(c)).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    keyed = keyed.withColumn("_b", bucket)
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("_k"))
-    return keyed.withColumn("_r", own).join(F.broadcast(before), "_b").withColumn(name, (F.col("_r") + F.col("_o") - 1).cast("long")).drop("_k", "_b", "_r", "_o")
+    # One comparison per cut, halved by grouping them: first the block of cuts, then the cut in it.
+    width = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    inner = F.lit(0)
+    for at, block in enumerate(blocks):
+        own = sum(((F.col("_k") > F.lit(c)).cast("int") for c in block), F.lit(at * width))
+        inner = own if at == 0 else F.when(F.col("_k") > F.lit(block[0]), own).otherwise(inner)
+    return keyed.withColumn("_b", F.coalesce(inner, F.lit(0)))
+
+
+def running(df: DataFrame, order: Column | str, value: Column | str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row, by order (nulls first), within ``by``.
+
+    In two steps, so that neither the whole frame nor a group with a third of its rows is sorted in one task: sums within
+    (group, range), plus the sums of the group's earlier ranges.
+    """
+    by = by or []
+    keyed = _buckets(df, order if isinstance(order, Column) else F.col(order)).withColumn("_v", value if isinstance(value, Column) else F.col(value))
+    unbounded = Window.unboundedPreceding
+    sums = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(unbounded, -1)
+    own_names = {c: f"_g{i}" for i, c in enumerate((*by, "_b"))}
+    before = sums.select(*[F.col(c).alias(g) for c, g in own_names.items()], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(unbounded, -1)), F.lit(0))
+    joined = keyed.withColumn("_r", own).join(before, [F.col(c).eqNullSafe(F.col(g)) for c, g in own_names.items()])
+    return joined.select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(name))
+
+
+def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
+    """0, 1, 2, ... by order."""
+    return running(df, order, F.lit(1), name)
 
 
 def permutation(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds pos, the row's place in a seeded permutation."""
-    return dense_rank_global(df, F.struct(uniform(key, seed=seed).alias("u"), F.col(key).alias("k"))["u"], "pos")
+    return running(df, uniform(key, seed=seed), F.lit(1), "pos")
 
 
 def numpy_permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:

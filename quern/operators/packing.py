@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import encode, token_count
+from quern.operators.ordering import running
 
 
 def framed(docs: DataFrame, text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
@@ -19,8 +20,7 @@ def framed(docs: DataFrame, text: str = "text", bos: bool = True, eos: bool = Tr
 
 def offsets(docs: DataFrame, order: str, by: str, n: str = "n") -> DataFrame:
     """Adds start, the bytes before each row within its stream."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long"))
+    return running(docs, order, n, "start", [by])
 
 
 def windows(docs: DataFrame, order: str, by: str, stride: int) -> DataFrame:
