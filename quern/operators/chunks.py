@@ -144,3 +144,14 @@ def nucleus(rows: DataFrame, group: str, p: str, tie: str, top: float) -> DataFr
     w = Window.partitionBy(group).orderBy(F.desc(p), tie)
     before = F.coalesce(F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return rows.withColumn("_before", before).where(F.col("_before") <= top).drop("_before")
+
+
+def chunk_report(rows: DataFrame, seq: str, chunk: str, shown: Column) -> DataFrame:
+    """(seq, line): the rendered chunks of a sequence in order, each in brackets, comma-separated."""
+    listed = rows.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(chunk, shown.alias("shown")))).alias("l"))
+    return listed.select(seq, F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["shown"], F.lit("]"))), ", ").alias("line"))
+
+
+def cut_bytes(chunked: DataFrame, data: str) -> DataFrame:
+    """Adds chunk_bytes, the bytes of each chunk [start, end) of a row's byte column."""
+    return chunked.withColumn("chunk_bytes", F.expr(f"substring({data}, int(start + 1), int(end - start))"))

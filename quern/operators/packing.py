@@ -112,3 +112,10 @@ def probabilities(takes: list[int]) -> list[float]:
 def packed_estimate(total: Column, stride: int, batch: int, accumulate: int) -> Column:
     """Steps of an epoch over packed tokens, with one floor over all shards."""
     return F.ceil(F.floor(total / stride) / (batch * accumulate)).cast("long")
+
+
+def mix_manifest(sources: DataFrame, by: str, take: str, total: str, seed: int) -> DataFrame:
+    """One JSON document for a mix: its sources by name with weights and totals, and the grand totals."""
+    rows = weights(sources, take).withColumnRenamed(by, "name")
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("name", F.col(take).alias("take_examples"), "weight", F.col(total).alias("total_tokens")))).alias("datasets"), F.sum(total).alias("total_tokens"), F.count("*").alias("total_sources"))
+    return listed.select(F.to_json(F.struct(F.lit("packed-mix").alias("format"), F.lit(seed).alias("seed"), F.lit("uint8").alias("dtype"), "total_sources", "total_tokens", "datasets")).alias("manifest"))
