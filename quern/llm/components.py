@@ -1,7 +1,9 @@
-"""Connected components by label propagation with pointer jumping, over written tables.
+"""Connected components by repeated contraction, over written tables.
 
-Every step groups with an associative minimum, so a node with a third of all edges is
-pre-aggregated before its shuffle; joins on nodes are left to adaptive skew splitting.
+Each round, every node points to its smallest neighbour, pointers jump once, and the edges are contracted along them;
+edges inside a contracted node vanish, so the work shrinks fast. Every step groups with an associative minimum, so a
+node with a third of all edges is pre-aggregated before its shuffle; joins on nodes are left to adaptive
+skew splitting.
 """
 
 from __future__ import annotations
@@ -15,24 +17,24 @@ from .common import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
     """edges(a, b): long ids, any direction, repeats and loops allowed, nulls ignored.
 
-    Returns (node, comp): each node that occurs with the smallest id reachable. Empty in, empty out.
+    Returns (node, comp): each node that has an edge to another, with the smallest id reachable. Empty in, empty out.
     """
-    both = edges.where("a is not null and b is not null and a <> b")
-    both = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.keep(both, f"{tag}-edges")
-    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), f"{tag}-0")
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, labels = scratch.keep(edges.distinct(), f"{tag}-edges-0"), None
     for i in range(1, most_rounds + 1):
-        # Smallest label among neighbours, then one jump along the label's own label.
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        nxt = low.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), (F.least("comp", F.coalesce("up", "comp")) != F.col("old")).alias("moved"))
-        nxt = scratch.keep(nxt, f"{tag}-{i}")
-        scratch.drop(f"{tag}-{i - 1}")
-        labels = nxt.select("node", "comp")
-        if not nxt.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    scratch.drop(f"{tag}-edges")
-    return labels
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = scratch.keep(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), f"{tag}-point")
+        up = point.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        jump = scratch.keep(point.join(up, "to").select("node", F.col("up").alias("comp")), f"{tag}-jump")
+        at = lambda c, d: jump.select(F.col("node").alias(c), F.col("comp").alias(d))  # noqa: E731, B023
+        nxt = edges.join(at("a", "ca"), "a").join(at("b", "cb"), "b").where("ca <> cb")
+        nxt = nxt.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        if labels is None:
+            labels = jump
+        else:
+            labels = labels.withColumnRenamed("comp", "old").join(at("old", "new"), "old", "left").select("node", F.coalesce("new", "old").alias("comp"))
+        labels, edges = scratch.keep(labels, f"{tag}-{i}"), scratch.keep(nxt, f"{tag}-edges-{i}")
+        scratch.drop(f"{tag}-{i - 1}", f"{tag}-edges-{i - 1}", f"{tag}-point", f"{tag}-jump")
+        if not edges.limit(1).count():
+            return labels
+    raise RuntimeError("components did not settle")
