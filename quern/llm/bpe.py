@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 Each task cuts its texts into pre-tokens and explodes them into (word, positions) of blocks: a block is a few
-megabytes of whole documents. Words travel to the task of their bucket (a hash of the word), where every
+megabytes of whole documents, its words numbered by frequency. Words travel to the task of their bucket (a hash of the word), where every
 distinct word is encoded once; the ids travel back to the blocks and the texts are put together by
 position. A word occurs once per block and bucket however frequent it is, so no key is hot. Decoding
 joins the token-byte table, which is as small as the vocabulary.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, with_defaults
 
-BLOCK = 6_000_000
+BLOCK, CHUNK = 16_000_000, 150_000
 #: White space before a space: only there can a cut before a single space differ from the pattern's cuts.
 UNSAFE = re.compile(r"\s ")
 
@@ -82,46 +83,71 @@ def unpack_list(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-_ROWS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("data", pa.binary())])
-_DDL = "block string, bucket int, doc_id long, numbers binary, data binary"
+_ROWS = pa.schema([("kind", pa.string()), ("block", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("data", pa.binary())])
+_DDL = "kind string, block string, bucket int, numbers binary, data binary"
 
 
-def _explode(pattern: str, buckets: int):
-    """doc_id, text -> rows of two kinds: a document's word numbers (bucket null); a bucket's words of a block."""
+def pack_keys(keys: list[int | None], counts: list[int]) -> bytes:
+    """Document ids (null allowed) and their numbers of pre-tokens."""
+    ids = np.array([0 if k is None else k for k in keys], "<i8").tobytes()
+    return len(keys).to_bytes(4, "little") + ids + np.array(counts, "<u4").tobytes() + bytes(k is None for k in keys)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
 
-        import regex
+def unpack_keys(data: bytes) -> list[tuple[int | None, int]]:
+    n = int.from_bytes(data[:4], "little")
+    ids, counts, null = np.frombuffer(data, "<i8", n, 4).tolist(), np.frombuffer(data, "<u4", n, 4 + 8 * n).tolist(), data[4 + 12 * n :]
+    return [(None if z else k, c) for k, c, z in zip(ids, counts, null, strict=True)]
+
+
+class _Block:
+    """The documents of one block: their keys and word numbers, frequent words first once it is closed."""
+
+    def __init__(self, find):
+        self.words, self.keys, self.numbers, self.size = _Words(find, {}), [], [], 0
+
+    def add(self, key: int | None, text: str) -> None:
+        parts = space_cuts(text)
+        self.keys.append(key)
+        self.numbers.append(self.words.cut(text) if parts is None else self.words.cut(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:])))
+        self.size += len(text)
 
-        find = regex.compile(pattern).findall
-        words, size, name = None, 0, ""
+    def rows(self, buckets: int) -> Iterator[tuple]:
+        name, counts = uuid.uuid4().hex, [len(x) // 4 for x in self.numbers]
+        flat = np.frombuffer(b"".join(self.numbers), "<u4")
+        order = np.argsort(-np.bincount(flat, minlength=len(self.words.numbers)), kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        flat, first, start, held = rank[flat], 0, 0, 0
+        for i, n in enumerate(counts, 1):
+            held += n
+            if held >= CHUNK or i == len(counts):
+                yield "docs", name, None, _planes(flat[start : start + held].tobytes()), pack_keys(self.keys[first:i], counts[first:i])
+                first, start, held = i, start + held, 0
+        texts = list(self.words.numbers)
+        spread: dict[int, list] = {}
+        for no, i in enumerate(order.tolist()):
+            raw = texts[i].encode()
+            spread.setdefault(xxhash.xxh3_64_intdigest(raw) % buckets, []).append((no, raw))
+        for b, x in spread.items():
+            yield "words", name, b, _planes(np.array([no for no, _ in x], "<u4").tobytes()), pack_list([raw for _, raw in x])
 
-        def close():
-            spread: dict[int, list] = {}
-            for w, no in words.numbers.items():
-                raw = w.encode()
-                spread.setdefault(xxhash.xxh3_64_intdigest(raw) % buckets, []).append((no, raw))
-            rows = [(name, b, None, _planes(np.array([no for no, _ in x], "<u4").tobytes()), pack_list([raw for _, raw in x])) for b, x in spread.items()]
-            return arrow(_ROWS, *zip(*rows, strict=True)) if rows else None
 
+def _explode(pattern: str, buckets: int):
+    """doc_id, text -> rows of two kinds: word numbers of some documents of a block; a bucket's words of a block."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, block = regex.compile(pattern).findall, None
         for batch in it:
-            rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if words is None:
-                    words, size, name = _Words(find, {}), 0, uuid.uuid4().hex
-                parts = space_cuts(text)
-                numbers = words.cut(text) if parts is None else words.cut(parts[0]) + b"".join(map(words.__getitem__, parts[1:]))
-                rows.append((name, None, key, _planes(numbers), None))
-                size += len(text)
-                if size >= BLOCK:
-                    if (out := close()) is not None:
-                        yield out
-                    words = None
-            if rows:
-                yield arrow(_ROWS, *zip(*rows, strict=True))
-        if words is not None and (out := close()) is not None:
-            yield out
+                block = block or _Block(find)
+                block.add(key, text)
+                if block.size >= BLOCK:
+                    yield from (arrow(_ROWS, *([x] for x in row)) for row in block.rows(buckets))
+                    block = None
+        if block:
+            yield from (arrow(_ROWS, *([x] for x in row)) for row in block.rows(buckets))
 
     return run
 
@@ -134,7 +160,7 @@ def _encode(path: str, pattern: str):
 
         core, ids, now = None, {}, None
         for batch in it:
-            for block, bucket, key, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, block, bucket, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if core is None:
                     core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
                 if bucket != now:
@@ -145,7 +171,7 @@ def _encode(path: str, pattern: str):
                     if x is None:
                         x = ids[w] = np.array(core._encode_single_piece(w), "<u4").tobytes()
                     out.append(x)
-                yield arrow(_ROWS, [block], [bucket], [key], [numbers], [pack_list(out)])
+                yield arrow(_ROWS, [kind], [block], [bucket], [numbers], [pack_list(out)])
 
     return run
 
@@ -158,7 +184,7 @@ def _assemble(emit):
         table: list[bytes] = []
         for batch in it:
             rows = []
-            for block, bucket, key, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, block, bucket, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
                     now, ids, table = block, {}, []
                 if bucket is not None:
@@ -166,7 +192,10 @@ def _assemble(emit):
                 else:
                     if len(table) != len(ids):
                         table = [ids[i] for i in range(len(ids))]
-                    rows.append((key, b"".join(map(table.__getitem__, _unplane(numbers).tolist()))))
+                    at, all_ = 0, _unplane(numbers).tolist()
+                    for key, n in unpack_keys(data):
+                        rows.append((key, b"".join(map(table.__getitem__, all_[at : at + n]))))
+                        at += n
             if rows:
                 yield emit(rows)
 
@@ -178,10 +207,11 @@ def encode_with(docs: DataFrame, path: str, pattern: str, emit, ddl: str) -> Dat
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), with_defaults(docs, spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = scratch.keep(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "words")
-    words = rows.where("bucket is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    rows = scratch.keep(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "rows", by="kind").select("kind", "block", "bucket", "numbers", "data")
+    words = rows.where("kind = 'words'").repartition(parts, "bucket").sortWithinPartitions("bucket")
     ids = scratch.keep(words.mapInArrow(_encode(path, pattern), _DDL), "ids")
-    back = ids.unionByName(rows.where("bucket is null")).repartition(parts, "block")
+    scratch.drop("rows/kind=words")
+    back = ids.unionByName(rows.where("kind = 'docs'")).repartition(parts, "block")
     return back.sortWithinPartitions("block", F.asc_nulls_last("bucket")).mapInArrow(_assemble(emit), ddl)
 
 

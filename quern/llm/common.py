@@ -29,15 +29,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-        self.names: set[str] = set()
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        name = name or f"t{len(self.names)}"
-        self.names.add(name)
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes df, a folder for each value of the column ``by`` if given (``name/by=value`` can be dropped)."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         self._fs.deleteOnExit(self._path(self.root))
         self.free()
         return self.spark.read.schema(df.schema).parquet(path)
