@@ -9,9 +9,11 @@ reused by the next one: 8, 16, 25, 50, 100, 200. Names are fingerprints, hence c
 tasks without a global rank. Buckets of one member leave as early as possible:
 
 1. Of the ``width``-byte strings, each is owned by its leftmost least 50-byte bucket (its anchor), a
-   choice that depends on the string alone. Strings of one anchor are a run. Runs whose anchor
-   bucket has one member in the corpus leave: no string of theirs can repeat.
-2. Runs that agree as a whole (bucket names at their first and last string) repeat as a whole.
+   choice that depends on the string alone. Strings of one anchor are a run; about eight successive runs, cut where an
+   anchor's name says so, are a stretch. Stretches that agree as a whole repeat as a whole; one of each kind goes on
+   to stand for them.
+2. Runs whose anchor bucket has one member in the corpus leave: no string of theirs can repeat. Runs that
+   agree as a whole (bucket names at their first and last string) repeat as a whole.
 3. The rest is refined in pieces of 16 starts: a piece that agrees as a whole repeats; a piece whose
    common core occurs once leaves.
 4. What remains is refined to single strings, grouped by name.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, batches
 from .fingerprint import mix
 
-WIDTH, GRAM, PIECE, BATCH, SEGMENT = 200, 50, 16, 192_000, 1_000_000
+WIDTH, GRAM, PIECE, STRETCH, MOST_RUNS, BATCH, SEGMENT = 200, 50, 16, 8, 64, 192_000, 1_000_000
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -101,16 +103,29 @@ def _concat(group: list[tuple[tuple, bytes]]) -> tuple[np.ndarray, np.ndarray, n
     return np.frombuffer(b"".join(x for _, x in group), np.uint8), ends, ends - lengths
 
 
-_RUNS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("back", pa.int16()), ("n", pa.int16()), ("gram", pa.int64()), ("run", pa.int64())])
+_STRETCHES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.list_(pa.int16())), ("off", pa.list_(pa.int16())), ("back", pa.list_(pa.int16())), ("gram", pa.list_(pa.int64())), ("run", pa.list_(pa.int64()))])
+_STRETCHES_DDL = "id long, th long, lo long, k1 long, k2 long, n array<short>, off array<short>, back array<short>, gram array<long>, run array<long>"
 
 
-def _emit_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_stretches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in batches(_documents(it), BATCH):
         data, ends, starts = _concat(group)
         doc, at, lo, hi, gram, run = runs(data, ends)
-        if len(doc):
-            ids, hashes, offset = (np.array([k[i] for k, _ in group], np.int64) for i in range(3))
-            yield arrow(_RUNS, ids[doc], hashes[doc], at - starts[doc] + offset[doc], (at - lo).astype(np.int16), (hi - lo + 1).astype(np.int16), gram.view(np.int64), run.view(np.int64))
+        if not len(doc):
+            continue
+        ids, hashes, offset = (np.array([k[i] for k, _ in group], np.int64) for i in range(3))
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (gram[1:] & np.uint64(STRETCH - 1) == 0)]))
+        size = np.diff(np.append(first, len(doc)))
+        long = size > MOST_RUNS  # of text that repeats itself: cut by count, which only makes fewer stretches agree
+        if long.any():
+            first = np.concatenate([np.arange(a, a + m, MOST_RUNS) for a, m in zip(first.tolist(), size.tolist(), strict=True)])
+            size = np.diff(np.append(first, len(doc)))
+        nth = (np.arange(len(doc)) - np.repeat(first, size)).astype(np.uint64)
+        k1, k2 = np.add.reduceat(mix(run, nth), first), np.add.reduceat(mix(gram, run + nth), first)
+        cuts = pa.array(np.append(first, len(doc)), pa.int32())
+        listed = (pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in (((hi - lo + 1).astype(np.int16), pa.int16()), ((at - np.repeat(lo[first], size)).astype(np.int16), pa.int16()), ((at - lo).astype(np.int16), pa.int16()), (gram.view(np.int64), pa.int64()), (run.view(np.int64), pa.int64())))
+        d = doc[first]
+        yield arrow(_STRETCHES, ids[d], hashes[d], lo[first] - starts[d] + offset[d], k1.view(np.int64), k2.view(np.int64), *listed)
 
 
 _PIECES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("n", pa.int16()), ("gram", pa.int64()), ("piece", pa.int16()), ("core", pa.int64()), ("all", pa.int64())])
@@ -193,11 +208,24 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs(id, th, text) -> (id, th, starts, lengths): intervals of repeated bytes of each text that has any."""
-    found = scratch.keep(docs.mapInArrow(_emit_runs, _ddl(_RUNS)), "runs")
-    grams = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    stretches = scratch.keep(docs.mapInArrow(_emit_stretches, _STRETCHES_DDL), "stretches")
+    same = stretches.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo")).alias("one"))
+    told = stretches.join(same, ["k1", "k2"])
+    # A stretch that agrees with another is a span; its runs go on if it stands alone, or (with weight 2) stands for its kind.
+    weight = F.when(F.col("c") == 1, 1).when(F.col("one") == F.struct("id", "th", "lo"), 2)
+    run = lambda x: F.struct(F.lit("run").alias("kind"), (F.col("lo") + x["off"]).alias("at"), x["back"].alias("back"), x["n"].cast("long").alias("n"), x["gram"].alias("gram"), x["run"].alias("run"), weight.cast("long").alias("w"))
+    alone = F.transform(F.arrays_zip("off", "back", "n", "gram", "run"), run)
+    nothing = F.lit(None)
+    span = F.struct(F.lit("span").alias("kind"), F.col("lo").alias("at"), nothing.cast("short").alias("back"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), nothing.cast("long").alias("gram"), nothing.cast("long").alias("run"), nothing.cast("long").alias("w"))
+    parts = F.concat(F.when(F.col("c") > 1, F.array(span)).otherwise(F.array()), F.when(weight.isNotNull(), alone).otherwise(F.array()))
+    split = scratch.keep(told.select("id", "th", F.explode(parts).alias("p")).select("id", "th", "p.*"), "split", by="kind")
+    scratch.drop("stretches")
+    found = split.where("kind = 'run'").select("id", "th", "at", "back", F.col("n").cast("short").alias("n"), "gram", "run", "w")
+    agreed = split.where("kind = 'span'").select("id", "th", F.col("at").alias("s"), (F.col("n") + F.lit(WIDTH - 1)).cast("int").alias("len"))
+    grams = found.groupBy("gram").agg(F.sum("w").alias("c")).where("c > 1").select("gram")
     alive = scratch.keep(found.join(grams, "gram", "left_semi"), "alive")
-    scratch.drop("runs")
-    classes = scratch.keep(alive.groupBy("gram", "run").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at", "back", "n")).alias("one")), "classes")
+    scratch.drop("split/kind=run")
+    classes = scratch.keep(alive.groupBy("gram", "run").agg(F.sum("w").alias("c"), F.min(F.struct("id", "th", "at", "back", "n")).alias("one")), "classes")
     # Refine where some run of the anchor's bucket stands alone: such runs, and one of each class that agrees.
     mixed = classes.groupBy("gram").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("gram")
     rest = classes.join(mixed, "gram", "left_semi").select("one.*")
@@ -208,13 +236,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rest = kinds.join(mixed, key, "left_semi").select("one.*")
     strings = scratch.keep(_with_text(rest, docs, ["lo", "n"]).mapInArrow(_emit_strings, _ddl(_STRINGS)), "strings")
     twice = strings.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2")
-    whole_runs = alive.join(classes.where("c > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("id", "th", (F.col("at") - F.col("back")).alias("s"), (F.col("n") + F.lit(WIDTH - 1)).cast("int").alias("len"))
+    whole_runs = alive.where("w = 1").join(classes.where("c > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("id", "th", (F.col("at") - F.col("back")).alias("s"), (F.col("n") + F.lit(WIDTH - 1)).cast("int").alias("len"))
     whole_pieces = pieces.join(kinds.where("c > 1").select(*key, "all"), [*key, "all"], "left_semi").select("id", "th", F.col("lo").alias("s"), (F.col("n") + F.lit(WIDTH - 1)).cast("int").alias("len"))
     single = strings.join(twice, ["k1", "k2"], "left_semi").select("id", "th", F.col("lo").alias("s"), F.lit(WIDTH).alias("len"))
-    spans = whole_runs.unionByName(whole_pieces).unionByName(single)
+    spans = agreed.unionByName(whole_runs).unionByName(whole_pieces).unionByName(single)
     spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("s", "len")).alias("spans"))
     out = scratch.keep(spans.select("id", "th", F.col("spans.s").alias("starts"), F.col("spans.len").alias("lengths")), "spans")
-    scratch.drop("alive", "classes", "pieces", "kinds", "strings")
+    scratch.drop("alive", "classes", "pieces", "kinds", "strings", "split")
     return out
 
 
