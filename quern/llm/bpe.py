@@ -177,27 +177,20 @@ def _encode(path: str, pattern: str):
 
 
 def _assemble(emit):
-    """Rows of ids, then of documents, sorted by block -> what ``emit(rows)`` makes of (doc_id, ids as bytes)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids = None, {}
-        table: list[bytes] = []
-        for batch in it:
-            rows = []
-            for _, block, bucket, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now:
-                    now, ids, table = block, {}, []
-                if bucket is not None:
-                    ids.update(zip(_unplane(numbers).tolist(), unpack_list(data), strict=True))
-                else:
-                    if len(table) != len(ids):
-                        table = [ids[i] for i in range(len(ids))]
-                    at, all_ = 0, _unplane(numbers).tolist()
-                    for key, n in unpack_keys(data):
-                        rows.append((key, b"".join(map(table.__getitem__, all_[at : at + n]))))
-                        at += n
-            if rows:
-                yield emit(rows)
+    """A block's documents and its words' ids -> what ``emit(rows)`` makes of (doc_id, ids as bytes)."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        ids: dict[int, bytes] = {}
+        for numbers, data in zip(words.column("numbers").to_pylist(), words.column("data").to_pylist(), strict=True):
+            ids.update(zip(_unplane(numbers).tolist(), unpack_list(data), strict=True))
+        table = [ids[i] for i in range(len(ids))]
+        rows = []
+        for numbers, data in zip(docs.column("numbers").to_pylist(), docs.column("data").to_pylist(), strict=True):
+            at, flat = 0, _unplane(numbers).tolist()
+            for key, n in unpack_keys(data):
+                rows.append((key, b"".join(map(table.__getitem__, flat[at : at + n]))))
+                at += n
+        return pa.Table.from_batches([emit(rows)])
 
     return run
 
@@ -207,12 +200,13 @@ def encode_with(docs: DataFrame, path: str, pattern: str, emit, ddl: str) -> Dat
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), with_defaults(docs, spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = scratch.keep(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "rows", by="kind").select("kind", "block", "bucket", "numbers", "data")
+    # In buckets by block, the positions are stored once and stay where they are while the words travel.
+    rows = scratch.keep_bucketed(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "rows", "kind", "block", parts).select("kind", "block", "bucket", "numbers", "data")
     words = rows.where("kind = 'words'").repartition(parts, "bucket").sortWithinPartitions("bucket")
     ids = scratch.keep(words.mapInArrow(_encode(path, pattern), _DDL), "ids")
     scratch.drop("rows/kind=words")
-    back = ids.unionByName(rows.where("kind = 'docs'")).repartition(parts, "block")
-    return back.sortWithinPartitions("block", F.asc_nulls_last("bucket")).mapInArrow(_assemble(emit), ddl)
+    texts = rows.where("kind = 'docs'").select("block", "numbers", "data")
+    return texts.groupBy("block").cogroup(ids.select("block", "numbers", "data").groupBy("block")).applyInArrow(_assemble(emit), ddl)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -20,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _forget(spark: SparkSession, entry: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        spark.sql(f"drop table if exists {entry}")
+
+
 class Scratch:
     """Tables written to the shared folder. Each cuts lineage and survives lost executors.
 
@@ -41,6 +47,18 @@ class Scratch:
         self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, name: str, by: str | None, key: str, parts: int) -> DataFrame:
+        """Writes df by ``by`` (if given) and in buckets of ``key``, so that later grouping by ``key`` moves none of it.
+
+        Buckets need a table: its files are like those of keep(), its entry in the catalogue is dropped when Python ends.
+        """
+        entry = f"quern_{uuid.uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).bucketBy(parts, key).option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(entry)
+        atexit.register(_forget, self.spark, entry)
+        self._fs.deleteOnExit(self._path(self.root))
+        self.free()
+        return self.spark.table(entry)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
