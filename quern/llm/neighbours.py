@@ -8,7 +8,7 @@ Equal vectors are one node, with its smallest vec_ids, so copies cannot crowd ea
   name them); every two that meet at a node become candidates of each other. Candidates better than a node's
   worst neighbour are merged into its list. ``ROUNDS`` joins of neighbours of neighbours, pre-cut per meeting.
 * Search: each query keeps a list of the best nodes seen and opens the nearest unopened ones, a join with the
-  graph per hop. The best of the list are measured again in double precision on the original vectors.
+  graph per hop, along edges in both directions. The MEASURED best of the list are measured again in double precision on the original vectors.
 
 The graph works on 8-bit vectors; only its shape depends on them. Recall against brute force is tested.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, with_defaults
 from .vector_dedup import unit, usable
 
-DEGREE, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 24, 400, 4, 4, 8, 6, 12, 64
+DEGREE, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST, MEASURED = 24, 400, 4, 4, 8, 7, 75, 512, 64
 
 
 def quantise(u: np.ndarray) -> np.ndarray:
@@ -276,10 +276,15 @@ def _first_state(it):
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """queries(id): nodes to search for -> (q, id): up to LIST near nodes each, itself included."""
-    unpacked = graph.mapInArrow(_spread, "at long, to long, floor float, back boolean").where("not back").select(F.col("at").alias("own"), F.col("to").alias("id"))
+    """queries(id): nodes to search for -> (q, id): the MEASURED nearest of each list."""
+    edges = graph.mapInArrow(_spread, "at long, to long, floor float, back boolean")
+    # A node leads to its neighbours and to a hashed choice of those that name it.
+    turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to"), "to")
+    behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= DEGREE).select("at", "to")
+    unpacked = edges.where("not back").select("at", "to").unionByName(behind).distinct().select(F.col("at").alias("own"), F.col("to").alias("id"))
     inlined = unpacked.join(nodes, "id").select("own", "id", "code").repartition(parts, "own").sortWithinPartitions("own")
-    inlined = scratch.keep(inlined.mapInArrow(_pack_neighbours, "node long, ids binary, codes binary"), "inlined")
+    # In buckets by node, the graph stays where it is while the hops come to it.
+    inlined = scratch.keep_bucketed(inlined.mapInArrow(_pack_neighbours, "node long, ids binary, codes binary"), "inlined", None, "node", parts)
     state = queries.join(nodes, "id").join(graph, "id").select(F.col("id").alias("q"), "code", "ids", "sims").mapInArrow(_first_state, _STATE)
     state = scratch.keep(state, "state-0")
     for i in range(1, HOPS + 1):
@@ -296,7 +301,7 @@ def _listed(it):
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64())])
     for batch in it:
         for q, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = np.frombuffer(ids, np.int64)
+            n = np.frombuffer(ids, np.int64)[:MEASURED]
             yield arrow(schema, np.full(len(n), q), n)
 
 
