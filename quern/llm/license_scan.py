@@ -68,8 +68,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     containment: the best window's share of the template's shingles; first_word: the first such window's first word, from 0.
     """
     spark = docs.sparkSession
-    bands = template_bands(spark, templates or TEMPLATES)
-    rows = bands.collect()  # at most MOST_TEMPLATES * BANDS
+    rows = template_bands(spark, templates or TEMPLATES).collect()  # at most MOST_TEMPLATES * BANDS
+    # As plain rows: the plan that made them need not be compiled into the scan again.
+    bands = spark.createDataFrame([(r.least, r.template_id, r.band, r.n) for r in rows], "least long, template_id string, band int, n int")
+    texts = spark.createDataFrame([(r.template_id, r.n, r.texts) for r in rows if r.band == 1], "template_id string, n int, texts array<string>")
     least = F.array(*[F.lit(v) for v in sorted({r.least for r in rows})])
     most = 2 * max(r.n for r in rows)
     # Generators hold words and shingles apart from what follows: else the optimizer would copy the splitting into each use.
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     low = lambda s: F.greatest(F.lit(0), s["pos"] - most)
     near = F.transform(hits, lambda s: F.struct(s["least"].alias("least"), s["pos"].alias("pos"), low(s).alias("low"), F.slice("h", low(s) + 1, 2 * most + 1).alias("h"), F.slice("w", low(s) + 1, 2 * most + WORDS).alias("w")))
     found = found.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.*")
-    found = found.join(F.broadcast(bands.select("least", "template_id", "band", "n")), "least")
+    found = found.join(F.broadcast(bands), "least")
     width = 2 * F.col("n") - 1
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - width + 1) / F.col("n")).cast("int"))
     found = found.withColumn("win", F.explode(F.sequence(first, F.expr("int(pos div n)"))))
@@ -90,7 +92,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     shared = F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.col("band")))) == F.xxhash64("least", "band")
     found = found.where(shared).select("doc_id", "template_id", start.cast("long").alias("start"), F.array_join(F.slice("w", start - F.col("low") + 1, width + (WORDS - 1)), " ").alias("passage")).distinct()
     # Exact verification on the shingles themselves.
-    texts = bands.where("band = 1").select("template_id", "n", "texts")
     found = found.join(F.broadcast(texts), "template_id")
     share = F.size(F.array_intersect("texts", shingle_texts(F.split("passage", " ")))) / F.col("n")
     found = found.withColumn("share", share).where(F.col("share") >= CONTAINED)
