@@ -3,7 +3,9 @@
 Each language has a raw-content zstandard dictionary cut from texts known to be in it. A text is compressed whole,
 in lower case, with each dictionary; the one that makes it smallest names its language. ``accepted`` is false where the
 second-best is nearly as small. Texts below LEAST bytes are repeated up to it: of a lone short text
-the compressor stores every byte, whatever the dictionary.
+the compressor stores every byte, whatever the dictionary. Texts above PIECE bytes are compressed in pieces, all of
+them, whose sizes are summed: within one piece a dictionary soon has no more to add to what the text itself has
+said, so the gap would shrink against the size of a long text.
 
 Training reads at most ``TEXTS`` texts a language, taken by a hash of their doc_id, and at most ``SLICE``
 characters from the middle of each; a dictionary holds at most ``DICTIONARY`` bytes. These bounds hold at any
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TEXTS, SLICE, DICTIONARY, LANGUAGES, LEVEL, LEAST = 400, 400, 24_000, 100, 6, 256
+TEXTS, SLICE, DICTIONARY, LANGUAGES, LEVEL, LEAST, PIECE = 400, 400, 24_000, 100, 6, 256, 65_536
 #: Accepted where the second-best output is larger than the best by this share of it at least.
 MARGIN = 0.002
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +66,8 @@ class Model:
             return "und", 0.0, False
         raw = text.lower().encode("utf-8", "replace") + b" "
         raw *= -(-LEAST // len(raw))
-        sizes = sorted((len(c.compress(raw)), i) for i, (_, c) in enumerate(self.by))
+        pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+        sizes = sorted((sum(len(c.compress(x)) for x in pieces), i) for i, (_, c) in enumerate(self.by))
         best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else math.inf
         # Odds of the languages, were each output byte that is saved worth half a bit.
         score = 1 / sum(math.exp(min(0.0, (best - n) * math.log(2) / 2)) for n, _ in sizes)
