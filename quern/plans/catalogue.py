@@ -536,7 +536,7 @@ def epoch_steps(spark, sf):
 
 @query()
 def nfkc_items(spark, sf):
-    pages = table(spark, sf, "pages").select(F.substring("html", 1, 200).alias("query"), "url", F.col("page_id").cast("string").alias("passage_id"), F.lit("a").alias("answer"), F.lit("ｔ").alias("title"))
+    pages = table(spark, sf, "pages").select(F.col("html").alias("query"), "url", F.col("page_id").cast("string").alias("passage_id"), F.lit("a").alias("answer"), F.lit("ｔ").alias("title"))
     return questions.items(pages, True)
 
 

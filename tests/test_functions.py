@@ -2,12 +2,14 @@
 
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import answers, schedules, text, tokens
 from quern.operators import chat, chunks, mixing, ordering, packing, questions
+from quern.plans import catalogue
 from quern.sources import tables
 
 
@@ -154,3 +156,17 @@ def test_files(spark, tmp_path):
     c = tables.alias(tables.catalogue(spark, {"t": [s, tables.Source("!!", "test", "x")]})).orderBy("ordinal")
     assert [r.alias for r in c.collect()] == ["00_a_b_c__train", "01_dataset__x__test"]
     assert tables.resolve([], "t", {"t": [s]}, []) == [s]
+
+
+def test_items_of_whole_pages(spark):
+    """nfkc_items against plain Python, on pages of every length."""
+    sf = "/root/testdata/sf0.001"
+    clean = lambda s: " ".join(unicodedata.normalize("NFKC", s or "").split())
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert max(len(p.html) for p in pages if p.html) > 200
+    want = []
+    for p in pages:
+        question = "t" + questions.TITLE_JOIN + clean(p.html)
+        want.append((f"{clean(str(p.page_id))}::{clean(p.url)}::{question}::a", question, "a"))
+    got = [tuple(r) for r in catalogue.QUERIES["nfkc_items"](spark, sf).select("key", "question", "answer").collect()]
+    assert sorted(got) == sorted(want)
