@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries search it greedily.
 
-Equal vectors are one node, with its smallest vec_ids, so copies cannot crowd each other's neighbours out.
+Vectors of equal direction (to 12 decimals of the unit vector) are one node, with its smallest vec_ids, so copies,
+rescaled or not, cannot crowd each other's neighbours out.
 
 * Start: in each of ``TREES`` rounds, nodes are dealt into blocks by the signs of random projections, and each
   takes its best neighbours within its block.
@@ -8,9 +9,10 @@ Equal vectors are one node, with its smallest vec_ids, so copies cannot crowd ea
   name them); every two that meet at a node become candidates of each other. Candidates better than a node's
   worst neighbour are merged into its list. ``ROUNDS`` joins of neighbours of neighbours, pre-cut per meeting.
 * Search: each query keeps a list of the best nodes seen and opens the nearest unopened ones, a join with the
-  graph per hop, along edges in both directions. The MEASURED best of the list are measured again in double precision on the original vectors.
+  graph per hop, along edges in both directions. The whole list is measured again in double precision on the original vectors.
 
-The graph works on 8-bit vectors; only its shape depends on them. Recall against brute force is tested.
+The graph works on unit vectors in single precision, which it compares in double precision, so near-copies as tight as single
+precision can hold are told apart. Recall against brute force is tested, also within a group of thousands of near-copies.
 
 Defined cases: null, zero or non-finite vectors take no part, nor do vectors whose length is not the most frequent one;
 with fewer candidates than asked for, all are returned; equal cosines are ordered by vec_id; repeated rows
@@ -30,20 +32,21 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, with_defaults
 from .vector_dedup import unit, usable
 
-DEGREE, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST, MEASURED = 24, 400, 4, 4, 8, 7, 75, 512, 64
+DEGREE, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 24, 400, 4, 4, 8, 7, 75, 512
 
 
-def quantise(u: np.ndarray) -> np.ndarray:
-    """Unit rows as 8-bit rows on a common scale per row."""
-    return np.round(u * (127 / np.maximum(np.abs(u).max(axis=1, keepdims=True), 1e-30))).astype(np.int8)
-
-
-def _cosines(q: np.ndarray) -> np.ndarray:
-    x = q.astype(np.float32)
+def _cosines(u: np.ndarray) -> np.ndarray:
+    """Single-precision unit rows as double-precision ones, of length one again."""
+    x = u.astype(np.float64)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists without nulls as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def _best(s: np.ndarray, k: int) -> np.ndarray:
     """Column indices of each row's k largest, in no order."""
     return np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
@@ -57,8 +60,8 @@ _LISTS_DDL = "id long, ids binary, sims binary"
 def _emit_codes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         if batch.num_rows:
-            u = unit(np.array(batch.column(1).to_pylist(), np.float64))
-            yield arrow(_NODES, batch.column(0), [x.tobytes() for x in quantise(u)])
+            u = unit(_rows(batch.column(1))).astype(np.float32)
+            yield arrow(_NODES, batch.column(0), [x.tobytes() for x in u])
 
 
 def _emit_blocks(trees: int, bits: int):
@@ -68,7 +71,7 @@ def _emit_blocks(trees: int, bits: int):
         for batch in it:
             if not batch.num_rows:
                 continue
-            x = _cosines(np.stack([np.frombuffer(c, np.int8) for c in batch.column(1).to_pylist()]))
+            x = _cosines(np.stack([np.frombuffer(c, np.float32) for c in batch.column(1).to_pylist()]))
             for t in range(trees):
                 planes = np.random.default_rng(t).normal(size=(x.shape[1], max(1, bits)))
                 sign = ((x @ planes > 0) * (1 << np.arange(max(1, bits)))).sum(axis=1) if bits else np.zeros(len(x), np.int64)
@@ -109,13 +112,13 @@ def _block_lists(it):
         for _, group in _groups(it, 2):
             if len(group) > 1:
                 ids = np.array([g[0] for g in group])
-                x = _cosines(np.stack([np.frombuffer(g[1], np.int8) for g in group]))
+                x = _cosines(np.stack([np.frombuffer(g[1], np.float32) for g in group]))
                 s = x @ x.T
                 np.fill_diagonal(s, -2)
                 best = _best(s, min(DEGREE, len(ids) - 1))
                 sims = np.take_along_axis(s, best, 1)
                 for i in range(len(ids)):
-                    yield int(ids[i]), ids[best[i]].tobytes(), sims[i].astype(np.float32).tobytes()
+                    yield int(ids[i]), ids[best[i]].tobytes(), sims[i].tobytes()
 
     return _chunks(rows(), _LISTS)
 
@@ -126,7 +129,7 @@ def _merge_lists(it):
     def rows():
         for (key,), group in _groups(it, 1):
             ids = np.concatenate([np.frombuffer(g[0], np.int64) for g in group])
-            sims = np.concatenate([np.frombuffer(g[1], np.float32) for g in group])
+            sims = np.concatenate([np.frombuffer(g[1], np.float64) for g in group])
             order = np.argsort(-sims, kind="stable")
             ids, sims = ids[order], sims[order]
             first = np.sort(np.unique(ids, return_index=True)[1])[:DEGREE]
@@ -137,12 +140,12 @@ def _merge_lists(it):
 
 def _spread(it):
     """A node's list -> edges (at, member, floor): it and its neighbours; floor: the member's worst similarity."""
-    schema = pa.schema([("at", pa.int64()), ("to", pa.int64()), ("floor", pa.float32()), ("back", pa.bool_())])
+    schema = pa.schema([("at", pa.int64()), ("to", pa.int64()), ("floor", pa.float64()), ("back", pa.bool_())])
     for batch in it:
         for key, ids, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = np.frombuffer(ids, np.int64)
-            worst = float(np.frombuffer(sims, np.float32).min()) if len(n) >= DEGREE else -2.0
-            yield arrow(schema, np.concatenate([np.full(len(n), key), n]), np.concatenate([n, np.full(len(n), key)]), np.full(2 * len(n), worst, np.float32), np.repeat([False, True], len(n)))
+            worst = float(np.frombuffer(sims, np.float64).min()) if len(n) >= DEGREE else -2.0
+            yield arrow(schema, np.concatenate([np.full(len(n), key), n]), np.concatenate([n, np.full(len(n), key)]), np.full(2 * len(n), worst), np.repeat([False, True], len(n)))
 
 
 def _meet(it):
@@ -154,15 +157,15 @@ def _meet(it):
             if len(seen) < 2:
                 continue
             ids = np.array(list(seen))
-            floor = np.array([g[1] for g in seen.values()], np.float32)
-            x = _cosines(np.stack([np.frombuffer(g[2], np.int8) for g in seen.values()]))
+            floor = np.array([g[1] for g in seen.values()])
+            x = _cosines(np.stack([np.frombuffer(g[2], np.float32) for g in seen.values()]))
             s = x @ x.T
             np.fill_diagonal(s, -2)
             best = _best(s, min(MEET, len(ids) - 1))
             sims = np.take_along_axis(s, best, 1)
             better = sims > floor[:, None]
             for i in np.flatnonzero(better.any(axis=1)).tolist():
-                yield int(ids[i]), ids[best[i]][better[i]].tobytes(), sims[i][better[i]].astype(np.float32).tobytes()
+                yield int(ids[i]), ids[best[i]][better[i]].tobytes(), sims[i][better[i]].tobytes()
 
     return _chunks(rows(), _LISTS)
 
@@ -172,7 +175,7 @@ def _gather(lists: DataFrame, parts: int) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """nodes(id, code) -> (id, ids, sims): DEGREE near nodes of each, as packed long and float arrays."""
+    """nodes(id, code) -> (id, ids, sims): DEGREE near nodes of each, as packed long and double arrays."""
     total = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, total) / BLOCK))))
     blocks = nodes.mapInArrow(_emit_blocks(TREES, bits), "block long, id long, code binary")
@@ -184,12 +187,12 @@ def build_graph(nodes: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     if bits == 0:
         return graph  # one block: exact already
     for i in range(1, ROUNDS + 1):
-        edges = graph.mapInArrow(_spread, "at long, to long, floor float, back boolean")
+        edges = graph.mapInArrow(_spread, "at long, to long, floor double, back boolean")
         # Forward edges bring (neighbour) to the node; reverse ones, a hashed choice of those that name it.
         ahead = edges.where("not back").select("at", F.col("to").alias("id"))
         turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to", F.lit(i)), "to")
         behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= DEGREE).select("at", F.col("to").alias("id"))
-        floors = graph.select("id", F.expr(f"length(ids) >= {8 * DEGREE}").alias("full"), "sims").mapInArrow(_floors, "id long, floor float")
+        floors = graph.select("id", F.expr(f"length(ids) >= {8 * DEGREE}").alias("full"), "sims").mapInArrow(_floors, "id long, floor double")
         carried = floors.join(nodes, "id")
         met = ahead.unionByName(behind).join(carried, "id").select("at", "id", "floor", "code")
         found = met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_meet, _LISTS_DDL)
@@ -199,9 +202,9 @@ def build_graph(nodes: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
 
 
 def _floors(it):
-    schema = pa.schema([("id", pa.int64()), ("floor", pa.float32())])
+    schema = pa.schema([("id", pa.int64()), ("floor", pa.float64())])
     for batch in it:
-        out = [float(np.frombuffer(s, np.float32).min()) if full else -2.0 for full, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        out = [float(np.frombuffer(s, np.float64).min()) if full else -2.0 for full, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield arrow(schema, batch.column(0), out)
 
 
@@ -230,8 +233,8 @@ def _measure(it):
     def rows():
         for batch in it:
             for q, code, ids, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = _cosines(np.frombuffer(codes, np.int8).reshape(-1, len(code)))
-                yield q, ids, (x @ _cosines(np.frombuffer(code, np.int8)[None])[0]).astype(np.float32).tobytes()
+                x = _cosines(np.frombuffer(codes, np.float32).reshape(-1, len(code) // 4))
+                yield q, ids, (x @ _cosines(np.frombuffer(code, np.float32)[None])[0]).tobytes()
 
     return _chunks(rows(), schema)
 
@@ -244,11 +247,11 @@ def _advance(it):
             state = next((g for g in group if g[0] is not None), None)
             if state is None:
                 continue
-            ids, sims, opened = np.frombuffer(state[1], np.int64), np.frombuffer(state[2], np.float32), np.frombuffer(state[3], np.bool_).copy()
+            ids, sims, opened = np.frombuffer(state[1], np.int64), np.frombuffer(state[2], np.float64), np.frombuffer(state[3], np.bool_).copy()
             opened[np.flatnonzero(~opened)[:OPEN]] = True
             more = [g for g in group if g[0] is None]
             ids = np.concatenate([ids, *(np.frombuffer(g[1], np.int64) for g in more)])
-            sims = np.concatenate([sims, *(np.frombuffer(g[2], np.float32) for g in more)])
+            sims = np.concatenate([sims, *(np.frombuffer(g[2], np.float64) for g in more)])
             opened = np.concatenate([opened, np.zeros(len(ids) - len(opened), np.bool_)])
             first = np.unique(ids, return_index=True)[1]  # what the state has comes first, so its marks stay
             ids, sims, opened = ids[first], sims[first], opened[first]
@@ -268,16 +271,16 @@ def _first_state(it):
     def rows():
         for batch in it:
             for q, code, ids, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                order = np.argsort(-np.frombuffer(sims, np.float32), kind="stable")
-                i, s = np.append(np.frombuffer(ids, np.int64)[order], q), np.append(np.frombuffer(sims, np.float32)[order], np.float32(-2))
+                order = np.argsort(-np.frombuffer(sims, np.float64), kind="stable")
+                i, s = np.append(np.frombuffer(ids, np.int64)[order], q), np.append(np.frombuffer(sims, np.float64)[order], -2.0)
                 yield q, code, i.tobytes(), s.tobytes(), np.append(np.zeros(len(order), np.bool_), True).tobytes()
 
     return _chunks(rows(), _STATE_SCHEMA)
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
-    """queries(id): nodes to search for -> (q, id): the MEASURED nearest of each list."""
-    edges = graph.mapInArrow(_spread, "at long, to long, floor float, back boolean")
+    """queries(id): nodes to search for -> (q, id): all nodes of each list."""
+    edges = graph.mapInArrow(_spread, "at long, to long, floor double, back boolean")
     # A node leads to its neighbours and to a hashed choice of those that name it.
     turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to"), "to")
     behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= DEGREE).select("at", "to")
@@ -301,7 +304,7 @@ def _listed(it):
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64())])
     for batch in it:
         for q, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n = np.frombuffer(ids, np.int64)[:MEASURED]
+            n = np.frombuffer(ids, np.int64)
             yield arrow(schema, np.full(len(n), q), n)
 
 
@@ -310,10 +313,24 @@ def _exact(it):
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
     for batch in it:
         if batch.num_rows:
-            a, b = (unit(np.array(batch.column(i).to_pylist(), np.float64)) for i in (2, 3))
+            a, b = (unit(_rows(batch.column(i))) for i in (2, 3))
             yield arrow(schema, batch.column(0), batch.column(1), np.clip((a * b).sum(axis=1), -1.0, 1.0))
 
 
+def _direction(vector: str):
+    """The unit vector to 12 decimals, as whole numbers: equal for rescaled copies."""
+
+    def once(value, body):  # the value is bound to a variable, not computed again for every element
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def whole(x):
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+        return once(norm, lambda n: F.transform(x, lambda v: F.round(v / n * 1e12).cast("long")))
+
+    top = F.array_max(F.transform(vector, lambda v: F.abs(v)))
+    return once(once(top, lambda t: F.transform(vector, lambda v: v / t)), whole)
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score) for rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -322,9 +339,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     usual = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
     if not usual:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == usual[0].d).withColumn("id", F.xxhash64("embedding"))
+    rows = rows.where(F.size("embedding") == usual[0].d).withColumn("id", F.xxhash64(_direction("embedding")))
     rows = scratch.keep(rows, "rows")
-    classes = scratch.keep(rows.groupBy("id").agg(F.first("embedding").alias("embedding")), "classes")
+    classes = scratch.keep(rows.groupBy("id").agg(F.min("embedding").alias("embedding")), "classes")
     # Of a class, its k + 1 smallest vec_ids can be results; the window limit is applied before the shuffle, too.
     order = Window.partitionBy("id").orderBy("vec_id")
     members = scratch.keep(rows.select("id", "vec_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("id", "vec_id"), "members")

@@ -38,6 +38,24 @@ def test_recall_and_copies(spark, monkeypatch):
     assert all(abs(s - dict(want[q]).get(d, s)) < 1e-9 for q, v in got.items() for d, s in v)
 
 
+def test_tight_and_rescaled_copies(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3600, 24))
+    x[:3000] = x[0] + r.normal(size=(3000, 24)) * 0.003 * np.linalg.norm(x[0]) / 24**0.5
+    x[3300:3500] = x[3300] * np.arange(1, 201)[::-1, None]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    cosine = (unit(x[:1]) @ unit(x[1:3000]).T)[0]
+    assert 1 - cosine.mean() < 1e-5
+    want = brute(rows, 5, 50)
+    got = {}
+    for q, _, d, s in sorted(tuple(t) for t in N.nearest(frame(spark, rows)).collect()):
+        got.setdefault(q, []).append((d, s))
+    tight = [q for q in want if q < 3000]
+    hits = sum(len({d for d, _ in got[q]} & {d for d, _ in want[q]}) for q in tight)
+    assert hits >= 0.9 * 5 * len(tight), hits / (5 * len(tight))
+    assert [d for d, _ in got[3450]] == [3300, 3301, 3302, 3303, 3304]
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0] * 24), (1, [1.0] * 24), (50, [2.0] + [1.0] * 23)]
     got = sorted(tuple(t)[:3] for t in N.nearest(frame(spark, rows)).collect())
