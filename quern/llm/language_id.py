@@ -9,7 +9,7 @@ said, so the gap would shrink against the size of a long text.
 
 Training reads at most ``TEXTS`` texts a language, taken by a hash of their doc_id, and at most ``SLICE``
 characters from the middle of each; a dictionary holds at most ``DICTIONARY`` bytes. These bounds hold at any
-corpus size. At most ``LANGUAGES`` languages, the most frequent ones, are learned.
+corpus size. Every language that occurs is learned, so the driver's memory and the time a text takes grow with their number.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and not accepted; with nothing to
 learn from, all is ``und``; ties between dictionaries go to the first name; repeated rows and null doc_ids are
@@ -23,10 +23,10 @@ import re
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TEXTS, SLICE, DICTIONARY, LANGUAGES, LEVEL, LEAST, PIECE = 400, 400, 24_000, 100, 6, 256, 65_536
+TEXTS, SLICE, DICTIONARY, LEVEL, LEAST, PIECE = 400, 400, 24_000, 6, 256, 65_536
 #: Accepted where the second-best output is larger than the best by this share of it at least.
 MARGIN = 0.002
 _LETTER = re.compile(r"[^\W\d_]")
@@ -35,15 +35,15 @@ _LETTER = re.compile(r"[^\W\d_]")
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """docs(doc_id, text, lang) -> dictionary content by language. Bounded rows reach the driver."""
     known = docs.where("lang is not null and text is not null")
-    totals = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    totals = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not totals:
         return {}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    few = F.lit(False)
-    for r in totals:
-        few = few | ((F.col("lang") == r.lang) & (place < max(1, math.ceil(2e6 * TEXTS / r.n))))
+    shares = docs.sparkSession.createDataFrame([(r.lang, max(1, math.ceil(2e6 * TEXTS / r.n))) for r in totals], "lang string, below long")
     middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"int((length(text) - {SLICE}) / 2)")), F.lit(SLICE))
-    rows = known.where(few).select("lang", place.alias("place"), middle.alias("text")).orderBy("place", "text").limit(4 * TEXTS * len(totals)).collect()
+    few = known.join(F.broadcast(shares), "lang").where(place < F.col("below")).select("lang", place.alias("place"), middle.alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    rows = few.withColumn("r", first).where(F.col("r") <= TEXTS).orderBy("place", "text").collect()
     out: dict[str, bytes] = {}
     taken: dict[str, int] = {}
     for r in rows:
