@@ -7,7 +7,8 @@ precision verify; only link counts and a label per vector leave it, never pairs.
 are dealt out as chunk pairs. Equal vectors collapse to one beforehand, pre-aggregated per task.
 
 Pivots come from a bounded sample (``SAMPLE`` vectors, by hash), each as far as can be from those before it; near-copies
-are no pivots, for their order would be chance. Every vector is indexed.
+are no pivots, for their order would be chance. Every vector is indexed; pivots are drawn for the ``LENGTHS`` most
+frequent vector lengths, and each further length has one list per label, which is verified whole.
 
 Defined cases: null labels, null vectors, zero vectors and vectors with null or non-finite components link with
 nothing; neither do vectors of different lengths. Repeated rows are vectors of their own, linked with each
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, with_defaults
 from .components import connected_components
 
-PIVOTS, SAMPLE, APART, LISTED, SHARED, CHUNK, COSINE = 64, 2_000, 0.8, 6, 2, 1_000, 0.98
+PIVOTS, SAMPLE, APART, LISTED, SHARED, CHUNK, COSINE, LENGTHS = 64, 2_000, 0.8, 6, 2, 1_000, 0.98, 64
 
 
 def usable(vector: str = "embedding"):
@@ -68,7 +69,7 @@ def _emit_lists(shared):
             for d in np.unique(sizes):
                 pick = np.flatnonzero(sizes == d)
                 u = unit(np.array([vectors[int(i)].as_py() for i in pick], np.float64))
-                p = width[int(d)]
+                p = width.get(int(d), np.zeros((1, d)))  # without pivots of its own: one list
                 m = min(LISTED, len(p))
                 near = np.sort(np.argsort(-(u @ p.T), axis=1, kind="stable")[:, :m], axis=1)
                 mask = (np.uint64(1) << near.astype(np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
@@ -146,12 +147,12 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = classes.select(F.xxhash64("label", "embedding").alias("id"), F.xxhash64("label", "embedding", F.lit(3)).alias("id2"), "label", "embedding", "least", "weight")
     classes = scratch.keep(classes, "classes")
     sample = {}
-    for r in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").limit(64).collect():
+    for r in classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect():
         own = classes.where(F.size("embedding") == r.d).orderBy("id").limit(SAMPLE).select("embedding").collect()
         sample[r.d] = spread(unit(np.array([x.embedding for x in own])))
     shared = spark.sparkContext.broadcast(sample)
     group = F.pmod(F.xxhash64("label", F.size("embedding")), F.lit(2**48)).alias("group")
-    lists = scratch.keep(classes.where(F.size("embedding").isin(*sample)).select("id", group, "embedding").mapInArrow(_emit_lists(shared), "key long, id long, pivots long") if sample else spark.createDataFrame([], "key long, id long, pivots long"), "lists")
+    lists = scratch.keep(classes.select("id", group, "embedding").mapInArrow(_emit_lists(shared), "key long, id long, pivots long") if sample else spark.createDataFrame([], "key long, id long, pivots long"), "lists")
     sizes = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     many = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = lists.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))

@@ -47,5 +47,14 @@ def test_as_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_lengths(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for d in range(2, 82):
+        v = r.normal(size=d)
+        rows += [[len(rows) + i, [float(x) for x in v * (1 + 0.01 * i)], 1] for i in range(3)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
