@@ -6,9 +6,9 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 _EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _GAP = r"(?U)[\s\x1c-\x1f]+"
@@ -26,6 +26,71 @@ def plain(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def python_float(c: Column) -> Column:
+    """Text of a double as Python writes it: 1e-05 for 1.0E-5, 12345678.0 for 1.2345678E7, nan, inf."""
+    s = c.cast("double").cast("string")
+    sign, rest = F.when(F.startswith(s, F.lit("-")), "-").otherwise(""), F.regexp_replace(s, "^-", "")
+    digits = F.regexp_replace(F.split_part(rest, F.lit("E"), F.lit(1)), r"\.", "")
+    digits = F.when(F.length(digits) > 1, F.regexp_replace(digits, "0+$", "")).otherwise(digits)
+    digits = F.when(digits == "", "0").otherwise(digits)
+    power = F.split_part(rest, F.lit("E"), F.lit(2)).try_cast("int")
+    lead, tail = F.substring(digits, 1, 1), F.substring(digits, 2, 400)
+    exponent = F.concat(lead, F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(F.rpad(digits, F.greatest(F.length(digits), power + 1), F.lit("0")))
+    large = F.concat(F.substring(large, F.lit(1), power + 1), F.lit("."), F.coalesce(F.nullif(F.substring(large, power + 2, F.lit(400)), F.lit("")), F.lit("0")))
+    shown = F.when(power.isNull(), rest).when((power < -4) | (power >= 16), exponent).when(power < 0, small).otherwise(large)
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, shown))
+
+
+def _scalar(c: Column, kind: DataType) -> Column:
+    return F.coalesce(python_float(c) if isinstance(kind, (DoubleType, FloatType)) else c.cast("string"), F.lit(""))
+
+
+def _lines(messages: Column, kind: StructType) -> Column:
+    """render_messages for elements of any struct type; a missing role or content is empty."""
+    part = lambda m, name: render_value(m[name], kind[name].dataType, True) if name in kind.names else F.lit("")
+    lines = F.transform(F.filter(messages, lambda m: m.isNotNull()), lambda m: F.struct(part(m, "role").alias("r"), strip(part(m, "content")).alias("c")))
+    return F.array_join(F.transform(F.filter(lines, lambda m: m["c"] != ""), lambda m: F.when(m["r"] == "", m["c"]).otherwise(F.concat(m["r"], F.lit(": "), m["c"]))), "\n")
+
+
+def render_value(c: Column, kind: DataType, nested: bool = False) -> Column:
+    """Text of a column of any type, by its type.
+
+    Scalars as they are; a list of structs as message lines, any other list as the lines of its non-blank items; a struct by
+    its messages if they say anything, else its content, else its text, else as JSON with sorted keys. Null is empty; other
+    types (binary, times) are their string form. JSON within a list (``nested``) keeps its keys' order.
+    """
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, StructType):
+            return F.coalesce(_lines(c, inner), F.lit(""))
+        items = F.filter(F.transform(c, lambda x: strip(render_value(x, inner, True))), lambda x: x != "")
+        return F.coalesce(F.array_join(items, "\n"), F.lit(""))
+    if isinstance(kind, (StructType, MapType)):
+        rest = F.to_json(c, {"ignoreNullFields": "false"})
+        rest = F.coalesce(rest if nested else spaced_json(rest), F.lit(""))
+        if isinstance(kind, MapType):
+            get, has, of = (lambda k: F.try_element_at(c, F.lit(k))), (lambda k: F.map_contains_key(c, k)), (lambda k: kind.valueType)
+            text = F.when(has("content"), render_value(get("content"), of("content"), nested)).when(has("text"), render_value(get("text"), of("text"), nested)).otherwise(rest)
+            known = isinstance(kind.valueType, ArrayType) and {"messages"}
+        else:
+            of = lambda k: kind[k].dataType
+            key = next((k for k in ("content", "text") if k in kind.names), None)
+            text, known = (render_value(c[key], of(key), nested) if key else rest), set(kind.names)
+            get = lambda k: c[k]
+        if known and "messages" in known and isinstance(of("messages"), ArrayType) and isinstance(of("messages").elementType, StructType):
+            joined = F.coalesce(_lines(get("messages"), of("messages").elementType), F.lit(""))
+            text = F.when(joined != "", joined).otherwise(text)
+        return F.when(c.isNull(), F.lit("")).otherwise(text)
+    return _scalar(c, kind)
+
+
+def record_text(df: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
+    """render_record over all columns of a frame, of any types."""
+    return render_record({f.name: render_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name not in exclude})
+
+
 def render_messages(messages: Column) -> Column:
     """``role: content`` lines of an array of (role, content); blank contents are left out, so are empty roles."""
     lines = F.transform(messages, lambda m: F.struct(strip(plain(m["role"])).alias("r"), strip(plain(m["content"])).alias("c")))

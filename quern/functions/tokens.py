@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the byte vocabulary.
@@ -38,3 +38,10 @@ def continuation_bytes(c: Column) -> Column:
 def input_and_label(window: Column, length: int) -> tuple[Column, Column]:
     """The two shifted halves of a window of length + 1 bytes."""
     return F.substring(window, 1, length), F.substring(window, 2, length)
+
+
+def assembled_text(pieces: DataFrame, seq: str, pos: str, data: str) -> DataFrame:
+    """(seq, text) of byte pieces in order: characters cut between pieces are whole again, malformed bytes are replaced."""
+    listed = pieces.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, data))).alias("l"))
+    whole = F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x[data])), ""))
+    return listed.select(seq, decode(whole, replace=True).alias("text"))

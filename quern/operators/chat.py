@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,3 +186,9 @@ def dialogues(turns: DataFrame, strict: bool = True) -> DataFrame:
 def render(messages: Column) -> Column:
     """One text with marked turns."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
+
+
+def mapped(df: DataFrame, mapper: Callable[[DataFrame], DataFrame], keep: Column | None = None) -> DataFrame:
+    """(messages) of the valid dialogues a mapper makes of a source's rows; any function from frame to frame is a mapper."""
+    out = mapper(df if keep is None else df.where(keep)).select("messages")
+    return out.where(valid(F.col("messages")))

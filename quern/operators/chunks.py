@@ -5,9 +5,17 @@ Sequences are long tables (seq, pos, ...); all orders are explicit columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
+from quern.operators.folds import ranged_fold
+from quern.operators.ordering import row_ids
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -71,16 +79,26 @@ def as_of(rows: DataFrame, seq: str, pos: str, value: Column, name: str) -> Data
 
 
 def smoothed(rows: DataFrame, seq: str, pos: str, value: str, p: str = "p", low: float = 1e-4) -> DataFrame:
-    """(seq, pos, z): z = p x + (1 - p) z of before, from zero, p kept in low..1 - low. A fold over each sorted sequence."""
-    listed = rows.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, value, p))).alias("l"))
-    gate = lambda x: F.greatest(F.lit(low), F.least(F.lit(1 - low), x[p].cast("double")))
-    start = F.struct(F.lit(0.0).alias("z"), F.array().cast(f"array<struct<{pos}:bigint,z:double>>").alias("out"))
+    """(seq, pos, z): z = p x + (1 - p) z of before, from zero, p kept in low..1 - low.
+
+    Over a range of a sequence, z is a linear function of the z before it, so ranges are chained by two numbers each.
+    """
+
+    def run(values: pd.DataFrame, z: float) -> tuple[np.ndarray, float]:
+        gate = np.clip(values["_p"].to_numpy(), low, 1 - low)
+        out, keep = (gate * values["_x"].to_numpy()).tolist(), (1 - gate).tolist()
+        for i, k in enumerate(keep):
+            z = out[i] = out[i] + k * z
+        return np.array(out), float(np.prod(keep))
 
-    def step(acc: Column, x: Column) -> Column:
-        z = gate(x) * x[value].cast("double") + (1 - gate(x)) * acc["z"]
-        return F.struct(z.alias("z"), F.concat(acc["out"], F.array(F.struct(x[pos].cast("long").alias(pos), z.alias("z")))).alias("out"))
+    slim = rows.select(seq, pos, F.col(value).cast("double").alias("_x"), F.col(p).cast("double").alias("_p"))
 
-    return listed.select(seq, F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select(seq, f"o.{pos}", "o.z")
+    def summarise(values: pd.DataFrame) -> tuple[float, float]:
+        out, keep = run(values, 0.0)
+        return float(out[-1]), keep
+
+    folded = ranged_fold(slim, seq, pos, ["_x", "_p"], "z double", 0.0, summarise, lambda z, s: s[0] + s[1] * z, lambda values, z: run(values, z)[0])
+    return folded.select(seq, pos, "z")
 
 
 def masked_ratio(mask: Column, valid: Column) -> Column:
@@ -155,3 +173,44 @@ def chunk_report(rows: DataFrame, seq: str, chunk: str, shown: Column) -> DataFr
 def cut_bytes(chunked: DataFrame, data: str) -> DataFrame:
     """Adds chunk_bytes, the bytes of each chunk [start, end) of a row's byte column."""
     return chunked.withColumn("chunk_bytes", F.expr(f"substring({data}, int(start + 1), int(end - start))"))
+
+
+def ratio_loss(stages: DataFrame, stage: str, selected: str, mean_p: str, ratios: list[float]) -> DataFrame:
+    """(loss): mean balance loss over stages; the last of the target ratios serves all later stages. Zero without stages."""
+    ratio = F.element_at(F.array(*[F.lit(float(r)) for r in ratios]), (F.least(F.col(stage), F.lit(len(ratios) - 1)) + 1).cast("int"))
+    return stages.agg(F.coalesce(F.avg(balance_loss(F.col(selected), F.col(mean_p), ratio)), F.lit(0.0)).alias("loss"))
+
+
+def step_losses(rows: DataFrame, step: str, ratio_weight: float, byte_weight: float) -> DataFrame:
+    """Per step, the means over its micro-batches of ce_loss, ratio_loss and byte_boundary_loss, and their weighted total."""
+    means = rows.groupBy(step).agg(*[F.avg(c).alias(c) for c in ("ce_loss", "ratio_loss", "byte_boundary_loss")])
+    return means.withColumn("total_loss", F.col("ce_loss") + ratio_weight * F.col("ratio_loss") + byte_weight * F.col("byte_boundary_loss"))
+
+
+def predicted(rows: DataFrame, predictor: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """rows with p from an injected model, a function of a batch of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p=pd.Series(predictor(pdf), dtype="float64"))
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", p double")
+
+
+def report_lines(prompts: DataFrame, order: str, prompt: str, stages: list[str]) -> DataFrame:
+    """(order, line): the text block of each prompt in a numbered report; stages are columns of rendered chunk lists.
+
+    Blank prompts are left out before numbering; a blank line follows each block but the last.
+    """
+    kept = row_ids(prompts.where(strip(F.col(prompt)) != ""), order, "_i")
+    n = kept.agg(F.count("*").alias("_n"))
+    parts = [F.format_string("[%d/%d]", F.col("_i") + 1, F.col("_n")), F.concat(F.lit("Input prompt: "), prompt), *[F.concat(F.lit(f"{s}: "), s) for s in stages]]
+    block = F.concat(F.concat_ws("\n", *parts), F.when(F.col("_i") + 1 < F.col("_n"), F.lit("\n")).otherwise(F.lit("")))
+    return kept.join(F.broadcast(n)).select(order, block.alias("line"))
+
+
+def write_report(lines: DataFrame, order: str, folder: str, step: int) -> str:
+    """The report of one step as text; returns its path. Reports are small, one file each."""
+    path = f"{folder}/validation_chunks/chunks_step_{step:06d}.txt"
+    lines.orderBy(order).select("line").coalesce(1).write.mode("overwrite").text(path)
+    return path

@@ -12,9 +12,10 @@ from quern.operators.ordering import running, uniform
 from quern.operators.packing import probabilities
 
 
-def concatenate(frames: list[DataFrame], order: str) -> DataFrame:
-    """All rows with (source_ord, order); missing columns are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("source_ord", F.lit(i)) for i, f in enumerate(frames)])
+def concatenate(frames: list[DataFrame] | dict[str, DataFrame], order: str) -> DataFrame:
+    """All rows with (source_ord, order); missing columns are null. Frames by name come in the order of their names."""
+    listed = [frames[k] for k in sorted(frames)] if isinstance(frames, dict) else frames
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("source_ord", F.lit(i)) for i, f in enumerate(listed)])
 
 
 def slots(spark: SparkSession, shares: list[float], n: int, seed: int) -> DataFrame:
@@ -34,13 +35,29 @@ def interleave(frames: list[DataFrame], takes: list[int], order: str, seed: int
     live = [(f, t) for f, t in zip(frames, takes, strict=True) if t > 0]
     if not live:
         return frames[0].where(F.lit(False)).withColumn("source", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
-    if len(live) == 1:
-        return running(live[0][0].withColumn("source", F.lit(0)), order, F.lit(1), "slot")
-    ranked = reduce(DataFrame.unionByName, [f.withColumn("source", F.lit(i)) for i, (f, _) in enumerate(live)])
-    ranked = running(ranked, order, F.lit(1), "rank", ["source"]).withColumn("rank", F.col("rank") + 1)
-    sizes = ranked.groupBy("source").agg(F.count("*").alias("size"))
-    total = ranked.count()
-    drawn = slots(live[0][0].sparkSession, probabilities([t for _, t in live]), total + 1, seed)
+    numbered = reduce(DataFrame.unionByName, [f.withColumn("source", F.lit(i)) for i, (f, _) in enumerate(live)])
+    return _drawn(numbered, [t for _, t in live], order, seed)
+
+
+def interleave_by(df: DataFrame, by: str, takes: dict[str, int], order: str, seed: int = 0) -> DataFrame:
+    """interleave() of the sources that lie in one frame, told apart by a column; sources without a take are left out.
+
+    source is the place of the name among those taken.
+    """
+    live = {k: t for k, t in takes.items() if t > 0}
+    if not live:
+        return df.where(F.lit(False)).withColumn("source", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(live) for x in (k, i)])
+    numbered = df.withColumn("_s", F.try_element_at(place, F.col(by))).where("_s is not null").drop("source").withColumnRenamed("_s", "source")
+    return _drawn(numbered, list(live.values()), order, seed)
+
+
+def _drawn(numbered: DataFrame, takes: list[int], order: str, seed: int) -> DataFrame:
+    if len(takes) == 1:
+        return running(numbered, order, F.lit(1), "slot")
+    ranked = running(numbered, order, F.lit(1), "rank", ["source"]).withColumn("rank", F.col("rank") + 1)
+    sizes = numbered.groupBy("source").agg(F.count("*").alias("size"))
+    drawn = slots(numbered.sparkSession, probabilities(takes), numbered.count() + 1, seed)
     spent = drawn.join(F.broadcast(sizes), "source", "left").where(F.col("rank") > F.coalesce("size", F.lit(0))).agg(F.min("slot").alias("stop"))
     kept = drawn.join(F.broadcast(spent)).where(F.col("stop").isNull() | (F.col("slot") < F.col("stop"))).drop("stop")
     return kept.join(ranked, ["source", "rank"]).drop("rank")
@@ -63,10 +80,11 @@ def split(df: DataFrame, order: str, by: str, ratio: float) -> DataFrame:
 
 
 def tail_shards(shards: DataFrame, order: str, ratio: float) -> DataFrame:
-    """Adds part: the last share of all shards is validation."""
-    n = F.count("*").over(Window.partitionBy())
-    position = F.row_number().over(Window.orderBy(order))
-    return shards.withColumn("part", F.when(position > n - half_even_count(n, ratio), "val").otherwise("train"))
+    """Adds part: the last share of all shards is validation; a single shard is all train."""
+    n = F.col("_n")
+    held = F.when(n >= 2, half_even_count(n, ratio)).otherwise(0)
+    ranked = running(shards, order, F.lit(1), "_at").join(F.broadcast(shards.agg(F.count("*").alias("_n"))))
+    return ranked.withColumn("part", F.when(F.col("_at") >= n - held, "val").otherwise("train")).drop("_at", "_n")
 
 
 def first_of(df: DataFrame, key: list[str | Column], order: str, valid: Column | None = None) -> DataFrame:
@@ -86,3 +104,9 @@ def remaining(df: DataFrame, key: str, *done: DataFrame) -> DataFrame:
 def override(defaults: dict[str, int], given: dict[str, int]) -> dict[str, int]:
     """Known keys of ``given`` over the defaults; takes are at least zero."""
     return {k: max(0, int(given.get(k, v))) if k.endswith("_take") else given.get(k, v) for k, v in defaults.items()}
+
+
+def zip_outputs(items: DataFrame, outputs: DataFrame, order: str, output: str = "output") -> DataFrame:
+    """Items with the outputs of the same place; both frames have the order column, of any values."""
+    left, right = running(items, order, F.lit(1), "_at"), running(outputs.select(F.col(order).alias("_o"), output), "_o", F.lit(1), "_to")
+    return left.join(right, F.col("_at") == F.col("_to")).drop("_at", "_to", "_o")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +34,20 @@ def sample(df: DataFrame, k: int, *key: str, seed: int = 0) -> DataFrame:
     return hash_shuffle(df, *key, seed=seed).limit(k)
 
 
-def _buckets(df: DataFrame, order: Column) -> DataFrame:
-    """Adds _k (the order) and _b, its range bucket: ranges of about equal size, as many as the session's shuffles have."""
+def in_ranges(df: DataFrame, order: Column) -> DataFrame:
+    """Adds _k (the order) and _b, its range: ranges of about equal size, as many as the session's shuffles have.
+
+    The ranges' ends are one row, found when the plan runs; nothing runs while it is built.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     keyed = df.withColumn("_k", order)
-    cuts = keyed.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 10_000).alias("c")).first().c if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    # One comparison per cut, halved by grouping them: first the block of cuts, then the cut in it.
-    width = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    inner = F.lit(0)
-    for at, block in enumerate(blocks):
-        own = sum(((F.col("_k") > F.lit(c)).cast("int") for c in block), F.lit(at * width))
-        inner = own if at == 0 else F.when(F.col("_k") > F.lit(block[0]), own).otherwise(inner)
-    return keyed.withColumn("_b", F.coalesce(inner, F.lit(0)))
+    if n < 2:
+        return keyed.withColumn("_b", F.lit(0))
+    place = F.col("_k")
+    if dict(keyed.dtypes)["_k"] == "string":  # its first bytes as a number, which sorts alike
+        place = F.conv(F.rpad(F.hex(F.substring(F.encode("_k", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    cuts = keyed.agg(F.percentile_approx(place, [i / n for i in range(1, n)], 10_000).alias("_cuts"))
+    return keyed.join(F.broadcast(cuts)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: place > c)), F.lit(0))).drop("_cuts")
 
 
 def running(df: DataFrame, order: Column | str, value: Column | str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -56,15 +57,15 @@ def running(df: DataFrame, order: Column | str, value: Column | str, name: str,
     (group, range), plus the sums of the group's earlier ranges.
     """
     by = by or []
-    keyed = _buckets(df, order if isinstance(order, Column) else F.col(order)).withColumn("_v", value if isinstance(value, Column) else F.col(value))
+    keyed = in_ranges(df, order if isinstance(order, Column) else F.col(order)).withColumn("_run_v", value if isinstance(value, Column) else F.col(value))
     unbounded = Window.unboundedPreceding
-    sums = keyed.groupBy(*by, "_b").agg(F.sum("_v").alias("_n"))
+    sums = keyed.groupBy(*by, "_b").agg(F.sum("_run_v").alias("_run_n"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(unbounded, -1)
-    own_names = {c: f"_g{i}" for i, c in enumerate((*by, "_b"))}
-    before = sums.select(*[F.col(c).alias(g) for c, g in own_names.items()], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
-    own = F.coalesce(F.sum("_v").over(Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(unbounded, -1)), F.lit(0))
-    joined = keyed.withColumn("_r", own).join(before, [F.col(c).eqNullSafe(F.col(g)) for c, g in own_names.items()])
-    return joined.select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(name))
+    own_names = {c: f"_run_g{i}" for i, c in enumerate((*by, "_b"))}
+    before = sums.select(*[F.col(c).alias(g) for c, g in own_names.items()], F.coalesce(F.sum("_run_n").over(earlier), F.lit(0)).alias("_run_o"))
+    own = F.coalesce(F.sum("_run_v").over(Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(unbounded, -1)), F.lit(0))
+    joined = keyed.withColumn("_run_r", own).join(before, [F.col(c).eqNullSafe(F.col(g)) for c, g in own_names.items()])
+    return joined.select(*df.columns, (F.col("_run_r") + F.col("_run_o")).cast("long").alias(name))
 
 
 def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
@@ -78,12 +79,33 @@ def permutation(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def numpy_permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(pos, sample_id) exactly as numpy's generator shuffles 0..n-1; made on the driver, so for moderate n."""
+    """(pos, sample_id) exactly as numpy's generator shuffles 0..n-1; made on the driver in 16 bytes a sample, so for moderate n."""
     order = np.arange(n)
     np.random.default_rng(seed).shuffle(order)
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "pos long, sample_id long")
+    return spark.createDataFrame(pa.table({"pos": np.arange(n), "sample_id": order}))
 
 
 def batch_of(position: Column, size: int) -> Column:
     """Group number of a 0-based position; the last group may be short."""
     return F.floor(position / size).cast("long")
+
+
+def resume(df: DataFrame, position: str, done: int, size: int = 1) -> DataFrame:
+    """Rows from batch ``done`` on, for batches of ``size`` positions: where an interrupted run left off."""
+    return df.where(F.col(position) >= max(0, done) * size)
+
+
+def share(df: DataFrame, order: str, workers: int, index: int) -> DataFrame:
+    """Every workers-th row by order, from the index-th on: disjoint shares that cover the frame."""
+    if not 0 <= index < workers:
+        raise ValueError("index must be below workers")
+    return row_ids(df, order, "_at").where(F.col("_at") % workers == index).drop("_at")
+
+
+def first_batches(df: DataFrame, order: str, batches: int, size: int) -> DataFrame:
+    """The rows of the first batches by order, cached to be used again; none for no batches."""
+    return df.orderBy(order).limit(max(0, batches) * size).cache()
+
+
+def peek(df: DataFrame, n: int = 5) -> DataFrame:
+    return df.limit(n)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import encode, token_count
+from quern.operators.folds import ranged_fold
 from quern.operators.ordering import running
 
 
-def framed(docs: DataFrame, text: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
-    """docs that have text, with bytes and n."""
-    used = docs.where(F.col(text) != "")
-    return used.withColumn("bytes", encode(F.col(text), bos, eos)).withColumn("n", token_count(F.col(text), bos, eos))
+def framed(docs: DataFrame, text: str | Callable[[DataFrame], Column] = "text", bos: bool = True, eos: bool = True) -> DataFrame:
+    """docs that have text, with bytes and n. text is a column's name, or a formatter: any function from a frame to the
+    column of its rows' texts, such as ``record_text``."""
+    body = F.col(text) if isinstance(text, str) else text(docs)
+    used = docs.withColumn("_text", body).where(F.col("_text") != "")
+    return used.withColumn("bytes", encode(F.col("_text"), bos, eos)).withColumn("n", token_count(F.col("_text"), bos, eos)).drop("_text")
 
 
 def offsets(docs: DataFrame, order: str, by: str, n: str = "n") -> DataFrame:
@@ -55,25 +59,50 @@ def padded(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
 def greedy_shards(docs: DataFrame, order: str, by: str, capacity: int, n: str = "n") -> DataFrame:
     """(by, order, n, shard): a new shard starts where a row would overflow one that is not empty.
 
-    The fold is sequential within a source by its nature; it sees lengths only, a batch at a time.
+    The fold is sequential, but not its work: each range of a source finds, for every row a shard could first break at, how
+    many shards follow and what the last one holds; ranges are then chained by these short summaries, and numbered at once.
     """
-    slim = docs.select(by, order, n)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, shard, used = object(), 0, 0
-        for pdf in batches:
-            out = []
-            for key, size in zip(pdf[by], pdf[n], strict=True):
-                if key != now:
-                    now, shard, used = key, 0, 0
-                if used > 0 and used + size > capacity:
-                    shard, used = shard + 1, 0
-                used += size
-                out.append(shard)
-            yield pdf.assign(shard=pd.Series(out, dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", shard long"
-    return slim.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, schema)
+    def breaks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes up to each row; shards opened and bytes left in the last one if a shard opens at that row."""
+        ends = np.cumsum(size)
+        starts = ends - size
+        # The shard that opens at i reaches to the last row that still fits, its first row always.
+        nxt = np.maximum(np.searchsorted(ends, starts + capacity, side="right"), np.arange(len(size)) + 1).tolist()
+        opened, left, base, total = [0] * len(size), [0] * len(size), starts.tolist(), int(ends[-1])
+        for i in range(len(size) - 1, -1, -1):
+            j = nxt[i]
+            opened[i], left[i] = (1, total - base[i]) if j >= len(size) else (1 + opened[j], left[j])
+        return ends, np.array(opened), np.array(left)
+
+    def first_break(ends: np.ndarray, used: int) -> int:
+        """The first row that does not fit beside ``used`` bytes; the first row of an empty shard always fits."""
+        return int(np.searchsorted(ends, capacity - used, side="right")) if used else max(1, int(np.searchsorted(ends, capacity, side="right")))
+
+    def summarise(size: pd.Series) -> tuple:
+        ends, opened, left = breaks(size.to_numpy())
+        few = int(np.searchsorted(ends, capacity, side="right")) + 2  # no first break lies behind these
+        return ends[:few].tolist(), opened[:few].tolist(), left[:few].tolist(), int(ends[-1]), len(ends)
+
+    def chain(state: tuple, summary: tuple) -> tuple:
+        shard, used = state
+        ends, opened, left, total, rows = summary
+        i = first_break(np.array(ends), used)
+        return (shard, used + total) if i >= rows else (shard + opened[i], left[i])
+
+    def number(size: pd.Series, state: tuple) -> np.ndarray:
+        shard, used = state
+        ends = np.cumsum(size.to_numpy())
+        out, i = np.empty(len(ends), np.int64), 0
+        j = min(first_break(ends, used), len(ends))
+        while i < len(ends):
+            out[i:j] = shard
+            base = int(ends[j - 1]) if j else 0
+            i, shard = j, shard + 1
+            j = max(i + 1, int(np.searchsorted(ends, base + capacity, side="right")))
+        return out
+
+    return ranged_fold(docs.select(by, order, n), by, order, n, "shard long", (0, 0), summarise, chain, number)
 
 
 def manifest(shards: DataFrame, by: str, n: str = "n") -> DataFrame:
@@ -114,8 +143,16 @@ def packed_estimate(total: Column, stride: int, batch: int, accumulate: int) ->
     return F.ceil(F.floor(total / stride) / (batch * accumulate)).cast("long")
 
 
-def mix_manifest(sources: DataFrame, by: str, take: str, total: str, seed: int) -> DataFrame:
-    """One JSON document for a mix: its sources by name with weights and totals, and the grand totals."""
-    rows = weights(sources, take).withColumnRenamed(by, "name")
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("name", F.col(take).alias("take_examples"), "weight", F.col(total).alias("total_tokens")))).alias("datasets"), F.sum(total).alias("total_tokens"), F.count("*").alias("total_sources"))
+def mix_manifest(sources: DataFrame, by: str, take: str, total: str, seed: int, manifests: Column | None = None) -> DataFrame:
+    """One JSON document for a mix: its sources by name with weights, totals and the relative path of their manifest, and grand totals."""
+    path = F.concat(F.lit("sources/name="), F.col("name")) if manifests is None else manifests
+    rows = weights(sources, take).withColumnRenamed(by, "name").withColumn("manifest", path)
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("name", "manifest", F.col(take).alias("take_examples"), "weight", F.col(total).alias("total_tokens")))).alias("datasets"), F.sum(total).alias("total_tokens"), F.count("*").alias("total_sources"))
     return listed.select(F.to_json(F.struct(F.lit("packed-mix").alias("format"), F.lit(seed).alias("seed"), F.lit("uint8").alias("dtype"), "total_sources", "total_tokens", "datasets")).alias("manifest"))
+
+
+def document_estimate(sources: DataFrame, take: str, batch: int, accumulate: int) -> DataFrame:
+    """(examples, steps) of one pass over the sources' takes; null if any source is unbounded, zero without sources."""
+    open_end = F.coalesce(F.bool_or(F.coalesce(F.col(take), F.lit(-1)) <= 0), F.lit(False))
+    n = F.coalesce(F.sum(take), F.lit(0)).cast("long")
+    return sources.agg(F.when(~open_end, n).alias("examples"), F.when(~open_end, F.floor(n / (batch * accumulate))).cast("long").alias("steps"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import answers
 from quern.functions.text import clean, json_object, nfkc, normal_compare, plain, strip
-from quern.operators.ordering import uniform
+from quern.operators.ordering import row_ids, uniform
 
 #: Phrases that disqualify a question.
 BANNED = ("出典が必要", "要出典", "曖昧さ回避", "この記事", "脚注")
@@ -47,31 +47,45 @@ def pairs(turns: DataFrame) -> DataFrame:
     return nxt.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def few_shot(targets: DataFrame, pool: DataFrame, k: int, seed: int = 0, draws: int | None = None) -> DataFrame:
+def few_shot(targets: DataFrame, pool: DataFrame, k: int, seed: int = 0, draws: int | None = None, strict: bool = True) -> DataFrame:
     """(key, question, answer, examples): k examples per target, with another key, question and answer each.
 
     Draws are pool positions hashed from target and draw number, so the match is an equi-join, not a product of both
-    sides. Targets for which too few draws fit are left out.
+    sides. All targets draw 8 k times; those still short of examples draw on, up to ``draws`` (100 k) times. A target that
+    is short even then fails the job if ``strict``, as it should be looked at; otherwise it keeps the examples it has.
     """
-    draws = draws or 8 * k
-    size = pool.count()
-    if not size:
-        return targets.where(F.lit(False)).withColumn("examples", F.array())
-    place = F.row_number().over(Window.orderBy("key")) - 1
-    numbered = pool.select("key", "question", "answer").dropDuplicates(["key"])
-    numbered = numbered.withColumn("at", place)
-    n = numbered.count()
-    want = targets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("at", F.floor(uniform("key", "draw", seed=seed) * n).cast("int"))
-    drawn = want.join(numbered.select("at", F.col("key").alias("k"), F.col("question").alias("q"), F.col("answer").alias("a")), "at")
-    drawn = drawn.where((F.col("k") != F.col("key")) & (F.col("q") != F.col("question")) & (F.col("a") != F.col("answer")))
-    first = drawn.groupBy("key", "question", "answer", "k", "q", "a").agg(F.min("draw").alias("draw"))
-    listed = first.groupBy("key", "question", "answer").agg(F.array_sort(F.collect_list(F.struct("draw", "q", "a"))).alias("l")).where(F.size("l") >= k)
-    return listed.select("key", "question", "answer", F.transform(F.slice("l", 1, k), lambda x: F.struct(x["q"].alias("question"), x["a"].alias("answer"))).alias("examples"))
+    draws = draws or 100 * k
+    few = min(8 * k, draws)
+    numbered = row_ids(pool.select("key", "question", "answer").dropDuplicates(["key"]).withColumn("_u", uniform("key", seed=seed)), "_u", "at")
+    n = numbered.agg(F.count("*").alias("_n"))
+    numbered = numbered.select("at", F.col("key").alias("k"), F.col("question").alias("q"), F.col("answer").alias("a"))
+
+    def drawn(rows: DataFrame, first: int, last: int) -> DataFrame:
+        want = rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).join(F.broadcast(n))
+        hit = want.withColumn("at", F.floor(uniform("key", "draw", seed=seed) * F.col("_n"))).join(numbered, "at")
+        hit = hit.where((F.col("k") != F.col("key")) & (F.col("q") != F.col("question")) & (F.col("a") != F.col("answer")))
+        return hit.groupBy("key", "question", "answer", "k", "q", "a").agg(F.min("draw").alias("draw"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key", "question", "answer").agg(F.array_sort(F.collect_list(F.struct("draw", "k", "q", "a"))).alias("l"))
+
+    asked = targets.select("key", "question", "answer")
+    names = ("key", "question", "answer")
+    other = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in names], "l")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    early = listed(drawn(asked, 0, few)).where(F.size("l") >= k)
+    late = asked.distinct().join(other(early), same, "left_anti")
+    more = listed(drawn(late, 0, draws)) if draws > few else listed(drawn(late, 0, few))
+    rest = late.join(other(more), same, "left").select(*names, F.coalesce("l", F.array().cast("array<struct<draw:int,k:string,q:string,a:string>>")).alias("l"))
+    if strict:
+        rest = rest.withColumn("l", F.when(F.size("l") >= k, F.col("l")).otherwise(F.raise_error(F.concat(F.lit("too few examples for "), F.col("key").cast("string")))))
+    examples = F.transform(F.slice("l", 1, k), lambda x: F.struct(x["q"].alias("question"), x["a"].alias("answer"))).alias("examples")
+    return early.select("key", "question", "answer", examples).unionByName(rest.select("key", "question", "answer", examples))
 
 
 def widen(rows: DataFrame, k: int) -> DataFrame:
     """question, answer, example{i}_question, example{i}_answer."""
-    cols = [F.element_at("examples", i)[f].alias(f"example{i}_{f}") for i in range(1, k + 1) for f in ("question", "answer")]
+    cols = [F.try_element_at("examples", F.lit(i))[f].alias(f"example{i}_{f}") for i in range(1, k + 1) for f in ("question", "answer")]
     return rows.select("question", "answer", *cols)
 
 
@@ -117,11 +131,19 @@ def scored(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt: str
 
 
 def graded(df: DataFrame, output: str = "output", gold: str = "answer_number") -> DataFrame:
-    """Adds prediction, gold_number and correct."""
-    rows = df.withColumn("prediction", answers.extract(nfkc(plain(F.col(output))))).withColumn("gold_number", answers.parts(nfkc(plain(F.col(gold)))))
+    """Adds prediction, gold_number (number texts) and correct."""
+    rows = df.withColumn("prediction", answers.extract(nfkc(plain(F.col(output))))).withColumn("gold_number", answers.readable(nfkc(plain(F.col(gold)))))
     return rows.withColumn("correct", answers.equal(F.col("prediction"), F.col("gold_number")))
 
 
-def accuracy(df: DataFrame) -> DataFrame:
-    """(total, correct, accuracy) over all graded rows; zero of none."""
-    return df.agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.coalesce(F.avg(F.col("correct").cast("int")), F.lit(0.0)).alias("accuracy"))
+def accuracy(df: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(total, correct, accuracy) over graded rows and those an earlier run has graded; zero of none."""
+    rows = df.select("correct") if done is None else df.select("correct").unionByName(done.select("correct"))
+    right = F.coalesce(F.col("correct"), F.lit(False))
+    return rows.agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), F.coalesce(F.avg(right.cast("int")), F.lit(0.0)).alias("accuracy"))
+
+
+def prepared(df: DataFrame, query: str, answer: str, order: str) -> DataFrame:
+    """(row_id, query, answer) of the rows with a short answer: numbered by order, both texts stripped, nothing else kept."""
+    kept = df.where(short_answer(F.col(answer))).select(F.col(order).alias("_o"), strip(F.col(query)).alias("query"), strip(F.col(answer)).alias("answer"))
+    return row_ids(kept, "_o").select("row_id", "query", "answer")

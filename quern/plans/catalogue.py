@@ -2,46 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import answers, schedules, text, tokens
 from quern.operators import chat, chunks, mixing, ordering, packing, questions
-from quern.sources import packed
-from quern.sources.tables import table
+from quern.plans.registry import ORACLES, QUERIES, query
+from quern.sources import manifests, packed
+from quern.sources.shared import fresh_dir
+from quern.sources.tables import read_done, table, write_records
 from quern.streaming import packer
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 STRIDE, SHARD = 513, 20_000
 #: Uniform number of a key in SQL, as quern.operators.ordering.uniform.
 U = "(('0x' || substr(md5({}), 1, 13))::bigint::double / 4503599627370496)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    return f"{root.removeprefix('file://').rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # Token counts and byte profiles
 
 N = "(octet_length(encode(text)) + 2)"
@@ -67,9 +48,9 @@ def utf8_profile_by_lang(spark, sf):
     return _docs(spark, sf).groupBy("lang").agg(b.alias("n_bytes"), c.alias("n_characters"), F.sum(tokens.continuation_bytes(F.col("text"))).alias("n_continuation"), F.round(b / c, 6).alias("bytes_per_character"))
 
 
-@query("select doc_id, '3C424F533E' || hex(encode(left(text, 20))) || '3C454F533E' shown from documents")
+@query("select doc_id, md5('3C424F533E' || hex(encode(text)) || '3C454F533E') digest from documents")
 def display_tokens(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.hex(F.encode(tokens.display(tokens.encode(F.substring("text", 1, 20))), "UTF-8")).alias("shown"))
+    return _docs(spark, sf).select("doc_id", F.md5(F.hex(F.encode(tokens.display(tokens.encode(F.col("text"))), "UTF-8"))).alias("digest"))
 
 
 # Packing
@@ -157,14 +138,15 @@ def mix_weights(spark, sf):
 # Order, mixing, splits
 
 
-def _sources(spark, sf, names):
-    docs = _docs(spark, sf).select("doc_id", "source", "lang")
-    return [docs.where(F.col("source") == n).drop("source") for n in names]
+def _names(spark, sf) -> list[str]:
+    """All sources there are, by name: as many as a catalogue has."""
+    return [r.source for r in _docs(spark, sf).where("source is not null").select("source").distinct().orderBy("source").collect()]
 
 
-@query("select doc_id, lang, case source when 'src0' then 0 when 'src1' then 1 else 2 end source_ord from documents where source in ('src0', 'src1', 'src2')")
+@query("select doc_id, lang, (dense_rank() over (order by source) - 1)::int source_ord from documents where source is not null")
 def concat_sources(spark, sf):
-    return mixing.concatenate(_sources(spark, sf, ("src0", "src1", "src2")), "doc_id")
+    docs = _docs(spark, sf).select("doc_id", "lang", "source")
+    return mixing.concatenate({n: docs.where(F.col("source") == n).drop("source") for n in _names(spark, sf)}, "doc_id")
 
 
 @query("select source, doc_id from (select *, row_number() over (partition by source order by doc_id) r from documents) where r > 5 and r <= 15")
@@ -172,30 +154,32 @@ def skip_take_slice(spark, sf):
     return ordering.skip_take(_docs(spark, sf).select("source", "doc_id"), "doc_id", 5, 10, by="source")
 
 
-def _interleave_sql(name: str, inputs: list[str], shares: list[float], seed: int, order: str) -> str:
-    """CTEs that leave ``name(slot, source, <columns>)``; inputs are relations with column ``order``."""
-    edges = [sum(shares[: i + 1]) for i in range(len(shares) - 1)]
-    source = " + ".join(f"(u >= {e!r})::int" for e in edges) or "0"
-    ranked = " union all ".join(f"select {i} source, row_number() over (order by {order}) rank, * from {x}" for i, x in enumerate(inputs))
-    u = U.format(f"'{seed}:' || slot")
-    return f"""{name}_r as ({ranked}), {name}_u as (select slot, {u} u from (select unnest(range((select count(*) + 1 from {name}_r))) slot)),
-{name}_s as (select slot, {source} source, row_number() over (partition by {source} order by slot) rank from {name}_u),
+def _interleave_sql(name: str, pool: str, shares: str, seed: int, order: str) -> str:
+    """CTEs that leave ``name(slot, source, <columns>)``; pool has the columns source (a number from 0) and ``order``, shares (source, take)."""
+    return f"""{name}_e as (select source, coalesce(sum(take) over (order by source rows between unbounded preceding and 1 preceding), 0) / t lo, case when source = last then 2 else sum(take) over (order by source) / t end hi
+  from (select *, sum(take) over ()::double t, max(source) over () as last from {shares})),
+{name}_r as (select row_number() over (partition by source order by {order}) rank, * from {pool}),
+{name}_u as (select slot, {U.format(f"'{seed}:' || slot")} u from (select unnest(range((select count(*) + 1 from {name}_r))) slot)),
+{name}_s as (select slot, source, row_number() over (partition by source order by slot) rank from {name}_u join {name}_e on u >= lo and u < hi),
 {name}_x as (select min(slot) stop from {name}_s s where rank > (select count(*) from {name}_r r where r.source = s.source)),
 {name} as (select s.slot, r.* exclude (rank) from {name}_s s join {name}_r r using (source, rank), {name}_x where stop is null or slot < stop)"""
 
 
-_POOLS = ", ".join(f"p{i} as (select doc_id, lang from documents where source = 'src{i}')" for i in range(4))
+_TAKES = "n as (select source as name, row_number() over (order by source) - 1 i, (row_number() over (order by source) - 1) % 5 + 1 take from (select distinct source from documents where source is not null)), d as (select i, take, doc_id, lang from documents join n on source = name)"
 
 
-@query(f"with {_POOLS}, " + _interleave_sql("mix", ["p0", "p1", "p2"], [0.5, 0.3, 0.2], 7, "doc_id") + " select slot, source, doc_id, lang from mix")
+@query(f"with {_TAKES}, p as (select i source, doc_id, lang from d), w as (select i source, take from n), " + _interleave_sql("mix", "p", "w", 7, "doc_id") + " select slot, source, doc_id, lang from mix")
 def weighted_interleave(spark, sf):
-    return mixing.interleave(_sources(spark, sf, ("src0", "src1", "src2")), [5, 3, 2], "doc_id", 7).select("slot", "source", "doc_id", "lang")
+    takes = {n: i % 5 + 1 for i, n in enumerate(_names(spark, sf))}
+    return mixing.interleave_by(_docs(spark, sf).select("doc_id", "lang", "source"), "source", takes, "doc_id", 7).select("slot", "source", "doc_id", "lang")
 
 
-@query(f"with {_POOLS}, " + _interleave_sql("a", ["p0", "p1"], [0.75, 0.25], 8, "doc_id") + ", " + _interleave_sql("b", ["p2", "p3"], [0.5, 0.5], 9, "doc_id") + ", aa as (select slot inner_slot, doc_id, lang from a), bb as (select slot inner_slot, doc_id, lang from b), " + _interleave_sql("mix", ["aa", "bb"], [0.5, 0.5], 7, "inner_slot") + " select slot, source, doc_id, lang from mix")
+@query(f"with {_TAKES}, " + ", ".join(f"p{k} as (select i // 2 source, doc_id, lang from d where i % 2 = {k}), w{k} as (select i // 2 source, take from n where i % 2 = {k}), " + _interleave_sql(f"m{k}", f"p{k}", f"w{k}", 8 + k, "doc_id") for k in (0, 1)) + ", p as (select 0 source, slot inner_slot, doc_id, lang from m0 union all select 1, slot, doc_id, lang from m1), w as (select i % 2 source, sum(take) take from n group by 1), " + _interleave_sql("mix", "p", "w", 7, "inner_slot") + " select slot, source, doc_id, lang from mix")
 def two_level_mix(spark, sf):
-    s = _sources(spark, sf, ("src0", "src1", "src2", "src3"))
-    return mixing.two_level([s[:2], s[2:]], [[3, 1], [2, 2]], "doc_id", 7).select("slot", "source", "doc_id", "lang")
+    docs, names = _docs(spark, sf).select("doc_id", "lang", "source"), _names(spark, sf)
+    takes = [{n: i % 5 + 1 for i, n in enumerate(names) if i % 2 == k} for k in (0, 1)]
+    pools = [mixing.interleave_by(docs, "source", t, "doc_id", 8 + k).drop("source").withColumnRenamed("slot", "_inner") for k, t in enumerate(takes)]
+    return mixing.interleave(pools, [sum(t.values()) for t in takes], "_inner", 7).select("slot", "source", "doc_id", "lang")
 
 
 @query("""with d as (select source, doc_id, count(*) over (partition by source) n, row_number() over (partition by source order by doc_id) r from documents)
@@ -288,11 +272,11 @@ def think_format(spark, sf):
     return rows.select("conv_id", "turn", marked.alias("content"))
 
 
-def _map_query(name: str, shape, mapper, sql: str):
+def _map_query(name: str, shape, mapper, sql: str, valid: bool = False):
     """A mapper over documents dressed as its source."""
 
     def run(spark, sf):
-        out = mapper(shape(_docs(spark, sf)))
+        out = chat.mapped(shape(_docs(spark, sf)), mapper) if valid else mapper(shape(_docs(spark, sf)))
         return out.select(chat.render(F.col("messages")).alias("rendered"))
 
     run.__name__ = name
@@ -342,13 +326,18 @@ def qa_filtered(spark, sf):
     return _pairs(spark, sf).where(questions.valid_item(F.col("question"), F.col("answer"))).select("conv_id", "turn")
 
 
-@query(_PAIRS + " select conv_id, turn from q where length(trim(answer)) between 1 and 30")
+_SHORT = "('  ' || event_type || repeat('é', (event_id % 40)::int) || ' ')"
+
+
+@query(f"select row_number() over (order by event_id) - 1 row_id, props query, trim({_SHORT}) answer from events where length(trim({_SHORT})) between 1 and 30")
 def short_answers(spark, sf):
-    return _pairs(spark, sf).where(questions.short_answer(F.col("answer"))).select("conv_id", "turn")
+    answer = F.concat(F.lit("  "), "event_type", F.repeat(F.lit("é"), (F.col("event_id") % 40).cast("int")), F.lit(" "))
+    rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("\t"), "props").alias("props"), "user_id", answer.alias("a"))
+    return questions.prepared(rows, "props", "a", "event_id")
 
 
-@query(_PAIRS + f""", pool as (select key, question, answer, row_number() over (order by key) - 1 as "at" from q), c as (select count(*) n from pool),
-d as (select q.key, q.question, q.answer, draw, floor({U.format("'3:' || key || ':' || draw")} * n)::bigint as "at" from q, c, (select unnest(range(16)) draw)),
+@query(_PAIRS + f""", pool as (select key, question, answer, row_number() over (order by {U.format("'3:' || key")}) - 1 as "at" from q), c as (select count(*) n from pool),
+d as (select q.key, q.question, q.answer, draw, floor({U.format("'3:' || key || ':' || draw")} * n)::bigint as "at" from q, c, (select unnest(range(200)) draw)),
 h as (select d.key, d.question, d.answer, p.key k, p.question pq, p.answer pa, min(draw) draw from d join pool p using ("at") where p.key <> d.key and p.question <> d.question and p.answer <> d.answer group by all),
 r as (select *, row_number() over (partition by key order by draw) rn, count(*) over (partition by key) n from h)
 select question, answer, max(pq) filter (rn = 1) example1_question, max(pa) filter (rn = 1) example1_answer, max(pq) filter (rn = 2) example2_question, max(pa) filter (rn = 2) example2_answer
@@ -373,22 +362,53 @@ def distractor_validation(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array_join(questions.wrong_answers(raw, F.col("source")), ",").alias("wrongs"))
 
 
-@query("select event_id, regexp_extract(props, '(\\d+)', 1)::double number from events")
+#: Ways to state k, and what is read from each.
+_SAID = ("7 of 9.\n答え： {} / 1, that is it: 3", "回答 : \\boxed{{ -{}.50 }}. 8", "so 12\nAnswer: {},000 and 4", "1/0 then #### {}/4 and 9", "\\boxed{{{}}} of 1/0", "first 3, then {}", "no mark: {} 5/0", "nothing", "答え: 1/0, or {}")
+_READ = ("{} / 1", "-{}.50", "{}000", "{}/4", "{}", "{}", "{}", None, "{}")
+
+
+@query("with k as (select event_id, regexp_extract(props, '(\\d+)', 1) k from events) select event_id, case event_id % 9 " + " ".join(f"when {i} then " + ("null" if r is None else "'" + r.replace(" ", "").replace("{}", "' || k || '") + "'") for i, r in enumerate(_READ)) + " end number from k")
 def number_extract(spark, sf):
-    number = F.regexp_extract("props", r"(\d+)", 1)
-    said = F.concat(F.lit("7 of 9.\n答え： "), number, F.lit(" / 1, that is it: 3"))
-    return table(spark, sf, "events").select("event_id", answers.extract(said).alias("q")).select("event_id", (F.col("q")["n"] / F.col("q")["d"]).cast("double").alias("number"))
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    said = F.lit(None).cast("string")
+    for i, form in enumerate(_SAID):
+        a, b = form.replace("{{", "{").replace("}}", "}").split("{}") if form.count("{}") else (form, None)
+        said = F.when(F.col("event_id") % 9 == i, F.lit(a) if b is None else F.concat(F.lit(a), k, F.lit(b))).otherwise(said)
+    return table(spark, sf, "events").select("event_id", answers.extract(text.nfkc(said)).alias("number"))
 
 
-@query("""with e as (select event_id, regexp_extract(props, '(\\d+)', 1)::bigint k, value from events where event_id % 7 <> 0),
+@query("""with k as (select event_id, regexp_extract(props, '(\\d+)', 1)::bigint k from events)
+select event_id, case event_id % 8 when 0 then true when 1 then k = 7 when 2 then true when 3 then false when 4 then k = 0 when 5 then true when 6 then false else null end is not distinct from true as same from k""")
+def number_compare(spark, sf):
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    pairs = [
+        (cat(k, ".000"), cat("+", k)),
+        (k, F.lit("7")),
+        (cat(k, "/3"), cat(k, "00 / 300")),
+        (cat(k, ".0000000000000000000000000000000000000001"), cat(k, ".0000000000000000000000000000000000000002")),
+        (cat(k, "/12345678901234567890"), cat(k, "/99999999999999999999")),
+        (cat("1,", F.lpad(k, 3, "0"), ",000"), cat("1", F.lpad(k, 3, "0"), "000.0")),
+        (cat("0.3333", k), F.lit("1/3")),
+        (cat(k, "/0"), cat(k, "/0")),
+    ]
+    a = b = F.lit(None).cast("string")
+    for i, (x, y) in enumerate(pairs):
+        a, b = F.when(F.col("event_id") % 8 == i, x).otherwise(a), F.when(F.col("event_id") % 8 == i, y).otherwise(b)
+    return table(spark, sf, "events").select("event_id", answers.equal(answers.readable(a), answers.readable(b)).alias("same"))
+
+
+@query("""with e as (select event_id, regexp_extract(props, '(\\d+)', 1)::bigint k from events),
 g as (select k = user_mod correct from (select k, k - (k % 3) user_mod from e))
 select count(*) total, count(*) filter (correct) as correct, coalesce(avg(correct::int), 0) accuracy from g""")
 def accuracy_with_resume(spark, sf):
-    events = table(spark, sf, "events")
+    """An earlier run graded a seventh of the rows and left its records; the rest is graded now, and both count."""
     k = F.regexp_extract("props", r"(\d+)", 1)
-    todo = mixing.remaining(events, "event_id", events.where("event_id % 7 = 0"))
-    rows = todo.select(F.concat(F.lit("so the answer:\n#### "), k, F.lit(".")).alias("output"), (k.cast("long") - k.cast("long") % 3).cast("string").alias("answer_number"))
-    return questions.accuracy(questions.graded(rows))
+    rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("so the answer:\n#### "), k, F.lit(".")).alias("output"), (k.cast("long") - k.cast("long") % 3).cast("string").alias("answer_number"))
+    path = f"{fresh_dir(spark)}/results"
+    write_records(questions.graded(rows.where("event_id % 7 = 0")).select("event_id", "correct"), path)
+    done = read_done(spark, path, "event_id long, correct boolean")
+    return questions.accuracy(questions.graded(mixing.remaining(rows, "event_id", done)), done)
 
 
 # Chunk boundaries over embeddings: a label is a sequence, vec_id its order
@@ -545,19 +565,50 @@ def chunk_render(spark, sf):
     return _docs(spark, sf).select("doc_id", text.render_chunk(tokens.encode(F.col("text"))).alias("shown"))
 
 
-@query(_SHARDS + ", g as (select dense_rank() over (order by source, shard) - 1 as shard, token_count from m) select shard, unnest(range(token_count // 513)) chunk from g")
-def packed_datasource_roundtrip(spark, sf):
-    folder = _folder(spark)
+_BYTES = _SHARDS + ", g as (select source, shard, dense_rank() over (order by source, shard) - 1 number from m), h as (select g.number, string_agg('FE' || hex(encode(x.text)) || 'FF', '' order by f.doc_id) h from f join g using (source, shard) join documents x on x.doc_id = f.doc_id group by 1), z as (select number as shard, unnest(range(length(h) // 1026)) chunk, h from h)"
+
+
+def _packed(spark, sf) -> str:
+    folder = fresh_dir(spark)
     shards = _shards(spark, sf).select("source", "doc_id", "shard")
     number = shards.select("source", "shard").distinct().withColumn("g", (F.row_number().over(Window.orderBy("source", "shard")) - 1).cast("long"))
     rows = packing.framed(_docs(spark, sf)).select("doc_id", "bytes").join(shards, "doc_id").join(number, ["source", "shard"])
     packed.write_packed(rows.select(F.col("g").alias("shard"), F.col("doc_id").alias("ord"), "bytes"), folder)
-    return packed.read_packed(spark, folder, STRIDE).select("shard", "chunk")
+    return folder
+
+
+@query(_BYTES + " select shard, chunk, md5(substr(h, (chunk * 1026 + 1)::bigint, 1026)) digest from z")
+def packed_datasource_roundtrip(spark, sf):
+    return packed.read_packed(spark, _packed(spark, sf), STRIDE).select("shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
+
+
+@query(_BYTES + " select number as shard, f.doc_id, md5('FE' || hex(encode(text)) || 'FF') digest from f join g using (source, shard) join documents using (doc_id)")
+def packed_documents(spark, sf):
+    docs = packing.framed(_docs(spark, sf)).select(F.md5(F.hex("bytes")).alias("digest"), "doc_id")
+    found = packed.read_packed(spark, _packed(spark, sf), STRIDE, documents="true").select("shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
+    # A shard's documents come back in order: place by place they are its rows.
+    order = _shards(spark, sf).select("source", "doc_id", "shard")
+    number = order.select("source", "shard").distinct().withColumn("g", F.row_number().over(Window.orderBy("source", "shard")) - 1)
+    placed = order.join(number, ["source", "shard"]).withColumn("chunk", F.row_number().over(Window.partitionBy("g").orderBy("doc_id")) - 1)
+    return found.join(placed.select(F.col("g").alias("shard"), "chunk", "doc_id"), ["shard", "chunk"]).join(docs, ["doc_id", "digest"]).select("shard", "doc_id", "digest")
+
+
+@query(_BYTES + f" select row_number() over (order by {U.format(chr(39) + '42:' + chr(39) + ' || shard || ' + chr(39) + '/' + chr(39) + ' || chunk')}) - 1 pos, shard, chunk, md5(substr(h, (chunk * 1026 + 1)::bigint, 1026)) digest from z")
+def permuted_bytes(spark, sf):
+    """The written sample order, reread by window length and seed, and joined to the bytes."""
+    folder = _packed(spark, sf)
+    shards = packed.read_packed(spark, folder, STRIDE).groupBy("shard").agg((F.count("*") * STRIDE).alias("token_count"))
+    manifests.write_index(manifests.sample_order(shards, STRIDE - 1, 42, ["shard"]), folder + "-index", STRIDE - 1, 42)
+    index = manifests.read_index(spark, folder + "-index", STRIDE - 1, 42, shards, ["shard"])
+    return packed.samples(spark, folder, index, STRIDE).select("pos", "shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
 
 
 @query(_WINDOWS + f"""select source, "window", md5(h) digest from w where size = {STRIDE}""")
 def stream_pack(spark, sf):
     schema = _docs(spark, sf).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").option("recursiveFileLookup", False).parquet(sf)
-    out = packer.run_to_end(packer.pack_stream(stream, "doc_id", "source", STRIDE), _folder(spark), "windows")
+    out = packer.run_to_end(packer.pack_stream(stream, "doc_id", "source", STRIDE), fresh_dir(spark), "windows")
     return out.select("source", "window", F.md5(F.hex("bytes")).alias("digest"))
+
+
+from quern.plans import more  # noqa: E402, F401

@@ -1,24 +1,42 @@
 """Packed shards as a data source: raw byte streams (.bin) with document offsets (.idx).
 
 ``spark.read.format("packed")`` yields (shard, chunk, bytes), one input partition per shard and complete windows only;
-option ``shards`` takes a comma-separated subset, ``start`` skips windows of the whole. ``df.write.format("packed")``
-takes (shard, ord, bytes) rows of one shard per partition. The folder must be one that all executors see.
+option ``shards`` takes a comma-separated subset, ``start`` skips windows of the whole, ``documents`` yields
+the documents of each shard (chunk is then a document's place) as their offsets say. ``df.write.format("packed")`` takes
+(shard, ord, bytes) rows of one shard per partition. Files are written under temporary names and moved into place
+when the whole write commits, so a retried or speculative task harms nothing; mode overwrite removes what was there.
+
+Paths may be plain, file:// or any URI that pyarrow's file systems open; executors must see the same folder.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
+def _open(path: str):
+    """(file system, path in it)"""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _sizes(fs, folder: str) -> dict[str, int]:
+    from pyarrow.fs import FileSelector
+
+    return {i.base_name: i.size for i in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if i.is_file}
+
+
 @dataclass
 class Shard(InputPartition):
-    path: str
+    folder: str
     number: int
     first: int
 
@@ -32,20 +50,33 @@ class PackedReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.stride, self.start = options["path"], int(options.get("stride", 513)), int(options.get("start", 0))
         self.only = {int(x) for x in options["shards"].split(",")} if options.get("shards") else None
+        self.documents = str(options.get("documents", "false")).lower() == "true"
 
     def partitions(self) -> list[Shard]:
+        fs, folder = _open(self.folder)
         out, skip = [], self.start
-        for f in sorted(x for x in os.listdir(self.folder) if x.endswith(".bin")):
-            number = int(f[5:-4])
-            if self.only is None or number in self.only:
-                size = os.path.getsize(f"{self.folder}/{f}") // self.stride
-                if size > skip:
-                    out.append(Shard(f"{self.folder}/{f}", number, skip))
-                skip = max(0, skip - size)
+        for name, size in sorted(_sizes(fs, folder).items()):
+            if name.endswith(".bin"):
+                number = int(name[5:-4])
+                if self.only is None or number in self.only:
+                    windows = size // self.stride
+                    if self.documents or windows > skip:
+                        out.append(Shard(self.folder, number, skip))
+                    skip = max(0, skip - windows)
         return out
 
     def read(self, partition: Shard) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        fs, folder = _open(partition.folder)
+        name = f"{folder}/data-{partition.number:05d}"
+        with fs.open_input_file(f"{name}.bin") as f:
+            if self.documents:
+                with fs.open_input_file(f"{name}.idx") as i:
+                    ends = np.frombuffer(i.read(), "<u8").astype(np.int64)
+                if not len(ends) or ends[0] != 0 or ends[-1] != f.size() or (np.diff(ends) < 0).any():
+                    raise ValueError(f"offsets of shard {partition.number} do not fit its bytes")
+                for k, n in enumerate(np.diff(ends).tolist()):
+                    yield partition.number, k, f.read(n)
+                return
             f.seek(partition.first * self.stride)
             chunk = partition.first
             while len(data := f.read(self.stride)) == self.stride:
@@ -54,30 +85,54 @@ class PackedReader(DataSourceReader):
 
 
 class PackedWriter(DataSourceWriter):
-    def __init__(self, options):
-        self.folder = options["path"]
+    def __init__(self, options, overwrite: bool):
+        self.folder, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
+        fs, folder = _open(self.folder)
+        temporary = f"{folder}/_temporary-{self.job}/{uuid.uuid4().hex}"
+        fs.create_dir(temporary, recursive=True)
         files: list[str] = []
         now, out, ends = None, None, []
 
         def close():
             if out is not None:
                 out.close()
-                np.array(ends, "<u8").tofile(f"{self.folder}/data-{now:05d}.idx")
+                with fs.open_output_stream(f"{temporary}/data-{now:05d}.idx") as f:
+                    f.write(np.array(ends, "<u8").tobytes())
+                files.extend(f"{temporary}/data-{now:05d}{x}" for x in (".bin", ".idx"))
 
         for row in iterator:
             if row["shard"] != now:
                 close()
                 now, ends = row["shard"], [0]
-                files.append(f"{self.folder}/data-{now:05d}.bin")
-                out = open(files[-1], "wb")  # noqa: SIM115
+                out = fs.open_output_stream(f"{temporary}/data-{now:05d}.bin")
             out.write(bytes(row["bytes"]))
             ends.append(ends[-1] + len(row["bytes"]))
         close()
         return Written(files)
 
+    def commit(self, messages) -> None:
+        fs, folder = _open(self.folder)
+        fs.create_dir(folder, recursive=True)
+        if self.overwrite:
+            for name in _sizes(fs, folder):
+                if name.endswith((".bin", ".idx")):
+                    fs.delete_file(f"{folder}/{name}")
+        for m in messages:
+            for f in m.files if m else []:
+                fs.move(f, f"{folder}/{f.rsplit('/', 1)[1]}")
+        self._clear(fs, folder)
+
+    def abort(self, messages) -> None:
+        self._clear(*_open(self.folder))
+
+    def _clear(self, fs, folder: str) -> None:
+        from pyarrow.fs import FileType
+
+        if fs.get_file_info(f"{folder}/_temporary-{self.job}").type == FileType.Directory:
+            fs.delete_dir(f"{folder}/_temporary-{self.job}")
+
 
 class Packed(DataSource):
     @classmethod
@@ -91,14 +146,14 @@ class Packed(DataSource):
         return PackedReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> PackedWriter:
-        return PackedWriter(self.options)
+        return PackedWriter(self.options, overwrite)
 
 
-def write_packed(rows: DataFrame, folder: str) -> None:
+def write_packed(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
     """rows(shard, ord, bytes), written as one pair of files per shard."""
     rows.sparkSession.dataSource.register(Packed)
     placed = rows.repartition("shard").sortWithinPartitions("shard", "ord").select("shard", "ord", "bytes")
-    placed.write.format("packed").mode("append").save(folder)
+    placed.write.format("packed").mode("overwrite" if overwrite else "append").save(folder)
 
 
 def read_packed(spark, folder: str, stride: int, **options) -> DataFrame:
@@ -107,3 +162,9 @@ def read_packed(spark, folder: str, stride: int, **options) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(folder)
+
+
+def samples(spark, folder: str, index: DataFrame, stride: int, start: int = 0) -> DataFrame:
+    """index(pos, shard, chunk) with the bytes of each sample; positions below ``start`` are left out (resume)."""
+    wanted = index.where(F.col("pos") >= start) if start > 0 else index
+    return wanted.join(read_packed(spark, folder, stride), ["shard", "chunk"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,14 @@ def catalogue(spark: SparkSession, templates: dict[str, list[Source]]) -> DataFr
     return spark.createDataFrame(rows, "template string, ordinal int, name string, split string, config_name string, take_examples long, skip_examples long")
 
 
+def read_templates(text: str) -> dict[str, list[Source]]:
+    """Named, ordered source lists from JSON text {name: [source, ...]}; unknown fields are ignored, a source needs its name."""
+    given = json.loads(text)
+    if not isinstance(given, dict):
+        raise ValueError("source lists must be a JSON object")
+    return {k: [known_fields(Source, s) for s in v if isinstance(s, dict)] for k, v in given.items()}
+
+
 def resolve(explicit: list[Source], template: str | None, templates: dict[str, list[Source]], defaults: list[Source]) -> list[Source]:
     """An explicit list wins over a template, a template over the defaults."""
     if explicit:
@@ -84,13 +93,33 @@ def records_to_parquet(spark: SparkSession, path: str, to: str, schema: str) ->
     spark.read.schema(schema).json(path).write.mode("overwrite").parquet(to)
 
 
-def manifest_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bin_file, token_count, doc_count) of all shards in JSON manifests; incomplete entries are skipped."""
-    schema = "source string, shards array<struct<name:string,bin_file:string,idx_file:string,token_count:bigint,doc_count:bigint>>"
+def manifest_shards(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source, bin_file, idx_file, token_count, doc_count) of all shards in JSON source manifests; incomplete entries are skipped."""
+    schema = "source string, shards array<struct<bin_file:string,idx_file:string,token_count:bigint,doc_count:bigint>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select("source", F.explode("shards").alias("s"))
     return rows.select("source", "s.*").where("bin_file is not null and token_count is not null")
 
 
+def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends the records whose key is not there yet, once each, and returns all: safe to repeat after a failure."""
+    old = read_done(df.sparkSession, path, df.schema)
+    fresh = df.dropDuplicates([key]).join(old.select(key).distinct(), key, "left_anti").select(*df.columns)
+    write_records(fresh, path, append=True)
+    return read_done(df.sparkSession, path, df.schema)
+
+
+def write_results(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """Result records, and beside them their one-row summary."""
+    write_records(rows, path)
+    write_records(summary.coalesce(1), f"{path}.summary")
+
+
+def prompts(spark: SparkSession, given: list[str | None]) -> DataFrame:
+    """(place, prompt): stripped, blank ones left out, numbered as given."""
+    kept = [(i, x.strip()) for i, x in enumerate(y for y in given if y and y.strip())]
+    return spark.createDataFrame(kept, "place int, prompt string")
+
+
 def progress(df: DataFrame, name: str, **counters) -> tuple[DataFrame, object]:
     """df that counts as it runs, and the observation to read the counts from."""
     from pyspark.sql import Observation

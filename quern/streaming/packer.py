@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +48,21 @@ def smooth_stream(rows: DataFrame, seq: str, pos: str, value: str, p: str, low:
     return slim.groupBy(seq).applyInPandasWithState(step, f"{seq} string, pos long, z double", "z double", "append", GroupStateTimeout.NoTimeout)
 
 
+def decode_stream(pieces: DataFrame, seq: str, pos: str, data: str) -> DataFrame:
+    """(seq, pos, text) of a stream of byte pieces: what each piece completes; an unfinished character waits in the state."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        decoder = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        if state.exists:
+            decoder.setstate((bytes(state.get[0]), 0))
+        out = [(key[0], x.pos, decoder.decode(bytes(x.data))) for x in pd.concat(list(batches)).sort_values("pos").itertuples()]
+        state.update((decoder.getstate()[0],))
+        yield pd.DataFrame(out, columns=[seq, "pos", "text"])
+
+    slim = pieces.select(F.col(seq).cast("string").alias(seq), F.col(pos).cast("long").alias("pos"), F.col(data).alias("data"))
+    return slim.groupBy(seq).applyInPandasWithState(step, f"{seq} string, pos long, text string", "pending binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(stream: DataFrame, folder: str, name: str) -> DataFrame:
     """Runs a stream over all that is there, into a table of the folder, and reads it back."""
     query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()

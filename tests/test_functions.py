@@ -44,16 +44,69 @@ def test_json_and_decode(spark):
 
 @pytest.mark.parametrize(
     ("s", "want"),
-    [("答え：１，２３４", 1234), ("x\n#### 3/4", 0.75), ("1/0", None), (r"so \boxed{5} and 6", 5), ("none", None), ("答え: 1 then 答え: -2.5", -2.5), ("first 7 last 8", 8), ("Answer: \\boxed{ 9", 9)],
+    [("答え：１，２３４", "1234"), ("x\n#### 3/4", "3/4"), ("1/0", None), (r"so \boxed{5} and 6", "5"), ("none", None), ("答え: 1 then 答え: -2.5", "-2.5"), ("first 7 last 8", "8"), ("Answer: \\boxed{ 9", "9"), ("2 then 1/0", "2")],
 )
 def test_answers(spark, s, want):
-    got = one(spark, answers.extract(text.nfkc(F.col("x"))), "x string", (s,))
-    assert (got is None and want is None) or math.isclose(float(got.n) / float(got.d), want)
+    assert one(spark, answers.extract(text.nfkc(F.col("x"))), "x string", (s,)) == want
 
 
 def test_answer_equality(spark):
-    eq = lambda a, b: one(spark, answers.equal(answers.parts(F.lit(a)), answers.parts(F.lit(b))))
+    eq = lambda a, b: one(spark, answers.equal(answers.readable(F.lit(a)), answers.readable(F.lit(b))))
     assert eq("1/3", "2/6") and eq("1,000", "1000.0") and not eq("1/3", "0.3333") and not eq("x", "x")
+    assert not eq("0.0000001", "0.0000002") and not eq("0.00000000001", "0")
+    assert not eq("12345678901234567890/3", "12345678901234567890/99999999999999999999")
+    assert eq("1/3", "0." + "3" * 28) and eq("9" * 60 + ".0", "9" * 60) and not eq("1/0", "1/0") and eq("-0", "0")
+
+
+@pytest.mark.parametrize("x", [0.0, -0.0, 1.0, 1e-05, 0.00012, -1.5e-7, 0.001, 123456789.25, 1e15, 1.5e16, 1e22, -3.25e100, float("nan"), float("inf"), float("-inf"), 12345678.0, 0.1, 1e7])
+def test_floats_as_python_writes_them(spark, x):
+    assert one(spark, text.python_float(F.col("x")), "x double", (x,)) == str(x)
+
+
+def test_nested_records(spark):
+    def show(value, kind):
+        df = spark.createDataFrame([(value,)], f"x {kind}")
+        return df.select(text.render_value(F.col("x"), df.schema["x"].dataType).alias("v")).first().v
+
+    assert show([["a", " "], ["b"]], "array<array<string>>") == "a\nb"
+    assert show((None, "c"), "struct<messages:array<struct<role:string,content:string>>,content:string>") == "c"
+    assert show(([("user", "hi"), (None, "x")], "c"), "struct<messages:array<struct<role:string,content:string>>,content:string>") == "user: hi\nx"
+    assert show((1.5e-7, None, "é"), "struct<b:double,a:int,c:string>") == '{"a": null, "b": 1.5e-07, "c": "é"}'
+    assert show({"text": "t", "b": "c"}, "map<string,string>") == "t" and show({"b": "c", "a": "d"}, "map<string,string>") == '{"a": "d", "b": "c"}'
+    assert show([(("deep",), "user")], "array<struct<content:struct<text:string>,role:string>>") == "user: deep"
+    assert show(None, "array<int>") == "" and show([1, None, 2], "array<int>") == "1\n2" and show([True, False], "array<boolean>") == "true\nfalse"
+
+
+def test_few_shot_draws_until_it_has_enough(spark):
+    # A third of the pool and more cannot serve the hot targets, so few draws fit.
+    pool = spark.createDataFrame([(f"k{i}", "q" if i % 10 else f"q{i}", f"a{i}") for i in range(400)], "key string, question string, answer string")
+    got = questions.few_shot(pool, pool, 2, seed=1).collect()
+    assert len(got) == 400 and all(len(r.examples) == 2 and r.question not in {e.question for e in r.examples} for r in got)
+    small = pool.where("key in ('k1', 'k2')")
+    assert {len(r.examples) for r in questions.few_shot(small, small, 2, strict=False).collect()} == {0}
+    with pytest.raises(Exception, match="too few examples"):
+        questions.few_shot(small, small, 2).collect()
+
+
+def test_greedy_shards_of_a_hot_source(spark):
+    r = random.Random(4)
+    rows = [(i, "hot" if i % 10 else None, r.choice([1, 2, 3, 50, 120])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "o long, s string, n long").repartition(5)
+    want, state = {}, {}
+    for o, s, n in rows:
+        shard, used = state.get(s, (0, 0))
+        if used > 0 and used + n > 100:
+            shard, used = shard + 1, 0
+        want[o], state[s] = shard, (shard, used + n)
+    assert {x.o: x.shard for x in packing.greedy_shards(df, "o", "s", 100).collect()} == want
+
+
+def test_numpy_permutation(spark):
+    import numpy as np
+
+    want = np.arange(50)
+    np.random.default_rng(42).shuffle(want)
+    assert [r.sample_id for r in ordering.numpy_permutation(spark, 50, 42).orderBy("pos").collect()] == want.tolist()
 
 
 def test_dialogues(spark):
