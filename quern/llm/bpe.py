@@ -4,10 +4,12 @@ Each task cuts its texts into pre-tokens and explodes them into (word, positions
 megabytes of whole documents, its words numbered by frequency. Words travel to the task of their bucket (a hash of the word), where every
 distinct word is encoded once; the ids travel back to the blocks and the texts are put together by
 position. A word occurs once per block and bucket however frequent it is, so no key is hot. Decoding
-joins the token-byte table, which is as small as the vocabulary.
+joins the distinct ids of each block and bucket with the token-byte table (a broadcast bounded by the vocabulary,
+MOST_VOCABULARY); the bytes found go to the blocks, where words and texts are put together from them.
 
 Defined cases: null text is empty and gives no ids; repeated rows are encoded each; null doc_ids stay; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored. Decoding null ids gives null; an id outside the
+vocabulary fails.
 """
 
 from __future__ import annotations
@@ -25,16 +27,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow, with_defaults
+from .common import Scratch, arrow, file_bytes, with_defaults
 
-BLOCK, CHUNK = 16_000_000, 150_000
+BLOCK, CHUNK, MOST_VOCABULARY = 16_000_000, 150_000, 2_000_000
 #: White space before a space: only there can a cut before a single space differ from the pattern's cuts.
 UNSAFE = re.compile(r"\s ")
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes -> id, of a vocabulary file's content."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 def space_cuts(text: str) -> list[str] | None:
@@ -152,7 +154,11 @@ def _explode(pattern: str, buckets: int):
     return run
 
 
-def _encode(path: str, pattern: str):
+_IDS = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("data", pa.binary()), ("used", pa.list_(pa.int32()))])
+_IDS_DDL = "block string, bucket int, numbers binary, data binary, used array<int>"
+
+
+def _encode(file):
     """Rows of words, sorted by bucket -> the same rows with ids for words; each distinct word is encoded once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,94 +166,144 @@ def _encode(path: str, pattern: str):
 
         core, ids, now = None, {}, None
         for batch in it:
-            for kind, block, bucket, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if core is None:
-                    core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+            for block, bucket, numbers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if core is None:  # its pattern takes a word as it is
+                    core = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=read_ranks(file.value), special_tokens={})
                 if bucket != now:
                     ids, now = {}, bucket
                 out = []
                 for w in unpack_list(data):
                     x = ids.get(w)
                     if x is None:
-                        x = ids[w] = np.array(core._encode_single_piece(w), "<u4").tobytes()
+                        x = ids[w] = np.array(core.encode_ordinary(w.decode()), "<u4").tobytes()
                     out.append(x)
-                yield arrow(_ROWS, [kind], [block], [bucket], [numbers], [pack_list(out)])
+                used = np.unique(np.frombuffer(b"".join(out), "<i4"))
+                yield arrow(_IDS, [block], [bucket], [numbers], [pack_list(out)], [used])
 
     return run
 
 
-def _assemble(emit):
-    """A block's documents and its words' ids -> what ``emit(rows)`` makes of (doc_id, ids as bytes)."""
+_FOUND = pa.schema([("block", pa.string()), ("numbers", pa.binary()), ("data", pa.binary())])
+
+
+def _fold_tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, bucket, id, token, as they come -> rows of many ids and their bytes; each id of a block is in one of its rows."""
+    now, ids, tokens = None, [], []
+
+    def row():
+        return arrow(_FOUND, [now[0]], [_planes(np.array(ids, "<u4").tobytes())], [pack_list(tokens)])
+
+    for batch in it:
+        for block, bucket, i, token in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (block, bucket) != now:
+                if ids:
+                    yield row()
+                now, ids, tokens = (block, bucket), [], []
+            if token is None:
+                raise ValueError(f"id {i} is not in the vocabulary")
+            ids.append(i)
+            tokens.append(token)
+    if ids:
+        yield row()
+
+
+def _with_token_bytes(rows: DataFrame, file: bytes) -> DataFrame:
+    """(block, bucket, used) -> (block, numbers, data): the ids used, joined with the token-byte table."""
+    ranks = read_ranks(file)
+    if len(ranks) > MOST_VOCABULARY:
+        raise ValueError("a larger vocabulary than the bound allows")
+    table = rows.sparkSession.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks.keys(), pa.binary())}))
+    used = rows.select("block", "bucket", F.explode("used").alias("id")).join(F.broadcast(table), "id", "left")
+    return used.select("block", "bucket", "id", "token").mapInArrow(_fold_tokens, "block string, numbers binary, data binary")
+
+
+def _numbered(table: pa.Table, kind: str) -> dict[int, bytes]:
+    """number -> bytes, of the rows of a kind."""
+    out: dict[int, bytes] = {}
+    for k, numbers, data in zip(*(table.column(c).to_pylist() for c in ("kind", "numbers", "data")), strict=True):
+        if k == kind:
+            out.update(zip(_unplane(numbers).tolist(), unpack_list(data), strict=True))
+    return out
+
+
+def _assemble(emit, decoded: bool):
+    """A block's documents, its words' ids and its ids' bytes -> what ``emit`` makes of (doc_id, ids, decoded) rows."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids: dict[int, bytes] = {}
-        for numbers, data in zip(words.column("numbers").to_pylist(), words.column("data").to_pylist(), strict=True):
-            ids.update(zip(_unplane(numbers).tolist(), unpack_list(data), strict=True))
+        ids = _numbered(words, "ids")
         table = [ids[i] for i in range(len(ids))]
+        if decoded:
+            token = _numbered(words, "tokens")
+            texts = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in table]
         rows = []
         for numbers, data in zip(docs.column("numbers").to_pylist(), docs.column("data").to_pylist(), strict=True):
             at, flat = 0, _unplane(numbers).tolist()
             for key, n in unpack_keys(data):
-                rows.append((key, b"".join(map(table.__getitem__, flat[at : at + n]))))
+                own = flat[at : at + n]
+                rows.append((key, b"".join(map(table.__getitem__, own)), b"".join(map(texts.__getitem__, own)) if decoded else None))
                 at += n
         return pa.Table.from_batches([emit(rows)])
 
     return run
 
 
-def encode_with(docs: DataFrame, path: str, pattern: str, emit, ddl: str) -> DataFrame:
-    """docs(doc_id, text) -> rows made by ``emit`` from lists of (doc_id, little-endian 4-byte ids)."""
+def encode_with(docs: DataFrame, path: str, pattern: str, emit, ddl: str, decoded: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> rows made by ``emit`` from lists of (doc_id, little-endian 4-byte ids, their bytes if ``decoded``)."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), with_defaults(docs, spark)
+    file = spark.sparkContext.broadcast(file_bytes(path))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # In buckets by block, the positions are stored once and stay where they are while the words travel.
-    rows = scratch.keep_bucketed(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "rows", "kind", "block", parts).select("kind", "block", "bucket", "numbers", "data")
-    words = rows.where("kind = 'words'").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ids = scratch.keep(words.mapInArrow(_encode(path, pattern), _DDL), "ids")
-    scratch.drop("rows/kind=words")
-    texts = rows.where("kind = 'docs'").select("block", "numbers", "data")
-    return texts.groupBy("block").cogroup(ids.select("block", "numbers", "data").groupBy("block")).applyInArrow(_assemble(emit), ddl)
+    with scratch.bucketed(keyed.mapInArrow(_explode(pattern, 2 * parts), _DDL), "rows", "kind", "block", parts) as rows:
+        words = rows.where("kind = 'words'").select("block", "bucket", "numbers", "data").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        ids = scratch.keep(words.mapInArrow(_encode(file), _IDS_DDL), "ids")
+        scratch.drop("rows/kind=words")
+        back = ids.select(F.lit("ids").alias("kind"), "block", "numbers", "data")
+        if decoded:
+            back = back.unionByName(_with_token_bytes(ids, file.value).select(F.lit("tokens").alias("kind"), "block", "numbers", "data"))
+        texts = rows.where("kind = 'docs'").select("block", "numbers", "data")
+        out = scratch.keep(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assemble(emit, decoded), ddl), "out")
+    scratch.drop("ids")
+    return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids array<int>)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    emit = lambda rows: arrow(schema, [k for k, _ in rows], [np.frombuffer(x, "<i4") for _, x in rows])
+    emit = lambda rows: arrow(schema, [k for k, _, _ in rows], [np.frombuffer(x, "<i4") for _, x, _ in rows])
     return encode_with(docs, path, pattern, emit, "doc_id long, ids array<int>")
 
 
-class TokenBytes:
-    """The token-byte table; decode() looks each id up in it."""
-
-    def __init__(self, path: str):
-        ranks = read_ranks(path)
-        self.table = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            self.table[i] = token
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
-
-
-_TABLES: dict[str, TokenBytes] = {}
-
-
-def token_bytes(path: str) -> TokenBytes:
-    if path not in _TABLES:
-        _TABLES[path] = TokenBytes(path)
-    return _TABLES[path]
+def _list_ids(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids -> a row per batch: all ids, the documents' keys and lengths, the distinct ids."""
+    for batch in it:
+        if batch.num_rows:
+            lists = [np.array(x, "<i8") for x in batch.column(1).to_pylist()]
+            flat = np.concatenate(lists)
+            if len(flat) and (flat.min() < 0 or flat.max() >= 2**31):
+                raise ValueError("an id is not in the vocabulary")
+            yield arrow(_IDS, [uuid.uuid4().hex], [0], [_planes(flat.astype("<u4").tobytes())], [pack_keys(batch.column(0).to_pylist(), [len(x) for x in lists])], [np.unique(flat).astype(np.int32)])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, data binary); null ids give null, ids outside the table fail."""
+    """(doc_id, ids) -> (doc_id, data binary), by a join of each block's distinct ids with the token-byte table."""
+    scratch, file = Scratch(encoded.sparkSession), file_bytes(path)
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"))
+    listed = scratch.keep(rows.where("ids is not null").mapInArrow(_list_ids, _IDS_DDL), "listed")
+    tokens = _with_token_bytes(listed, file).select(F.lit("tokens").alias("kind"), "block", "numbers", "data")
     schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
 
-    def run(it):
-        for batch in it:
-            t = token_bytes(path)
-            yield arrow(schema, batch.column(0).to_pylist(), [None if x is None else t.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()])
+    def put_together(docs: pa.Table, found: pa.Table) -> pa.Table:
+        token, out = _numbered(found, "tokens"), []
+        for numbers, data in zip(docs.column("numbers").to_pylist(), docs.column("data").to_pylist(), strict=True):
+            at, flat = 0, _unplane(numbers).tolist()
+            for key, n in unpack_keys(data):
+                out.append((key, b"".join(map(token.__getitem__, flat[at : at + n]))))
+                at += n
+        return pa.Table.from_batches([arrow(schema, [k for k, _ in out], [x for _, x in out])])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    known = listed.select("block", "numbers", "data").groupBy("block").cogroup(tokens.groupBy("block")).applyInArrow(put_together, "doc_id long, data binary")
+    return known.unionByName(rows.where("ids is null").select("doc_id", F.lit(None).cast("binary").alias("data")))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -255,7 +311,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def emit(rows):
-        t, sha = token_bytes(path), lambda x: hashlib.sha256(x).hexdigest()
-        return arrow(schema, [k for k, _ in rows], [len(x) // 4 for _, x in rows], [sha(x) for _, x in rows], [sha(t.decode(np.frombuffer(x, "<u4"))) for _, x in rows])
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return arrow(schema, [k for k, _, _ in rows], [len(x) // 4 for _, x, _ in rows], [sha(x) for _, x, _ in rows], [sha(x) for _, _, x in rows])
 
-    return encode_with(docs, path, pattern, emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_with(docs, path, pattern, emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", decoded=True)

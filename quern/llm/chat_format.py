@@ -4,18 +4,19 @@ Logs often hold a conversation several times, each time with more turns. Every c
 turns; conversations whose full hash is a shorter prefix of another one go (an anti-join), and of equal ones the
 smallest conv_id stays. What remains is rendered turn by turn.
 
-Only 128-bit hashes travel until the survivors are known; prefix hashes are made distinct before they are
+The rolling hash of a prefix is the exclusive or of 128-bit hashes of (place, turn), kept by a window function: linear in
+the turns. Only hashes travel until the survivors are known; prefix hashes are made distinct before they are
 joined, so a first turn that a third of all conversations share is one row.
 
 Defined cases: rows with a null conv_id or without any role and text are ignored; a null role or text is empty; repeated
-rows of a turn count once; turns are ordered by turn (nulls first), then role, then text; an empty table gives
+rows of a turn count once; turns are ordered by turn (nulls first), then role, then md5 of the text; an empty table gives
 an empty result; further columns are ignored. A conversation is rendered as one row, so its text must fit
 one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -28,22 +29,25 @@ def _turns(chats: DataFrame) -> DataFrame:
 
 def maximal(chats: DataFrame) -> DataFrame:
     """conv_ids of the conversations that neither prefix a longer one nor repeat an equal one with a smaller id."""
-    turn = F.struct("turn", "role", F.length("text").alias("n"), "text", F.md5(F.concat_ws("\x1f", "role", F.length("role").cast("string"), "text")).alias("h"))
-    # The order within a turn needs the text only where turn and role tie: its hash is as good, and shorter.
-    slim = _turns(chats).select("conv_id", F.struct("turn", "role", F.md5("text").alias("t"), turn["h"].alias("h")).alias("x")).distinct()
-    each = slim.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]).alias("hs"))
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("all"))
-    step = lambda acc, h: F.struct(F.md5(F.concat(acc["now"], h)).alias("now"), F.concat(acc["all"], F.array(F.md5(F.concat(acc["now"], h)))).alias("all"))
-    each = each.select("conv_id", F.aggregate("hs", start, step)["all"].alias("prefixes"))
-    whole = each.groupBy(F.element_at("prefixes", -1).alias("h")).agg(F.min("conv_id").alias("conv_id"))
-    shorter = each.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("h")).distinct()
-    return whole.join(shorter, "h", "left_anti").select("conv_id")
+    # The length of the role comes first, so that no role and text read like another role and text.
+    turn = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
+    slim = _turns(chats).select("conv_id", "turn", "role", F.md5("text").alias("t"), turn.alias("h")).distinct()
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "t")
+    each = slim.select("conv_id", "h", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    # The window above sorts by conv_id and turn already; k keeps that order.
+    by_place = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.select("conv_id", "k", "n", *[F.bit_xor(F.xxhash64(F.lit(seed), "k", "h")).over(by_place).alias(f"p{seed}") for seed in (1, 2)])
+    prefix = ["k", "p1", "p2"]
+    whole = each.where("k = n").groupBy(*prefix).agg(F.min("conv_id").alias("conv_id"))
+    shorter = each.where("k < n").select(*prefix).distinct()
+    return whole.join(shorter, prefix, "left_anti").select("conv_id")
 
 
 def render(chats: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of the maximal conversations."""
-    turns = _turns(chats).distinct().join(maximal(chats), "conv_id", "left_semi")
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.md5("text").alias("t"), "text"))).alias("l"))
+    turns = _turns(chats).join(maximal(chats), "conv_id", "left_semi")
+    # A set, so repeated rows of a turn are one already where they are read.
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", F.md5("text").alias("t"), "text"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(F.lit(OPEN), x["role"], F.lit("\n"), x["text"], F.lit(CLOSE + "\n"))), "")
     return listed.select("conv_id", F.size("l").cast("long").alias("n_turns"), body.alias("rendered"))
 

@@ -2,12 +2,12 @@
 
 Each language has a raw-content zstandard dictionary cut from texts known to be in it. A text is compressed whole,
 in lower case, with each dictionary; the one that makes it smallest names its language. ``accepted`` is false where the
-second-best is nearly as small. Texts below LEAST bytes are repeated up to it: of a lone short text
-the compressor stores every byte, whatever the dictionary. Texts above PIECE bytes are compressed in pieces, all of
-them, whose sizes are summed: within one piece a dictionary soon has no more to add to what the text itself has
-said, so the gap would shrink against the size of a long text.
+second-best is nearly as small. A text of any length is compressed in pieces of PIECE bytes, whose sizes are summed: within
+one piece a dictionary soon has no more to add to what the text itself has said, so the gap would shrink against the
+size of a long text. Each piece is followed by the same blanks, which cost next to nothing: of a lone short
+piece the compressor would store every byte, whatever the dictionary.
 
-Training reads at most ``TEXTS`` texts a language, taken by a hash of their doc_id, and at most ``SLICE``
+Training reads at most ``TEXTS`` texts a language, taken by a hash of their doc_id and text, and at most ``SLICE``
 characters from the middle of each; a dictionary holds at most ``DICTIONARY`` bytes. These bounds hold at any
 corpus size. Every language that occurs is learned, so the driver's memory and the time a text takes grow with their number.
 
@@ -19,17 +19,18 @@ predicted each; rows with null lang or text teach nothing; further columns are i
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TEXTS, SLICE, DICTIONARY, LEVEL, LEAST, PIECE = 400, 400, 24_000, 6, 256, 65_536
+from .common import PLACES, below
+
+TEXTS, SLICE, DICTIONARY, LEVEL, PIECE = 400, 400, 24_000, 6, 65_536
+_BLANKS = b" " * 256
 #: Accepted where the second-best output is larger than the best by this share of it at least.
 MARGIN = 0.002
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -38,10 +39,10 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     totals = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not totals:
         return {}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    shares = docs.sparkSession.createDataFrame([(r.lang, max(1, math.ceil(2e6 * TEXTS / r.n))) for r in totals], "lang string, below long")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))
+    shares = docs.sparkSession.createDataFrame([(r.lang, below(2 * TEXTS, r.n)) for r in totals], "lang string, below long")
     middle = F.substring("text", F.greatest(F.lit(1), F.expr(f"int((length(text) - {SLICE}) / 2)")), F.lit(SLICE))
-    few = known.join(F.broadcast(shares), "lang").where(place < F.col("below")).select("lang", place.alias("place"), middle.alias("text"))
+    few = known.join(F.broadcast(shares), "lang").where(place < F.col("below")).select("lang", place.alias("place"), middle.alias("text")).distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     rows = few.withColumn("r", first).where(F.col("r") <= TEXTS).orderBy("place", "text").collect()
     out: dict[str, bytes] = {}
@@ -62,11 +63,10 @@ class Model:
             self.by.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.by or not _LETTER.search(text):
+        if text is None or not self.by or not any(map(str.isalpha, text)):
             return "und", 0.0, False
-        raw = text.lower().encode("utf-8", "replace") + b" "
-        raw *= -(-LEAST // len(raw))
-        pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+        raw = text.lower().encode("utf-8", "replace")
+        pieces = [raw[at : at + PIECE] + _BLANKS for at in range(0, len(raw), PIECE)]
         sizes = sorted((sum(len(c.compress(x)) for x in pieces), i) for i, (_, c) in enumerate(self.by))
         best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else math.inf
         # Odds of the languages, were each output byte that is saved worth half a bit.

@@ -79,9 +79,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     found = found.select("doc_id", "w", F.explode(F.array(shingles(F.col("w")))).alias("h"))
     # Texts without any of the templates' least shingles share no band with them.
     found = found.where(F.arrays_overlap("h", least))
-    hits = F.filter(F.transform("h", lambda x, i: F.struct(x.alias("least"), i.alias("pos"))), lambda s: F.array_contains(least, s["least"]))
-    low = lambda s: F.greatest(F.lit(0), s["pos"] - most)
-    near = F.transform(hits, lambda s: F.struct(s["least"].alias("least"), s["pos"].alias("pos"), low(s).alias("low"), F.slice("h", low(s) + 1, 2 * most + 1).alias("h"), F.slice("w", low(s) + 1, 2 * most + WORDS).alias("w")))
+    # Long texts go on in stretches, so that what is sliced for all hits of one row is bounded by the templates' size.
+    stretch, low = 2 * most, lambda at: F.greatest(F.lit(0), at - most)
+    part = lambda at: F.struct(at.alias("at"), low(at).alias("low"), F.slice("h", low(at) + 1, stretch + 2 * most).alias("h"), F.slice("w", low(at) + 1, stretch + 2 * most + WORDS - 1).alias("w"))
+    found = found.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(stretch)), part)).alias("p")).select("doc_id", "p.*")
+    found = found.withColumn("own", F.array_intersect(F.slice("h", F.col("at") - F.col("low") + 1, stretch), least)).where(F.size("own") > 0)
+    hits = F.filter(F.transform(F.slice("h", F.col("at") - F.col("low") + 1, stretch), lambda x, i: F.struct(x.alias("least"), (i + F.col("at")).alias("pos"))), lambda s: F.array_contains("own", s["least"]))
+    near = F.transform(hits, lambda s: F.struct(s["least"].alias("least"), s["pos"].alias("pos"), low(s["pos"]).alias("low"), F.slice("h", low(s["pos"]) - F.col("low") + 1, 2 * most + 1).alias("h"), F.slice("w", low(s["pos"]) - F.col("low") + 1, 2 * most + WORDS).alias("w")))
     found = found.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.*")
     found = found.join(F.broadcast(bands), "least")
     width = 2 * F.col("n") - 1

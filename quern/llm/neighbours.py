@@ -1,22 +1,25 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries search it greedily.
 
-Vectors of equal direction (to 12 decimals of the unit vector) are one node, with its smallest vec_ids, so copies,
-rescaled or not, cannot crowd each other's neighbours out.
+Vectors of one length and equal direction (to 12 decimals of the unit vector) are one node, with its smallest vec_ids, so
+copies, rescaled or not, cannot crowd each other's neighbours out.
 
-* Start: in each of ``TREES`` rounds, nodes are dealt into blocks by the signs of random projections, and each
-  takes its best neighbours within its block.
+* Start: in each of ``TREES`` rounds, nodes are dealt into blocks by the signs of random projections, once by a hash, and
+  each takes its best neighbours within its block. The hash alone gives every node neighbours, if there are other nodes.
 * NN-descent: nodes bring their vectors to their neighbours (and to a bounded, hashed choice of those that
   name them); every two that meet at a node become candidates of each other. Candidates better than a node's
-  worst neighbour are merged into its list. ``ROUNDS`` joins of neighbours of neighbours, pre-cut per meeting.
-* Search: each query keeps a list of the best nodes seen and opens the nearest unopened ones, a join with the
-  graph per hop, along edges in both directions. The whole list is measured again in double precision on the original vectors.
+  worst neighbour are merged into its list, first within each task, so a node that everybody meets is a row a task.
+  ``ROUNDS`` joins of neighbours of neighbours, however few nodes there are.
+* Search: each query keeps a list of the best nodes seen and opens the nearest unopened ones: their neighbours, along
+  edges in both directions, are fetched by a join with the graph, and the vectors of those not in the list by a join with
+  the nodes. It ends when no query has a node left to open, or after ``HOPS``. The whole list is measured again in double
+  precision on the original vectors.
 
 The graph works on unit vectors in single precision, which it compares in double precision, so near-copies as tight as single
 precision can hold are told apart. Recall against brute force is tested, also within a group of thousands of near-copies.
 
-Defined cases: null, zero or non-finite vectors take no part, nor do vectors whose length is not the most frequent one;
-with fewer candidates than asked for, all are returned; equal cosines are ordered by vec_id; repeated rows
-are candidates of each other; rows with a null vec_id are ignored; an empty table gives an empty
+Defined cases: null, zero or non-finite vectors take no part; vectors of different lengths have no cosine and are not
+candidates of each other; with fewer candidates than asked for, all are returned; equal cosines are ordered by vec_id;
+repeated rows are candidates of each other; rows with a null vec_id are ignored; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, with_defaults
 from .vector_dedup import unit, usable
 
-DEGREE, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 24, 400, 4, 4, 8, 7, 75, 512
+DEGREE, BACK, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 32, 24, 1_500, 8, 3, 16, 6, 16, 256
 
 
 def _cosines(u: np.ndarray) -> np.ndarray:
@@ -42,9 +46,13 @@ def _cosines(u: np.ndarray) -> np.ndarray:
     return x
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    """A column of equally long lists without nulls as a matrix."""
-    return column.flatten().to_numpy().reshape(len(column), -1)
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the lists of each length in a column without nulls."""
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, flat[starts[at][:, None] + np.arange(d)]
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
@@ -59,23 +67,27 @@ _LISTS_DDL = "id long, ids binary, sims binary"
 
 def _emit_codes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        if batch.num_rows:
-            u = unit(_rows(batch.column(1))).astype(np.float32)
-            yield arrow(_NODES, batch.column(0), [x.tobytes() for x in u])
+        for at, x in _by_length(batch.column(1)):
+            yield arrow(_NODES, batch.column(0).take(pa.array(at)), [u.tobytes() for u in unit(x).astype(np.float32)])
 
 
-def _emit_blocks(trees: int, bits: int):
-    schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("code", pa.binary())])
+def _emit_blocks(trees: int):
+    """id, code, bits (of its vector length's blocks) -> the block of each round; round ``trees`` is by hash."""
+    schema = pa.schema([("block", pa.int64()), ("d", pa.int32()), ("id", pa.int64()), ("code", pa.binary())])
 
     def run(it):
         for batch in it:
-            if not batch.num_rows:
-                continue
-            x = _cosines(np.stack([np.frombuffer(c, np.float32) for c in batch.column(1).to_pylist()]))
-            for t in range(trees):
-                planes = np.random.default_rng(t).normal(size=(x.shape[1], max(1, bits)))
-                sign = ((x @ planes > 0) * (1 << np.arange(max(1, bits)))).sum(axis=1) if bits else np.zeros(len(x), np.int64)
-                yield arrow(schema, sign * trees + t, batch.column(0), batch.column(1))
+            ids, codes, all_bits = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            sizes = np.array([len(c) // 4 for c in codes])
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                x, bits = _cosines(np.stack([np.frombuffer(codes[i], np.float32) for i in at])), int(all_bits[at[0]])
+                for t in range(trees + 1):
+                    if t < trees:
+                        sign = ((x @ np.random.default_rng(t).normal(size=(d, bits)) > 0) << np.arange(bits)).sum(axis=1)
+                    else:
+                        sign = np.array([xxhash.xxh3_64_intdigest(codes[i]) % 2 ** max(0, bits - 1) for i in at])
+                    yield arrow(schema, sign.astype(np.int64) * (trees + 1) + t, np.full(len(at), d), ids.take(pa.array(at)), [codes[i] for i in at])
 
     return run
 
@@ -106,10 +118,10 @@ def _chunks(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000):
 
 
 def _block_lists(it):
-    """block, part, id, code -> each node's best within its block."""
+    """block, d, part, id, code -> each node's best within its block."""
 
     def rows():
-        for _, group in _groups(it, 2):
+        for _, group in _groups(it, 3):
             if len(group) > 1:
                 ids = np.array([g[0] for g in group])
                 x = _cosines(np.stack([np.frombuffer(g[1], np.float32) for g in group]))
@@ -139,13 +151,14 @@ def _merge_lists(it):
 
 
 def _spread(it):
-    """A node's list -> edges (at, member, floor): it and its neighbours; floor: the member's worst similarity."""
-    schema = pa.schema([("at", pa.int64()), ("to", pa.int64()), ("floor", pa.float64()), ("back", pa.bool_())])
+    """A node's list -> edges (at, to), in both directions."""
+    schema = pa.schema([("at", pa.int64()), ("to", pa.int64()), ("back", pa.bool_())])
     for batch in it:
-        for key, ids, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = np.frombuffer(ids, np.int64)
-            worst = float(np.frombuffer(sims, np.float64).min()) if len(n) >= DEGREE else -2.0
-            yield arrow(schema, np.concatenate([np.full(len(n), key), n]), np.concatenate([n, np.full(len(n), key)]), np.full(2 * len(n), worst), np.repeat([False, True], len(n)))
+        keys = batch.column(0).to_numpy()
+        lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if lists:
+            own, named = np.repeat(keys, [len(x) for x in lists]), np.concatenate(lists)
+            yield arrow(schema, np.concatenate([own, named]), np.concatenate([named, own]), np.repeat([False, True], len(own)))
 
 
 def _meet(it):
@@ -171,36 +184,40 @@ def _meet(it):
 
 
 def _gather(lists: DataFrame, parts: int) -> DataFrame:
-    return lists.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge_lists, _LISTS_DDL)
+    """One list per id; merged within each task before they travel."""
+    merged = lists.sortWithinPartitions("id").mapInArrow(_merge_lists, _LISTS_DDL)
+    return merged.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge_lists, _LISTS_DDL)
 
 
 def build_graph(nodes: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """nodes(id, code) -> (id, ids, sims): DEGREE near nodes of each, as packed long and double arrays."""
-    total = nodes.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / BLOCK))))
-    blocks = nodes.mapInArrow(_emit_blocks(TREES, bits), "block long, id long, code binary")
+    size = F.octet_length("code")
+    lengths = nodes.groupBy(size.alias("n")).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("bits"))
+    blocks = nodes.join(lengths, size == F.col("n")).select("id", "code", "bits").mapInArrow(_emit_blocks(TREES), "block long, d int, id long, code binary")
     # A block that came out large is cut by hash: this is only a start.
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    blocks = blocks.join(sizes, "block").select("block", F.pmod(F.xxhash64("id", "block"), F.ceil(F.col("size") / (2 * BLOCK))).alias("part"), "id", "code")
-    start = blocks.repartition(parts, "block", "part").sortWithinPartitions("block", "part").mapInArrow(_block_lists, _LISTS_DDL)
+    sizes = blocks.groupBy("block", "d").agg(F.count("*").alias("size"))
+    blocks = blocks.join(sizes, ["block", "d"]).select("block", "d", F.pmod(F.xxhash64("id", "block"), F.ceil(F.col("size") / (2 * BLOCK))).alias("part"), "id", "code")
+    start = blocks.repartition(parts, "block", "d", "part").sortWithinPartitions("block", "d", "part").mapInArrow(_block_lists, _LISTS_DDL)
     graph = scratch.keep(_gather(start, parts), "graph-0")
-    if bits == 0:
-        return graph  # one block: exact already
     for i in range(1, ROUNDS + 1):
-        edges = graph.mapInArrow(_spread, "at long, to long, floor double, back boolean")
-        # Forward edges bring (neighbour) to the node; reverse ones, a hashed choice of those that name it.
-        ahead = edges.where("not back").select("at", F.col("to").alias("id"))
-        turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to", F.lit(i)), "to")
-        behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= DEGREE).select("at", F.col("to").alias("id"))
+        ahead, behind = _edges(graph, i)
         floors = graph.select("id", F.expr(f"length(ids) >= {8 * DEGREE}").alias("full"), "sims").mapInArrow(_floors, "id long, floor double")
         carried = floors.join(nodes, "id")
-        met = ahead.unionByName(behind).join(carried, "id").select("at", "id", "floor", "code")
+        met = ahead.unionByName(behind).withColumnRenamed("to", "id").join(carried, "id").select("at", "id", "floor", "code")
         found = met.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_meet, _LISTS_DDL)
         graph = scratch.keep(_gather(graph.unionByName(found), parts), f"graph-{i}")
         scratch.drop(f"graph-{i - 1}")
     return graph
 
 
+def _edges(graph: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(at, to) ahead: a node's neighbours; behind: a hashed choice of BACK of those that name it."""
+    edges = graph.mapInArrow(_spread, "at long, to long, back boolean")
+    turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to", F.lit(seed)), "to")
+    behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= BACK)
+    return edges.where("not back").select("at", "to"), behind.select("at", "to")
+
+
 def _floors(it):
     schema = pa.schema([("id", pa.int64()), ("floor", pa.float64())])
     for batch in it:
@@ -208,63 +225,62 @@ def _floors(it):
         yield arrow(schema, batch.column(0), out)
 
 
-_STATE = "q long, code binary, ids binary, sims binary, opened binary"
-_STATE_SCHEMA = pa.schema([("q", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("opened", pa.binary())])
+_STATE = "q long, code binary, ids binary, sims binary, opened binary, want array<long>"
+_STATE_SCHEMA = pa.schema([("q", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("sims", pa.binary()), ("opened", pa.binary()), ("want", pa.list_(pa.int64()))])
 
 
 def _open_nearest(it):
-    """State -> (q, node): the nearest unopened nodes of each query's list."""
-    schema = pa.schema([("node", pa.int64()), ("q", pa.int64()), ("code", pa.binary())])
+    """State -> (node, q): the nearest unopened nodes of each query's list."""
+    schema = pa.schema([("node", pa.int64()), ("q", pa.int64())])
 
     def rows():
         for batch in it:
-            for q, code, ids, _, opened in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q, ids, opened in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fresh = np.frombuffer(ids, np.int64)[~np.frombuffer(opened, np.bool_)]
                 for node in fresh[:OPEN].tolist():
-                    yield node, q, code
+                    yield node, q
 
     return _chunks(rows(), schema)
 
 
-def _measure(it):
-    """q, query's code, neighbours' ids and codes -> (q, node ids, similarities)."""
-    schema = pa.schema([("q", pa.int64()), ("ids", pa.binary()), ("sims", pa.binary())])
+def _pack_neighbours(it):
+    """at-sorted edges -> (node, ids)."""
+    schema = pa.schema([("node", pa.int64()), ("ids", pa.binary())])
+    return _chunks(((key, np.unique(np.array([g[0] for g in group], np.int64)).tobytes()) for (key,), group in _groups(it, 1)), schema)
+
+
+def _ask(it):
+    """q-sorted: state rows and opened nodes' neighbours (null code) -> the state, with the ids it does not list yet."""
 
     def rows():
-        for batch in it:
-            for q, code, ids, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = _cosines(np.frombuffer(codes, np.float32).reshape(-1, len(code) // 4))
-                yield q, ids, (x @ _cosines(np.frombuffer(code, np.float32)[None])[0]).tobytes()
+        for (q,), group in _groups(it, 1):
+            code, ids, sims, opened = next(g for g in group if g[0] is not None)[:4]
+            marks = np.frombuffer(opened, np.bool_).copy()
+            marks[np.flatnonzero(~marks)[:OPEN]] = True
+            more = [np.frombuffer(g[1], np.int64) for g in group if g[0] is None]
+            want = np.setdiff1d(np.concatenate(more), np.append(np.frombuffer(ids, np.int64), q)) if more else np.empty(0, np.int64)
+            yield q, code, ids, sims, marks.tobytes(), want.tolist()
 
-    return _chunks(rows(), schema)
+    return _chunks(rows(), _STATE_SCHEMA, 500)
 
 
 def _advance(it):
-    """q-sorted: state rows and found rows (null code) -> the new state; what was opened last is marked so."""
+    """q-sorted: state rows (null id) and wanted nodes with their vectors -> the new state."""
 
     def rows():
         for (q,), group in _groups(it, 1):
-            state = next((g for g in group if g[0] is not None), None)
-            if state is None:
-                continue
-            ids, sims, opened = np.frombuffer(state[1], np.int64), np.frombuffer(state[2], np.float64), np.frombuffer(state[3], np.bool_).copy()
-            opened[np.flatnonzero(~opened)[:OPEN]] = True
-            more = [g for g in group if g[0] is None]
-            ids = np.concatenate([ids, *(np.frombuffer(g[1], np.int64) for g in more)])
-            sims = np.concatenate([sims, *(np.frombuffer(g[2], np.float64) for g in more)])
-            opened = np.concatenate([opened, np.zeros(len(ids) - len(opened), np.bool_)])
-            first = np.unique(ids, return_index=True)[1]  # what the state has comes first, so its marks stay
-            ids, sims, opened = ids[first], sims[first], opened[first]
+            code, ids, sims, opened = next(g for g in group if g[4] is None)[:4]
+            more = [g for g in group if g[4] is not None]
+            ids, sims, opened = np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float64), np.frombuffer(opened, np.bool_)
+            if more:
+                x = _cosines(np.stack([np.frombuffer(g[0], np.float32) for g in more]))
+                ids = np.concatenate([ids, [g[4] for g in more]])
+                sims = np.concatenate([sims, x @ _cosines(np.frombuffer(code, np.float32)[None])[0]])
+                opened = np.concatenate([opened, np.zeros(len(more), np.bool_)])
             top = np.argsort(-sims, kind="stable")[:LIST]
-            yield q, state[0], ids[top].tobytes(), sims[top].tobytes(), opened[top].tobytes()
+            yield q, code, ids[top].tobytes(), sims[top].tobytes(), opened[top].tobytes(), []
 
-    return _chunks(rows(), _STATE_SCHEMA)
-
-
-def _pack_neighbours(it):
-    """id-sorted (id, neighbour, code) -> (id, ids, codes)."""
-    schema = pa.schema([("node", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary())])
-    return _chunks(((key, np.array([g[0] for g in group], np.int64).tobytes(), b"".join(g[1] for g in group)) for (key,), group in _groups(it, 1)), schema, 500)
+    return _chunks(rows(), _STATE_SCHEMA, 500)
 
 
 def _first_state(it):
@@ -272,38 +288,38 @@ def _first_state(it):
         for batch in it:
             for q, code, ids, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 order = np.argsort(-np.frombuffer(sims, np.float64), kind="stable")
-                i, s = np.append(np.frombuffer(ids, np.int64)[order], q), np.append(np.frombuffer(sims, np.float64)[order], -2.0)
-                yield q, code, i.tobytes(), s.tobytes(), np.append(np.zeros(len(order), np.bool_), True).tobytes()
+                yield q, code, np.frombuffer(ids, np.int64)[order].tobytes(), np.frombuffer(sims, np.float64)[order].tobytes(), np.zeros(len(order), np.bool_).tobytes(), []
 
     return _chunks(rows(), _STATE_SCHEMA)
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """queries(id): nodes to search for -> (q, id): all nodes of each list."""
-    edges = graph.mapInArrow(_spread, "at long, to long, floor double, back boolean")
-    # A node leads to its neighbours and to a hashed choice of those that name it.
-    turn = Window.partitionBy("at").orderBy(F.xxhash64("at", "to"), "to")
-    behind = edges.where("back").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= DEGREE).select("at", "to")
-    unpacked = edges.where("not back").select("at", "to").unionByName(behind).distinct().select(F.col("at").alias("own"), F.col("to").alias("id"))
-    inlined = unpacked.join(nodes, "id").select("own", "id", "code").repartition(parts, "own").sortWithinPartitions("own")
-    # In buckets by node, the graph stays where it is while the hops come to it.
-    inlined = scratch.keep_bucketed(inlined.mapInArrow(_pack_neighbours, "node long, ids binary, codes binary"), "inlined", None, "node", parts)
+    ahead, behind = _edges(graph, 0)
+    paths = ahead.unionByName(behind).repartition(parts, "at").sortWithinPartitions("at")
+    paths = scratch.keep(paths.mapInArrow(_pack_neighbours, "node long, ids binary"), "paths")
     state = queries.join(nodes, "id").join(graph, "id").select(F.col("id").alias("q"), "code", "ids", "sims").mapInArrow(_first_state, _STATE)
     state = scratch.keep(state, "state-0")
+    null = lambda kind: F.lit(None).cast(kind)
     for i in range(1, HOPS + 1):
-        frontier = state.mapInArrow(_open_nearest, "node long, q long, code binary")
-        found = frontier.join(inlined, "node").select("q", "code", "ids", "codes").mapInArrow(_measure, "q long, ids binary, sims binary")
-        found = found.select("q", F.lit(None).cast("binary").alias("code"), "ids", "sims", F.lit(None).cast("binary").alias("opened"))
-        both = state.unionByName(found).repartition(parts, "q").sortWithinPartitions("q")
+        frontier = state.select("q", "ids", "opened").mapInArrow(_open_nearest, "node long, q long")
+        found = frontier.join(paths, "node").select("q", null("binary").alias("code"), "ids", null("binary").alias("sims"), null("binary").alias("opened"))
+        both = state.select("q", "code", "ids", "sims", "opened").unionByName(found).repartition(parts, "q").sortWithinPartitions("q")
+        asked = scratch.keep(both.mapInArrow(_ask, _STATE), f"asked-{i}")
+        fetched = asked.select("q", F.explode("want").alias("id")).join(nodes, "id").select("q", "code", null("binary").alias("ids"), null("binary").alias("sims"), null("binary").alias("opened"), "id")
+        both = asked.select("q", "code", "ids", "sims", "opened", null("long").alias("id")).unionByName(fetched).repartition(parts, "q").sortWithinPartitions("q")
         state = scratch.keep(both.mapInArrow(_advance, _STATE), f"state-{i}")
-        scratch.drop(f"state-{i - 1}")
-    return state.mapInArrow(_listed, "q long, id long")
+        done = not asked.where(F.size("want") > 0).limit(1).count()
+        scratch.drop(f"state-{i - 1}", f"asked-{i}")
+        if done:
+            break
+    return state.select("q", "ids").mapInArrow(_listed, "q long, id long")
 
 
 def _listed(it):
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64())])
     for batch in it:
-        for q, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for q, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = np.frombuffer(ids, np.int64)
             yield arrow(schema, np.full(len(n), q), n)
 
@@ -312,9 +328,8 @@ def _exact(it):
     """q vector, candidate vector -> cosine in double precision."""
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
     for batch in it:
-        if batch.num_rows:
-            a, b = (unit(_rows(batch.column(i))) for i in (2, 3))
-            yield arrow(schema, batch.column(0), batch.column(1), np.clip((a * b).sum(axis=1), -1.0, 1.0))
+        for (at, x), (_, y) in zip(_by_length(batch.column(2)), _by_length(batch.column(3)), strict=True):
+            yield arrow(schema, *(batch.column(i).take(pa.array(at)) for i in (0, 1)), np.clip((unit(x) * unit(y)).sum(axis=1), -1.0, 1.0))
 
 
 def _direction(vector: str):
@@ -336,12 +351,14 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     spark = vectors.sparkSession
     scratch, parts = Scratch(spark), with_defaults(vectors, spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable() & F.col("vec_id").isNotNull())
-    usual = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
-    if not usual:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == usual[0].d).withColumn("id", F.xxhash64(_direction("embedding")))
+    rows = scratch.keep(rows.withColumn("way", _direction("embedding")), "given")
+    # A class is told by its whole direction, not by a hash of it; its id is a number once it is written.
+    classes = rows.groupBy("way").agg(F.min("embedding").alias("embedding")).withColumn("id", F.monotonically_increasing_id())
+    classes = scratch.keep(classes, "classes")
+    known = classes.select("id", F.col("way").alias("_way"))
+    rows = rows.join(known, (F.xxhash64("way") == F.xxhash64("_way")) & (F.col("way") == F.col("_way"))).select("vec_id", "id")
     rows = scratch.keep(rows, "rows")
-    classes = scratch.keep(rows.groupBy("id").agg(F.min("embedding").alias("embedding")), "classes")
+    scratch.drop("given")
     # Of a class, its k + 1 smallest vec_ids can be results; the window limit is applied before the shuffle, too.
     order = Window.partitionBy("id").orderBy("vec_id")
     members = scratch.keep(rows.select("id", "vec_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("id", "vec_id"), "members")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks, space_cuts
-from .common import Scratch, arrow
+from .common import Scratch, arrow, file_bytes
 
 LENGTH, ROUNDS = 2048, 120
 #: Below this character, letters and digits are the same in all versions of Unicode that the libraries use.
@@ -35,13 +35,13 @@ _SPECIAL = "<|endoftext|>"
 class Ids(dict):
     """Part of a text after a space -> its ids as little-endian 4-byte integers, in a bounded memory."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, most: int = 250_000):
+    def __init__(self, json_file: bytes, ranks_file: bytes, pattern: str, most: int = 250_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.slow = Tokenizer.from_file(json_path)
-        self.fast = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+        self.slow = Tokenizer.from_str(json_file.decode())
+        self.fast = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=read_ranks(ranks_file), special_tokens={})
         self.most = most
 
     def one(self, text: str) -> bytes:
@@ -75,13 +75,13 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def _emit_pieces(json_path: str, ranks_path: str, pattern: str, most: int):
+def _emit_pieces(files, pattern: str, most: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part, seen = None, TaskContext.get().partitionId(), [0] * (most + 1)
         for batch in it:
             rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = ids or Ids(json_path, ranks_path, pattern)
+                ids = ids or Ids(*files.value, pattern)
                 raw = (ids.encode(text) if text else b"") + b"\0\0\0\0"
                 for k, (s, n) in enumerate(cut(len(raw) // 4, most)):
                     rows.append((key, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]), part, seen[n]))
@@ -206,7 +206,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.in
 
 def _assign(table):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(table.value, np.int64).reshape(-1, 5)
+        rows = np.frombuffer(zlib.decompress(table.value), np.int64).reshape(5, -1).T
         keys = rows[:, 0] * 2**48 + rows[:, 1]
         for batch in it:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))
@@ -219,15 +219,20 @@ def _assign(table):
 
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+    """docs(doc_id, text) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
+
+    What is broadcast does not grow without end: the vocabulary, and a table of at most three rows per pattern (under a
+    third of a million patterns for 2048). The pieces' ranks, which grow with the partitions, are joined by sorting.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.keep(keyed.mapInArrow(_emit_pieces(json_path, ranks_path, pattern, length), _DDL), "pieces")
+    files = spark.sparkContext.broadcast((file_bytes(json_path), file_bytes(ranks_path)))
+    pieces = scratch.keep(keyed.mapInArrow(_emit_pieces(files, pattern, length), _DDL), "pieces")
     counts = scratch.keep(pieces.groupBy("length", "part").agg(F.count("*").alias("c")), "counts")
     histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}  # at most `length` rows
-    table = spark.sparkContext.broadcast(places(plan(histogram, length)).tobytes())
+    table = spark.sparkContext.broadcast(zlib.compress(places(plan(histogram, length)).T.tobytes()))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(_assign(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -14,6 +14,7 @@ def test_licenses_as_sql(spark):
     for i, t in enumerate(S.TEMPLATES.values()):
         words = t.split()
         rows += [(100 + i, filler(9) + "\n" + t.upper() + " " + filler(30) + t), (200 + i, t), (300 + i, filler(5) + " " + " ".join(words[: max(3, len(words) * 8 // 10)]) + " " + filler(5)), (400 + i, " ".join(words[len(words) // 2 :]))]
+    rows += [(504, " ".join(f"{filler(r.randint(0, 4))} {S.TEMPLATES['mit-line']}" for _ in range(400)))]
     rows += [(500, None), (501, ""), (502, S.TEMPLATES["mit-line"]), (502, S.TEMPLATES["mit-line"]), (503, filler(20_000) + " " + S.TEMPLATES["gpl-3.0-notice"])]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n int, band int").repartition(3)
     got = sorted(tuple(x) for x in S.scan(df).select("doc_id", "template_id", "containment", "n_windows", "first_word").collect())
@@ -46,3 +47,15 @@ def test_chats_as_sql(spark):
     want = sorted(db.execute(C.ORACLE).fetchall())
     assert got == want and len({c for c, _, _ in got}) == len(got)
     assert C.render(df.limit(0)).collect() == []
+
+
+def test_turns_do_not_run_together(spark):
+    rows = [(1, 0, "a", "b\x1f5\x1fX"), (2, 0, "a\x1f1\x1fb", "X"), (3, 0, "ab", "c"), (4, 0, "a", "bc"), (5, 0, "1:a", "x"), (6, 0, "1", ":ax")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id for r in C.render(df).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_a_long_conversation(spark):
+    rows = [(c, t, "user", f"t{t % 50}") for c, n in ((1, 4000), (2, 3999), (3, 4000), (4, 1)) for t in range(n)] + [(5, t, "user", f"t{(t + 1) % 50}") for t in range(4000)]
+    got = C.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)).collect()
+    assert {(r.conv_id, r.n_turns) for r in got} == {(1, 4000), (5, 4000)}
