@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, with_defaults
 from .vector_dedup import unit, usable
 
-DEGREE, BACK, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 32, 24, 1_500, 8, 3, 16, 6, 16, 256
+DEGREE, BACK, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 32, 24, 1_500, 8, 2, 16, 8, 16, 256
 
 
 def _cosines(u: np.ndarray) -> np.ndarray:
@@ -135,19 +135,37 @@ def _block_lists(it):
     return _chunks(rows(), _LISTS)
 
 
-def _merge_lists(it):
-    """id-sorted lists -> one list per id: its DEGREE best distinct nodes."""
+def _best_of(keys: np.ndarray, ids: list[bytes], sims: list[bytes]) -> tuple[list, list, list]:
+    """Sorted keys with lists -> per key its DEGREE best distinct nodes, all keys at once."""
+    own = np.repeat(np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])), [len(x) // 8 for x in ids])
+    to, sim = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(sims), np.float64)
+    order = np.lexsort((-sim, to, own))
+    own, to, sim = own[order], to[order], sim[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (to[1:] != to[:-1])]) if len(own) else np.empty(0, bool)
+    own, to, sim = own[new], to[new], sim[new]
+    order = np.lexsort((-sim, own))
+    own, to, sim = own[order], to[order], sim[order]
+    starts = np.searchsorted(own, np.arange(int(own[-1]) + 1 if len(own) else 0))
+    ends = np.minimum(np.append(starts[1:], len(own)), starts + DEGREE)
+    cuts = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.unique(keys).tolist(), [to[a:b].tobytes() for a, b in cuts], [sim[a:b].tobytes() for a, b in cuts]
 
-    def rows():
-        for (key,), group in _groups(it, 1):
-            ids = np.concatenate([np.frombuffer(g[0], np.int64) for g in group])
-            sims = np.concatenate([np.frombuffer(g[1], np.float64) for g in group])
-            order = np.argsort(-sims, kind="stable")
-            ids, sims = ids[order], sims[order]
-            first = np.sort(np.unique(ids, return_index=True)[1])[:DEGREE]
-            yield key, ids[first].tobytes(), sims[first].tobytes()
 
-    return _chunks(rows(), _LISTS)
+def _merge_lists(it):
+    """id-sorted lists -> one list per id: its DEGREE best distinct nodes."""
+    keys, ids, sims = np.empty(0, np.int64), [], []
+    for batch in it:
+        keys = np.concatenate([keys, batch.column(0).to_numpy()])
+        ids, sims = ids + batch.column(1).to_pylist(), sims + batch.column(2).to_pylist()
+        if not len(keys):
+            continue
+        # The last id may go on in the next batch; what it has so far is merged, so it stays one list.
+        k, i, s = _best_of(keys, ids, sims)
+        if len(k) > 1:
+            yield arrow(_LISTS, k[:-1], i[:-1], s[:-1])
+        keys, ids, sims = np.array(k[-1:]), i[-1:], s[-1:]
+    if len(keys):
+        yield arrow(_LISTS, keys, ids, sims)
 
 
 def _spread(it):

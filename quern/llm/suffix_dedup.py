@@ -16,7 +16,12 @@ tasks without a global rank. Buckets of one member leave as early as possible:
    agree as a whole (bucket names at their first and last string) repeat as a whole.
 3. The rest is refined in pieces of 16 starts: a piece that agrees as a whole repeats; a piece whose
    common core occurs once leaves.
-4. What remains is refined to single strings, grouped by name.
+4. What remains is refined to single strings: sorted by bucket identifier (depth 100) and the identifier at the later
+   offset (100 on), equal neighbours are one bucket of depth 200.
+
+Refinement is by identifiers throughout, never by bytes: each is the name of a pair of identifiers, of a bucket and of the
+one at a later offset, and sorting (Spark's, on such pairs) brings equal ones together. Two different strings are taken for equal
+only if two independent 64-bit identifiers agree by chance, 1 in 2^128 for a pair: below 1 in 10^10 for a corpus of 10^14 bytes.
 
 Only grouped counts travel, pre-aggregated per task, so copies by the thousand cost one row a task.
 
@@ -176,17 +181,16 @@ def _emit_pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: id, th, text, lists of first starts and counts. Out: each string with two independent names."""
+    """In: id, th, text, lists of first starts and counts. Out: each string with its bucket at half its depth and the one at the later offset."""
     for batch in it:
         parts: list[tuple] = []
         for key, th, raw, (firsts, counts) in _rows(batch):
-            for seg, base, (_, half, whole) in _names_at(raw, firsts):
+            for seg, base, (_, half, _) in _names_at(raw, firsts):
                 pick = (firsts >= seg) & (firsts < seg + SEGMENT)
                 lo, n = firsts[pick].astype(np.int64), counts[pick].astype(np.int64)
                 s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 p = s - base
-                second = mix(mix(half[p + 37], half[p + 100]), half[p])
-                parts.append((np.full(len(s), key), np.full(len(s), th), s, whole[p].view(np.int64), second.view(np.int64)))
+                parts.append((np.full(len(s), key), np.full(len(s), th), s, half[p].view(np.int64), half[p + WIDTH // 2].view(np.int64)))
             if sum(len(p[0]) for p in parts) > 100_000:
                 yield arrow(_STRINGS, *(np.concatenate(c) for c in zip(*parts, strict=True)))
                 parts = []
@@ -222,9 +226,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("stretches")
     found = split.where("kind = 'run'").select("id", "th", "at", "back", F.col("n").cast("short").alias("n"), "gram", "run", "w")
     agreed = split.where("kind = 'span'").select("id", "th", F.col("at").alias("s"), (F.col("n") + F.lit(WIDTH - 1)).cast("int").alias("len"))
-    grams = found.groupBy("gram").agg(F.sum("w").alias("c")).where("c > 1").select("gram")
+    # Written, so that the join has an exchange of its own on both sides, whose hot buckets can be split.
+    grams = scratch.keep(found.groupBy("gram").agg(F.sum("w").alias("c")).where("c > 1").select("gram"), "grams")
     alive = scratch.keep(found.join(grams, "gram", "left_semi"), "alive")
-    scratch.drop("split/kind=run")
+    scratch.drop("split/kind=run", "grams")
     classes = scratch.keep(alive.groupBy("gram", "run").agg(F.sum("w").alias("c"), F.min(F.struct("id", "th", "at", "back", "n")).alias("one")), "classes")
     # Refine where some run of the anchor's bucket stands alone: such runs, and one of each class that agrees.
     mixed = classes.groupBy("gram").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("gram")

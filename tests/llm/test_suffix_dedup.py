@@ -71,3 +71,24 @@ def test_remove_repeats_keeps_columns(spark):
     out = S.remove_repeats(df)
     assert out.columns == df.columns and out.count() == len(rows)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+
+
+def test_repeats_over_a_segment_border(spark):
+    """Passages across the border of two segments of one long text, and long text that repeats itself, as brute force."""
+    r = random.Random(9)
+    letters = "".join(r.choices("abcdefghij ", k=S.SEGMENT + 60_000))
+    at = S.SEGMENT - 150
+    long = letters[: S.SEGMENT + 40_000]
+    rows = [(1, long), (2, "q" + letters[at : at + 300] + "z"), (3, letters[S.SEGMENT - 199 : S.SEGMENT + 1]), (4, letters[S.SEGMENT - 198 : S.SEGMENT + 1]), (5, long[100:700] + "w" + long[100:500]), (6, "abcd" * 3_000 + letters[-300:] * 2)]
+    count = Counter(hash(t[i : i + S.WIDTH]) for _, t in rows for i in range(len(t) - S.WIDTH + 1))
+    want = []
+    for d, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - S.WIDTH + 1):
+            if count[hash(t[i : i + S.WIDTH])] > 1:
+                gone[i : i + S.WIDTH] = b"\1" * S.WIDTH
+        kept = bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        want.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    assert want[0][2] > 0 and want[3][2] == 0
+    assert got(S.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == sorted(want, key=str)

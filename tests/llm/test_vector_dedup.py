@@ -58,3 +58,12 @@ def test_many_lengths(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_pivots_grow_with_the_rows(spark, monkeypatch):
+    assert [V.pivot_count(n) for n in (0, 51_000, 10**6, 10**9, 10**12)] == [64, 66, 289, 8192, 8192]
+    assert [V.listed(p) for p in (1, 5, 64, 256, 1024, 4096)] == [1, 5, 6, 7, 8, 9]
+    monkeypatch.setattr(V, "PER_LIST", 0.05)
+    assert V.pivot_count(300) > 64
+    rows = fixture()
+    assert run(spark, rows) == brute(rows)
