@@ -4,20 +4,23 @@ A document is the set of its distinct k-word shingles; two link when
 ``100 * |intersection| >= threshold * |union|``. Result: component labels; links between equal
 sets are implied by their shared class, so copies are never expanded into pairs.
 
-1. Equal sets collapse to a class (128-bit name, pre-aggregated per task).
-2. Inverted lists. A linked pair shares at least ``share`` of the first ``n - T + share`` shingles of either set under
-   any common order (T: least overlap a partner needs). Long lists come last in that order, so they are skipped
-   here exactly as DivideSkip sets long lists aside; a sample only chooses which lists are treated as long,
-   which moves cost, never the result.
-   * Short lists: occurrence counts per pair of classes, kept at ``share`` or more.
-   * Classes with too few short lists keep long ones; each long list ties its members to its least member.
-   Both only build candidate groups; nothing is linked yet.
-3. Each candidate group is searched exactly: short lists are merged into occurrence counts, candidates
-   that reach ``T - L`` are probed by binary search in the L long lists, and the overlap decides. Groups above
-   ``chunk`` classes are dealt out as chunk pairs, so that no task holds more than two chunks.
-4. Components over the links found.
-
-Merging counts occurrences with vectorised counting instead of a binary heap; the counts are the same.
+1. Equal sets collapse to a class (told by 128 bits, pre-aggregated per task).
+2. Leaders. Classes with the same least shingle are verified against the first of them only: linear work, which joins
+   most of a large group of near-copies. Linked classes are one node from here on, so what follows looks for links
+   between different nodes.
+3. Inverted lists of nodes. With T the least overlap a class needs, a linked pair shares at least ``SHARE`` of the first
+   ``n - T + SHARE`` shingles of either set in a common order (or all that must be shared, if fewer). As in DivideSkip, lists
+   of more than ``MOST`` nodes (counted exactly) are long and set aside; short ones are joined and occurrences counted per
+   pair of nodes. A pair is a candidate if its count reaches what it must share less what may be hidden in long lists.
+   Nodes for which long lists may hide all of it are listed again in another order, all their shingles, long ones last;
+   what even then keeps long lists is tied to the first node of each.
+4. Candidates form groups; each group is searched exactly by DivideSkip: of a query's inverted lists, the longest are set aside,
+   the others merged with a heap that skips what cannot reach T - L, and candidates are probed by binary search for the long
+   ones. The group's largest node asks nothing, for its members are linked already; groups are dealt out in chunks of at most
+   ``CHUNK`` classes and ``SHINGLES`` shingles, the largest node's against the others'.
+5. Components over the links found.
+
+The order, MOST, CHUNK and SHARE move cost, never the result.
 
 Defined cases: null or wordless text has the empty set, n_shingles 0, and is its own component; fewer than k
 words are one shingle; repeated rows share a class; a null doc_id gets the smallest non-null doc_id of its
@@ -26,6 +29,10 @@ component (null if it has none, or if its own set is empty); further columns are
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +45,7 @@ from .common import Scratch, arrow, with_defaults
 from .components import connected_components
 from .fingerprint import WordHashes, shingle_hashes
 
-SHARE, CHUNK, SAMPLE, LONG, MOST_LONG = 5, 1_500, 10_000, 0.001, 200_000
+SHARE, MOST, CHUNK, SHINGLES = 8, 300, 400, 1_000_000
 _MEMO = WordHashes()
 
 
@@ -52,12 +59,11 @@ def least_overlap(n: int, threshold: int) -> int:
     return -(-n * threshold // 100)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("short", pa.list_(pa.int64())), ("long", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.list_(pa.int64()))])
 
 
-def _emit_sets(k: int, threshold: int, share: int, long_lists):
+def _emit_sets(k: int, threshold: int, share: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(long_lists.value, np.uint64)
         for batch in it:
             rows = []
             for key, th, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -65,44 +71,25 @@ def _emit_sets(k: int, threshold: int, share: int, long_lists):
                 n = len(s)
                 name = xxhash.xxh3_128_digest(s.tobytes()) if n else b"\0" * 16
                 h1, h2 = (int.from_bytes(x, "little", signed=True) for x in (name[:8], name[8:]))
-                want = min(n, n - least_overlap(n, threshold) + share)
-                if len(frequent) and n:
-                    last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    short, long = s[~last][:want], s[last]
-                else:
-                    short, long = s[:want], s[:0]
-                rows.append((key, th, n, h1, h2, short.view(np.int64), long[: want - len(short)].view(np.int64)))
+                rows.append((key, th, n, h1, h2, s[: n - least_overlap(n, threshold) + share].view(np.int64)))
             if rows:
                 yield arrow(_SETS, *zip(*rows, strict=True))
 
     return run
 
 
-def _emit_sample(k: int):
-    schema = pa.schema([("h", pa.int64()), ("s", pa.list_(pa.int64()))])
+def _emit_all(k: int):
+    """id, text -> id, all shingles."""
+    schema = pa.schema([("id", pa.int64()), ("t", pa.list_(pa.int64()))])
 
     def run(it):
         for batch in it:
-            sets = [shingle_set(raw, k) for raw in batch.column(0).to_pylist()]
-            yield arrow(schema, [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], [s.view(np.int64) for s in sets])
+            if batch.num_rows:
+                yield arrow(schema, batch.column(0), [shingle_set(x, k).view(np.int64) for x in batch.column(1).to_pylist()])
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> bytes:
-    """Shingles in at least LONG of a sample of about SAMPLE documents: at most MOST_LONG 64-bit names, sorted."""
-    total = docs.count()
-    if not total:
-        return b""
-    rate = min(1.0, SAMPLE / total)
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
-    sets = part.select("text").mapInArrow(_emit_sample(k), "h long, s array<long>").dropDuplicates(["h"])
-    least = max(8, int(LONG * total * rate))
-    found = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    rows = found.orderBy(F.desc("c"), "t").limit(MOST_LONG).select("t").collect()
-    return np.sort(np.array([r.t for r in rows], np.int64).view(np.uint64)).tobytes()
-
-
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -117,132 +104,222 @@ class _Union:
         self.up[max(x, y)] = min(x, y)
 
 
-def t_occurrence(sets: list[np.ndarray], first: int, threshold: int) -> list[int]:
-    """Least index linked to each set. Index: sets[:first]; queries: sets[first:], or all sets if first is 0.
-
-    DivideSkip: of a query's inverted lists, the L longest are set aside, the others merged into counts;
-    who reaches T - L there is probed in the long ones by binary search.
-    """
-    n = np.array([len(s) for s in sets])
-    indexed = first or len(sets)
-    tokens = np.concatenate(sets[:indexed])
-    owner = np.repeat(np.arange(indexed), n[:indexed])
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(member, count) of the members of at least ``least`` of the ascending lists, by a heap of their heads."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        now, popped = heap[0][0], []
+        while heap and heap[0][0] == now:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            yield now, len(popped)
+            target = now + 1
+        else:  # so many heads more can be passed over that no member before the next one has enough
+            while heap and len(popped) < least - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                return
+            target = heap[0][0]
+        for _, i, at in popped:
+            x = lists[i]
+            at = bisect_left(x, target, at)
+            if at < len(x):
+                heapq.heappush(heap, (x[at], i, at))
+
+
+def t_occurrence(sets: list[np.ndarray], nodes: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Pairs of indices that link sets of different nodes; enough of them to connect what is linked. All sets are indexed,
+    all but those of the commonest node ask."""
+    usual = Counter(nodes).most_common(1)[0][0]
+    ask = [q for q, x in enumerate(nodes) if x != usual]
+    if not ask:
+        return []
+    n = [len(s) for s in sets]
+    union, first = _Union(len(sets)), {}
+    for i, x in enumerate(nodes):
+        union.join(first.setdefault(x, i), i)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     names, starts, lengths = np.unique(tokens, return_index=True, return_counts=True)
-    union = _Union(len(sets))
-    for q in range(first, len(sets)):
+    out = []
+    for q in ask:
         s = sets[q]
         at = np.searchsorted(names, s)
-        at[at == len(names)] = 0
-        at = at[names[at] == s]
         need = least_overlap(len(s), threshold)
-        if len(at) < need:
-            continue
-        by_length = at[np.argsort(lengths[at], kind="stable")]
-        aside = need - max(1, need // 8)  # L: the longest lists that are probed, not merged
-        short, long = by_length[: len(by_length) - aside], by_length[len(by_length) - aside :]
-        m = lengths[short]
-        flat = np.repeat(starts[short] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-        counts = np.bincount(owner[flat], minlength=indexed)
-        can = np.flatnonzero(counts >= need - aside)
-        if not first:
-            can = can[can < q]
-        can = can[(100 * np.minimum(n[can], len(s)) >= threshold * np.maximum(n[can], len(s)))]
-        rest = s[np.searchsorted(s, names[long])]
-        for c in can.tolist():
-            if union.find(c) == union.find(q):
+        at = at[np.argsort(lengths[at], kind="stable")]
+        # L, by DivideSkip's rule: the longer the longest list, the more merging costs against probing.
+        aside = min(need - 1, int(need / (0.01 * math.log2(max(2, int(lengths[at[-1]]))) + 1)))
+        cut = len(at) - aside
+        lists = [owner[starts[i] : starts[i] + lengths[i]].tolist() for i in at[:cut].tolist() if lengths[i] > 1]
+        rest = np.sort(names[at[cut:]])
+        for c, count in merge_skip(lists, need - aside):
+            if c == q or 100 * min(n[c], n[q]) < threshold * max(n[c], n[q]) or union.find(c) == union.find(q):
                 continue
             y = sets[c]
             pos = np.searchsorted(y, rest)
             pos[pos == len(y)] = 0
-            both = int(counts[c]) + int((y[pos] == rest).sum())
+            both = count + int((y[pos] == rest).sum())
             if 100 * both >= threshold * (len(y) + len(s) - both):
                 union.join(c, q)
-    return [union.find(i) for i in range(len(sets))]
+                out.append((c, q))
+    return out
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _search_groups(k: int, threshold: int):
-    """In, sorted by group: grp, i, j, side, id, text. Out: links that connect what the group links."""
+    """In, sorted by group: grp, i, j, id, node, text. Out: links that connect what the group links."""
 
-    def solve(rows: dict[tuple[int, int], bytes]) -> tuple[list[int], list[int]]:
-        keys = sorted(rows, key=lambda x: (x[0], x[1]))
-        first = sum(1 for side, _ in keys if side == 0) if any(side for side, _ in keys) else 0
-        least = t_occurrence([shingle_set(rows[x], k) for x in keys], first, threshold)
-        out = [(keys[i][1], keys[u][1]) for i, u in enumerate(least) if i != u]
-        return [a for a, _ in out], [b for _, b in out]
+    def solve(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+        if len({x for x, _ in rows.values()}) < 2:
+            return []
+        ids = sorted(rows)
+        found = t_occurrence([shingle_set(rows[x][1], k) for x in ids], [rows[x][0] for x in ids], threshold)
+        return [(ids[a], ids[b]) for a, b in found]
 
     def run(it):
-        now, rows = None, {}
-        a, b = [], []
+        now, rows, out = None, {}, []
         for batch in it:
-            for grp, i, j, side, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, i, j, ident, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, i, j) != now:
-                    if len(rows) > 1:
-                        x, y = solve(rows)
-                        a, b = a + x, b + y
+                    out += solve(rows)
                     now, rows = (grp, i, j), {}
-                rows[side, key] = raw
-            if a:
-                yield arrow(_LINKS, a, b)
-                a, b = [], []
-        if len(rows) > 1:
-            yield arrow(_LINKS, *solve(rows))
+                rows[ident] = (node, raw)
+            if out:
+                yield arrow(_LINKS, *zip(*out, strict=True))
+                out = []
+        out += solve(rows)
+        if out:
+            yield arrow(_LINKS, *zip(*out, strict=True))
 
     return run
 
 
+def _search(tasks: DataFrame, keyed: DataFrame, k: int, threshold: int, parts: int) -> DataFrame:
+    """tasks(grp, i, j, id, node, one) -> links(a, b). Texts of each class's first document join their tasks."""
+    t = tasks.select("grp", "i", "j", "id", "node", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+    texts = keyed.join(t, keyed["doc_id"].eqNullSafe(t["_doc"]) & (keyed["th"] == t["_th"])).select("grp", "i", "j", "id", "node", "text")
+    texts = texts.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return texts.mapInArrow(_search_groups(k, threshold), "a long, b long")
+
+
+def _counted(post: DataFrame, threshold: int) -> DataFrame:
+    """post(t, node, lo, hi) -> (a, b, c, need): pairs of nodes that share lists, how many, and how many a linked pair shares."""
+    x, y = (post.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("node", "lo", "hi")]) for s in "xy")
+    fits = (F.col("nodex") < F.col("nodey")) & (F.col("hix") * 100 >= F.col("loy") * threshold) & (F.col("hiy") * 100 >= F.col("lox") * threshold)
+    pairs = x.join(y, "t").where(fits).groupBy("nodex", "nodey").agg(F.count("*").alias("c"), F.min(F.greatest("lox", "loy")).alias("n"))
+    return pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), "c", F.least(F.lit(SHARE), F.ceil(F.col("n") * threshold / 100)).alias("need"))
+
+
+def _candidates(post: DataFrame, hidden: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of the pairs whose count, with what long lists may hide (hidden: node, l), reaches what they must share."""
+    pairs = _counted(post, threshold)
+    at = lambda c, d: hidden.select(F.col("node").alias(c), F.col("l").alias(d))
+    maybe = pairs.where("c < need").join(at("a", "la"), "a").join(at("b", "lb"), "b").where(F.col("c") + F.least("la", "lb") >= F.col("need"))
+    return pairs.where("c >= need").select("a", "b").unionByName(maybe.select("a", "b"))
+
+
+def _postings(rows: DataFrame, lists: str) -> DataFrame:
+    """rows(node, n, alone, lists) -> (t, node, lo, hi): a node is once in each list, with its least and greatest n."""
+    flat = lambda keep: rows.where(keep).select(F.explode(lists).alias("t"), "node", "n")
+    single = flat(F.col("alone")).select("t", "node", F.col("n").alias("lo"), F.col("n").alias("hi"))
+    return single.unionByName(flat(~F.col("alone")).groupBy("t", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+
+
 def components(docs: DataFrame, k: int = 3, threshold: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id), one row per row of docs."""
+    return _labelled(docs, k, threshold, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -> DataFrame:
+    """components() with th, the text's hash, and comp, the number of the component (null: an empty set)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     parts = with_defaults(docs, spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.cast("binary").alias("text"))
-    long_lists = spark.sparkContext.broadcast(frequent_shingles(keyed, k))
-    sets = scratch.keep(keyed.mapInArrow(_emit_sets(k, threshold, SHARE, long_lists), "doc_id long, th long, n long, h1 long, h2 long, short array<long>, long array<long>"), "sets")
-    classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("long").alias("long"))
-    classes = scratch.keep(classes.withColumnRenamed("h1", "id"), "classes")
-
-    lists = classes.select(F.explode("short").alias("t"), "id", "n")
-    x, y = (lists.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n")]) for s in "xy")
-    fits = (F.col("idx") < F.col("idy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * threshold)
-    need = F.least(F.lit(SHARE), F.ceil(F.greatest("nx", "ny") * threshold / 100))
-    pairs = x.join(y, "t").where(fits).groupBy("idx", "idy").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    hot = classes.where(F.size("long") > 0).select("id")
-    pairs = pairs.withColumn("need", need).select("idx", "idy", "c", "need")
-    # Two classes that both keep long lists may share their first shingles there: those lists decide.
-    near = pairs.where(F.col("c") >= F.col("need")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    ties = classes.select(F.explode("long").alias("t"), "id")
-    both = pairs.where(F.col("c") < F.col("need")).join(hot.withColumnRenamed("id", "idx"), "idx", "left_semi").join(hot.withColumnRenamed("id", "idy"), "idy", "left_semi").select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    least = ties.groupBy("t").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").select("t", "b")
-    tied = ties.join(least, "t").select(F.col("id").alias("a"), "b")
-    groups = connected_components(near.unionByName(both).unionByName(tied), scratch, "groups")
-
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    members = classes.select(F.col("id").alias("node"), "one").join(groups, "node").join(sizes, "comp")
-    many = F.ceil(F.col("size") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64(F.col("node"), F.lit(1)), many).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    members = members.select(F.col("comp").alias("grp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("node").alias("id"), F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
-    # The texts of each class's first document, once for each chunk pair it takes part in.
-    texts = keyed.join(members, keyed["doc_id"].eqNullSafe(members["doc_id"]) & (keyed["th"] == members["th"])).select("grp", "i", "j", "side", "id", "text")
-    texts = texts.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    links = texts.mapInArrow(_search_groups(k, threshold), "a long, b long")
+    sets = scratch.keep(keyed.mapInArrow(_emit_sets(k, threshold, SHARE), "doc_id long, th long, n long, h1 long, h2 long, first array<long>"), "sets")
+    classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("first").alias("first"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    # Leaders: each class against the first one with its least shingle.
+    led = classes.select("id", "one", F.col("first")[0].alias("grp"))
+    heads = led.groupBy("grp").agg(F.min("id").alias("head"), F.min_by("one", "id").alias("first_one"), F.count("*").alias("size")).where("size > 1")
+    led = led.join(heads, "grp").withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).cast("int"))
+    spread = heads.select("grp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("i"), F.lit(0).alias("j"), F.col("head").alias("id"), F.lit(0).cast("long").alias("node"), F.col("first_one").alias("one"))
+    # To its own chunk a class comes as one of the commonest node (1), the leader as another that alone asks.
+    tasks = led.where("id <> head").select("grp", "i", F.lit(0).alias("j"), "id", F.lit(1).cast("long").alias("node"), "one").unionByName(spread)
+    near = scratch.keep(_search(tasks, keyed, k, threshold, parts), "near")
+    comps = connected_components(near, scratch, "leaders")
+
+    rows = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "one", "n", "first", F.coalesce("comp", "id").alias("node"), F.col("comp").isNull().alias("alone"))
+    rows = scratch.keep(rows, "nodes")
+    post = _postings(rows, "first")
+    long = scratch.keep(post.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t"), "long")
+    hidden = post.join(long, "t", "left_semi").groupBy("node").agg(F.count("*").alias("l"), F.min("lo").alias("lo"))
+    hidden = scratch.keep(hidden, "hidden")
+    found = _candidates(post.join(long, "t", "left_anti"), hidden, threshold)
+
+    # Nodes whose long lists may hide all they share with a partner: all shingles, long lists last.
+    hot = hidden.where(F.col("l") >= F.least(F.lit(SHARE), F.ceil(F.col("lo") * threshold / 100))).select("node")
+    again = rows.join(hot, "node", "left_semi").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+    texts = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_doc"]) & (keyed["th"] == again["_th"])).groupBy("id").agg(F.first("text").alias("text"))
+    each = texts.mapInArrow(_emit_all(k), "id long, t array<long>").select("id", F.explode("t").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
+    # Shingles are ordered as unsigned numbers.
+    order = F.struct(F.coalesce("long", F.lit(False)).alias("long"), (F.col("t") < 0).alias("high"), "t")
+    listed = each.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("l"))
+    want = F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE
+    first = F.slice("l", F.lit(1), want.cast("int"))
+    listed = listed.join(again.select("id", "node", "n", "alone"), "id").withColumn("l", first)
+    listed = listed.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
+    listed = scratch.keep(listed, "again")
+    kept = _postings(listed, "kept")
+    still = scratch.keep(kept.groupBy("node").agg(F.count("*").alias("l")), "still")
+    found = found.unionByName(_candidates(_postings(listed, "short"), still, threshold))
+    tied = kept.join(kept.groupBy("t").agg(F.min("node").alias("b")), "t").select(F.col("node").alias("a"), "b")
+    groups = connected_components(found.unionByName(tied), scratch, "groups")
+
+    # Largest node of each group; its classes in chunks against those of the others, and the others among themselves.
+    members = rows.select("id", "one", "n", "node").join(groups, "node").withColumnRenamed("comp", "grp")
+    sizes = members.groupBy("grp", "node").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = sizes.groupBy("grp").agg(F.max(F.struct("c", "s", "node")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    chunks = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / SHINGLES)).cast("int")
+    whole = whole.select("grp", F.col("top.node").alias("top"), chunks(F.col("top.c"), F.col("top.s")).alias("big"), chunks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rest")).where("rest > 0")
+    dealt = members.join(whole, "grp").withColumn("main", F.col("node") == F.col("top"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("main"), F.col("big")).otherwise(F.col("rest"))).cast("int")
+    last = F.when(F.col("main"), F.col("rest")).otherwise(F.col("big") + F.col("rest")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), last)))
+    other = F.col("big") + F.col("own")
+    i = F.when(F.col("main"), F.col("own")).when(F.col("c") < F.col("big"), F.col("c")).otherwise(F.least("c", other))
+    j = F.when(F.col("main"), F.col("big") + F.col("c")).when(F.col("c") < F.col("big"), other).otherwise(F.greatest("c", other))
+    tasks = dealt.select("grp", i.alias("i"), j.alias("j"), "id", "node", "one")
+    links = _search(tasks, keyed, k, threshold, parts).unionByName(near)
     comps = connected_components(links, scratch, "links")
 
-    labels = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "h2", "least", F.coalesce("comp", "id").alias("comp"))
+    labels = classes.join(comps, classes["id"] == comps["node"], "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
     lowest = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
-    labels = labels.join(lowest, "comp").select(F.col("id").alias("h1"), "h2", "component_id")
-    out = sets.select("doc_id", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = labels.join(lowest, "comp").select("h1", "h2", "comp", "component_id")
+    out = sets.select("doc_id", "th", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
+    scratch.drop("nodes", "near", "long", "hidden", "again", "still")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; empty sets and null ids stay as they are."""
-    comps = components(docs.select("doc_id", "text"), k, threshold)
-    gone = comps.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: of the smallest doc_id (nulls last) and text hash, and of rows that agree in both
+    the least one. Rows of empty sets all stay. doc_ids need not be unique; columns must be of types that can be ordered."""
+    rows = _labelled(docs.select("doc_id", "text"), k, threshold, "doc_id", "text")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    grouped = rows.where("comp is not null")
+    chosen = grouped.groupBy("comp").agg(F.min(place).alias("p")).select("p.doc_id", "p.th").withColumn("kept", F.lit(True))
+    many = grouped.groupBy("doc_id", "th").agg(F.count("*").alias("many"))
+    marks = many.join(chosen, many["doc_id"].eqNullSafe(chosen["doc_id"]) & (many["th"] == chosen["th"])).select(many["doc_id"].alias("_doc"), many["th"].alias("_th"), "many")
+    empty = rows.where("comp is null").select("doc_id", "th").distinct().select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.lit(1).cast("long").alias("many"))
+    marks = marks.unionByName(empty)
+    here = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = here.join(marks, here["_id"].eqNullSafe(marks["_doc"]) & (here["_hash"] == marks["_th"]))
+    alone = kept.where("many = 1").select(*docs.columns)
+    repeated = kept.where("many > 1").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return alone.unionByName(repeated.select("r.*"))

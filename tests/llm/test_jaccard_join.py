@@ -54,11 +54,58 @@ def test_as_brute_force(spark):
 
 
 def test_long_lists_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(J, "LONG", 0.02)
+    monkeypatch.setattr(J, "MOST", 4)
     monkeypatch.setattr(J, "CHUNK", 12)
     check(spark, fixture(5, 90), 3, 90)
+    monkeypatch.setattr(J, "SHINGLES", 300)
+    monkeypatch.setattr(J, "SHARE", 3)
     check(spark, fixture(6, 40), 5, 80)
 
 
+def test_texts_made_of_common_passages(spark, monkeypatch):
+    """All lists long, and hidden links among them: templates with few words changed, chains, and unlike texts."""
+    monkeypatch.setattr(J, "MOST", 3)
+    r = random.Random(12)
+    common = [" ".join(f"c{p}x{i}" for i in range(60)) for p in range(3)]
+    rows = []
+    for i in range(150):
+        own = " ".join(f"o{r.randrange(4)}" for _ in range(r.randint(0, 8)))
+        rows.append((i, " ".join([*r.sample(common, r.randint(1, 3)), own])))
+    words = [f"z{i}" for i in range(100)]
+    for i in range(40):  # each next to the one before only
+        words[i * 2] = f"y{i}"
+        rows.append((1000 + i, " ".join(words)))
+    check(spark, rows, 3, 90)
+    check(spark, rows, 5, 80)
+
+
+def test_merge_skip():
+    r = random.Random(1)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(30), r.randint(0, 12))) for _ in range(r.randint(1, 9))]
+        least = r.randint(1, 5)
+        count = {x: sum(x in y for y in lists) for x in range(30)}
+        assert list(J.merge_skip(lists, least)) == [(x, c) for x, c in sorted(count.items()) if c >= least]
+
+
+def test_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHINGLES", 20_000)
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    rows = [(i, " ".join(base[:j] + ["new"] * 5 + base[j:])) for i, j in enumerate(range(0, 30_000, 3_000))] + [(50, " ".join(base[:20_000])), (51, " ".join(reversed(base)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in J.components(df).collect()} == {d: 0 if d < 50 else d for d, _ in rows}
+
+
+def test_keep_one_with_shared_ids(spark):
+    words = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, words("a"), "x"), (1, words("b"), "x"), (2, words("a") + " end", "x"), (3, words("c"), "x"), (3, words("c"), "x"), (3, words("c"), "a"), (None, words("b"), "x"), (None, words("d"), "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in J.keep_one(df).collect()), key=str)
+    want = [(1, words("a"), "x"), (1, words("b"), "x"), (3, words("c"), "a"), (None, words("d"), "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, "", "y")]
+    assert got == sorted(want, key=str)
+    assert J.keep_one(df.limit(0)).collect() == []
+
+
 def test_empty(spark):
     assert J.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
