@@ -10,10 +10,10 @@ sets are implied by their shared class, so copies are never expanded into pairs.
    between different nodes.
 3. Inverted lists of nodes. With T the least overlap a class needs, a linked pair shares at least ``SHARE`` of the first
    ``n - T + SHARE`` shingles of either set in a common order (or all that must be shared, if fewer). As in DivideSkip, lists
-   of more than ``MOST`` nodes (counted exactly) are long and set aside; short ones are joined and occurrences counted per
-   pair of nodes. A pair is a candidate if its count reaches what it must share less what may be hidden in long lists.
-   Nodes for which long lists may hide all of it are listed again in another order, all their shingles, long ones last;
-   what even then keeps long lists is tied to the first node of each.
+   of more than ``MOST`` nodes (counted exactly, over each class's first shingles by hash) are long and set aside: they come
+   last in the order. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
+   reaches what it must share. Few classes have too few short lists and keep long ones: a linked pair that lacks occurrences in
+   short lists shares a long one that both keep, and each long list ties those that keep it to the first of them.
 4. Candidates form groups; each group is searched exactly by DivideSkip: of a query's inverted lists, the longest are set aside,
    the others merged with a heap that skips what cannot reach T - L, and candidates are probed by binary search for the long
    ones. The group's largest node asks nothing, for its members are linked already; groups are dealt out in chunks of at most
@@ -45,7 +45,7 @@ from .common import Scratch, arrow, with_defaults
 from .components import connected_components
 from .fingerprint import WordHashes, shingle_hashes
 
-SHARE, MOST, CHUNK, SHINGLES = 8, 300, 400, 1_000_000
+SHARE, EXTRA, MOST, CHUNK, SHINGLES = 5, 20, 300, 800, 1_000_000
 _MEMO = WordHashes()
 
 
@@ -62,7 +62,7 @@ def least_overlap(n: int, threshold: int) -> int:
 _SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.list_(pa.int64()))])
 
 
-def _emit_sets(k: int, threshold: int, share: int):
+def _emit_sets(k: int, threshold: int, share: int, extra: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
@@ -71,7 +71,7 @@ def _emit_sets(k: int, threshold: int, share: int):
                 n = len(s)
                 name = xxhash.xxh3_128_digest(s.tobytes()) if n else b"\0" * 16
                 h1, h2 = (int.from_bytes(x, "little", signed=True) for x in (name[:8], name[8:]))
-                rows.append((key, th, n, h1, h2, s[: n - least_overlap(n, threshold) + share].view(np.int64)))
+                rows.append((key, th, n, h1, h2, s[: n - least_overlap(n, threshold) + share + extra].view(np.int64)))
             if rows:
                 yield arrow(_SETS, *zip(*rows, strict=True))
 
@@ -206,20 +206,13 @@ def _search(tasks: DataFrame, keyed: DataFrame, k: int, threshold: int, parts: i
     return texts.mapInArrow(_search_groups(k, threshold), "a long, b long")
 
 
-def _counted(post: DataFrame, threshold: int) -> DataFrame:
-    """post(t, node, lo, hi) -> (a, b, c, need): pairs of nodes that share lists, how many, and how many a linked pair shares."""
+def _candidates(post: DataFrame, threshold: int) -> DataFrame:
+    """post(t, node, lo, hi) -> (a, b): pairs of nodes that share as many lists as linked ones must."""
     x, y = (post.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("node", "lo", "hi")]) for s in "xy")
     fits = (F.col("nodex") < F.col("nodey")) & (F.col("hix") * 100 >= F.col("loy") * threshold) & (F.col("hiy") * 100 >= F.col("lox") * threshold)
     pairs = x.join(y, "t").where(fits).groupBy("nodex", "nodey").agg(F.count("*").alias("c"), F.min(F.greatest("lox", "loy")).alias("n"))
-    return pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), "c", F.least(F.lit(SHARE), F.ceil(F.col("n") * threshold / 100)).alias("need"))
-
-
-def _candidates(post: DataFrame, hidden: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of the pairs whose count, with what long lists may hide (hidden: node, l), reaches what they must share."""
-    pairs = _counted(post, threshold)
-    at = lambda c, d: hidden.select(F.col("node").alias(c), F.col("l").alias(d))
-    maybe = pairs.where("c < need").join(at("a", "la"), "a").join(at("b", "lb"), "b").where(F.col("c") + F.least("la", "lb") >= F.col("need"))
-    return pairs.where("c >= need").select("a", "b").unionByName(maybe.select("a", "b"))
+    need = F.least(F.lit(SHARE), F.ceil(F.col("n") * threshold / 100))
+    return pairs.where(F.col("c") >= need).select(F.col("nodex").alias("a"), F.col("nodey").alias("b"))
 
 
 def _postings(rows: DataFrame, lists: str) -> DataFrame:
@@ -241,7 +234,7 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     parts = with_defaults(docs, spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), body.cast("binary").alias("text"))
-    sets = scratch.keep(keyed.mapInArrow(_emit_sets(k, threshold, SHARE), "doc_id long, th long, n long, h1 long, h2 long, first array<long>"), "sets")
+    sets = scratch.keep(keyed.mapInArrow(_emit_sets(k, threshold, SHARE, EXTRA), "doc_id long, th long, n long, h1 long, h2 long, first array<long>"), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
@@ -257,28 +250,29 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
 
     rows = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "one", "n", "first", F.coalesce("comp", "id").alias("node"), F.col("comp").isNull().alias("alone"))
     rows = scratch.keep(rows, "nodes")
-    post = _postings(rows, "first")
-    long = scratch.keep(post.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t"), "long")
-    hidden = post.join(long, "t", "left_semi").groupBy("node").agg(F.count("*").alias("l"), F.min("lo").alias("lo"))
-    hidden = scratch.keep(hidden, "hidden")
-    found = _candidates(post.join(long, "t", "left_anti"), hidden, threshold)
-
-    # Nodes whose long lists may hide all they share with a partner: all shingles, long lists last.
-    hot = hidden.where(F.col("l") >= F.least(F.lit(SHARE), F.ceil(F.col("lo") * threshold / 100))).select("node")
-    again = rows.join(hot, "node", "left_semi").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+    want = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE).cast("int")
+    plain = _postings(rows.withColumn("first", F.slice("first", F.lit(1), want)), "first")
+    long = scratch.keep(plain.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t"), "long")
+    # The order is by hash, long lists last: the first shingles in it, from what is at hand where that is enough.
+    hits = rows.select("id", F.explode("first").alias("t")).join(long, "t", "left_semi").groupBy("id").agg(F.collect_set("t").alias("lt"))
+    listed = rows.join(hits, "id", "left").withColumn("lt", F.coalesce("lt", F.array().cast("array<long>"))).withColumn("rest", F.array_except("first", "lt"))
+    at_hand = (F.size("rest") >= want) | (F.size("first") == F.col("n"))
+    listed = listed.select("id", "one", "node", "n", "alone", F.slice("rest", F.lit(1), want).alias("short"), F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest"))).alias("kept"), at_hand.alias("done"))
+    listed = scratch.keep(listed, "listed")
+    # Else from all shingles of the text.
+    again = listed.where("not done").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
     texts = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_doc"]) & (keyed["th"] == again["_th"])).groupBy("id").agg(F.first("text").alias("text"))
     each = texts.mapInArrow(_emit_all(k), "id long, t array<long>").select("id", F.explode("t").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
-    # Shingles are ordered as unsigned numbers.
-    order = F.struct(F.coalesce("long", F.lit(False)).alias("long"), (F.col("t") < 0).alias("high"), "t")
-    listed = each.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    want = F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE
-    first = F.slice("l", F.lit(1), want.cast("int"))
-    listed = listed.join(again.select("id", "node", "n", "alone"), "id").withColumn("l", first)
-    listed = listed.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
-    listed = scratch.keep(listed, "again")
-    kept = _postings(listed, "kept")
-    still = scratch.keep(kept.groupBy("node").agg(F.count("*").alias("l")), "still")
-    found = found.unionByName(_candidates(_postings(listed, "short"), still, threshold))
+    # Short ones as unsigned numbers, long ones as signed ones, as above.
+    order = F.struct(F.coalesce("long", F.lit(False)).alias("long"), (F.col("long").isNull() & (F.col("t") < 0)).alias("high"), "t")
+    sorted_ = each.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("l"))
+    sorted_ = again.select("id", "node", "n", "alone").join(sorted_, "id").withColumn("l", F.slice("l", F.lit(1), want))
+    sorted_ = sorted_.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
+    sorted_ = scratch.keep(sorted_, "again")
+    listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
+    # A linked pair that shares less in short lists shares a long list that both keep, and is tied by it.
+    found = _candidates(_postings(listed, "short"), threshold)
+    kept = _postings(listed.where(F.size("kept") > 0), "kept")
     tied = kept.join(kept.groupBy("t").agg(F.min("node").alias("b")), "t").select(F.col("node").alias("a"), "b")
     groups = connected_components(found.unionByName(tied), scratch, "groups")
 
@@ -303,7 +297,7 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     lowest = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = labels.join(lowest, "comp").select("h1", "h2", "comp", "component_id")
     out = sets.select("doc_id", "th", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    scratch.drop("nodes", "near", "long", "hidden", "again", "still")
+    scratch.drop("nodes", "near", "long", "listed", "again")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 

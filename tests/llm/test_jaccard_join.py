@@ -65,6 +65,7 @@ def test_long_lists_and_chunks(spark, monkeypatch):
 def test_texts_made_of_common_passages(spark, monkeypatch):
     """All lists long, and hidden links among them: templates with few words changed, chains, and unlike texts."""
     monkeypatch.setattr(J, "MOST", 3)
+    monkeypatch.setattr(J, "EXTRA", 6)
     r = random.Random(12)
     common = [" ".join(f"c{p}x{i}" for i in range(60)) for p in range(3)]
     rows = []
