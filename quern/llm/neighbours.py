@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow, with_defaults
 from .vector_dedup import unit, usable
 
-DEGREE, BACK, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 32, 24, 1_500, 8, 2, 16, 8, 16, 256
+DEGREE, BACK, BLOCK, TREES, ROUNDS, MEET, HOPS, OPEN, LIST = 32, 24, 1_500, 8, 2, 16, 7, 16, 256
 
 
 def _cosines(u: np.ndarray) -> np.ndarray:
