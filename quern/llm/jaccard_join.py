@@ -10,8 +10,8 @@ sets are implied by their shared class, so copies are never expanded into pairs.
    between different nodes.
 3. Inverted lists of nodes. With T the least overlap a class needs, a linked pair shares at least ``SHARE`` of the first
    ``n - T + SHARE`` shingles of either set in a common order (or all that must be shared, if fewer). As in DivideSkip, lists
-   of more than ``MOST`` nodes (counted exactly, over each class's first shingles by hash) are long and set aside: they come
-   last in the order. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
+   of more than ``MOST`` nodes are long and set aside: they come last in the order. They are counted exactly over the shingles at
+   hand, then over all shingles of those classes that need others instead, until no list is newly long. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
    reaches what it must share. Few classes have too few short lists and keep long ones: a linked pair that lacks occurrences in
    short lists shares a long one that both keep, and each long list ties those that keep it to the first of them.
 4. Candidates form groups; each group is searched exactly by DivideSkip: of a query's inverted lists, the longest are set aside,
@@ -30,6 +30,7 @@ component (null if it has none, or if its own set is empty); further columns are
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from bisect import bisect_left
 from collections import Counter
@@ -251,22 +252,30 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     rows = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "one", "n", "first", F.coalesce("comp", "id").alias("node"), F.col("comp").isNull().alias("alone"))
     rows = scratch.keep(rows, "nodes")
     want = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE).cast("int")
-    plain = _postings(rows.withColumn("first", F.slice("first", F.lit(1), want)), "first")
-    long = scratch.keep(plain.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t"), "long")
-    # The order is by hash, long lists last: the first shingles in it, from what is at hand where that is enough.
-    hits = rows.select("id", F.explode("first").alias("t")).join(long, "t", "left_semi").groupBy("id").agg(F.collect_set("t").alias("lt"))
-    listed = rows.join(hits, "id", "left").withColumn("lt", F.coalesce("lt", F.array().cast("array<long>"))).withColumn("rest", F.array_except("first", "lt"))
-    at_hand = (F.size("rest") >= want) | (F.size("first") == F.col("n"))
-    listed = listed.select("id", "one", "node", "n", "alone", F.slice("rest", F.lit(1), want).alias("short"), F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest"))).alias("kept"), at_hand.alias("done"))
-    listed = scratch.keep(listed, "listed")
-    # Else from all shingles of the text.
-    again = listed.where("not done").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
-    texts = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_doc"]) & (keyed["th"] == again["_th"])).groupBy("id").agg(F.first("text").alias("text"))
-    each = texts.mapInArrow(_emit_all(k), "id long, t array<long>").select("id", F.explode("t").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
+    tally = lambda r, lists: _postings(r, lists).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t")
+    long = scratch.keep(tally(rows, "first"), "long-0")
+    for turn in itertools.count(1):
+        # The order is by hash, long lists last: the first shingles in it, from what is at hand where that is enough.
+        hits = rows.select("id", F.explode("first").alias("t")).join(long, "t", "left_semi").groupBy("id").agg(F.collect_set("t").alias("lt"))
+        listed = rows.join(hits, "id", "left").withColumn("lt", F.coalesce("lt", F.array().cast("array<long>"))).withColumn("rest", F.array_except("first", "lt"))
+        at_hand = (F.size("rest") >= want) | (F.size("first") == F.col("n"))
+        listed = listed.select("id", "one", "node", "n", "alone", F.slice("rest", F.lit(1), want).alias("short"), F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest"))).alias("kept"), at_hand.alias("done"))
+        listed = scratch.keep(listed, "listed")
+        # Else from all shingles of the text, whose lists are counted in turn: with those at hand, none ends up above 2 * MOST.
+        again = listed.where("not done").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+        texts = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_doc"]) & (keyed["th"] == again["_th"])).groupBy("id").agg(F.first("text").alias("text"))
+        spelled = texts.mapInArrow(_emit_all(k), "id long, t array<long>").withColumnRenamed("t", "every")
+        spelled = scratch.keep(again.select("id", "node", "n", "alone").join(spelled, "id"), "spelled")
+        more = scratch.keep(tally(spelled, "every").join(long, "t", "left_anti"), "more")
+        if not more.limit(1).count():
+            break
+        long = scratch.keep(long.unionByName(more), f"long-{turn}")
+        scratch.drop(f"long-{turn - 1}")
+    each = spelled.select("id", F.explode("every").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
     # Short ones as unsigned numbers, long ones as signed ones, as above.
     order = F.struct(F.coalesce("long", F.lit(False)).alias("long"), (F.col("long").isNull() & (F.col("t") < 0)).alias("high"), "t")
     sorted_ = each.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    sorted_ = again.select("id", "node", "n", "alone").join(sorted_, "id").withColumn("l", F.slice("l", F.lit(1), want))
+    sorted_ = spelled.select("id", "node", "n", "alone").join(sorted_, "id").withColumn("l", F.slice("l", F.lit(1), want))
     sorted_ = sorted_.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
     sorted_ = scratch.keep(sorted_, "again")
     listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
@@ -297,7 +306,7 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     lowest = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = labels.join(lowest, "comp").select("h1", "h2", "comp", "component_id")
     out = sets.select("doc_id", "th", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    scratch.drop("nodes", "near", "long", "listed", "again")
+    scratch.drop("nodes", "near", f"long-{turn - 1}", "listed", "again", "spelled", "more")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 
