@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, jaccard_join, language_id, license_scan, neighbours, packing, quality, suffix_dedup, vector_dedup
+from . import bpe, chat_format, filter_audit, importance, jaccard_join, language_id, license_scan, neighbours, packing, quality, secret_scan, suffix_dedup, vector_dedup
 
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -56,6 +56,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, seed=7, least=20)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op8_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op8_chat_format": chat_format.ORACLE, "op11_importance_resampling": importance.oracle(), "op12_filter_audit": filter_audit.ORACLE}
