@@ -1,10 +1,10 @@
 """Importance resampling towards a target distribution, by hashed word n-grams kept in tries.
 
-Features of a text are its words and its pairs of neighbouring words, repeats counted. Each task grows a trie: a node for a word,
-below it one for each word that follows. A node holds its path's CRC state, which the next word carries on, and its count. When
-a trie holds ``NODES`` nodes after a block of a text, or the task ends, its counts go into totals per bucket (CRC modulo ``BUCKETS``), which are merged
-over all tasks. A bucket's gain is the scaled log ratio of its share in the target to its share in the corpus. A second pass walks
-each text along such tries again, whose nodes now hold their gains; a text's weight is the floored mean gain of its features. The score adds
+Features of a text are its words and its pairs of neighbouring words, repeats counted. Each task grows a trie, laid out in arrays: a node for a word, and
+below it one for each word that follows. A node holds its path's CRC state, carried on from the node above it, and its count. Word nodes stay from batch to batch
+until there are ``NODES`` of them; pair nodes are those of a batch of ``WORDS`` words. Their counts go into totals per bucket (CRC modulo
+``BUCKETS``), which are merged over all tasks. A bucket's gain is the scaled log ratio of its share in the target to its share in the corpus. A second pass walks
+each text along such tries again, whose nodes now have their gains attached; a text's weight is the floored mean gain of its features. The score adds
 Gumbel noise from a hash of the doc_id, so that the highest scores are a draw without replacement in proportion to exp(weight / 1000).
 
 What leaves the tasks is at most BUCKETS totals each, and BUCKETS gains go back: a bound by parameter, whatever the corpus. Ranks come from a sort
@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow, with_defaults
 
-BUCKETS, NODES, BLOCK = 10_000, 400_000, 1 << 20
+BUCKETS, NODES, WORDS, BLOCK = 10_000, 400_000, 500_000, 1 << 20
 #: Bytes of words stay, capitals as small letters; all others part words.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+_POLYNOMIAL, _LONG = 0xEDB88320, 48
 
 
 def blocks(raw: bytes | None) -> Iterator[list[bytes]]:
@@ -46,72 +47,105 @@ def blocks(raw: bytes | None) -> Iterator[list[bytes]]:
         at = end
 
 
+def _carry_tables(longest: int) -> np.ndarray:
+    """[length][place][byte]: what a CRC's byte at a place becomes when ``length`` bytes follow; the parts are added by exclusive or."""
+    one = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        one = np.where(one & 1, (one >> 1) ^ np.uint32(_POLYNOMIAL), one >> 1).astype(np.uint32)
+    rows = [np.arange(256, dtype=np.uint32)[None, :] << np.array([0, 8, 16, 24], np.uint32)[:, None]]
+    for _ in range(longest):
+        rows.append((rows[-1] >> np.uint32(8)) ^ one[rows[-1] & 255])
+    return np.stack(rows)
+
+
+_CARRY = _carry_tables(_LONG)
+
+
 class Trie:
-    """Paths of one or two words. A node is [CRC state, value, children]; ``value`` gives a new node's value from its state."""
-
-    def __init__(self, value):
-        self.value, self.root, self.size = value, {}, 0
-
-    def child(self, of: dict, word: bytes, state: int) -> list:
-        state = crc32(word, state)
-        node = of[word] = [state, self.value(state), {}]
-        self.size += 1
-        return node
-
-    def top(self, word: bytes | None) -> list | None:
-        """The node of a word; none for none."""
-        return None if word is None else self.root.get(word) or self.child(self.root, word, 0)
-
-    def nodes(self) -> Iterator[list]:
-        for node in self.root.values():
-            yield node
-            yield from node[2].values()
-
-
-def count(trie: Trie, words: list[bytes], before: bytes | None = None) -> bytes | None:
-    """Adds one to each node that the words' features reach, ``before`` being the word before them. Returns the last word."""
-    root, child, above = trie.root, trie.child, trie.top(before)
-    for w in words:
-        node = root.get(w) or child(root, w, 0)
-        node[1] += 1
-        if above is not None:
-            pair = above[2].get(w) or child(above[2], w, crc32(b" ", above[0]))
-            pair[1] += 1
-        above = node
-    return words[-1] if words else before
-
-
-def walk(trie: Trie, words: list[bytes], before: bytes | None = None) -> int:
-    """The sum of what the nodes of the words' features hold."""
-    root, child, above, total = trie.root, trie.child, trie.top(before), 0
-    for w in words:
-        node = root.get(w) or child(root, w, 0)
-        total += node[1]
-        if above is not None:
-            total += (above[2].get(w) or child(above[2], w, crc32(b" ", above[0])))[1]
-        above = node
-    return total
+    """Word nodes by number: CRC state, that of the word and a blank, and length. A pair node is (word node, word node that follows)."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.state, self.opened, self.length = (np.empty(0, np.uint32) for _ in range(3))
+
+    def nodes(self, words: list[bytes]) -> np.ndarray:
+        """The nodes of words, new ones made."""
+        index, known = self.index, len(self.index)
+        out = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        if len(index) > known:
+            new = list(islice(index, known, None))
+            state = [crc32(w) for w in new]
+            more = (state, [crc32(b" ", c) for c in state], [len(w) for w in new])
+            self.state, self.opened, self.length = (np.concatenate([old, np.array(x, np.uint32)]) for old, x in zip((self.state, self.opened, self.length), more, strict=True))
+        return out
+
+    def pair_states(self, pairs: np.ndarray) -> np.ndarray:
+        """CRC states of pair nodes: the upper word's state, carried on over the lower word."""
+        above, below = pairs >> 32, pairs & 0xFFFFFFFF
+        state, length = self.opened[above], self.length[below]
+        out = self.state[below].copy()
+        short = np.minimum(length, _LONG)
+        for place in range(4):
+            out ^= _CARRY[short, place, (state >> np.uint32(8 * place)) & 255]
+        far = np.flatnonzero(length > _LONG)
+        if len(far):
+            names = list(self.index)
+            out[far] = [crc32(names[w], int(c)) for w, c in zip(below[far].tolist(), state[far].tolist(), strict=True)]
+        return out
+
+
+class Walk:
+    """Words of some texts along a trie: a node for each, those that only lead on from an earlier batch, and the nodes of pairs."""
+
+    def __init__(self, trie: Trie, words: list[bytes], starts: list[int], led: bool):
+        """``starts``: where texts start; ``led``: the first word was counted before."""
+        self.nodes = trie.nodes(words)
+        self.counted = np.ones(len(words), bool)
+        self.counted[:1] = not led
+        follows = np.ones(len(words), bool)
+        follows[[0, *starts]] = False
+        self.at = np.flatnonzero(follows)
+        self.pairs = self.nodes[self.at - 1] << 32 | self.nodes[self.at]
+
+
+def batches(texts: Iterator[tuple[int, bytes | None]]) -> Iterator[tuple[list[bytes], list[int], list[int], bool]]:
+    """(key, text) -> (words, starts, keys, led): batches of about WORDS words; keys are of the texts that start there, or for led ones went on.
+
+    A text that a batch's end cuts goes on in the next one, led by its last word.
+    """
+    words: list[bytes] = []
+    starts: list[int] = []
+    keys: list[int] = []
+    led = False
+    for key, raw in texts:
+        starts.append(len(words))
+        keys.append(key)
+        for block in blocks(raw):
+            words += block
+            if len(words) >= WORDS:
+                yield words, starts, keys, led
+                words, starts, keys, led = words[-1:], [0], [key], True
+    if keys:
+        yield words, starts, keys, led
 
 
 _TOTALS = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
 
 
-def _count_task(buckets: int, most: int):
-    def totals(trie: Trie) -> np.ndarray:
-        found = np.fromiter(chain.from_iterable((node[0] % buckets, node[1]) for node in trie.nodes()), np.int64).reshape(-1, 2)
-        return np.bincount(found[:, 0], found[:, 1], buckets).astype(np.int64)
-
+def _count_task(buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, sums = Trie(lambda _: 0), np.zeros(buckets, np.int64)
-        for batch in it:
-            for raw in batch.column(0):
-                last = None
-                for words in blocks(raw.as_py()):
-                    last = count(trie, words, last)
-                    if trie.size > most:
-                        sums += totals(trie)
-                        trie = Trie(lambda _: 0)
-        sums += totals(trie)
+        trie, sums = Trie(), np.zeros(buckets, np.int64)
+        add = lambda states, n: np.bincount(states % np.uint32(buckets), n, buckets).astype(np.int64)
+        texts = ((0, raw.as_py()) for batch in it for raw in batch.column(0))
+        for words, starts, _, led in batches(texts):
+            if not words:
+                continue
+            walk = Walk(trie, words, [x for x in starts if x < len(words)], led)
+            sums += add(trie.state, np.bincount(walk.nodes[walk.counted], minlength=len(trie.state)))
+            pairs, n = np.unique(walk.pairs, return_counts=True)
+            sums += add(trie.pair_states(pairs), n)
+            if len(trie.index) > NODES:
+                trie = Trie()
         at = np.flatnonzero(sums)
         if len(at):
             yield arrow(_TOTALS, at, sums[at])
@@ -119,13 +153,26 @@ def _count_task(buckets: int, most: int):
     return run
 
 
+def _weigh(trie: Trie, gain: np.ndarray, words: list[bytes], starts: list[int], led: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words and sums of gains of each of the batch's texts."""
+    cuts = np.array([*starts, len(words)])
+    if not words:
+        return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    walk = Walk(trie, words, [x for x in starts if x < len(words)], led)
+    each = np.where(walk.counted, gain[trie.state % np.uint32(len(gain))][walk.nodes], 0)
+    pairs, place = np.unique(walk.pairs, return_inverse=True)
+    each[walk.at] += gain[trie.pair_states(pairs) % np.uint32(len(gain))][place]
+    run = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])
+    return run(walk.counted.astype(np.int64)), run(each)
+
+
 def _body(df: DataFrame, text: str):
     return df.select(F.col(text).cast("binary").alias("text"))
 
 
 def bucket_totals(corpus: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """How many features fall in each bucket, in the corpus and in the target."""
-    sides = [_body(df, text).mapInArrow(_count_task(buckets, NODES), "bucket long, n long").withColumn("side", F.lit(i)) for i, df in enumerate((corpus, target))]
+    sides = [_body(df, text).mapInArrow(_count_task(buckets), "bucket long, n long").withColumn("side", F.lit(i)) for i, df in enumerate((corpus, target))]
     merged = sides[0].unionByName(sides[1]).groupBy("side", "bucket").agg(F.sum("n").alias("n"))
     out = np.zeros((2, buckets), np.int64)
     for r in merged.collect():  # at most a row for each side and bucket
@@ -148,23 +195,36 @@ def noise(doc_id: int | None, seed: int) -> int:
 _SCORES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64()), ("score", pa.int64())])
 
 
-def _score_task(gain: list[int], seed: int, most: int):
+def _score_task(gain: list[int], seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(lambda state: gain[state % len(gain)])
-        for batch in it:
-            rows = []
-            for doc_id, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                n, total, last = 0, 0, None
-                for words in blocks(raw.as_py()):
-                    total += walk(trie, words, last)
-                    n, last = n + len(words), words[-1] if words else last
-                    if trie.size > most:
-                        trie = Trie(trie.value)
+        trie, gained, held = Trie(), np.array(gain, np.int64), {}  # row -> doc_id, th, words, sum
+
+        def texts():
+            row = 0
+            for batch in it:
+                for doc_id, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    held[row] = [doc_id, th, 0, 0]
+                    yield row, raw.as_py()
+                    row += 1
+
+        def done(rows: list[int]) -> pa.RecordBatch:
+            out = []
+            for doc_id, th, n, total in map(held.pop, rows):
                 features = n + max(0, n - 1)
                 weight = total // features if features else 0
-                rows.append((doc_id, th, n, features, weight, weight + noise(doc_id, seed)))
-            if rows:
-                yield arrow(_SCORES, *zip(*rows, strict=True))
+                out.append((doc_id, th, n, features, weight, weight + noise(doc_id, seed)))
+            return arrow(_SCORES, *zip(*out, strict=True))
+
+        for words, starts, keys, led in batches(texts()):
+            for key, n, total in zip(keys, *(x.tolist() for x in _weigh(trie, gained, words, starts, led)), strict=True):
+                held[key][2] += n
+                held[key][3] += total
+            if len(trie.index) > NODES:
+                trie = Trie()
+            if len(keys) > 1:  # the last one may go on
+                yield done(keys[:-1])
+        if held:
+            yield done(list(held))
 
     return run
 
@@ -188,7 +248,7 @@ def _ranked(docs: DataFrame, target: DataFrame, percent: int, seed: int, least:
     body = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.cast("binary").alias("text"))
     ddl = "doc_id long, th long, n_words long, n_features long, weight long, score long"
-    scored = scratch.keep(rows.mapInArrow(_score_task(gain, seed, NODES), ddl), "scored")
+    scored = scratch.keep(rows.mapInArrow(_score_task(gain, seed), ddl), "scored")
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.desc("weight"), F.desc("n_features"), F.col("th")]
     able = scored.where(F.col("n_words") >= least)
     laid = able.repartitionByRange(with_defaults(docs, spark), *order).sortWithinPartitions(*order)

@@ -69,20 +69,48 @@ def test_small_tries_and_blocks_change_nothing(spark, monkeypatch):
     long = " ".join(random.Random(1).choice(["w1", "w2", "ä", "Z9"]) for _ in range(9000))
     rows.append((5000, long))
     want = plain(rows, target, percent=40, least=3)
-    monkeypatch.setattr(I, "NODES", 7)
-    monkeypatch.setattr(I, "BLOCK", 100)
+    for name, value in (("NODES", 7), ("BLOCK", 100), ("WORDS", 37)):
+        monkeypatch.setattr(I, name, value)
     assert [w for block in I.blocks(long.encode()) for w in block] == [w.lower() for w in long.encode().split()]
     assert run(spark, rows, target, percent=40, least=3) == want
 
 
+def test_texts_go_on_over_batches(monkeypatch):
+    """In one process: every way to cut gives the counts and sums of the whole."""
+    rows, _ = corpus(40)
+    texts = [(i, None if t is None else t.encode()) for i, (_, t) in enumerate(rows)] + [(99, ("x" * 60 + " y é ") .encode() * 30)]
+    gain = I.np.arange(1000) - 400
+
+    def all_of():
+        trie, out = I.Trie(), {}
+        for words, starts, keys, led in I.batches(iter(texts)):
+            for k, n, total in zip(keys, *I._weigh(trie, gain, words, starts, led), strict=True):
+                old = out.get(k, (0, 0))
+                out[k] = (old[0] + int(n), old[1] + int(total))
+        return out
+
+    want = {}
+    for k, raw in texts:
+        w = [x for block in I.blocks(raw) for x in block]
+        features = w + [a + b" " + b for a, b in zip(w, w[1:], strict=False)]
+        want[k] = (len(w), sum(int(gain[crc32(f) % 1000]) for f in features))
+    assert all_of() == want
+    for block, words in ((1, 1), (50, 3), (100, 37), (10**6, 200)):
+        monkeypatch.setattr(I, "BLOCK", block)
+        monkeypatch.setattr(I, "WORDS", words)
+        assert all_of() == want
+
+
 def test_a_text_of_megabytes():
     text = ("Word, " * 700_000 + "x" * 3_000_000).encode()
-    trie = I.Trie(lambda _: 0)
-    last = None
-    for block in I.blocks(text):
-        last = I.count(trie, block, last)
-    assert trie.root[b"word"][1] == 700_000 and trie.root[b"word"][2][b"word"][1] == 699_999 and trie.size == 4
-    assert trie.root[b"word"][2][b"word"][0] == crc32(b"word word")
+    trie, n, total = I.Trie(), 0, 0
+    for words, starts, _, led in I.batches(iter([(0, text)])):
+        a, b = I._weigh(trie, I.np.ones(10, I.np.int64), words, starts, led)
+        n, total = n + int(a[0]), total + int(b[0])
+        assert len(words) < 2 * I.WORDS
+    assert (n, total) == (700_001, 1_400_001) and len(trie.index) == 2
+    pair = trie.nodes([b"word", b"x" * 3_000_000])
+    assert trie.pair_states(I.np.array([pair[0] << 32 | pair[0], pair[0] << 32 | pair[1]])).tolist() == [crc32(b"word word"), crc32(b"word " + b"x" * 3_000_000)]
 
 
 @pytest.mark.parametrize("percent", [0, 100])
