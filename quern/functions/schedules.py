@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ def stage_multipliers(ratios: list[float], widths: list[int], base: float = 4.6)
     return [math.sqrt(base * (math.prod(ratios[i:]) / whole) * (widths[-1] / widths[i])) for i in range(len(ratios))]
 
 
+def stage_multiplier(ratios: list[Column], widths: list[Column], stage: int, base: float = 4.6) -> Column:
+    """``stage_multipliers`` for hierarchies that are rows of a table."""
+    before = reduce(lambda x, y: x * y, ratios[:stage], F.lit(1.0))
+    return F.sqrt(F.lit(base) / before * (widths[-1] / widths[stage]))
+
+
 def batches(samples: Column, size: int) -> Column:
     return F.ceil(samples / size).cast("long")
 

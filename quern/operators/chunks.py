@@ -1,6 +1,7 @@
 """Chunk boundaries of sequences: routing, chunks, hierarchy, smoothing, expansion, metrics.
 
-Sequences are long tables (seq, pos, ...); all orders are explicit columns.
+Sequences are long tables (seq, pos, ...); all orders are explicit columns. A sequence of any length is dealt out over ranges of its
+positions (``ranged``), so that one with a third of all rows takes as many tasks as its share.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
+from quern.operators import ranged
 from quern.operators.folds import ranged_fold
 from quern.operators.ordering import row_ids
 
@@ -21,14 +23,13 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _order(seq: str, pos: str):
-    return Window.partitionBy(seq).orderBy(pos)
+def _over(rows: DataFrame, seq: str, pos: str, **functions: ranged.Carry) -> DataFrame:
+    return ranged.windowed(rows, [seq], F.col(pos), **functions)
 
 
 def routing(vectors: DataFrame, seq: str, pos: str, vector: str, bias: Column | None = None) -> DataFrame:
     """Adds p: half of one minus the cosine with the predecessor, in 0..1; 1 at the start. bias is taken off after that."""
-    prev = F.lag(vector).over(_order(seq, pos))
-    rows = vectors.withColumn("_prev", prev)
+    rows = _over(vectors, seq, pos, _prev=ranged.lag(F.col(vector)))
     norm = lambda c: F.sqrt(_dot(F.col(c), F.col(c)))
     cos = _dot(F.col(vector), F.col("_prev")) / F.greatest(norm(vector) * norm("_prev"), F.lit(1e-12))
     p = F.when(F.col("_prev").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - cos) / 2)))
@@ -45,37 +46,36 @@ def boundaries(rows: DataFrame, valid: Column | None = None) -> DataFrame:
 def chunks(rows: DataFrame, seq: str, pos: str, length: Column) -> DataFrame:
     """(seq, chunk, start, end) from the boundaries; what precedes the first one belongs to none."""
     starts = rows.where("is_boundary").withColumn("_len", length)
-    w = _order(seq, pos)
-    return starts.select(seq, (F.row_number().over(w) - 1).cast("long").alias("chunk"), F.col(pos).alias("start"), F.coalesce(F.lead(pos).over(w), F.col("_len")).alias("end"))
+    placed = _over(starts, seq, pos, _chunk=ranged.total(F.lit(1)), _next=ranged.lead(F.col(pos)))
+    return placed.select(seq, F.col("_chunk").cast("long").alias("chunk"), F.col(pos).alias("start"), F.coalesce("_next", "_len").alias("end"))
 
 
 def second_level(lower: DataFrame, upper: DataFrame, seq: str, total: Column) -> DataFrame:
     """Chunks of chunks: upper boundaries are ordinals of lower chunks. lower(seq, chunk, start), upper(seq, pos, is_boundary)."""
-    at = upper.where("is_boundary").select(seq, F.col("pos").alias("chunk"))
-    hit = lower.join(at, [seq, "chunk"]).withColumn("_total", total)
-    w = _order(seq, "start")
-    return hit.select(seq, (F.row_number().over(w) - 1).cast("long").alias("chunk"), "start", F.coalesce(F.lead("start").over(w), F.col("_total")).alias("end"))
+    at = upper.where("is_boundary").select(F.col(seq).alias("_seq"), F.col("pos").alias("_at"))
+    hit = lower.join(at, F.col(seq).eqNullSafe(F.col("_seq")) & (F.col("chunk") == F.col("_at"))).drop("_seq", "_at").withColumn("_total", total)
+    placed = _over(hit, seq, "start", _chunk=ranged.total(F.lit(1)), _next=ranged.lead(F.col("start")))
+    return placed.select(seq, F.col("_chunk").cast("long").alias("chunk"), "start", F.coalesce("_next", "_total").alias("end"))
 
 
 def chunk_ordinal(rows: DataFrame, seq: str, pos: str) -> DataFrame:
     """Adds ordinal: boundaries so far, less one."""
-    return rows.withColumn("ordinal", (F.sum(F.col("is_boundary").cast("int")).over(_order(seq, pos).rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
+    return _over(rows, seq, pos, ordinal=ranged.total(F.col("is_boundary").cast("int"), inclusive=True)).withColumn("ordinal", (F.col("ordinal") - 1).cast("long"))
 
 
 def compact(rows: DataFrame, seq: str, pos: str) -> DataFrame:
     """Boundary rows only, with their rank as new position."""
-    return rows.where("is_boundary").withColumn("inner", (F.row_number().over(_order(seq, pos)) - 1).cast("long"))
+    return _over(rows.where("is_boundary"), seq, pos, inner=ranged.total(F.lit(1))).withColumn("inner", F.col("inner").cast("long"))
 
 
 def segments(rows: DataFrame, seq: str, pos: str, start: Column) -> DataFrame:
     """Adds segment: how many starts lie before or at a row."""
-    return rows.withColumn("segment", F.sum(start.cast("int")).over(_order(seq, pos).rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return _over(rows, seq, pos, segment=ranged.total(start.cast("int"), inclusive=True)).withColumn("segment", F.col("segment").cast("long"))
 
 
 def as_of(rows: DataFrame, seq: str, pos: str, value: Column, name: str) -> DataFrame:
     """Adds the value of the latest boundary at or before each row."""
-    at = F.when(F.col("is_boundary"), value)
-    return rows.withColumn(name, F.last(at, ignorenulls=True).over(_order(seq, pos).rowsBetween(Window.unboundedPreceding, 0)))
+    return _over(rows, seq, pos, **{name: ranged.latest(F.when(F.col("is_boundary"), value))})
 
 
 def smoothed(rows: DataFrame, seq: str, pos: str, value: str, p: str = "p", low: float = 1e-4) -> DataFrame:
@@ -150,18 +150,73 @@ def continuation_penalty(p: Column, weight: Column) -> Column:
 
 def positions_sample(rows: DataFrame, seq: str, pos: str, most: int = 64) -> DataFrame:
     """(seq, positions): the first boundary positions joined by |, with |... if there are more."""
-    w = _order(seq, pos)
-    first = rows.where("is_boundary").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most + 1)
+    first = _over(rows.where("is_boundary"), seq, pos, _rn=ranged.total(F.lit(1))).where(F.col("_rn") <= most)
     listed = first.groupBy(seq).agg(F.array_sort(F.collect_list(pos)).alias("l"))
     text = F.array_join(F.slice("l", 1, most).cast("array<string>"), "|")
     return listed.select(seq, F.concat(text, F.when(F.size("l") > most, F.lit("|...")).otherwise("")).alias("positions"))
 
 
+def length_quantiles(rows: DataFrame, by: str, length: str, shares: dict[str, float]) -> DataFrame:
+    """Per group, the least length that a share of its rows does not pass, for each named share; exact, nulls left out.
+
+    Lengths repeat, so a histogram says all: rows are counted by (group, length) first, and its running sum is dealt out in ranges. No group is held in one task.
+    """
+    counted = rows.where(F.col(length).isNotNull()).groupBy(by, length).agg(F.count("*").alias("_c"))
+    placed = ranged.windowed(counted, [by], F.col(length), _upto=ranged.total(F.col("_c"), inclusive=True))
+    totals = counted.groupBy(F.col(by).alias("_by")).agg(F.sum("_c").alias("_n"))
+    reached = lambda q: F.col("_upto") >= F.greatest(F.lit(1), F.col("_n") - F.floor(F.col("_n") - q * F.col("_n")))
+    both = placed.join(totals, F.col(by).eqNullSafe(F.col("_by")))
+    return both.groupBy(by).agg(*[F.min(F.when(reached(q), F.col(length))).alias(name) for name, q in shares.items()])
+
+
+def sketched(rows: DataFrame, by: list[str], value: str, k: int = 400) -> DataFrame:
+    """(by..., sketch): a KLL sketch of whole numbers for each group, some kilobytes however many rows; nulls left out.
+
+    ``merged_sketches`` puts those of finer groups together. A quantile's rank is off by at most ``sketch_error(k)`` of the rows, with 99 % confidence.
+    """
+    return rows.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col(value).cast("long"), F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketch_error(k: int) -> float:
+    """The largest error in rank of a KLL sketch of size k: its published bound for several quantiles at once."""
+    return 2.446 / k**0.9433
+
+
+def sketch_quantile(sketch: Column, share: float) -> Column:
+    return F.kll_sketch_get_quantile_bigint(sketch, F.lit(share))
+
+
+#: Character classes as sets of a regular expression. They do not overlap.
+CHARACTERS = {
+    "space": r"\s",
+    "letter": "A-Za-z",
+    "sign": r"!-/0-9:-@\[-`{-~",
+    "japanese": r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}",
+    "emoji": r"\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}",
+}
+
+
+def character_shares(rows: DataFrame, by: str, text: str) -> DataFrame:
+    """Per group: bytes_per_character, and of all characters the share of each class (ASCII letters; ASCII digits and signs) and of the ``other`` ones.
+
+    Counted within each row; groups without characters have null shares.
+    """
+    n = F.length(text).cast("long")
+    kinds = {k: F.sum(n - F.length(F.regexp_replace(text, f"[{c}]", ""))) for k, c in CHARACTERS.items()}
+    counted = rows.groupBy(by).agg(F.sum(n).alias("_n"), F.sum(F.octet_length(text).cast("long")).alias("_b"), *[c.alias(k) for k, c in kinds.items()])
+    share = lambda c: F.when(F.col("_n") > 0, c / F.col("_n"))
+    rest = F.col("_n") - sum((F.col(k) for k in CHARACTERS), F.lit(0))
+    return counted.select(by, share(F.col("_b")).alias("bytes_per_character"), *[share(F.col(k)).alias(k) for k in CHARACTERS], share(rest).alias("other"))
+
+
 def nucleus(rows: DataFrame, group: str, p: str, tie: str, top: float) -> DataFrame:
     """The likeliest rows of each group until their share passes ``top``; at least one."""
-    w = Window.partitionBy(group).orderBy(F.desc(p), tie)
-    before = F.coalesce(F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("_before", before).where(F.col("_before") <= top).drop("_before")
+    falling = -F.col(p)
+    return ranged.windowed(rows, [group], [falling, F.col(tie)], falling, _before=ranged.total(F.col(p))).where(F.col("_before") <= top).drop("_before")
 
 
 def chunk_report(rows: DataFrame, seq: str, chunk: str, shown: Column) -> DataFrame:

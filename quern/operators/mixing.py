@@ -88,12 +88,16 @@ def tail_shards(shards: DataFrame, order: str, ratio: float) -> DataFrame:
 
 
 def first_of(df: DataFrame, key: list[str | Column], order: str, valid: Column | None = None) -> DataFrame:
-    """The first row of each key by order, among the valid ones; pre-aggregated, so a hot key is one row a task."""
+    """One row of each key: the first by order (null orders last) among the valid ones. A null key is a key.
+
+    Rows that tie in the order go by the hash of their columns (maps apart), so a repeated row stays once. Pre-aggregated: a hot key is one row a task.
+    """
     rows = df if valid is None else df.where(valid)
     names = [f"_k{i}" for i in range(len(key))]
-    keyed = rows.withColumns({n: (k if isinstance(k, Column) else F.col(k)) for n, k in zip(names, key, strict=True)})
-    least = keyed.groupBy(*names).agg(F.min(order).alias(order)).select(order)
-    return rows.join(least, order, "left_semi")
+    keyed = rows.select(*[(k if isinstance(k, Column) else F.col(k)).alias(n) for n, k in zip(names, key, strict=True)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    told = [f"_row.`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.struct(F.col(f"_row.`{order}`").isNull().alias("none"), F.col(f"_row.`{order}`").alias("order"), F.xxhash64(*told).alias("hash"))
+    return keyed.groupBy(*names).agg(F.min_by("_row", place).alias("_row")).select("_row.*")
 
 
 def remaining(df: DataFrame, key: str, *done: DataFrame) -> DataFrame:

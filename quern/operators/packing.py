@@ -30,12 +30,10 @@ def offsets(docs: DataFrame, order: str, by: str, n: str = "n") -> DataFrame:
 def windows(docs: DataFrame, order: str, by: str, stride: int) -> DataFrame:
     """(by, window, bytes): the stream of each source cut every ``stride`` bytes; the short tail is dropped.
 
-    Offsets need only lengths, so the window function runs without the bytes; each document is then cut by itself, and
-    only pieces travel to their window.
+    Each row takes its own offset along, so rows that repeat an order value, or a whole row, are in the stream as often as they
+    come (by their bytes where the order ties), and a null source is a source. Each document is then cut by itself, and pieces meet in their window.
     """
-    rows = framed(docs)
-    starts = offsets(rows.select(by, order, "n"), order, by).select(by, order, "start")
-    placed = rows.join(starts, [by, order])
+    placed = running(framed(docs).select(by, order, "n", "bytes"), order, "n", "start", [by], [F.col("bytes")])
     placed = placed.withColumn("window", F.explode(F.expr(f"sequence(start div {stride}, (start + n - 1) div {stride})")))
     low = F.greatest(F.col("start"), F.col("window") * stride)
     high = F.least(F.col("start") + F.col("n"), (F.col("window") + 1) * stride)

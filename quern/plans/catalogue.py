@@ -286,6 +286,7 @@ def _map_query(name: str, shape, mapper, sql: str, valid: bool = False):
 _R = lambda role, x: f"'<|im_start|>{role}' || chr(10) || {x} || '<|im_end|>' || chr(10)"
 _SQL = lambda *turns: "select " + " || ".join(_R(r, x) for r, x in turns) + " rendered from documents"
 _NO = "'/no_think'"
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _Q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
@@ -294,17 +295,17 @@ def _sql_fill(template: str, *values: str) -> str:
     return " || ".join([_Q(parts[0])] + [x for v, p in zip(values, parts[1:], strict=True) for x in (v, _Q(p))])
 
 
-_map_query("map_text_output", lambda d: d.select(F.col("doc_id").cast("string").alias("text"), F.col("source").alias("output")), chat.from_text_output, _SQL(("system", _NO), ("user", _sql_fill(chat.INSTRUCTION_TEXT, "doc_id")), ("assistant", "source")))
-_map_query("map_instruction", lambda d: d.select(F.col("doc_id").alias("instruction"), F.col("lang").alias("input"), F.col("source").alias("output")), lambda d: chat.from_instruction(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think'"), ("user", _sql_fill(chat.INSTRUCTION_INPUT, "doc_id", "lang")), ("assistant", "source")))
-_map_query("map_inputs_targets", lambda d: d.select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("inputs"), F.col("source").alias("targets")), chat.from_inputs_targets, _SQL(("system", _NO), ("user", "doc_id"), ("assistant", "source")))
-_map_query("map_few_shot", lambda d: d.select(F.col("doc_id").cast("string").alias("question"), F.col("source").alias("answer"), *[F.col("lang").alias(f"example{i}_{f}") for i in (1, 2, 3, 4) for f in ("question", "answer")]), chat.from_few_shot, _SQL(("system", _NO), ("user", _Q(chat.FEW_SHOT_HEAD) + " || " + " || ".join(_sql_fill(chat.FEW_SHOT_ITEM, f"'{i}'", "lang", "lang", f"'{i}'") for i in (1, 2, 3, 4)) + " || " + _sql_fill(chat.FEW_SHOT_TAIL, "doc_id")), ("assistant", "source")))
-_map_query("map_single_call", lambda d: d.select(F.lit('[{"name": "f"}]').alias("tools"), F.col("doc_id").cast("string").alias("query"), F.col("source").alias("answers")), lambda d: chat.from_single_call(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[{\"name\": \"f\"}]' || chr(10) || '</tools>'"), ("user", "doc_id"), ("assistant", "source")))
-_turns = lambda *names: lambda d: d.select(F.lit("Sys").alias("system"), F.lit("[1]").alias("tools"), F.array(*[F.struct(F.lit(n).alias("from"), (F.col("doc_id").cast("string") if i else F.col("source")).alias("value")) for i, n in enumerate(names)]).alias("conversations"))
-_map_query("map_tool_turns", _turns("user", "assistant", "tool"), chat.from_tool_turns, _SQL(("system", "'Sys' || chr(10) || '/no_think'"), ("user", "source"), ("assistant", "doc_id"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'")))
-_map_query("map_function_calls", _turns("human", "function_call", "observation", "gpt"), chat.from_function_calls, _SQL(("system", "'Sys' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[1]' || chr(10) || '</tools>'"), ("user", "source"), ("assistant", "'<tool_call>' || chr(10) || doc_id || chr(10) || '</tool_call>'"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'"), ("assistant", "doc_id")))
-_map_query("map_conversations", _turns("human", "gpt"), chat.from_conversations, _SQL(("system", _NO), ("user", "source"), ("assistant", "doc_id")))
-_map_query("map_messages", lambda d: d.select(F.array(chat.message("System ", F.lit("S")), chat.message("user", F.lit("  ")), chat.message("user", F.col("source"))).alias("messages")), chat.from_messages, _SQL(("system", "'S' || chr(10) || '/no_think'"), ("user", "source")))
-_map_query("map_reasoning", lambda d: d.select(F.array(chat.message("user", F.col("source")), chat.message("assistant", F.concat(F.col("lang"), F.lit("\n答え： "), F.col("doc_id").cast("string")))).alias("messages")), chat.from_reasoning, _SQL(("system", "'/think'"), ("user", "source"), ("assistant", "'<think>' || chr(10) || lang || chr(10) || '</think>' || chr(10) || chr(10) || doc_id")))
+_map_query("map_text_output", lambda d: d.select("text", F.col("source").alias("output")), chat.from_text_output, _SQL(("system", _NO), ("user", _sql_fill(chat.INSTRUCTION_TEXT, "text")), ("assistant", "source")))
+_map_query("map_instruction", lambda d: d.select(F.col("doc_id").alias("instruction"), F.col("text").alias("input"), F.col("source").alias("output")), lambda d: chat.from_instruction(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think'"), ("user", _sql_fill(chat.INSTRUCTION_INPUT, "doc_id", "text")), ("assistant", "source")))
+_map_query("map_inputs_targets", lambda d: d.select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("inputs"), F.col("text").alias("targets")), chat.from_inputs_targets, _SQL(("system", _NO), ("user", "doc_id"), ("assistant", _STRIPPED)))
+_map_query("map_few_shot", lambda d: d.select(F.col("text").alias("question"), F.col("source").alias("answer"), *[F.col("lang").alias(f"example{i}_{f}") for i in (1, 2, 3, 4) for f in ("question", "answer")]), chat.from_few_shot, _SQL(("system", _NO), ("user", _Q(chat.FEW_SHOT_HEAD) + " || " + " || ".join(_sql_fill(chat.FEW_SHOT_ITEM, f"'{i}'", "lang", "lang", f"'{i}'") for i in (1, 2, 3, 4)) + " || " + _sql_fill(chat.FEW_SHOT_TAIL, "text")), ("assistant", "source")))
+_map_query("map_single_call", lambda d: d.select(F.lit('[{"name": "f"}]').alias("tools"), F.col("text").alias("query"), F.col("source").alias("answers")), lambda d: chat.from_single_call(d, "Help."), _SQL(("system", "'Help.' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[{\"name\": \"f\"}]' || chr(10) || '</tools>'"), ("user", _STRIPPED), ("assistant", "source")))
+_turns = lambda *names: lambda d: d.select(F.lit("Sys").alias("system"), F.lit("[1]").alias("tools"), F.array(*[F.struct(F.lit(n).alias("from"), (F.col("doc_id").cast("string") if i else F.col("text")).alias("value")) for i, n in enumerate(names)]).alias("conversations"))
+_map_query("map_tool_turns", _turns("user", "assistant", "tool"), chat.from_tool_turns, _SQL(("system", "'Sys' || chr(10) || '/no_think'"), ("user", _STRIPPED), ("assistant", "doc_id"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'")))
+_map_query("map_function_calls", _turns("human", "function_call", "observation", "gpt"), chat.from_function_calls, _SQL(("system", "'Sys' || chr(10) || '/no_think' || chr(10) || '<tools>' || chr(10) || '[1]' || chr(10) || '</tools>'"), ("user", _STRIPPED), ("assistant", "'<tool_call>' || chr(10) || doc_id || chr(10) || '</tool_call>'"), ("user", "'<tool_response>' || chr(10) || doc_id || chr(10) || '</tool_response>'"), ("assistant", "doc_id")))
+_map_query("map_conversations", _turns("human", "gpt"), chat.from_conversations, _SQL(("system", _NO), ("user", _STRIPPED), ("assistant", "doc_id")))
+_map_query("map_messages", lambda d: d.select(F.array(chat.message("System ", F.lit("S")), chat.message("user", F.lit("  ")), chat.message("user", F.col("text"))).alias("messages")), chat.from_messages, _SQL(("system", "'S' || chr(10) || '/no_think'"), ("user", _STRIPPED)))
+_map_query("map_reasoning", lambda d: d.select(F.array(chat.message("user", F.col("source")), chat.message("assistant", F.concat(F.col("text"), F.lit("\n答え： "), F.col("doc_id").cast("string")))).alias("messages")), chat.from_reasoning, _SQL(("system", "'/think'"), ("user", "source"), ("assistant", "'<think>' || chr(10) || " + _STRIPPED + " || chr(10) || '</think>' || chr(10) || chr(10) || doc_id")))
 
 
 # Questions and answers
@@ -522,17 +523,20 @@ def loss_bits(spark, sf):
     return out.select(F.round("ce", 9).alias("ce"), F.round("bpb", 9).alias("bpb"))
 
 
-@query("select lang, count(*) n, min(octet_length(encode(c)))::bigint least, max(octet_length(encode(c)))::bigint most, round(avg(octet_length(encode(c))), 6) mean, quantile_disc(octet_length(encode(c)), 0.5)::bigint p50, quantile_disc(octet_length(encode(c)), 0.99)::bigint p99 from (select lang, unnest(string_split(text, '. ')) c from documents) group by 1")
+@query("select lang, count(*) n, min(octet_length(encode(c)))::bigint least, max(octet_length(encode(c)))::bigint most, round(avg(octet_length(encode(c))), 6) mean, quantile_disc(octet_length(encode(c)), 0.5)::bigint p50, quantile_disc(octet_length(encode(c)), 0.9)::bigint p90, quantile_disc(octet_length(encode(c)), 0.99)::bigint p99 from (select lang, unnest(string_split(text, '. ')) c from documents) group by 1")
 def chunk_length_stats(spark, sf):
     c = _docs(spark, sf).select("lang", F.explode(F.split("text", r"\. ")).alias("c")).select("lang", F.octet_length("c").cast("long").alias("n"))
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by n)").cast("long")
-    return c.groupBy("lang").agg(F.count("*").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), disc(0.5).alias("p50"), disc(0.99).alias("p99"))
+    plain = c.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    shares = chunks.length_quantiles(c, "lang", "n", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return plain.join(shares, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
 @query("with w as (select lang, doc_id, n_chars / sum(n_chars) over (partition by lang)::double p from documents), c as (select *, coalesce(sum(p) over (partition by lang order by p desc, doc_id rows between unbounded preceding and 1 preceding), 0) before from w) select lang, count(*) n from c where before <= 0.9 group by 1")
 def nucleus_cut(spark, sf):
-    p = F.col("n_chars") / F.sum("n_chars").over(Window.partitionBy("lang"))
-    return chunks.nucleus(_docs(spark, sf).select("lang", "doc_id", p.alias("p")), "lang", "p", "doc_id", 0.9).groupBy("lang").agg(F.count("*").alias("n"))
+    docs = _docs(spark, sf).select("lang", "doc_id", "n_chars")
+    totals = docs.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n_chars").alias("_n"))
+    rows = docs.join(totals, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "doc_id", (F.col("n_chars") / F.col("_n")).alias("p"))
+    return chunks.nucleus(rows, "lang", "p", "doc_id", 0.9).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 # Schedules and estimates
@@ -568,10 +572,16 @@ def chunk_render(spark, sf):
 _BYTES = _SHARDS + ", g as (select source, shard, dense_rank() over (order by source, shard) - 1 number from m), h as (select g.number, string_agg('FE' || hex(encode(x.text)) || 'FF', '' order by f.doc_id) h from f join g using (source, shard) join documents x on x.doc_id = f.doc_id group by 1), z as (select number as shard, unnest(range(length(h) // 1026)) chunk, h from h)"
 
 
+def _numbered(shards):
+    """(source, shard, g): the shards of all sources, numbered in order."""
+    order = F.concat_ws("\x01", "source", F.lpad(F.col("shard").cast("string"), 12, "0"))
+    return ordering.running(shards.select("source", "shard").distinct().withColumn("_o", order), "_o", F.lit(1), "g").drop("_o")
+
+
 def _packed(spark, sf) -> str:
     folder = fresh_dir(spark)
     shards = _shards(spark, sf).select("source", "doc_id", "shard")
-    number = shards.select("source", "shard").distinct().withColumn("g", (F.row_number().over(Window.orderBy("source", "shard")) - 1).cast("long"))
+    number = _numbered(shards)
     rows = packing.framed(_docs(spark, sf)).select("doc_id", "bytes").join(shards, "doc_id").join(number, ["source", "shard"])
     packed.write_packed(rows.select(F.col("g").alias("shard"), F.col("doc_id").alias("ord"), "bytes"), folder)
     return folder
@@ -588,7 +598,7 @@ def packed_documents(spark, sf):
     found = packed.read_packed(spark, _packed(spark, sf), STRIDE, documents="true").select("shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
     # A shard's documents come back in order: place by place they are its rows.
     order = _shards(spark, sf).select("source", "doc_id", "shard")
-    number = order.select("source", "shard").distinct().withColumn("g", F.row_number().over(Window.orderBy("source", "shard")) - 1)
+    number = _numbered(order)
     placed = order.join(number, ["source", "shard"]).withColumn("chunk", F.row_number().over(Window.partitionBy("g").orderBy("doc_id")) - 1)
     return found.join(placed.select(F.col("g").alias("shard"), "chunk", "doc_id"), ["shard", "chunk"]).join(docs, ["doc_id", "digest"]).select("shard", "doc_id", "digest")
 
@@ -611,4 +621,4 @@ def stream_pack(spark, sf):
     return out.select("source", "window", F.md5(F.hex("bytes")).alias("digest"))
 
 
-from quern.plans import more  # noqa: E402, F401
+from quern.plans import more, records_and_streams  # noqa: E402, F401

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import functions as F
 
@@ -16,50 +15,61 @@ from quern.sources.shared import fresh_dir
 from quern.sources.tables import Source, table
 from quern.streaming import packer
 
-U, N, STRIDE = base.U, base.N, base.STRIDE
-_Q = base._Q
+U, STRIDE = base.U, base.STRIDE
 
 
-def _values(*rows: tuple) -> str:
-    show = lambda x: "null" if x is None else repr(x) if isinstance(x, (int, float)) else _Q(x)
-    return "values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+# Catalogues, configurations, prompts
 
+_SOURCES = "s as (select source, lang, count(*) n, row_number() over (partition by lang order by source) - 1 i from documents where source is not null and lang is not null group by source, lang)"
 
-# Catalogues, configurations, prompts
 
-_LISTS = {"small": [Source("a/one", take_examples=10), Source("b two!", "test", "v.1", 5, 2)], "large": [Source("c", take_examples=7)]}
-_ALIASED = _values(("small", 0, "a/one", 10, "00_a_one__train"), ("small", 1, "b two!", 5, "01_b_two__v.1__test"), ("large", 0, "c", 7, "00_c__train"))
+def _lists(spark, sf) -> dict[str, list[Source]]:
+    """A list of sources for each language: a catalogue, so as many rows as it has entries."""
+    rows = base._docs(spark, sf).where("source is not null and lang is not null").groupBy("lang", "source").agg(F.count("*").alias("n")).orderBy("lang", "source").collect()
+    out: dict[str, list[Source]] = {}
+    for r in rows:
+        out.setdefault(r.lang, []).append(Source(f"{r.source}/all of it!", config_name=f"_{r.lang}_", take_examples=r.n))
+    return out
 
 
-@query(f"select * from ({_ALIASED}) t(template, ordinal, name, take_examples, alias)")
+@query(f"with {_SOURCES} select lang as template, i::int ordinal, source || '/all of it!' as name, n take_examples, lpad(i::varchar, 2, '0') || '_' || source || '_all_of_it__' || lang || '__train' as alias from s")
 def source_catalogue(spark, sf):
-    """Named lists from a JSON file, resolved and given their aliases."""
+    """Named lists in a JSON file, resolved and given their aliases."""
     path = f"{fresh_dir(spark)}/lists.json"
-    configs.write_text(spark, path, json.dumps({k: [vars(s) | {"newer": 1} for s in v] for k, v in _LISTS.items()}))
+    configs.write_text(spark, path, json.dumps({k: [vars(s) | {"newer": 1} for s in v] for k, v in _lists(spark, sf).items()}))
     lists = tables.read_templates(configs.read_text(spark, path))
     chosen = {k: tables.resolve([], k, lists, []) for k in lists}
     return tables.alias(tables.catalogue(spark, chosen)).select("template", "ordinal", "name", "take_examples", "alias")
 
 
-@query(f"select * from ({_values(('a/one', 10, 0, 64), ('b two!', 5, 2, 64))}) t(name, take_examples, skip_examples, seq_len)")
+@query(f"with {_SOURCES} select lang, source || '/all of it!' as name, n take_examples, 0::bigint skip_examples, 64 seq_len, 'kept' newer from s")
 def saved_config_sources(spark, sf):
-    path = f"{fresh_dir(spark)}/config.json"
-    configs.save(spark, configs.RunConfig(datasets=_LISTS["small"], seq_len=64), path)
-    config = configs.load(spark, path)
-    return spark.createDataFrame([(s.name, s.take_examples, s.skip_examples, config.seq_len) for s in config.datasets], "name string, take_examples int, skip_examples int, seq_len int")
-
-
-@query(f"select * from ({_values(('a_take', 0), ('b_take', 7), ('seed', 3))}) t(key, value)")
+    """A configuration for each language, saved, changed, saved again and loaded: sources, known and unknown fields are there."""
+    rows = []
+    for lang, sources in _lists(spark, sf).items():
+        path = f"{fresh_dir(spark)}/config.json"
+        configs.save(spark, configs.Config({"model_config_path": "m.json", "seq_len": 7, "newer": "kept"}).changed(datasets=sources), path)
+        configs.save(spark, configs.load(spark, path).changed(seq_len=64), path)
+        config = configs.load(spark, path)
+        rows += [(lang, s.name, s.take_examples, s.skip_examples, config.number("seq_len", 512), config.get("newer")) for s in config.sources()]
+    return spark.createDataFrame(rows, "lang string, name string, take_examples long, skip_examples long, seq_len int, newer string")
+
+
+@query("select key, value from (select source || '_take' as key, case when source < 'src15' then greatest(0, count(*) - 40) else 7 end as value from documents where source is not null group by source) union all select 'seed', 3")
 def mix_overrides(spark, sf):
+    """Takes by source over their defaults; a negative one is none, an unknown key is ignored."""
+    counts = base._docs(spark, sf).where("source is not null").groupBy("source").agg(F.count("*").alias("n")).collect()  # a catalogue
     path = f"{fresh_dir(spark)}/mix.json"
-    configs.write_text(spark, path, '{"a_take": -4, "seed": 3, "unknown": 9}')
-    got = configs.load_mix(spark, path, {"a_take": 1, "b_take": 7, "seed": 42})
-    return spark.createDataFrame(sorted(got.items()), "key string, value int")
+    configs.write_text(spark, path, json.dumps({f"{r.source}_take": r.n - 40 for r in counts if r.source < "src15"} | {"seed": 3, "unknown": 9}))
+    got = configs.load_mix(spark, path, {f"{r.source}_take": 7 for r in counts} | {"seed": 42})
+    return spark.createDataFrame(sorted(got.items()), "key string, value long")
 
 
-@query(f"select * from ({_values((0, 'a'), (1, 'b c'))}) t(place, prompt)")
+@query(r"with p as (select item_id, case when item_id % 5 = 0 then '' else regexp_replace(text, '^\s+|\s+$', '', 'g') end x from benchmark) select row_number() over (order by item_id) - 1 place, x prompt from p where x <> ''")
 def given_prompts(spark, sf):
-    return tables.prompts(spark, [" a", "", None, "  ", "b c\n"])
+    """Benchmark texts as prompts, every fifth one blank."""
+    rows = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, " \n").otherwise(F.concat(F.lit("\t"), "text", F.lit(" "))).alias("text"))
+    return tables.prompts_of(rows, "item_id", "text")
 
 
 # Files
@@ -321,12 +331,13 @@ def chunk_report_file(spark, sf):
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-_RATIOS, _WIDTHS = [1.0, 3.0, 2.0], [2, 4, 8]
-
-
-@query(f"select stage, factor::double factor from ({_values(*[(i, round(math.sqrt(4.6 * math.prod(_RATIOS[i:]) / math.prod(_RATIOS) * _WIDTHS[-1] / _WIDTHS[i]), 9)) for i in range(3)])}) t(stage, factor)")
+@query("select p_partkey, stage, round(sqrt(4.6 / (case stage when 0 then 1.0 when 1 then r else r * 3.0 end) * (8.0 * w / (case stage when 0 then w when 1 then 2.0 * w else 8.0 * w end))), 9) factor from (select p_partkey, (p_size % 4 + 1)::double r, (p_size + 1)::double w from part), range(3) s(stage)")
 def stage_rates(spark, sf):
-    return spark.createDataFrame(list(enumerate(schedules.stage_multipliers(_RATIOS, _WIDTHS))), "stage int, factor double").withColumn("factor", F.round("factor", 9))
+    """Rates of three levels, for each row's ratios and widths."""
+    w = (F.col("p_size") + 1).cast("double")
+    ratios, widths = [(F.col("p_size") % 4 + 1).cast("double"), F.lit(3.0), F.lit(2.0)], [w, w * 2, w * 8]
+    rates = F.posexplode(F.array(*[schedules.stage_multiplier(ratios, widths, i) for i in range(3)])).alias("stage", "factor")
+    return table(spark, sf, "part").select("p_partkey", rates).select("p_partkey", F.col("stage").cast("long").alias("stage"), F.round("factor", 9).alias("factor"))
 
 
 @query("select o_orderkey, case when n >= 1e9 then printf('%.2fB', n / 1e9) when n >= 1e6 then printf('%.2fM', n / 1e6) else format('{:,}', n::bigint) end shown from (select o_orderkey, floor(o_totalprice * power(10, o_orderkey % 5)) * 10 + 3 n from orders)")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.ordering import permutation
+from quern.operators.ordering import keyed_place, permutation, running
 from quern.operators.packing import shard_chunks
 
 _SHARD = "struct<bin_file:string,idx_file:string,token_count:bigint,doc_count:bigint>"
@@ -75,3 +75,18 @@ def sample_order(shards: DataFrame, seq_len: int, seed: int, key: list[str]) ->
     """shards(key..., token_count) -> (pos, key..., chunk): all windows of seq_len + 1 in a seeded order."""
     rows = shard_chunks(shards, seq_len + 1, *key)
     return permutation(rows.withColumn("_key", F.concat_ws("/", *[F.col(k).cast("string") for k in (*key, "chunk")])), "_key", seed).drop("_key")
+
+
+def keyed_order(shards: DataFrame, seq_len: int, seed: int, key: list[str], start: int = 0) -> DataFrame:
+    """shards(key..., token_count) -> (pos, key..., chunk): all windows of seq_len + 1 in an order by a keyed bijection, from position ``start`` on.
+
+    Only the shards are ranked (by their key as text). Each window's position follows from its number alone, so the windows are neither sorted nor
+    shuffled, and a resumed run asks for the positions from ``start`` on at once.
+    """
+    counts = shards.where("token_count >= 0").withColumn("_n", F.floor(F.col("token_count") / (seq_len + 1)).cast("long"))
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    based = running(counts.withColumn("_name", name), "_name", "_n", "_base")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    windows = based.where("_n > 0").join(F.broadcast(total)).select(*key, "_base", "_total", F.explode(F.expr("sequence(0, _n - 1)")).alias("chunk"))
+    placed = windows.select(keyed_place(F.col("_base") + F.col("chunk"), F.col("_total"), seed).alias("pos"), *key, "chunk")
+    return placed.where(F.col("pos") >= start) if start > 0 else placed

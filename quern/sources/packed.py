@@ -1,24 +1,33 @@
 """Packed shards as a data source: raw byte streams (.bin) with document offsets (.idx).
 
-``spark.read.format("packed")`` yields (shard, chunk, bytes), one input partition per shard and complete windows only;
-option ``shards`` takes a comma-separated subset, ``start`` skips windows of the whole, ``documents`` yields
-the documents of each shard (chunk is then a document's place) as their offsets say. ``df.write.format("packed")`` takes
+``spark.read.format("packed")`` yields (shard, chunk, bytes), complete windows only. Filters on shard and chunk are pushed down: only the
+byte ranges of the windows that they leave are read, in input partitions of at most ``splitBytes`` each, so a large shard is read by many tasks.
+Option ``shards`` takes a comma-separated subset, ``start`` skips windows of the whole, ``documents`` yields
+the documents of each shard (chunk is then a document's place) as their offsets say. ``spark.readStream`` yields each window once, shard by shard;
+its offset is a place (shard, window), so that a restart goes on inside a shard. ``df.write.format("packed")`` takes
 (shard, ord, bytes) rows of one shard per partition. Files are written under temporary names and moved into place
 when the whole write commits, so a retried or speculative task harms nothing; mode overwrite removes what was there.
 
+``samples`` looks up single windows by an index: each task reads the ranges that its part of the index asks for, and no more.
+
 Paths may be plain, file:// or any URI that pyarrow's file systems open; executors must see the same folder.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+
+SPLIT, BLOCK, GAP = 64 << 20, 8 << 20, 64 << 10
+_SCHEMA = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("bytes", pa.binary())])
 
 
 def _open(path: str):
@@ -34,11 +43,103 @@ def _sizes(fs, folder: str) -> dict[str, int]:
     return {i.base_name: i.size for i in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if i.is_file}
 
 
+def _shards(path: str) -> dict[int, int]:
+    """Bytes by shard number, in order."""
+    found = _sizes(*_open(path))
+    return {int(name[5:-4]): found[name] for name in sorted(found) if name.endswith(".bin")}
+
+
 @dataclass
 class Shard(InputPartition):
+    """Windows [first, last) of a shard, in runs; for documents, all of it."""
+
     folder: str
     number: int
-    first: int
+    runs: list[tuple[int, int]]
+
+
+@dataclass
+class Span:
+    """Whole numbers that filters leave: low <= x < high, and among ``only`` if given."""
+
+    low: int = 0
+    high: int | None = None
+    only: set[int] | None = None
+
+    def narrow(self, f: Filter) -> bool:
+        """Takes a filter in; false for one that it cannot express."""
+        v = getattr(f, "value", None)
+        if isinstance(f, IsNotNull):
+            return True
+        if isinstance(f, (EqualTo, In)):
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.only = values if self.only is None else self.only & values
+        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.low = max(self.low, v + isinstance(f, GreaterThan))
+        elif isinstance(f, (LessThan, LessThanOrEqual)):
+            self.high = min(v + isinstance(f, LessThanOrEqual), v + 1 if self.high is None else self.high)
+        else:
+            return False
+        return True
+
+    def runs(self, n: int) -> list[tuple[int, int]]:
+        """What is left of 0..n-1, in runs."""
+        low, high = self.low, n if self.high is None else min(n, self.high)
+        if self.only is None:
+            return [(low, high)] if low < high else []
+        return joined(sorted(x for x in self.only if x is not None and low <= x < high), 0)
+
+    def __contains__(self, x: int) -> bool:
+        return x >= self.low and (self.high is None or x < self.high) and (self.only is None or x in self.only)
+
+
+def joined(places: Iterable[int], gap: int, most: int | None = None) -> list[tuple[int, int]]:
+    """Ascending places as runs [first, last), across gaps of at most ``gap`` places, each of at most ``most`` places."""
+    out: list[tuple[int, int]] = []
+    for x in places:
+        if out and x - out[-1][1] <= gap and (most is None or x + 1 - out[-1][0] <= most):
+            out[-1] = out[-1][0], max(x + 1, out[-1][1])
+        else:
+            out.append((x, x + 1))
+    return out
+
+
+def _pieces(runs: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int, int]]]:
+    """The runs dealt out over lists of at most ``most`` windows."""
+    out, size = [], 0
+    for first, last in runs:
+        while first < last:
+            n = min(last - first, most - size)
+            out.append((first, first + n))
+            first, size = first + n, size + n
+            if size >= most:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def _read_runs(path: str, number: int, runs: list[tuple[int, int]], stride: int) -> Iterator[tuple[int, bytes]]:
+    """(first window, bytes of some whole windows) of a shard's runs, block by block."""
+    fs, folder = _open(path)
+    most = max(1, BLOCK // stride)
+    with fs.open_input_file(f"{folder}/data-{number:05d}.bin") as f:
+        for first, last in runs:
+            while first < last:
+                n = min(most, last - first)
+                data = f.read_at(n * stride, first * stride)
+                whole = len(data) // stride
+                if whole:
+                    yield first, data[: whole * stride]
+                first += n
+
+
+def _windows(path: str, number: int, runs: list[tuple[int, int]], stride: int) -> Iterator[pa.RecordBatch]:
+    for first, data in _read_runs(path, number, runs, stride):
+        n = len(data) // stride
+        ends = pa.py_buffer(np.arange(0, (n + 1) * stride, stride, dtype=np.int32))
+        bytes_ = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(first, first + n)), bytes_], schema=_SCHEMA)
 
 
 @dataclass
@@ -49,39 +150,96 @@ class Written(WriterCommitMessage):
 class PackedReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.stride, self.start = options["path"], int(options.get("stride", 513)), int(options.get("start", 0))
-        self.only = {int(x) for x in options["shards"].split(",")} if options.get("shards") else None
+        self.split = max(self.stride, int(options.get("splitBytes", SPLIT)))
+        self.shard, self.chunk = Span(), Span()
+        if options.get("shards"):
+            self.shard.only = {int(x) for x in options["shards"].split(",")}
         self.documents = str(options.get("documents", "false")).lower() == "true"
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            name = getattr(f, "attribute", ())
+            span = self.shard if name == ("shard",) else self.chunk if name == ("chunk",) and not self.documents else None
+            if span is None or not span.narrow(f):
+                yield f
+
     def partitions(self) -> list[Shard]:
-        fs, folder = _open(self.folder)
         out, skip = [], self.start
-        for name, size in sorted(_sizes(fs, folder).items()):
-            if name.endswith(".bin"):
-                number = int(name[5:-4])
-                if self.only is None or number in self.only:
-                    windows = size // self.stride
-                    if self.documents or windows > skip:
-                        out.append(Shard(self.folder, number, skip))
-                    skip = max(0, skip - windows)
-        return out
-
-    def read(self, partition: Shard) -> Iterator[tuple]:
+        for number, size in _shards(self.folder).items():
+            if number not in self.shard:
+                continue
+            if self.documents:
+                out.append(Shard(self.folder, number, []))
+                continue
+            windows = size // self.stride
+            runs = [(max(a, skip), b) for a, b in self.chunk.runs(windows) if b > skip]
+            out += [Shard(self.folder, number, r) for r in _pieces(runs, self.split // self.stride)]
+            skip = max(0, skip - windows)
+        return out or [Shard(self.folder, -1, [])]  # Spark wants a partition
+
+    def read(self, partition: Shard) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        if partition.number < 0:
+            return iter(())
+        return self._whole_documents(partition) if self.documents else _windows(partition.folder, partition.number, partition.runs, self.stride)
+
+    def _whole_documents(self, partition: Shard) -> Iterator[tuple]:
         fs, folder = _open(partition.folder)
         name = f"{folder}/data-{partition.number:05d}"
-        with fs.open_input_file(f"{name}.bin") as f:
-            if self.documents:
-                with fs.open_input_file(f"{name}.idx") as i:
-                    ends = np.frombuffer(i.read(), "<u8").astype(np.int64)
-                if not len(ends) or ends[0] != 0 or ends[-1] != f.size() or (np.diff(ends) < 0).any():
-                    raise ValueError(f"offsets of shard {partition.number} do not fit its bytes")
-                for k, n in enumerate(np.diff(ends).tolist()):
-                    yield partition.number, k, f.read(n)
-                return
-            f.seek(partition.first * self.stride)
-            chunk = partition.first
-            while len(data := f.read(self.stride)) == self.stride:
-                yield partition.number, chunk, data
-                chunk += 1
+        with fs.open_input_file(f"{name}.bin") as f, fs.open_input_file(f"{name}.idx") as i:
+            ends = np.frombuffer(i.read(), "<u8").astype(np.int64)
+            if not len(ends) or ends[0] != 0 or ends[-1] != f.size() or (np.diff(ends) < 0).any():
+                raise ValueError(f"offsets of shard {partition.number} do not fit its bytes")
+            for k, n in enumerate(np.diff(ends).tolist()):
+                yield partition.number, k, f.read(n)
+
+
+class PackedStreamReader(DataSourceStreamReader):
+    """Windows in the order of shards; shards come whole and with rising numbers, as ``write_packed`` commits them.
+
+    An offset is the first window not yet read. ``maxWindows`` bounds each batch but the first after a start, when Spark does not tell where the
+    query stands.
+    """
+
+    def __init__(self, options):
+        self.folder, self.stride = options["path"], int(options.get("stride", 513))
+        self.split, self.most = max(self.stride, int(options.get("splitBytes", SPLIT))), int(options.get("maxWindows", 0))
+        self.at: tuple[int, int] | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        self.at = (0, 0)
+        return {"shard": 0, "window": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        left = self.most if self.at is not None else 0
+        shard, window = self.at or (0, 0)
+        for number, size in _shards(self.folder).items():
+            windows = size // self.stride
+            if number < shard:
+                continue
+            first = window if number == shard else 0
+            shard, window = number, windows
+            if self.most and self.at is not None:
+                if windows - first >= left:
+                    window = first + left
+                    break
+                left -= windows - first
+        return {"shard": shard, "window": window}
+
+    def partitions(self, start: dict, end: dict) -> list[Shard]:
+        (a, first), (b, last) = ((x["shard"], x["window"]) for x in (start, end))
+        self.at = (b, last)
+        out = []
+        for number, size in _shards(self.folder).items():
+            if a <= number <= b:
+                run = (first if number == a else 0, last if number == b else size // self.stride)
+                out += [Shard(self.folder, number, r) for r in _pieces([run] if run[0] < run[1] else [], self.split // self.stride)]
+        return out
+
+    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        return _windows(partition.folder, partition.number, partition.runs, self.stride)
+
+    def commit(self, end: dict) -> None:
+        """The files stay."""
 
 
 class PackedWriter(DataSourceWriter):
@@ -145,6 +303,9 @@ class Packed(DataSource):
     def reader(self, schema) -> PackedReader:
         return PackedReader(self.options)
 
+    def streamReader(self, schema) -> PackedStreamReader:  # noqa: N802
+        return PackedStreamReader(self.options)
+
     def writer(self, schema, overwrite: bool) -> PackedWriter:
         return PackedWriter(self.options, overwrite)
 
@@ -156,15 +317,66 @@ def write_packed(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
     placed.write.format("packed").mode("overwrite" if overwrite else "append").save(folder)
 
 
-def read_packed(spark, folder: str, stride: int, **options) -> DataFrame:
-    spark.dataSource.register(Packed)
-    reader = spark.read.format("packed").option("stride", stride)
+def _with_options(reader, stride: int, options: dict):
+    reader = reader.format("packed").option("stride", stride)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(folder)
+    return reader
 
 
-def samples(spark, folder: str, index: DataFrame, stride: int, start: int = 0) -> DataFrame:
-    """index(pos, shard, chunk) with the bytes of each sample; positions below ``start`` are left out (resume)."""
-    wanted = index.where(F.col("pos") >= start) if start > 0 else index
-    return wanted.join(read_packed(spark, folder, stride), ["shard", "chunk"])
+def read_packed(spark, folder: str, stride: int, **options) -> DataFrame:
+    """The windows of a folder; from here on the session pushes filters down to Python data sources."""
+    spark.dataSource.register(Packed)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return _with_options(spark.read, stride, options).load(folder)
+
+
+def stream_packed(spark, folder: str, stride: int, **options) -> DataFrame:
+    """The windows of a folder as a stream, those of shards that come later included."""
+    spark.dataSource.register(Packed)
+    return _with_options(spark.readStream, stride, options).load(folder)
+
+
+def _fetch(folder: str, stride: int, gap: int, schema: pa.Schema, seen: Accumulator | None) -> Callable:
+    """Index rows, sorted by shard and chunk -> the same with the bytes of their windows; rows without a whole window go."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            shard, chunk = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("shard", "chunk"))
+            bytes_: list[bytes | None] = [None] * len(chunk)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                at = a
+                # Neighbours within ``gap`` bytes come by one read.
+                for run_ in joined(chunk[a:b].tolist(), gap // stride, max(1, BLOCK // stride)):
+                    for first, data in _read_runs(folder, int(shard[a]), [run_], stride):
+                        if seen is not None:
+                            seen.add(len(data))
+                        n = len(data) // stride
+                        while at < b and chunk[at] < first + n:
+                            place = int(chunk[at] - first) * stride
+                            bytes_[at] = data[place : place + stride]
+                            at += 1
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(bytes_, pa.binary())], schema=schema)
+            yield out.filter(out.column(out.num_columns - 1).is_valid())
+
+    return run
+
+
+def samples(spark, folder: str, index: DataFrame, stride: int, start: int = 0, seen: Accumulator | None = None, gap: int = GAP) -> DataFrame:
+    """index(pos, shard, chunk, ...) with the bytes of each sample; positions below ``start`` are left out (resume).
+
+    Only the index is shuffled, sorted by shard and stretch of it; then each task reads the ranges that it needs, so a hundredth of an index
+    reads about a hundredth of the bytes. Windows that are not there are left out. ``seen`` counts the bytes read.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = (index.where(F.col("pos") >= start) if start > 0 else index).where("shard >= 0 and chunk >= 0")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    stretch = F.floor(F.col("chunk") * stride / F.lit(SPLIT))
+    laid = wanted.repartition(parts, "shard", stretch).sortWithinPartitions("shard", "chunk")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields)
+    schema = pa.schema([*to_arrow_schema(laid.schema), ("bytes", pa.binary())])
+    return laid.mapInArrow(_fetch(folder, stride, gap, schema, seen), f"{fields}, bytes binary")

@@ -8,6 +8,10 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
+from quern.operators.ordering import row_ids
+
+#: The columns of the two metric logs.
 TRAINING_METRICS = "step long, learning_rate double, ce_loss double, ratio_loss double, byte_boundary_loss double, total_loss double"
 VALIDATION_METRICS = (
     "step long, validation_batches long, validation_ce_loss double, validation_bpb double, avg_bytes_per_chunk double, target_ratio_gap double, "
@@ -108,6 +112,25 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return read_done(df.sparkSession, path, df.schema)
 
 
+def append_stream(stream: DataFrame, path: str, checkpoint: str, key: str, event_time: str | None = None, delay: str = "1 day"):
+    """A writer that appends a stream's records below ``path``, each key once, however often a batch is repeated.
+
+    Keys seen before are in the query's state, so nothing written is read again; with ``event_time`` the state forgets keys after ``delay``. Each batch is a
+    folder named by its number, which the batch replaces: one that failed halfway, or ran twice, leaves what it leaves when it runs once.
+    """
+    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]) if event_time else stream.dropDuplicates([key])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``append_stream`` has written."""
+    return spark.read.schema(schema).parquet(path).drop("batch")
+
+
 def write_results(rows: DataFrame, summary: DataFrame, path: str) -> None:
     """Result records, and beside them their one-row summary."""
     write_records(rows, path)
@@ -120,6 +143,12 @@ def prompts(spark: SparkSession, given: list[str | None]) -> DataFrame:
     return spark.createDataFrame(kept, "place int, prompt string")
 
 
+def prompts_of(df: DataFrame, order: str, text: str) -> DataFrame:
+    """``prompts`` of a table: stripped, blank and null ones left out, numbered in order."""
+    kept = df.select(F.col(order).alias("_o"), strip(F.col(text)).alias("prompt")).where("prompt <> ''")
+    return row_ids(kept, "_o", "place").select("place", "prompt")
+
+
 def progress(df: DataFrame, name: str, **counters) -> tuple[DataFrame, object]:
     """df that counts as it runs, and the observation to read the counts from."""
     from pyspark.sql import Observation
