@@ -7,7 +7,7 @@ Texts are routed by their xxhash fingerprint in an RDD. A task collapses the cop
 least doc_id, so that a text in a third of all rows travels once a task; the records of a fingerprint meet in one partition, where a chain
 holds each different text in full with its least doc_id so far. Whatever does not have the least one is sent out as failing E. There are
 as many partitions as the input has splits, so a partition holds about a split's worth of different texts.
-The masks get their labels by a join on doc_id, and ``combineByKey`` merges them into one vector of counts for each part (source). All 120 orders follow
+The masks, a slim table, are written once, and get their labels by a join on doc_id; ``combineByKey`` merges them into one vector of counts for each part (source). All 120 orders follow
 from that vector: no order reads the documents again.
 
 Defined cases: null text is empty (A fails); null and empty source are one part, the empty string; null doc_id counts as larger than any
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_defaults
+from .common import Scratch, with_defaults
 
 #: The filters, and the bytes that they look for.
 FILTERS = "ABCDE"
@@ -169,7 +169,11 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, source, text), labels(doc_id, quality, toxic) -> one row per part, filter_order and step."""
     flag = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
-    found = failures(docs)
+    found = Scratch(docs.sparkSession).keep(failures(docs), "masks")
+    # The RDD part stands outside Spark's query plans, so what came out of it is held against what there is.
+    seen, there = found.agg(F.sum("n_rows")).first()[0] or 0, docs.count()
+    if seen != there:
+        raise RuntimeError(f"{seen} rows were audited, {there} are there: docs must be the same each time it is read")
     labelled = found.join(marks, F.col("doc_id") == F.col("_id"), "left").select("part", "mask", "n_rows", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     rows = _vectors(labelled).flatMap(lambda x: orders(*x))
     names = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
