@@ -16,11 +16,12 @@ tasks without a global rank. Buckets of one member leave as early as possible:
    agree as a whole (bucket names at their first and last string) repeat as a whole.
 3. The rest is refined in pieces of 16 starts: a piece that agrees as a whole repeats; a piece whose
    common core occurs once leaves.
-4. What remains is refined to single strings: sorted by bucket identifier (depth 100) and the identifier at the later
-   offset (100 on), equal neighbours are one bucket of depth 200.
+4. What remains is refined to single strings: those that agree in bucket identifier (depth 100) and in the identifier at the later
+   offset (100 on) are one bucket of depth 200.
 
 Refinement is by identifiers throughout, never by bytes: each is the name of a pair of identifiers, of a bucket and of the
-one at a later offset, and sorting (Spark's, on such pairs) brings equal ones together. Two different strings are taken for equal
+one at a later offset. Where a suffix array sorts such pairs and ranks them, equal pairs meet here by aggregation on the pair (by its hash), as only equality
+matters: pre-aggregated counts travel, and no rank has to be known to all. Two different strings are taken for equal
 only if two independent 64-bit identifiers agree by chance, 1 in 2^128 for a pair: below 1 in 10^10 for a corpus of 10^14 bytes.
 
 Only grouped counts travel, pre-aggregated per task, so copies by the thousand cost one row a task.
