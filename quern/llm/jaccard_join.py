@@ -14,10 +14,11 @@ sets are implied by their shared class, so copies are never expanded into pairs.
    hand, then over all shingles of those classes that need others instead, until no list is newly long. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
    reaches what it must share. Few classes have too few short lists and keep long ones: a linked pair that lacks occurrences in
    short lists shares a long one that both keep, and each long list ties those that keep it to the first of them.
-4. Candidates form groups; each group is searched exactly by DivideSkip: of a query's inverted lists, the longest are set aside,
-   the others merged with a heap that skips what cannot reach T - L, and candidates are probed by binary search for the long
-   ones. The group's largest node asks nothing, for its members are linked already; groups are dealt out in chunks of at most
-   ``CHUNK`` classes and ``SHINGLES`` shingles, the largest node's against the others'.
+4. Each candidate pair is settled around its larger node (a star): the classes of the centre are indexed, those of its partners ask, and no partner is
+   compared with another. What long lists tie forms groups, whose classes are all indexed and all ask but those of the largest node. Either is DivideSkip: of
+   a query's inverted lists, the longest are set aside, the others merged with a heap that skips what cannot reach T - L, and each candidate is looked up in the long
+   ones by binary search until it has what it needs or cannot get it. Centres, partners and groups are dealt out in chunks of at most
+   ``CHUNK`` classes and ``SHINGLES`` shingles.
 5. Components over the links found.
 
 The order, MOST, CHUNK and SHARE move cost, never the result.
@@ -33,7 +34,6 @@ import heapq
 import itertools
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,18 +129,16 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (x[at], i, at))
 
 
-def t_occurrence(sets: list[np.ndarray], nodes: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Pairs of indices that link sets of different nodes; enough of them to connect what is linked. All sets are indexed,
-    all but those of the commonest node ask."""
-    usual = Counter(nodes).most_common(1)[0][0]
-    ask = [q for q, x in enumerate(nodes) if x != usual]
-    if not ask:
+def t_occurrence(sets: list[np.ndarray], nodes: list[int], indexed: list[bool], asks: list[bool], threshold: int) -> list[tuple[int, int]]:
+    """Pairs of indices, one indexed and one that asks, that link sets of different nodes; enough of them to connect what is linked."""
+    ask, lists = [q for q, x in enumerate(asks) if x], [i for i, x in enumerate(indexed) if x]
+    if not ask or not lists:
         return []
     n = [len(s) for s in sets]
     union, first = _Union(len(sets)), {}
     for i, x in enumerate(nodes):
         union.join(first.setdefault(x, i), i)
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    tokens, owner = np.concatenate([sets[i] for i in lists]), np.repeat(lists, [n[i] for i in lists])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     names, starts, lengths = np.unique(tokens, return_index=True, return_counts=True)
@@ -148,21 +146,26 @@ def t_occurrence(sets: list[np.ndarray], nodes: list[int], threshold: int) -> li
     for q in ask:
         s = sets[q]
         at = np.searchsorted(names, s)
+        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == s)]
         need = least_overlap(len(s), threshold)
+        if len(at) < need:
+            continue
         at = at[np.argsort(lengths[at], kind="stable")]
         # L, by DivideSkip's rule: the longer the longest list, the more merging costs against probing.
         aside = min(need - 1, int(need / (0.01 * math.log2(max(2, int(lengths[at[-1]]))) + 1)))
         cut = len(at) - aside
-        lists = [owner[starts[i] : starts[i] + lengths[i]].tolist() for i in at[:cut].tolist() if lengths[i] > 1]
-        rest = np.sort(names[at[cut:]])
-        for c, count in merge_skip(lists, need - aside):
+        short, long = ([owner[starts[i] : starts[i] + lengths[i]].tolist() for i in part.tolist()] for part in (at[:cut], at[cut:]))
+        for c, count in merge_skip(short, need - aside):
             if c == q or 100 * min(n[c], n[q]) < threshold * max(n[c], n[q]) or union.find(c) == union.find(q):
                 continue
-            y = sets[c]
-            pos = np.searchsorted(y, rest)
-            pos[pos == len(y)] = 0
-            both = count + int((y[pos] == rest).sum())
-            if 100 * both >= threshold * (len(y) + len(s) - both):
+            # The long lists are probed for the candidate, as long as they can still make up what it lacks.
+            both, least = count, -(-threshold * (n[c] + n[q]) // (100 + threshold))
+            for left, members in zip(range(len(long), 0, -1), long, strict=True):
+                if both + left < least or both >= least:
+                    break
+                place = bisect_left(members, c)
+                both += place < len(members) and members[place] == c
+            if both >= least:
                 union.join(c, q)
                 out.append((c, q))
     return out
@@ -172,23 +175,24 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _search_groups(k: int, threshold: int):
-    """In, sorted by group: grp, i, j, id, node, text. Out: links that connect what the group links."""
+    """In, sorted by group: grp, i, j, id, node, indexed, asks, text. Out: links that connect what the group links."""
 
-    def solve(rows: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
-        if len({x for x, _ in rows.values()}) < 2:
+    def solve(rows: dict[int, tuple]) -> list[tuple[int, int]]:
+        if len({x[0] for x in rows.values()}) < 2:
             return []
         ids = sorted(rows)
-        found = t_occurrence([shingle_set(rows[x][1], k) for x in ids], [rows[x][0] for x in ids], threshold)
+        nodes, indexed, asks, raw = zip(*(rows[x] for x in ids), strict=True)
+        found = t_occurrence([shingle_set(x, k) for x in raw], nodes, indexed, asks, threshold)
         return [(ids[a], ids[b]) for a, b in found]
 
     def run(it):
         now, rows, out = None, {}, []
         for batch in it:
-            for grp, i, j, ident, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, i, j, ident, node, indexed, asks, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, i, j) != now:
                     out += solve(rows)
                     now, rows = (grp, i, j), {}
-                rows[ident] = (node, raw)
+                rows[ident] = (node, indexed, asks, raw)
             if out:
                 yield arrow(_LINKS, *zip(*out, strict=True))
                 out = []
@@ -199,14 +203,57 @@ def _search_groups(k: int, threshold: int):
     return run
 
 
+_TASK = ("grp", "i", "j", "id", "node", "indexed", "asks")
+
+
 def _search(tasks: DataFrame, keyed: DataFrame, k: int, threshold: int, parts: int) -> DataFrame:
-    """tasks(grp, i, j, id, node, one) -> links(a, b). Texts of each class's first document join their tasks."""
-    t = tasks.select("grp", "i", "j", "id", "node", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
-    texts = keyed.join(t, keyed["doc_id"].eqNullSafe(t["_doc"]) & (keyed["th"] == t["_th"])).select("grp", "i", "j", "id", "node", "text")
+    """tasks(grp, i, j, id, node, indexed, asks, one) -> links(a, b). Texts of each class's first document join their tasks."""
+    t = tasks.select(*_TASK, F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
+    texts = keyed.join(t, keyed["doc_id"].eqNullSafe(t["_doc"]) & (keyed["th"] == t["_th"])).select(*_TASK, "text")
     texts = texts.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     return texts.mapInArrow(_search_groups(k, threshold), "a long, b long")
 
 
+def _chunks(classes, shingles):
+    """How many tasks so many classes with so many shingles are dealt out over."""
+    return F.ceil(F.greatest(classes / CHUNK, shingles / SHINGLES)).cast("int")
+
+
+def _stars(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tasks for pairs of nodes: around the larger node of each, whose classes are indexed, those of its partners ask.
+
+    A class of a partner is compared with its centre only, so the work is in proportion to the pairs.
+    """
+    sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    of = lambda side: sizes.select(F.col("node").alias(side), F.struct("c", "s", "node").alias(f"_{side}"))
+    pairs = found.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.greatest("_a", "_b").alias("centre"), F.least("_a", "_b").alias("other"))
+    stars = pairs.groupBy(F.col("centre.node").alias("grp")).agg(F.first("centre.c").alias("c"), F.first("centre.s").alias("s"), F.sum("other.c").alias("oc"), F.sum("other.s").alias("os"))
+    stars = stars.select("grp", _chunks(F.col("c"), F.col("s")).alias("big"), _chunks(F.col("oc"), F.col("os")).alias("rest"))
+    listed = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.col(n)).cast("int")
+    centres = rows.join(stars, rows["node"] == stars["grp"]).select("grp", own("big").alias("i"), listed("rest").alias("j"), "id", "node", F.lit(True).alias("indexed"), F.lit(False).alias("asks"), "one")
+    partners = pairs.select(F.col("centre.node").alias("grp"), F.col("other.node").alias("_node")).join(stars, "grp")
+    partners = rows.join(partners, rows["node"] == partners["_node"]).select("grp", listed("big").alias("i"), own("rest").alias("j"), "id", "node", F.lit(False).alias("indexed"), F.lit(True).alias("asks"), "one")
+    return centres.unionByName(partners)
+
+
+def _ties(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tasks for groups of nodes that long lists tie: the classes of the largest node in chunks against those of the others, and the others among
+    themselves. The largest node asks nothing, for its members are linked already."""
+    members = rows.select("id", "one", "n", "node").join(groups, "node").withColumnRenamed("comp", "grp")
+    sizes = members.groupBy("grp", "node").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = sizes.groupBy("grp").agg(F.max(F.struct("c", "s", "node")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    whole = whole.select("grp", F.col("top.node").alias("top"), _chunks(F.col("top.c"), F.col("top.s")).alias("big"), _chunks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rest")).where("rest > 0")
+    dealt = members.join(whole, "grp").withColumn("main", F.col("node") == F.col("top"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("main"), F.col("big")).otherwise(F.col("rest"))).cast("int")
+    last = F.when(F.col("main"), F.col("rest")).otherwise(F.col("big") + F.col("rest")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), last)))
+    other = F.col("big") + F.col("own")
+    i = F.when(F.col("main"), F.col("own")).when(F.col("c") < F.col("big"), F.col("c")).otherwise(F.least("c", other))
+    j = F.when(F.col("main"), F.col("big") + F.col("c")).when(F.col("c") < F.col("big"), other).otherwise(F.greatest("c", other))
+    return dealt.select("grp", i.alias("i"), j.alias("j"), "id", "node", F.lit(True).alias("indexed"), (~F.col("main")).alias("asks"), "one")
+
+
 def _candidates(post: DataFrame, threshold: int) -> DataFrame:
     """post(t, node, lo, hi) -> (a, b): pairs of nodes that share as many lists as linked ones must."""
     x, y = (post.select("t", *[F.col(c).alias(f"{c}{s}") for c in ("node", "lo", "hi")]) for s in "xy")
@@ -243,9 +290,9 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     led = classes.select("id", "one", F.col("first")[0].alias("grp"))
     heads = led.groupBy("grp").agg(F.min("id").alias("head"), F.min_by("one", "id").alias("first_one"), F.count("*").alias("size")).where("size > 1")
     led = led.join(heads, "grp").withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).cast("int"))
-    spread = heads.select("grp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("i"), F.lit(0).alias("j"), F.col("head").alias("id"), F.lit(0).cast("long").alias("node"), F.col("first_one").alias("one"))
-    # To its own chunk a class comes as one of the commonest node (1), the leader as another that alone asks.
-    tasks = led.where("id <> head").select("grp", "i", F.lit(0).alias("j"), "id", F.lit(1).cast("long").alias("node"), "one").unionByName(spread)
+    spread = heads.select("grp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("i"), F.lit(0).alias("j"), F.col("head").alias("id"), F.lit(0).cast("long").alias("node"), F.lit(True).alias("indexed"), F.lit(False).alias("asks"), F.col("first_one").alias("one"))
+    # The leader is indexed, each class asks for itself.
+    tasks = led.where("id <> head").select("grp", "i", F.lit(0).alias("j"), "id", (F.col("id") + 1).alias("node"), F.lit(False).alias("indexed"), F.lit(True).alias("asks"), "one").unionByName(spread)
     near = scratch.keep(_search(tasks, keyed, k, threshold, parts), "near")
     comps = connected_components(near, scratch, "leaders")
 
@@ -279,26 +326,12 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     sorted_ = sorted_.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
     sorted_ = scratch.keep(sorted_, "again")
     listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
+    found = scratch.keep(_candidates(_postings(listed, "short"), threshold), "found")
     # A linked pair that shares less in short lists shares a long list that both keep, and is tied by it.
-    found = _candidates(_postings(listed, "short"), threshold)
     kept = _postings(listed.where(F.size("kept") > 0), "kept")
-    tied = kept.join(kept.groupBy("t").agg(F.min("node").alias("b")), "t").select(F.col("node").alias("a"), "b")
-    groups = connected_components(found.unionByName(tied), scratch, "groups")
-
-    # Largest node of each group; its classes in chunks against those of the others, and the others among themselves.
-    members = rows.select("id", "one", "n", "node").join(groups, "node").withColumnRenamed("comp", "grp")
-    sizes = members.groupBy("grp", "node").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    whole = sizes.groupBy("grp").agg(F.max(F.struct("c", "s", "node")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-    chunks = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / SHINGLES)).cast("int")
-    whole = whole.select("grp", F.col("top.node").alias("top"), chunks(F.col("top.c"), F.col("top.s")).alias("big"), chunks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("rest")).where("rest > 0")
-    dealt = members.join(whole, "grp").withColumn("main", F.col("node") == F.col("top"))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("main"), F.col("big")).otherwise(F.col("rest"))).cast("int")
-    last = F.when(F.col("main"), F.col("rest")).otherwise(F.col("big") + F.col("rest")) - 1
-    dealt = dealt.withColumn("own", own).withColumn("c", F.explode(F.sequence(F.lit(0), last)))
-    other = F.col("big") + F.col("own")
-    i = F.when(F.col("main"), F.col("own")).when(F.col("c") < F.col("big"), F.col("c")).otherwise(F.least("c", other))
-    j = F.when(F.col("main"), F.col("big") + F.col("c")).when(F.col("c") < F.col("big"), other).otherwise(F.greatest("c", other))
-    tasks = dealt.select("grp", i.alias("i"), j.alias("j"), "id", "node", "one")
+    tied = kept.join(kept.groupBy("t").agg(F.min("node").alias("b")), "t").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
+    groups = connected_components(tied, scratch, "groups")
+    tasks = _stars(found, rows).unionByName(_ties(groups, rows))
     links = _search(tasks, keyed, k, threshold, parts).unionByName(near)
     comps = connected_components(links, scratch, "links")
 
@@ -306,7 +339,7 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     lowest = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = labels.join(lowest, "comp").select("h1", "h2", "comp", "component_id")
     out = sets.select("doc_id", "th", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    scratch.drop("nodes", "near", f"long-{turn - 1}", "listed", "again", "spelled", "more")
+    scratch.drop("nodes", "near", "found", f"long-{turn - 1}", "listed", "again", "spelled", "more")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 

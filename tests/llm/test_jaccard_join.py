@@ -110,3 +110,42 @@ def test_keep_one_with_shared_ids(spark):
 
 def test_empty(spark):
     assert J.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_candidates_are_settled_pair_by_pair(spark, monkeypatch):
+    """Texts of two passages each: many candidates, one component of them, no link. The work follows the pairs."""
+    r = random.Random(8)
+    passages = [" ".join(f"p{p}x{i}" for i in range(40)) for p in range(30)]
+    rows = [(i, " ".join(r.sample(passages, 2))) for i in range(300)]
+    seen = []
+
+    def spied(found, nodes, stars=J._stars):
+        tasks = stars(found, nodes)
+        seen.append((found.count(), nodes.count(), tasks.count(), tasks.groupBy("grp", "i", "j").count().agg({"count": "max"}).first()[0]))
+        return tasks
+
+    monkeypatch.setattr(J, "_stars", spied)
+    check(spark, rows, 3, 90)
+    (pairs, classes, tasks, largest), = seen
+    assert pairs > classes and tasks <= 2 * pairs and largest < classes / 2
+
+
+def test_t_occurrence_asks_only_what_is_indexed():
+    r = random.Random(5)
+    sets = [J.np.unique(J.np.array(r.sample(range(60), r.randint(20, 40)), J.np.uint64)) for _ in range(60)]
+    for i in range(0, 60, 4):  # near copies
+        sets[i + 1] = J.np.unique(J.np.concatenate([sets[i][1:], J.np.array([99], J.np.uint64)]))
+    linked = lambda a, b: 100 * len(J.np.intersect1d(sets[a], sets[b])) >= 90 * len(J.np.union1d(sets[a], sets[b]))
+    nodes = list(range(60))
+    indexed, asks = [i % 2 == 0 for i in nodes], [i % 3 != 0 for i in nodes]
+    got = J.t_occurrence(sets, nodes, indexed, asks, 90)
+    assert all(linked(a, b) and indexed[a] and asks[b] for a, b in got)
+    want, have = J._Union(60), J._Union(60)
+    for a, b in got:
+        have.join(a, b)
+    for a in nodes:
+        for b in nodes:
+            if a != b and indexed[a] and asks[b] and linked(a, b):
+                want.join(a, b)
+    assert [have.find(i) for i in nodes] == [want.find(i) for i in nodes] and len(got) > 3
+    assert J.t_occurrence(sets, nodes, [False] * 60, asks, 90) == [] == J.t_occurrence(sets, [1] * 60, indexed, asks, 90)
