@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.ordering import in_ranges
+from quern.sources.shared import fresh_dir, kept
 
 
-def _pieces(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+def pieces(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
     """The rows of each (group, range), whole; sorted input."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
@@ -38,12 +39,13 @@ def ranged_fold(df: DataFrame, by: str, order: str, value: str | list[str], out:
     """
     names = [value] if isinstance(value, str) else value
     pick = (lambda pdf: pdf[value]) if isinstance(value, str) else (lambda pdf: pdf[names])
+    df = kept(df, f"{fresh_dir(df.sparkSession)}/rows")  # read for the cuts, the summaries and the results
     keyed = in_ranges(df, F.col(order)).drop("_k")
     laid = keyed.repartition(by, "_b").sortWithinPartitions(by, "_b", order)
     kind = df.schema[by].dataType.simpleString()
 
     def shorten(batches):
-        for piece in _pieces(batches, by):
+        for piece in pieces(batches, by):
             yield pd.DataFrame({by: piece[by].iloc[:1], "_b": piece["_b"].iloc[:1], "_s": [pickle.dumps(summarise(pick(piece)))]})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,7 +56,7 @@ def ranged_fold(df: DataFrame, by: str, order: str, value: str | list[str], out:
         return pd.DataFrame({by: pdf[by], "_b": pdf["_b"], "_s": states})
 
     def finish(batches):
-        for piece in _pieces(batches, by):
+        for piece in pieces(batches, by):
             yield piece.drop(columns=["_b", "_s"]).assign(**{out.split()[0]: apply(pick(piece), pickle.loads(piece["_s"].iloc[0]))})
 
     ddl = f"`{by}` {kind}, _b int, _s binary"

@@ -18,6 +18,16 @@ def concatenate(frames: list[DataFrame] | dict[str, DataFrame], order: str) -> D
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("source_ord", F.lit(i)) for i, f in enumerate(listed)])
 
 
+def concatenate_by(df: DataFrame, by: str) -> DataFrame:
+    """``concatenate`` of the sources that lie in one frame, told apart by a column: source_ord is the place of the name among all names.
+
+    One pass over the rows, however many sources there are; rows without a source belong to none.
+    """
+    names = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_name")).distinct()
+    ranked = running(names, "_name", F.lit(1), "source_ord").withColumn("source_ord", F.col("source_ord").cast("int"))
+    return df.join(ranked, F.col(by) == F.col("_name")).drop("_name", by)
+
+
 def slots(spark: SparkSession, shares: list[float], n: int, seed: int) -> DataFrame:
     """(slot, source, rank): n draws of a source each, and the how-manieth draw of its source it is."""
     u = uniform("slot", seed=seed)

@@ -183,11 +183,16 @@ def resume(df: DataFrame, position: str, done: int, size: int = 1) -> DataFrame:
     return df.where(F.col(position) >= max(0, done) * size)
 
 
+def shares(df: DataFrame, order: str, workers: int, name: str = "worker") -> DataFrame:
+    """Adds the worker of each row, dealt out in turn by order: one ranking for all workers."""
+    return row_ids(df, order, name).withColumn(name, F.col(name) % workers)
+
+
 def share(df: DataFrame, order: str, workers: int, index: int) -> DataFrame:
     """Every workers-th row by order, from the index-th on: disjoint shares that cover the frame."""
     if not 0 <= index < workers:
         raise ValueError("index must be below workers")
-    return row_ids(df, order, "_at").where(F.col("_at") % workers == index).drop("_at")
+    return shares(df, order, workers, "_at").where(F.col("_at") == index).drop("_at")
 
 
 def first_batches(df: DataFrame, order: str, batches: int, size: int) -> DataFrame:

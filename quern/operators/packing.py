@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import encode, token_count
-from quern.operators.folds import ranged_fold
 from quern.operators.ordering import running
 
 
@@ -54,55 +51,6 @@ def padded(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
     return rows.withColumn("input", F.substring("bytes", 1, length)).withColumn("label_bytes", F.substring("bytes", 2, length)).withColumn("valid", F.col("n") - 1)
 
 
-def greedy_shards(docs: DataFrame, order: str, by: str, capacity: int, n: str = "n") -> DataFrame:
-    """(by, order, n, shard): a new shard starts where a row would overflow one that is not empty.
-
-    The fold is sequential, but not its work: each range of a source finds, for every row a shard could first break at, how
-    many shards follow and what the last one holds; ranges are then chained by these short summaries, and numbered at once.
-    """
-
-    def breaks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes up to each row; shards opened and bytes left in the last one if a shard opens at that row."""
-        ends = np.cumsum(size)
-        starts = ends - size
-        # The shard that opens at i reaches to the last row that still fits, its first row always.
-        nxt = np.maximum(np.searchsorted(ends, starts + capacity, side="right"), np.arange(len(size)) + 1).tolist()
-        opened, left, base, total = [0] * len(size), [0] * len(size), starts.tolist(), int(ends[-1])
-        for i in range(len(size) - 1, -1, -1):
-            j = nxt[i]
-            opened[i], left[i] = (1, total - base[i]) if j >= len(size) else (1 + opened[j], left[j])
-        return ends, np.array(opened), np.array(left)
-
-    def first_break(ends: np.ndarray, used: int) -> int:
-        """The first row that does not fit beside ``used`` bytes; the first row of an empty shard always fits."""
-        return int(np.searchsorted(ends, capacity - used, side="right")) if used else max(1, int(np.searchsorted(ends, capacity, side="right")))
-
-    def summarise(size: pd.Series) -> tuple:
-        ends, opened, left = breaks(size.to_numpy())
-        few = int(np.searchsorted(ends, capacity, side="right")) + 2  # no first break lies behind these
-        return ends[:few].tolist(), opened[:few].tolist(), left[:few].tolist(), int(ends[-1]), len(ends)
-
-    def chain(state: tuple, summary: tuple) -> tuple:
-        shard, used = state
-        ends, opened, left, total, rows = summary
-        i = first_break(np.array(ends), used)
-        return (shard, used + total) if i >= rows else (shard + opened[i], left[i])
-
-    def number(size: pd.Series, state: tuple) -> np.ndarray:
-        shard, used = state
-        ends = np.cumsum(size.to_numpy())
-        out, i = np.empty(len(ends), np.int64), 0
-        j = min(first_break(ends, used), len(ends))
-        while i < len(ends):
-            out[i:j] = shard
-            base = int(ends[j - 1]) if j else 0
-            i, shard = j, shard + 1
-            j = max(i + 1, int(np.searchsorted(ends, base + capacity, side="right")))
-        return out
-
-    return ranged_fold(docs.select(by, order, n), by, order, n, "shard long", (0, 0), summarise, chain, number)
-
-
 def manifest(shards: DataFrame, by: str, n: str = "n") -> DataFrame:
     """Per shard: token_count, doc_count, and the names of its two files."""
     name = F.format_string("data-%05d", F.col("shard"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import answers
 from quern.functions.text import clean, json_object, nfkc, normal_compare, plain, strip
 from quern.operators.ordering import row_ids, uniform
+from quern.sources.shared import fresh_dir, kept
 
 #: Phrases that disqualify a question.
 BANNED = ("出典が必要", "要出典", "曖昧さ回避", "この記事", "脚注")
@@ -57,8 +58,9 @@ def few_shot(targets: DataFrame, pool: DataFrame, k: int, seed: int = 0, draws:
     draws = draws or 100 * k
     few = min(8 * k, draws)
     numbered = row_ids(pool.select("key", "question", "answer").dropDuplicates(["key"]).withColumn("_u", uniform("key", seed=seed)), "_u", "at")
+    folder = fresh_dir(targets.sparkSession)
+    numbered = kept(numbered.select("at", F.col("key").alias("k"), F.col("question").alias("q"), F.col("answer").alias("a")), f"{folder}/pool")
     n = numbered.agg(F.count("*").alias("_n"))
-    numbered = numbered.select("at", F.col("key").alias("k"), F.col("question").alias("q"), F.col("answer").alias("a"))
 
     def drawn(rows: DataFrame, first: int, last: int) -> DataFrame:
         want = rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).join(F.broadcast(n))
@@ -73,7 +75,7 @@ def few_shot(targets: DataFrame, pool: DataFrame, k: int, seed: int = 0, draws:
     names = ("key", "question", "answer")
     other = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in names], "l")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
-    early = listed(drawn(asked, 0, few)).where(F.size("l") >= k)
+    early = kept(listed(drawn(asked, 0, few)).where(F.size("l") >= k), f"{folder}/early")
     late = asked.distinct().join(other(early), same, "left_anti")
     more = listed(drawn(late, 0, draws)) if draws > few else listed(drawn(late, 0, few))
     rest = late.join(other(more), same, "left").select(*names, F.coalesce("l", F.array().cast("array<struct<draw:int,k:string,q:string,a:string>>")).alias("l"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import answers, schedules, text, tokens
-from quern.operators import chat, chunks, mixing, ordering, packing, questions
+from quern.operators import chat, chunks, mixing, ordering, packing, questions, sharding
 from quern.plans.registry import ORACLES, QUERIES, query
 from quern.sources import manifests, packed
 from quern.sources.shared import fresh_dir
@@ -98,7 +98,7 @@ s as (select source, shard, chunk, source || '/' || shard || '/' || chunk key fr
 
 def _shards(spark, sf):
     rows = packing.framed(_docs(spark, sf)).select("source", "doc_id", "n")
-    return packing.greedy_shards(rows, "doc_id", "source", SHARD)
+    return sharding.greedy_shards(rows, "doc_id", "source", SHARD)
 
 
 @query(_SHARDS + "select source, doc_id, n, shard from f")
@@ -145,8 +145,7 @@ def _names(spark, sf) -> list[str]:
 
 @query("select doc_id, lang, (dense_rank() over (order by source) - 1)::int source_ord from documents where source is not null")
 def concat_sources(spark, sf):
-    docs = _docs(spark, sf).select("doc_id", "lang", "source")
-    return mixing.concatenate({n: docs.where(F.col("source") == n).drop("source") for n in _names(spark, sf)}, "doc_id")
+    return mixing.concatenate_by(_docs(spark, sf).select("doc_id", "lang", "source"), "source")
 
 
 @query("select source, doc_id from (select *, row_number() over (partition by source order by doc_id) r from documents) where r > 5 and r <= 15")

@@ -213,8 +213,7 @@ def seeded_shuffle(spark, sf):
 
 @query("select doc_id, (row_number() over (order by doc_id) - 1) % 3 worker from documents")
 def worker_shares(spark, sf):
-    docs = base._docs(spark, sf).select("doc_id")
-    return mixing.concatenate([ordering.share(docs, "doc_id", 3, i) for i in range(3)], "doc_id").select("doc_id", F.col("source_ord").cast("long").alias("worker"))
+    return ordering.shares(base._docs(spark, sf).select("doc_id"), "doc_id", 3)
 
 
 @query(f"with p as (select doc_id, row_number() over (order by {U.format(chr(39) + '3:' + chr(39) + ' || doc_id')}) - 1 pos from documents) select doc_id, pos from p where pos >= 5 * 16")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,5 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one; not yet made."""
-    return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    """A new folder below the shared one; it goes when the session ends."""
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df, written and read back: its lineage ends here, and it survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import answers, schedules, text, tokens
-from quern.operators import chat, chunks, mixing, ordering, packing, questions
+from quern.operators import chat, chunks, mixing, ordering, packing, questions, sharding
 from quern.plans import catalogue
 from quern.sources import tables
 
@@ -98,7 +98,7 @@ def test_greedy_shards_of_a_hot_source(spark):
         if used > 0 and used + n > 100:
             shard, used = shard + 1, 0
         want[o], state[s] = shard, (shard, used + n)
-    assert {x.o: x.shard for x in packing.greedy_shards(df, "o", "s", 100).collect()} == want
+    assert {x.o: x.shard for x in sharding.greedy_shards(df, "o", "s", 100).collect()} == want
 
 
 def test_numpy_permutation(spark):
@@ -156,7 +156,7 @@ def test_packing_conserves_bytes_whatever_the_partitions(spark):
 def test_greedy_shards(spark):
     sizes = [5, 5, 10, 11, 1, 30, 2]
     df = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "o long, s string, n long").repartition(4)
-    got = [r.shard for r in sorted(packing.greedy_shards(df, "o", "s", 10).collect(), key=lambda r: r.o)]
+    got = [r.shard for r in sorted(sharding.greedy_shards(df, "o", "s", 10).collect(), key=lambda r: r.o)]
     assert got == [0, 0, 1, 2, 3, 4, 5]
 
 
