@@ -120,10 +120,10 @@ def keyed_sample_order(spark, sf):
     return _keyed(spark, sf)
 
 
-@query(base._SHARDS.rstrip() + ", " + _keyed_sql(42) + " select pos, source, shard, chunk from placed where pos >= 1000")
+@query(base._SHARDS.rstrip() + ", " + _keyed_sql(42) + " select pos, source, shard, chunk from placed where pos >= 300")
 def keyed_sample_resumed(spark, sf):
     """The same from a position on, without ranking what lies before; the way back from place to index checks each row."""
-    rows = _keyed(spark, sf, 1000)
+    rows = _keyed(spark, sf, 300)
     total = packing.shard_chunks(packing.manifest(base._shards(spark, sf), "source"), STRIDE, "source", "shard").agg(F.count("*").alias("n"))
     back = ordering.keyed_place(ordering.keyed_index(F.col("pos"), F.col("n"), 42), F.col("n"), 42)
     return rows.join(F.broadcast(total)).where(back == F.col("pos")).select("pos", "source", "shard", "chunk")
