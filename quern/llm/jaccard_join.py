@@ -285,6 +285,9 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     sets = scratch.keep(keyed.mapInArrow(_emit_sets(k, threshold, SHARE, EXTRA), "doc_id long, th long, n long, h1 long, h2 long, first array<long>"), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # What a later step needs of a table is written apart, so that its shingles can go.
+    ids = scratch.keep(sets.select("doc_id", "th", "n", "h1", "h2"), "ids")
+    scratch.drop("sets")
 
     # Leaders: each class against the first one with its least shingle.
     led = classes.select("id", "one", F.col("first")[0].alias("grp"))
@@ -298,6 +301,8 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
 
     rows = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "one", "n", "first", F.coalesce("comp", "id").alias("node"), F.col("comp").isNull().alias("alone"))
     rows = scratch.keep(rows, "nodes")
+    names = scratch.keep(classes.select("id", "h1", "h2", "least"), "names")
+    scratch.drop("classes")
     want = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE).cast("int")
     tally = lambda r, lists: _postings(r, lists).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t")
     long = scratch.keep(tally(rows, "first"), "long-0")
@@ -326,20 +331,23 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     sorted_ = sorted_.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
     sorted_ = scratch.keep(sorted_, "again")
     listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
+    members = scratch.keep(rows.select("id", "one", "n", "node"), "members")
+    scratch.drop("nodes", "spelled", "more", f"long-{turn - 1}")
     found = scratch.keep(_candidates(_postings(listed, "short"), threshold), "found")
     # A linked pair that shares less in short lists shares a long list that both keep, and is tied by it.
     kept = _postings(listed.where(F.size("kept") > 0), "kept")
     tied = kept.join(kept.groupBy("t").agg(F.min("node").alias("b")), "t").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     groups = connected_components(tied, scratch, "groups")
-    tasks = _stars(found, rows).unionByName(_ties(groups, rows))
+    scratch.drop("listed", "again")
+    tasks = _stars(found, members).unionByName(_ties(groups, members))
     links = _search(tasks, keyed, k, threshold, parts).unionByName(near)
     comps = connected_components(links, scratch, "links")
 
-    labels = classes.join(comps, classes["id"] == comps["node"], "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
+    labels = names.join(comps, names["id"] == comps["node"], "left").select("h1", "h2", "least", F.coalesce("comp", "id").alias("comp"))
     lowest = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = labels.join(lowest, "comp").select("h1", "h2", "comp", "component_id")
-    out = sets.select("doc_id", "th", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
-    scratch.drop("nodes", "near", "found", f"long-{turn - 1}", "listed", "again", "spelled", "more")
+    out = ids.join(labels, ["h1", "h2"], "left")
+    scratch.drop("members", "near", "found")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 

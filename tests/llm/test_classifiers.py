@@ -130,6 +130,31 @@ def test_quality(spark, rows):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_weights_are_those_of_a_logistic_fit():
+    """The loss on differences, written out anew: its gradient is zero at the weights, and a plain descent comes to them."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(200, Q.WIDTH)) * r.uniform(0.1, 5, Q.WIDTH)
+    good = x[:, 0] / x[:, 0].std() + 0.5 * r.normal(size=200) > 0.4
+    model = Q.fit(x, good, pairs=1500)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    e = np.concatenate([z, z**2 / 6, np.minimum(abs(z), 1), (abs(x) > 1e-9) * 1.0], axis=1)
+    draw = np.random.default_rng(0)
+    d = e[draw.choice(np.flatnonzero(good), 1500)] - e[draw.choice(np.flatnonzero(~good), 1500)]
+    slope = lambda w: Q.DECAY * w - (d / (1 + np.exp(d @ w))[:, None]).mean(0)
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + Q.DECAY * w @ w / 2
+    assert abs(slope(model.weights)).max() < 1e-7
+    w = np.zeros(d.shape[1])
+    for _ in range(3000):
+        w -= slope(w) / (np.linalg.norm(d, 2) ** 2 / 4 / len(d) + Q.DECAY)
+    assert loss(model.weights) <= loss(w) < loss(model.weights) + 1e-3 and np.corrcoef(d @ w, d @ model.weights)[0, 1] > 0.99
+    raw = e @ model.weights
+    assert abs((raw < model.threshold).mean() - (~good).mean()) <= 1 / 200
+    same = model.score(np.stack([x[3], x[3], x[4]]))
+    assert same[0] == same[1] != same[2]
+
+
 def test_quality_without_labels(spark, rows):
     docs, labels = frame(spark, rows[:3]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in Q.predictions(docs, labels).collect()] == [0.5] * 3
