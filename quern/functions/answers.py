@@ -11,7 +11,9 @@ from pyspark.sql.types import BooleanType
 
 #: What counts as a number, and the marks that announce an answer, by priority.
 NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?(?:\s*/\s*[-+]?\d[\d,]*(?:\.\d+)?)?"
-MARKS = (r"答え\s*[:：]\s*(?:\\boxed\{)?\s*", r"回答\s*[:：]\s*(?:\\boxed\{)?\s*", r"Answer\s*[:：]\s*(?:\\boxed\{)?\s*", r"####\s*")
+MARKS = (r"答え\s*[:：]\s*(?:\\boxed\{)?\s*", r"回答\s*[:：]\s*(?:\\boxed\{)?\s*", r"Answer\s*[:：]\s*(?:\\boxed\{)?\s*", r"####\s*", r"\\boxed\{\s*")
+#: What has to follow the number, for marks that ask for it.
+CLOSED = {r"\\boxed\{\s*": r"\s*\}"}
 #: A fraction has the value of its division to this many significant digits, half even.
 DIGITS = 28
 
@@ -33,10 +35,9 @@ def extract(text: Column) -> Column:
 
     Text is expected to be compatibility-normalised already.
     """
-    marked = [readable(_last(text, f"(?i){m}({NUMBER})", 1)) for m in MARKS]
-    boxed = readable(_last(text, rf"(?i)\\boxed\{{\s*({NUMBER})\s*\}}", 1))
+    marked = [readable(_last(text, f"(?i){m}({NUMBER}){CLOSED.get(m, '')}", 1)) for m in MARKS]
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), readable), lambda p: p.isNotNull())
-    return F.coalesce(*marked, boxed, F.try_element_at(found, F.lit(-1)))
+    return F.coalesce(*marked, F.try_element_at(found, F.lit(-1)))
 
 
 def value(number: str, digits: int = DIGITS) -> decimal.Decimal:

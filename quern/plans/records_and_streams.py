@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import records
+from quern.functions import records, text
 from quern.operators import chat, chunks, ordering, packing, quarantine, table_functions
 from quern.plans import catalogue as base
 from quern.plans.registry import query
@@ -50,6 +50,13 @@ def mixed_record_lines(spark, sf):
     return lines.select(key.alias("doc_id"), F.md5(records.record_text(F.col("value"))).alias("record"))
 
 
+@query(f"select doc_id, octet_length(encode(x || case when x = source then '' else chr(10) || chr(10) || source end))::bigint + 2 n from (select *, {STRIPPED} x from documents) where x <> '' or source <> ''")
+def formatted_tokens(spark, sf):
+    """Byte tokens of records that a formatter, any function from a frame to a column, makes into texts."""
+    rows = base._docs(spark, sf).select("doc_id", "text", F.col("source").alias("title"))
+    return packing.framed(rows, lambda df: text.record_text(df, exclude=("doc_id",))).select("doc_id", F.col("n").cast("long").alias("n"))
+
+
 @query("select doc_id, case doc_id % 7 when 0 then 'no JSON, or repeated keys' when 1 then 'no mapping' when 2 then 'blank' end reason from documents")
 def quarantined_lines(spark, sf):
     """Broken lines apart from good ones, each with its reason."""
@@ -82,6 +89,12 @@ def packed_pushed_windows(spark, sf):
     return packed.read_packed(spark, folder, STRIDE).where(F.col("shard").isin(even) & (F.col("chunk") >= 3)).select("shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
 
 
+@query(base._BYTES + " select shard, chunk, md5(substr(h, (chunk * 1026 + 1)::bigint, 1026)) digest from z where shard in (0, 3, 4)")
+def packed_shard_subset(spark, sf):
+    """The windows of three shards, named when the source is opened."""
+    return packed.read_packed(spark, base._packed(spark, sf), STRIDE, shards="0,3,4").select("shard", "chunk", F.md5(F.hex("bytes")).alias("digest"))
+
+
 @query(base._BYTES + " select shard, chunk, md5(substr(h, (chunk * 1026 + 1)::bigint, 1026)) digest from z")
 def stream_packed_windows(spark, sf):
     """Packed shards as a stream, to its end and started again: each window once."""
