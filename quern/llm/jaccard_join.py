@@ -306,9 +306,13 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     want = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE).cast("int")
     tally = lambda r, lists: _postings(r, lists).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t")
     long = scratch.keep(tally(rows, "first"), "long-0")
+    new, told = long, None
     for turn in itertools.count(1):
         # The order is by hash, long lists last: the first shingles in it, from what is at hand where that is enough.
-        hits = rows.select("id", F.explode("first").alias("t")).join(long, "t", "left_semi").groupBy("id").agg(F.collect_set("t").alias("lt"))
+        # A later turn looks for its newly long lists only.
+        fresh = scratch.keep(rows.select("id", F.explode("first").alias("t")).join(new, "t", "left_semi"), f"hits-{turn}")
+        told = fresh if told is None else told.unionByName(fresh)
+        hits = told.groupBy("id").agg(F.collect_set("t").alias("lt"))
         listed = rows.join(hits, "id", "left").withColumn("lt", F.coalesce("lt", F.array().cast("array<long>"))).withColumn("rest", F.array_except("first", "lt"))
         at_hand = (F.size("rest") >= want) | (F.size("first") == F.col("n"))
         listed = listed.select("id", "one", "node", "n", "alone", F.slice("rest", F.lit(1), want).alias("short"), F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest"))).alias("kept"), at_hand.alias("done"))
@@ -318,10 +322,10 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
         texts = keyed.join(again, keyed["doc_id"].eqNullSafe(again["_doc"]) & (keyed["th"] == again["_th"])).groupBy("id").agg(F.first("text").alias("text"))
         spelled = texts.mapInArrow(_emit_all(k), "id long, t array<long>").withColumnRenamed("t", "every")
         spelled = scratch.keep(again.select("id", "node", "n", "alone").join(spelled, "id"), "spelled")
-        more = scratch.keep(tally(spelled, "every").join(long, "t", "left_anti"), "more")
+        more = scratch.keep(tally(spelled, "every").join(long, "t", "left_anti"), f"more-{turn}")
         if not more.limit(1).count():
             break
-        long = scratch.keep(long.unionByName(more), f"long-{turn}")
+        new, long = more, scratch.keep(long.unionByName(more), f"long-{turn}")
         scratch.drop(f"long-{turn - 1}")
     each = spelled.select("id", F.explode("every").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
     # Short ones as unsigned numbers, long ones as signed ones, as above.
@@ -332,7 +336,7 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     sorted_ = scratch.keep(sorted_, "again")
     listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
     members = scratch.keep(rows.select("id", "one", "n", "node"), "members")
-    scratch.drop("nodes", "spelled", "more", f"long-{turn - 1}")
+    scratch.drop("nodes", "spelled", f"long-{turn - 1}", *[f"{x}-{i}" for x in ("hits", "more") for i in range(1, turn + 1)])
     found = scratch.keep(_candidates(_postings(listed, "short"), threshold), "found")
     # A linked pair that shares less in short lists shares a long list that both keep, and is tied by it.
     kept = _postings(listed.where(F.size("kept") > 0), "kept")
