@@ -104,7 +104,9 @@ def record_text(json: Column, depth: int = DEPTH) -> Column:
         parts = lambda keys: F.filter(F.transform(keys, lambda k: render(F.try_element_at(mapping, k), depth)), lambda x: x != "")
         joined = lambda keys: F.nullif(F.array_join(F.array_distinct(parts(keys)), "\n\n"), F.lit(""))
         public = F.filter(F.json_object_keys(json), lambda k: ~F.startswith(k, F.lit("_")))
-        return F.coalesce(joined(F.array(*[F.lit(k) for k in TEXT_KEYS])), joined(public))
+        there = F.map_keys(mapping)
+        known = F.filter(F.array(*[F.lit(k) for k in TEXT_KEYS]), lambda k: F.array_contains(there, k))
+        return F.coalesce(joined(known), joined(public))
 
     return _let(_mapping(F.try_parse_json(json)), text)
 

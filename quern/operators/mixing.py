@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.schedules import half_even_count
@@ -68,7 +68,7 @@ def _drawn(numbered: DataFrame, takes: list[int], order: str, seed: int) -> Data
     ranked = running(numbered, order, F.lit(1), "rank", ["source"]).withColumn("rank", F.col("rank") + 1)
     sizes = numbered.groupBy("source").agg(F.count("*").alias("size"))
     drawn = slots(numbered.sparkSession, probabilities(takes), numbered.count() + 1, seed)
-    spent = drawn.join(F.broadcast(sizes), "source", "left").where(F.col("rank") > F.coalesce("size", F.lit(0))).agg(F.min("slot").alias("stop"))
+    spent = drawn.join(sizes, "source", "left").where(F.col("rank") > F.coalesce("size", F.lit(0))).agg(F.min("slot").alias("stop"))
     kept = drawn.join(F.broadcast(spent)).where(F.col("stop").isNull() | (F.col("slot") < F.col("stop"))).drop("stop")
     return kept.join(ranked, ["source", "rank"]).drop("rank")
 

@@ -83,7 +83,7 @@ def keyed_order(shards: DataFrame, seq_len: int, seed: int, key: list[str], star
     Only the shards are ranked (by their key as text). Each window's position follows from its number alone, so the windows are neither sorted nor
     shuffled, and a resumed run asks for the positions from ``start`` on at once.
     """
-    counts = shards.where("token_count >= 0").withColumn("_n", F.floor(F.col("token_count") / (seq_len + 1)).cast("long"))
+    counts = shards.where("token_count >= 0").withColumn("_n", F.expr(f"token_count div {seq_len + 1}"))
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
     based = running(counts.withColumn("_name", name), "_name", "_n", "_base")
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
