@@ -1,8 +1,8 @@
 """Packed shards as a data source: raw byte streams (.bin) with document offsets (.idx).
 
 ``spark.read.format("packed")`` yields (shard, chunk, bytes), complete windows only. Filters on shard and chunk are pushed down: only the
-byte ranges of the windows that they leave are read, in input partitions of at most ``splitBytes`` each, so a large shard is read by many tasks.
-Option ``shards`` takes a comma-separated subset, ``start`` skips windows of the whole, ``documents`` yields
+byte ranges of the windows that they leave are read, in input partitions of at most ``splitBytes`` each, so a large shard is read by many tasks
+and many small ones by one. Option ``shards`` takes a comma-separated subset, in which ``a::k`` is every k-th number from a on, ``start`` skips windows of the whole, ``documents`` yields
 the documents of each shard (chunk is then a document's place) as their offsets say. ``spark.readStream`` yields each window once, shard by shard;
 its offset is a place (shard, window), so that a restart goes on inside a shard. ``df.write.format("packed")`` takes
 (shard, ord, bytes) rows of one shard per partition. Files are written under temporary names and moved into place
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-SPLIT, BLOCK, GAP = 64 << 20, 8 << 20, 64 << 10
+#: OPEN: what opening a shard weighs in bytes read, when input partitions are dealt out. MOVERS: files that a commit moves at once.
+SPLIT, BLOCK, GAP, OPEN, MOVERS = 64 << 20, 8 << 20, 64 << 10, 256 << 10, 16
 _SCHEMA = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("bytes", pa.binary())])
 
 
@@ -51,12 +54,21 @@ def _shards(path: str) -> dict[int, int]:
 
 @dataclass
 class Shard(InputPartition):
-    """Windows [first, last) of a shard, in runs; for documents, all of it."""
+    """Windows [first, last) in runs, each of the shard that ``numbers`` has in its place; for documents, whole shards."""
 
     folder: str
-    number: int
+    numbers: list[int]
     runs: list[tuple[int, int]]
 
+    @property
+    def number(self) -> int:
+        return self.numbers[0]
+
+    def shards(self) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(number, its runs)"""
+        for number, both in groupby(zip(self.numbers, self.runs, strict=True), key=lambda x: x[0]):
+            yield number, [run for _, run in both]
+
 
 @dataclass
 class Span:
@@ -65,6 +77,7 @@ class Span:
     low: int = 0
     high: int | None = None
     only: set[int] | None = None
+    steps: tuple[range, ...] | None = None
 
     def narrow(self, f: Filter) -> bool:
         """Takes a filter in; false for one that it cannot express."""
@@ -90,7 +103,7 @@ class Span:
         return joined(sorted(x for x in self.only if x is not None and low <= x < high), 0)
 
     def __contains__(self, x: int) -> bool:
-        return x >= self.low and (self.high is None or x < self.high) and (self.only is None or x in self.only)
+        return x >= self.low and (self.high is None or x < self.high) and (self.only is None or x in self.only) and (self.steps is None or any(x in r for r in self.steps))
 
 
 def joined(places: Iterable[int], gap: int, most: int | None = None) -> list[tuple[int, int]]:
@@ -119,9 +132,22 @@ def _pieces(runs: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int,
         yield out
 
 
-def _read_runs(path: str, number: int, runs: list[tuple[int, int]], stride: int) -> Iterator[tuple[int, bytes]]:
+def _dealt(folder: str, pieces: Iterable[tuple[int, list[tuple[int, int]], int]], most: int) -> list[Shard]:
+    """(shard, runs, bytes) in input partitions of at most ``most`` bytes, unless a piece alone has more: their number follows the bytes, not the shards."""
+    out: list[Shard] = []
+    size = most
+    for number, runs, n in pieces:
+        size += n + OPEN
+        if size > most:
+            out.append(Shard(folder, [], []))
+            size = n + OPEN
+        out[-1].numbers.extend([number] * len(runs))
+        out[-1].runs.extend(runs)
+    return out
+
+
+def _read_runs(fs, folder: str, number: int, runs: list[tuple[int, int]], stride: int) -> Iterator[tuple[int, bytes]]:
     """(first window, bytes of some whole windows) of a shard's runs, block by block."""
-    fs, folder = _open(path)
     most = max(1, BLOCK // stride)
     with fs.open_input_file(f"{folder}/data-{number:05d}.bin") as f:
         for first, last in runs:
@@ -134,17 +160,40 @@ def _read_runs(path: str, number: int, runs: list[tuple[int, int]], stride: int)
                 first += n
 
 
-def _windows(path: str, number: int, runs: list[tuple[int, int]], stride: int) -> Iterator[pa.RecordBatch]:
-    for first, data in _read_runs(path, number, runs, stride):
-        n = len(data) // stride
-        ends = pa.py_buffer(np.arange(0, (n + 1) * stride, stride, dtype=np.int32))
-        bytes_ = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(first, first + n)), bytes_], schema=_SCHEMA)
+def _batches(read: Iterator[tuple[int, int, np.ndarray, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(shard, first chunk, sizes of the chunks, their bytes) as batches of about a block, across shards."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        numbers, firsts, sizes, data = zip(*held, strict=True)
+        counts = [len(x) for x in sizes]
+        ends = pa.py_buffer(np.concatenate([[0], *sizes]).cumsum().astype(np.int32))
+        bytes_ = pa.Array.from_buffers(pa.binary(), sum(counts), [None, ends, pa.py_buffer(data[0] if len(data) == 1 else b"".join(data))])
+        chunks = np.concatenate([np.arange(a, a + n, dtype=np.int64) for a, n in zip(firsts, counts, strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(numbers, np.int64), counts)), pa.array(chunks), bytes_], schema=_SCHEMA)
+
+    for item in read:
+        if held and size + len(item[3]) > BLOCK:
+            yield batch()
+            held, size = [], 0
+        held.append(item)
+        size += len(item[3])
+    if held:
+        yield batch()
+
+
+def _windows(partition: Shard, stride: int) -> Iterator[pa.RecordBatch]:
+    fs, folder = _open(partition.folder)
+    blocks = ((number, first, data) for number, runs in partition.shards() for first, data in _read_runs(fs, folder, number, runs, stride))
+    return _batches((number, first, np.full(len(data) // stride, stride), data) for number, first, data in blocks)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    """The shards that a task wrote, and where."""
+
+    folder: str
+    numbers: list[int]
 
 
 class PackedReader(DataSourceReader):
@@ -153,7 +202,8 @@ class PackedReader(DataSourceReader):
         self.split = max(self.stride, int(options.get("splitBytes", SPLIT)))
         self.shard, self.chunk = Span(), Span()
         if options.get("shards"):
-            self.shard.only = {int(x) for x in options["shards"].split(",")}
+            named = [x.split("::") for x in options["shards"].split(",")]
+            self.shard.steps = tuple(range(int(x[0]), 1 << 62, int(x[1])) if len(x) == 2 else range(int(x[0]), int(x[0]) + 1) for x in named)
         self.documents = str(options.get("documents", "false")).lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -164,33 +214,38 @@ class PackedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Shard]:
-        out, skip = [], self.start
+        return _dealt(self.folder, self._asked(), self.split) or [Shard(self.folder, [], [])]  # Spark wants a partition
+
+    def _asked(self) -> Iterator[tuple[int, list[tuple[int, int]], int]]:
+        skip = self.start
         for number, size in _shards(self.folder).items():
             if number not in self.shard:
                 continue
             if self.documents:
-                out.append(Shard(self.folder, number, []))
+                yield number, [(0, 0)], size
                 continue
             windows = size // self.stride
             runs = [(max(a, skip), b) for a, b in self.chunk.runs(windows) if b > skip]
-            out += [Shard(self.folder, number, r) for r in _pieces(runs, self.split // self.stride)]
+            for r in _pieces(runs, self.split // self.stride):
+                yield number, r, sum(b - a for a, b in r) * self.stride
             skip = max(0, skip - windows)
-        return out or [Shard(self.folder, -1, [])]  # Spark wants a partition
 
-    def read(self, partition: Shard) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
-        if partition.number < 0:
-            return iter(())
-        return self._whole_documents(partition) if self.documents else _windows(partition.folder, partition.number, partition.runs, self.stride)
+    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        return _batches(self._whole_documents(partition)) if self.documents else _windows(partition, self.stride)
 
-    def _whole_documents(self, partition: Shard) -> Iterator[tuple]:
+    def _whole_documents(self, partition: Shard) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
         fs, folder = _open(partition.folder)
-        name = f"{folder}/data-{partition.number:05d}"
-        with fs.open_input_file(f"{name}.bin") as f, fs.open_input_file(f"{name}.idx") as i:
-            ends = np.frombuffer(i.read(), "<u8").astype(np.int64)
-            if not len(ends) or ends[0] != 0 or ends[-1] != f.size() or (np.diff(ends) < 0).any():
-                raise ValueError(f"offsets of shard {partition.number} do not fit its bytes")
-            for k, n in enumerate(np.diff(ends).tolist()):
-                yield partition.number, k, f.read(n)
+        for number in partition.numbers:
+            name = f"{folder}/data-{number:05d}"
+            with fs.open_input_file(f"{name}.bin") as f, fs.open_input_file(f"{name}.idx") as i:
+                ends = np.frombuffer(i.read(), "<u8").astype(np.int64)
+                if not len(ends) or ends[0] != 0 or ends[-1] != f.size() or (np.diff(ends) < 0).any():
+                    raise ValueError(f"offsets of shard {number} do not fit its bytes")
+                k = 0
+                while k < len(ends) - 1:  # as many as fit a block, one at least
+                    last = max(k + 1, int(np.searchsorted(ends, ends[k] + BLOCK, "right")) - 1)
+                    yield number, k, np.diff(ends[k : last + 1]), f.read(int(ends[last] - ends[k]))
+                    k = last
 
 
 class PackedStreamReader(DataSourceStreamReader):
@@ -228,15 +283,18 @@ class PackedStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Shard]:
         (a, first), (b, last) = ((x["shard"], x["window"]) for x in (start, end))
         self.at = (b, last)
-        out = []
-        for number, size in _shards(self.folder).items():
-            if a <= number <= b:
-                run = (first if number == a else 0, last if number == b else size // self.stride)
-                out += [Shard(self.folder, number, r) for r in _pieces([run] if run[0] < run[1] else [], self.split // self.stride)]
-        return out
+
+        def asked():
+            for number, size in _shards(self.folder).items():
+                if a <= number <= b:
+                    run = (first if number == a else 0, last if number == b else size // self.stride)
+                    for r in _pieces([run] if run[0] < run[1] else [], self.split // self.stride):
+                        yield number, r, sum(y - x for x, y in r) * self.stride
+
+        return _dealt(self.folder, asked(), self.split)
 
     def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
-        return _windows(partition.folder, partition.number, partition.runs, self.stride)
+        return _windows(partition, self.stride)
 
     def commit(self, end: dict) -> None:
         """The files stay."""
@@ -250,7 +308,7 @@ class PackedWriter(DataSourceWriter):
         fs, folder = _open(self.folder)
         temporary = f"{folder}/_temporary-{self.job}/{uuid.uuid4().hex}"
         fs.create_dir(temporary, recursive=True)
-        files: list[str] = []
+        numbers: list[int] = []
         now, out, ends = None, None, []
 
         def close():
@@ -258,7 +316,7 @@ class PackedWriter(DataSourceWriter):
                 out.close()
                 with fs.open_output_stream(f"{temporary}/data-{now:05d}.idx") as f:
                     f.write(np.array(ends, "<u8").tobytes())
-                files.extend(f"{temporary}/data-{now:05d}{x}" for x in (".bin", ".idx"))
+                numbers.append(now)
 
         for row in iterator:
             if row["shard"] != now:
@@ -268,7 +326,7 @@ class PackedWriter(DataSourceWriter):
             out.write(bytes(row["bytes"]))
             ends.append(ends[-1] + len(row["bytes"]))
         close()
-        return Written(files)
+        return Written(temporary, numbers)
 
     def commit(self, messages) -> None:
         fs, folder = _open(self.folder)
@@ -277,9 +335,10 @@ class PackedWriter(DataSourceWriter):
             for name in _sizes(fs, folder):
                 if name.endswith((".bin", ".idx")):
                     fs.delete_file(f"{folder}/{name}")
-        for m in messages:
-            for f in m.files if m else []:
-                fs.move(f, f"{folder}/{f.rsplit('/', 1)[1]}")
+        moves = ((f"{m.folder}/{name}", f"{folder}/{name}") for m in messages if m for n in m.numbers for name in (f"data-{n:05d}.bin", f"data-{n:05d}.idx"))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda pair: fs.move(*pair), moves):
+                pass
         self._clear(fs, folder)
 
     def abort(self, messages) -> None:
@@ -341,6 +400,7 @@ def _fetch(folder: str, stride: int, gap: int, schema: pa.Schema, seen: Accumula
     """Index rows, sorted by shard and chunk -> the same with the bytes of their windows; rows without a whole window go."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _open(folder)
         for batch in it:
             shard, chunk = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("shard", "chunk"))
             bytes_: list[bytes | None] = [None] * len(chunk)
@@ -350,15 +410,15 @@ def _fetch(folder: str, stride: int, gap: int, schema: pa.Schema, seen: Accumula
                     continue
                 at = a
                 # Neighbours within ``gap`` bytes come by one read.
-                for run_ in joined(chunk[a:b].tolist(), gap // stride, max(1, BLOCK // stride)):
-                    for first, data in _read_runs(folder, int(shard[a]), [run_], stride):
-                        if seen is not None:
-                            seen.add(len(data))
-                        n = len(data) // stride
-                        while at < b and chunk[at] < first + n:
-                            place = int(chunk[at] - first) * stride
-                            bytes_[at] = data[place : place + stride]
-                            at += 1
+                runs = joined(chunk[a:b].tolist(), gap // stride, max(1, BLOCK // stride))
+                for first, data in _read_runs(fs, path, int(shard[a]), runs, stride):
+                    if seen is not None:
+                        seen.add(len(data))
+                    n = len(data) // stride
+                    while at < b and chunk[at] < first + n:
+                        place = int(chunk[at] - first) * stride
+                        bytes_[at] = data[place : place + stride]
+                        at += 1
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(bytes_, pa.binary())], schema=schema)
             yield out.filter(out.column(out.num_columns - 1).is_valid())
 

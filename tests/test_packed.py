@@ -114,3 +114,18 @@ def test_a_stream_stopped_within_a_shard(folder):
     rest = [(p.number, a, b) for p in fresh.partitions(at, end) for a, b in p.runs]
     assert end == {"shard": 4, "window": 400} and rest[0] == (1, 200, 400) and sum(b - a for _, a, b in rest) == 1400
     assert fresh.partitions(end, fresh.latestOffset()) == []
+
+
+def test_many_small_shards_are_few_partitions(spark, tmp_path):
+    path = str(tmp_path / "small")
+    write(spark, path, range(200), windows=3)
+    options = {"path": path, "stride": str(STRIDE)}
+    found = packed.PackedReader(options).partitions()
+    assert len(found) == 1 and [s for p in found for s, _ in p.shards()] == list(range(200))
+    stream = packed.PackedStreamReader(options)
+    assert len(stream.partitions(stream.initialOffset(), stream.latestOffset())) == 1
+    assert len(packed.PackedReader(options | {"documents": "true"}).partitions()) == 1
+    want = {(s, i): window(s, i) for s in range(200) for i in range(3)}
+    assert {(r.shard, r.chunk): bytes(r.bytes) for r in packed.read_packed(spark, path, STRIDE).collect()} == want
+    assert {(r.shard, r.chunk): bytes(r.bytes) for r in packed.read_packed(spark, path, STRIDE, documents="true").collect()} == want
+    assert {r.shard for r in packed.read_packed(spark, path, STRIDE, shards="3::50,7").collect()} == {3, 7, 53, 103, 153}
