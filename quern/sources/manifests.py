@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.ordering import keyed_place, permutation, running
 from quern.operators.packing import shard_chunks
+from quern.sources.shared import fresh_dir, kept
 
 _SHARD = "struct<bin_file:string,idx_file:string,token_count:bigint,doc_count:bigint>"
 _MANIFEST = f"source string, total_tokens bigint, shard_count bigint, shards array<{_SHARD}>"
@@ -71,9 +72,15 @@ def read_index(spark: SparkSession, folder: str, seq_len: int, seed: int, shards
     return sample_order(shards, seq_len, seed, key)
 
 
+def _once(shards: DataFrame, key: list[str]) -> DataFrame:
+    """The shards, written: a row each. An order uses them several times and must see the same ranges each time, but Spark computes a frame from a
+    Python data source (``read_packed``) anew for each use."""
+    return kept(shards.select(*key, "token_count"), f"{fresh_dir(shards.sparkSession)}/shards")
+
+
 def sample_order(shards: DataFrame, seq_len: int, seed: int, key: list[str]) -> DataFrame:
     """shards(key..., token_count) -> (pos, key..., chunk): all windows of seq_len + 1 in a seeded order."""
-    rows = shard_chunks(shards, seq_len + 1, *key)
+    rows = shard_chunks(_once(shards, key), seq_len + 1, *key)
     return permutation(rows.withColumn("_key", F.concat_ws("/", *[F.col(k).cast("string") for k in (*key, "chunk")])), "_key", seed).drop("_key")
 
 
@@ -83,7 +90,7 @@ def keyed_order(shards: DataFrame, seq_len: int, seed: int, key: list[str], star
     Only the shards are ranked (by their key as text). Each window's position follows from its number alone, so the windows are neither sorted nor
     shuffled, and a resumed run asks for the positions from ``start`` on at once.
     """
-    counts = shards.where("token_count >= 0").withColumn("_n", F.expr(f"token_count div {seq_len + 1}"))
+    counts = _once(shards, key).where("token_count >= 0").withColumn("_n", F.expr(f"token_count div {seq_len + 1}"))
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
     based = running(counts.withColumn("_name", name), "_name", "_n", "_base")
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))

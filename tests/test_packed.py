@@ -4,9 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNull, LessThan, LessThanOrEqual
 
-from quern.sources import packed
+from quern.sources import manifests, packed
 
 STRIDE = 100
 
@@ -116,6 +116,38 @@ def test_a_stream_stopped_within_a_shard(folder):
     assert fresh.partitions(end, fresh.latestOffset()) == []
 
 
+class Counted(DataSource):
+    """Shards that note each reading in a file."""
+
+    @classmethod
+    def name(cls):
+        return "counted"
+
+    def schema(self):
+        return "shard long, token_count long"
+
+    def reader(self, schema):
+        log = self.options["log"]
+
+        class Reader(DataSourceReader):
+            def read(self, partition):
+                with open(log, "a") as f:
+                    f.write("read\n")
+                return iter([(s, 1000) for s in range(60)])
+
+        return Reader()
+
+
+@pytest.mark.parametrize("order", [manifests.sample_order, manifests.keyed_order])
+def test_an_order_reads_its_shards_once(spark, tmp_path, order):
+    """Spark reads a Python data source anew for each use of it in a plan; two readings may end up with different ranges, and so with wrong positions."""
+    spark.dataSource.register(Counted)
+    log = tmp_path / "log"
+    found = order(spark.read.format("counted").option("log", str(log)).load(), 9, 1, ["shard"])
+    assert sorted(r.pos for r in found.collect()) == list(range(6000))
+    assert log.read_text() == "read\n"
+
+
 def test_many_small_shards_are_few_partitions(spark, tmp_path):
     path = str(tmp_path / "small")
     write(spark, path, range(200), windows=3)
