@@ -12,7 +12,7 @@ from quern.plans import catalogue as base
 from quern.plans.registry import query
 from quern.sources import configs, manifests, tables
 from quern.sources.shared import fresh_dir
-from quern.sources.tables import Source, table
+from quern.sources.tables import Source, stream_table, table
 from quern.streaming import packer
 
 U, STRIDE = base.U, base.STRIDE
@@ -357,8 +357,7 @@ def layout_letters(spark, sf):
 @query("select conv_id::varchar conv_id, md5(string_agg(text, '' order by turn)) digest from conversations group by 1")
 def stream_decode(spark, sf):
     """Turns as a byte stream per conversation, each cut within its last character's bytes where it has several."""
-    schema = table(spark, sf, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*").parquet(sf)
+    stream = stream_table(spark, sf, "conversations")
     parts = F.array(F.struct((F.col("turn") * 2).alias("pos"), F.expr("substring(encode(text, 'UTF-8'), 1, octet_length(text) - 1)").alias("data")), F.struct((F.col("turn") * 2 + 1).alias("pos"), F.expr("substring(encode(text, 'UTF-8'), greatest(1, octet_length(text)), 1)").alias("data")))
     pieces = stream.select("conv_id", F.explode(parts).alias("x")).select("conv_id", "x.*")
     out = packer.run_to_end(packer.decode_stream(pieces, "conv_id", "pos", "data"), fresh_dir(spark), "text")

@@ -69,6 +69,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of them (a stream's path must be a folder or a pattern)."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def read_metrics(spark: SparkSession, path: str, schema: str = TRAINING_METRICS, strict: bool = True) -> DataFrame:
     """A metric log; strict fails on what is no number, else blanks and missing values are NaN."""
     df = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(schema).csv(path)

@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.text import render_chunk
 from quern.operators import chunks, packing
+from quern.plans import catalogue
 from quern.sources import packed
 from quern.streaming import packer
 
@@ -53,3 +55,12 @@ def test_packed_source_subset_and_start(spark, tmp_path):
     assert every == [(s, c) for s in range(3) for c in range(5)]
     assert sorted(tuple(r)[:2] for r in packed.read_packed(spark, f"{tmp_path}/p", 5, start=7).collect()) == every[7:]
     assert {r.shard for r in packed.read_packed(spark, f"{tmp_path}/p", 5, shards="0,2").collect()} == {0, 2}
+
+
+@pytest.mark.parametrize("name, table", [("stream_decode", "conversations")])
+def test_streams_of_tables_in_folders(spark, tmp_path, name, table):
+    """A table may be one file or a folder of files."""
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    want, got = (sorted(map(tuple, catalogue.QUERIES[name](spark, x).collect())) for x in (sf, str(tmp_path)))
+    assert want and got == want
