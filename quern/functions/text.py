@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: What Unicode calls white space, and the control separators.
+_EDGE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _GAP = r"(?U)[\s\x1c-\x1f]+"
 #: Record keys in the order in which their texts are taken.
 TEXT_KEYS = ("text", "content", "completion", "response", "output", "answer", "prompt", "instruction", "question", "input", "context", "title")
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space at both ends, full-width and control separators included."""
-    return F.regexp_replace(c if isinstance(c, Column) else F.col(c), _EDGE, "")
+    """Without white space at both ends, full-width and control separators included; what lies between is not looked at."""
+    return F.btrim(c if isinstance(c, Column) else F.col(c), F.lit(_EDGE))
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is computed once, however often f uses it: within lambdas Spark shares no common parts."""
+    return F.transform(F.array(c), f)[0]
 
 
 def plain(c: Column) -> Column:

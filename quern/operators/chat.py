@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import plain, strip
+from quern.functions.text import bound, plain, strip
 from quern.operators.ordering import uniform
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -60,21 +60,26 @@ def valid(messages: Column) -> Column:
 def with_system(messages: Column, think: bool = False, prompt: str = "") -> Column:
     """The thinking switch goes to the end of the first system message, or into a new one."""
     switch = "/think" if think else "/no_think"
-    own = strip(F.try_element_at(messages, F.lit(1))["content"])
-    merged = F.when(own == "", F.lit(switch)).otherwise(F.concat(own, F.lit("\n" + switch)))
     new = f"{prompt}\n{switch}".strip() if prompt else switch
-    has = F.coalesce(F.try_element_at(messages, F.lit(1))["role"] == "system", F.lit(False))
-    return F.when(has, F.concat(F.array(message("system", merged)), F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1))))).otherwise(F.concat(F.array(message("system", F.lit(new))), messages))
+
+    def led(m: Column) -> Column:
+        merged = bound(strip(F.try_element_at(m, F.lit(1))["content"]), lambda own: F.when(own == "", F.lit(switch)).otherwise(F.concat(own, F.lit("\n" + switch))))
+        has = F.coalesce(F.try_element_at(m, F.lit(1))["role"] == "system", F.lit(False))
+        return F.when(has, F.concat(F.array(message("system", merged)), F.slice(m, 2, F.greatest(F.size(m), F.lit(1))))).otherwise(F.concat(F.array(message("system", F.lit(new))), m))
+
+    return bound(messages, led)
 
 
 def think_format(text: Column) -> Column:
     """<think> block and answer, where an answer mark splits the text into two non-empty parts."""
-    t = strip(text)
-    out = F.when(F.contains(t, F.lit("<think>")) & F.contains(t, F.lit("</think>")), t)
-    for mark in ANSWER_MARKS:
-        answer, thought = strip(F.regexp_extract(t, mark, 1)), strip(F.regexp_replace(t, mark, ""))
-        out = out.when(t.rlike(mark) & (answer != "") & (thought != ""), F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), answer))
-    return out.otherwise(t)
+    both = lambda p: F.when((p["answer"] != "") & (p["thought"] != ""), F.concat(F.lit("<think>\n"), p["thought"], F.lit("\n</think>\n\n"), p["answer"]))
+
+    def marked(t: Column, mark: str) -> Column:
+        parts = F.struct(strip(F.regexp_extract(t, mark, 1)).alias("answer"), strip(F.regexp_replace(t, mark, "")).alias("thought"))
+        return F.when(t.rlike(mark), bound(parts, both))
+
+    whole = lambda t: F.when(F.contains(t, F.lit("<think>")) & F.contains(t, F.lit("</think>")), t)
+    return bound(strip(text), lambda t: F.coalesce(whole(t), *[marked(t, mark) for mark in ANSWER_MARKS], t))
 
 
 def _dialogue(user: Column, assistant: Column, prompt: str) -> Column:

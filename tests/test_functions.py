@@ -223,3 +223,11 @@ def test_items_of_whole_pages(spark):
         want.append((f"{clean(str(p.page_id))}::{clean(p.url)}::{question}::a", question, "a"))
     got = [tuple(r) for r in catalogue.QUERIES["nfkc_items"](spark, sf).select("key", "question", "answer").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_reasoning_strips_its_text_once(spark):
+    """Common parts are bound, as Spark shares none within lambdas; strip takes all that Python's and Unicode's white space names."""
+    plan = spark.range(1).select(chat.think_format(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("cast(id") == 1
+    edge = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    assert one(spark, text.strip(F.col("x")), "x string", (edge + "a" + edge + "b\n" + edge,)) == "a" + edge + "b"
