@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +45,28 @@ def input_and_label(window: Column, length: int) -> tuple[Column, Column]:
     return F.substring(window, 1, length), F.substring(window, 2, length)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, pos, data) -> the same with rows that follow each other, in the frame and by pos, as one: their bytes lie side by side already."""
+    for batch in batches:
+        n, (seq, pos, data) = batch.num_rows, batch.columns
+        if n < 2 or pos.null_count or data.null_count or not pa.types.is_integer(pos.type):
+            yield batch
+            continue
+        same = pc.fill_null(pc.equal(seq.slice(1), seq.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], ~(same & (np.diff(pos.to_numpy()) == 1))]))
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + n + 1]
+        ends = np.ascontiguousarray(np.append(ends[starts], ends[-1]))
+        merged = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), data.buffers()[2]])
+        yield pa.RecordBatch.from_arrays([seq.take(pa.array(starts)), pos.take(pa.array(starts)), merged], names=batch.schema.names)
+
+
 def assembled_text(pieces: DataFrame, seq: str, pos: str, data: str) -> DataFrame:
-    """(seq, text) of byte pieces in order: characters cut between pieces are whole again, malformed bytes are replaced."""
+    """(seq, text) of byte pieces in order: characters cut between pieces are whole again, malformed bytes are replaced.
+
+    Places are distinct within a sequence. Runs of pieces are joined where they lie, so that what is shuffled is near the bytes, not a row a piece.
+    """
+    slim = pieces.select(seq, pos, data)
+    pieces = slim.mapInArrow(_joined, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields))
     listed = pieces.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(pos, data))).alias("l"))
     whole = F.unhex(F.array_join(F.transform("l", lambda x: F.hex(x[data])), ""))
     return listed.select(seq, decode(whole, replace=True).alias("text"))

@@ -231,3 +231,16 @@ def test_reasoning_strips_its_text_once(spark):
     assert plan.count("cast(id") == 1
     edge = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
     assert one(spark, text.strip(F.col("x")), "x string", (edge + "a" + edge + "b\n" + edge,)) == "a" + edge + "b"
+
+
+def test_pieces_are_joined_where_they_lie(spark):
+    """What is shuffled is a row for each run of pieces, not for each piece; order, gaps, nulls and cut characters are kept."""
+    raw = "aé日".encode() * 100
+    rows = [(s, i, raw[i : i + 1]) for s in ("x", None, "y") for i in range(len(raw))]
+    df = spark.createDataFrame(rows, "s string, i int, d binary").coalesce(1)
+    assert df.mapInArrow(tokens._joined, df.schema).count() == 3
+    random.Random(2).shuffle(rows)
+    mixed = spark.createDataFrame([*rows, ("z", 5, b"b"), ("z", 6, None), ("z", 3, b"a")], "s string, i int, d binary").repartition(3)
+    for frame, more in ((df, {}), (mixed, {"z": "ab"})):
+        got = {r.s: r.text for r in tokens.assembled_text(frame, "s", "i", "d").collect()}
+        assert got == dict.fromkeys(("x", None, "y"), "aé日" * 100) | more
