@@ -52,7 +52,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n < 2 or pos.null_count or data.null_count or not pa.types.is_integer(pos.type):
             yield batch
             continue
-        same = pc.fill_null(pc.equal(seq.slice(1), seq.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        last, now = seq.slice(0, n - 1), seq.slice(1)
+        same = pc.coalesce(pc.equal(last, now), pc.and_(pc.is_null(last), pc.is_null(now))).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.concatenate([[True], ~(same & (np.diff(pos.to_numpy()) == 1))]))
         ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + n + 1]
         ends = np.ascontiguousarray(np.append(ends[starts], ends[-1]))
