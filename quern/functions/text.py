@@ -130,9 +130,17 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def _composed(x: str | None) -> str | None:
+    return x if x is None or x.isascii() else unicodedata.normalize("NFKC", x)
+
+
+#: nfkc by rows: a worker holds a hundred texts, whatever their length, where a batch for Arrow has up to 10,000.
+nfkc_long = F.udf(_composed, StringType(), useArrow=False)
+
+
 def clean(c: Column) -> Column:
     """Compatibility-normalised, white space collapsed, stripped; null is empty."""
-    return F.regexp_replace(strip(nfkc(plain(c))), _GAP, " ")
+    return F.regexp_replace(strip(nfkc_long(plain(c))), _GAP, " ")
 
 
 def render_bytes(raw: bytes) -> str:

@@ -244,3 +244,11 @@ def test_pieces_are_joined_where_they_lie(spark):
     for frame, more in ((df, {}), (mixed, {"z": "ab"})):
         got = {r.s: r.text for r in tokens.assembled_text(frame, "s", "i", "d").collect()}
         assert got == dict.fromkeys(("x", None, "y"), "aé日" * 100) | more
+
+
+def test_cleaning_holds_few_texts_at_once():
+    """Long texts go by rows, not in batches for Arrow, which hold up to 10,000 of them."""
+    from pyspark.util import PythonEvalType
+
+    assert text.nfkc_long.evalType == PythonEvalType.SQL_BATCHED_UDF
+    assert [text.nfkc_long.func(x) for x in (None, "", "abc", "ｔ①")] == [None, "", "abc", "t1"]
