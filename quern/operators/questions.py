@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,37 +53,54 @@ def few_shot(targets: DataFrame, pool: DataFrame, k: int, seed: int = 0, draws:
     """(key, question, answer, examples): k examples per target, with another key, question and answer each.
 
     Draws are pool positions hashed from target and draw number, so the match is an equi-join, not a product of both
-    sides. All targets draw 8 k times; those still short of examples draw on, up to ``draws`` (100 k) times. A target that
+    sides. All targets draw k + 2 times, then 8 k times; those still short of examples draw on, up to ``draws`` (100 k) times. A target that
     is short even then fails the job if ``strict``, as it should be looked at; otherwise it keeps the examples it has.
     """
     draws = draws or 100 * k
-    few = min(8 * k, draws)
-    numbered = row_ids(pool.select("key", "question", "answer").dropDuplicates(["key"]).withColumn("_u", uniform("key", seed=seed)), "_u", "at")
+    names, hashes = ("key", "question", "answer"), ("_hkey", "_hquestion", "_hanswer")
+    # Null stays null, and is then like nothing else.
+    hashed = [F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(h) for c, h in zip(names, hashes, strict=True)]
     folder = fresh_dir(targets.sparkSession)
-    numbered = kept(numbered.select("at", F.col("key").alias("k"), F.col("question").alias("q"), F.col("answer").alias("a")), f"{folder}/pool")
+    numbered = row_ids(pool.select(*names).dropDuplicates(["key"]).withColumn("_u", uniform("key", seed=seed)), "_u", "at")
+    numbered = kept(numbered.select("at", *[F.col(c).alias(c[0]) for c in names]), f"{folder}/pool")
+    slim = numbered.select("at", *[F.when(F.col(c[0]).isNotNull(), F.xxhash64(c[0])).alias(f"_{c[0]}") for c in names])
     n = numbered.agg(F.count("*").alias("_n"))
-
-    def drawn(rows: DataFrame, first: int, last: int) -> DataFrame:
-        want = rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).join(F.broadcast(n))
-        hit = want.withColumn("at", F.floor(uniform("key", "draw", seed=seed) * F.col("_n"))).join(numbered, "at")
-        hit = hit.where((F.col("k") != F.col("key")) & (F.col("q") != F.col("question")) & (F.col("a") != F.col("answer")))
-        return hit.groupBy("key", "question", "answer", "k", "q", "a").agg(F.min("draw").alias("draw"))
-
-    def listed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "question", "answer").agg(F.array_sort(F.collect_list(F.struct("draw", "k", "q", "a"))).alias("l"))
-
-    asked = targets.select("key", "question", "answer")
-    names = ("key", "question", "answer")
-    other = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in names], "l")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
-    early = kept(listed(drawn(asked, 0, few)).where(F.size("l") >= k), f"{folder}/early")
-    late = asked.distinct().join(other(early), same, "left_anti")
-    more = listed(drawn(late, 0, draws)) if draws > few else listed(drawn(late, 0, few))
-    rest = late.join(other(more), same, "left").select(*names, F.coalesce("l", F.array().cast("array<struct<draw:int,k:string,q:string,a:string>>")).alias("l"))
-    if strict:
-        rest = rest.withColumn("l", F.when(F.size("l") >= k, F.col("l")).otherwise(F.raise_error(F.concat(F.lit("too few examples for "), F.col("key").cast("string")))))
-    examples = F.transform(F.slice("l", 1, k), lambda x: F.struct(x["q"].alias("question"), x["a"].alias("answer"))).alias("examples")
-    return early.select("key", "question", "answer", examples).unionByName(rest.select("key", "question", "answer", examples))
+    asked = targets.select(*names)
+    left = kept(asked.select("key", *hashed).distinct(), f"{folder}/asked")
+    other = lambda df: df.select(*[F.col(h).alias(f"{h}_") for h in hashes], *[c for c in df.columns if c not in hashes])
+    same = [F.col(h).eqNullSafe(F.col(f"{h}_")) for h in hashes]
+
+    def drawn(rows: DataFrame, many: int) -> DataFrame:
+        """rows' hashes with l, the fit ones of their first so many draws by draw: without texts, a row a draw, and a place drawn again only once."""
+        at = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda d: F.floor(uniform("key", d, seed=seed) * F.col("_n")))
+        want = rows.join(F.broadcast(n)).select(*hashes, F.posexplode(F.array_distinct(at)).alias("draw", "at"))
+        hit = want.join(slim, "at").where("_k <> _hkey and _q <> _hquestion and _a <> _hanswer")
+        return hit.groupBy(*hashes).agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "at"))), 1, k).alias("l"))
+
+    found = []
+    stages = sorted({min(x, draws) for x in (k + 2, 8 * k, draws)})
+    for i, many in enumerate(stages):
+        got = drawn(left, many)
+        if many < draws:
+            got = kept(got.where(F.size("l") >= k), f"{folder}/found-{i}")
+            found.append(got)
+            left = kept(left.join(other(got), same, "left_anti"), f"{folder}/left-{i}")
+        else:
+            none = F.array().cast("array<struct<draw:int,at:bigint>>")
+            all_ = left.join(other(got), same, "left").select("key", *hashes, F.coalesce("l", none).alias("l"))
+            if strict:
+                all_ = all_.withColumn("l", F.when(F.size("l") >= k, F.col("l")).otherwise(F.raise_error(F.concat(F.lit("too few examples for "), F.col("key").cast("string")))))
+            found.append(all_.select(*hashes, "l"))
+    every = reduce(DataFrame.unionByName, found)
+    # Texts move for the examples that are taken.
+    texts = every.select(*hashes, F.explode("l").alias("x")).select(*hashes, "x.draw", "x.at").join(numbered, "at")
+    listed = texts.groupBy(*hashes).agg(F.array_sort(F.collect_list(F.struct("draw", F.struct(F.col("q").alias("question"), F.col("a").alias("answer")).alias("e"))))["e"].alias("examples"))
+    rows = asked.distinct().select("*", *hashed)
+    none = F.array().cast(listed.schema["examples"].dataType)
+    # All are there but those without any example, and a strict run fails for those.
+    checked = every.where(F.size("l") == 0).select(*hashes, none.alias("examples"))
+    listed = listed.unionByName(checked)
+    return rows.join(other(listed), same).select(*names, "examples")
 
 
 def widen(rows: DataFrame, k: int) -> DataFrame:
