@@ -252,3 +252,17 @@ def test_cleaning_holds_few_texts_at_once():
 
     assert text.nfkc_long.evalType == PythonEvalType.SQL_BATCHED_UDF
     assert [text.nfkc_long.func(x) for x in (None, "", "abc", "ｔ①")] == [None, "", "abc", "t1"]
+
+
+def test_draws_move_no_texts(spark):
+    """A target draws many times; what is shuffled is a few times the texts, not the texts for each draw."""
+
+    def written():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    r = random.Random(4)
+    rows = [(f"k{i}", f"q{i}", "".join(r.choices("0123456789abcdef", k=20_000))) for i in range(100)]
+    pool, before = spark.createDataFrame(rows, "key string, question string, answer string"), written()
+    assert all(len(x.examples) == 2 for x in questions.few_shot(pool, pool, 2, seed=5).collect())
+    assert written() - before < 10 * 100 * 20_000
