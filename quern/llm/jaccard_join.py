@@ -11,7 +11,8 @@ sets are implied by their shared class, so copies are never expanded into pairs.
 3. Inverted lists of nodes. With T the least overlap a class needs, a linked pair shares at least ``SHARE`` of the first
    ``n - T + SHARE`` shingles of either set in a common order (or all that must be shared, if fewer). As in DivideSkip, lists
    of more than ``MOST`` nodes are long and set aside: they come last in the order. They are counted exactly over the shingles at
-   hand, then over all shingles of those classes that need others instead, until no list is newly long. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
+   hand, then over all shingles of those classes that need others instead, until no list is newly long. A class learns which of its
+   lists are long by a lookup of the ``HEAVY`` longest ones in its own array and by a join for all the others. Short lists are joined and occurrences counted per pair of nodes; a pair is a candidate if its count
    reaches what it must share. Few classes have too few short lists and keep long ones: a linked pair that lacks occurrences in
    short lists shares a long one that both keep, and each long list ties those that keep it to the first of them.
 4. Each candidate pair is settled around its larger node (a star): the classes of the centre are indexed, those of its partners ask, and no partner is
@@ -21,7 +22,7 @@ sets are implied by their shared class, so copies are never expanded into pairs.
    ``CHUNK`` classes and ``SHINGLES`` shingles.
 5. Components over the links found.
 
-The order, MOST, CHUNK and SHARE move cost, never the result.
+The order, MOST, HEAVY, CHUNK and SHARE move cost, never the result.
 
 Defined cases: null or wordless text has the empty set, n_shingles 0, and is its own component; fewer than k
 words are one shingle; repeated rows share a class; a null doc_id gets the smallest non-null doc_id of its
@@ -46,7 +47,7 @@ from .common import Scratch, arrow, with_defaults
 from .components import connected_components
 from .fingerprint import WordHashes, shingle_hashes
 
-SHARE, EXTRA, MOST, CHUNK, SHINGLES = 5, 20, 300, 800, 1_000_000
+SHARE, EXTRA, MOST, HEAVY, CHUNK, SHINGLES = 5, 20, 300, 1000, 800, 1_000_000
 _MEMO = WordHashes()
 
 
@@ -270,6 +271,24 @@ def _postings(rows: DataFrame, lists: str) -> DataFrame:
     return single.unionByName(flat(~F.col("alone")).groupBy("t", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
 
 
+def _among(x, heavy: list[int]):
+    return x.isin(heavy) if heavy else F.lit(False)
+
+
+def _hits(rows: DataFrame, lists: str, light: DataFrame, heavy: list[int]) -> DataFrame:
+    """rows(id, lists) -> (id, t): which of a row's lists are in ``light``. Those in ``heavy`` take no part."""
+    return rows.select("id", F.explode(F.filter(lists, lambda x: ~_among(x, heavy))).alias("t")).join(light, "t", "left_semi")
+
+
+def _split(rows: DataFrame, lists: str, hits: DataFrame, heavy: list[int], want) -> DataFrame:
+    """rows with rest, their lists that are not long, short, the first ``want`` of them, and kept, long ones for what lacks."""
+    hits = hits.groupBy("id").agg(F.collect_set("t").alias("lt"))
+    lt = F.concat(F.filter(lists, lambda x: _among(x, heavy)), F.coalesce("lt", F.array().cast("array<long>")))
+    rows = rows.join(hits, "id", "left").withColumn("lt", lt).withColumn("rest", F.array_except(lists, "lt"))
+    kept = F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest")))
+    return rows.withColumn("short", F.slice("rest", F.lit(1), want)).withColumn("kept", kept)
+
+
 def components(docs: DataFrame, k: int = 3, threshold: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id), one row per row of docs."""
     return _labelled(docs, k, threshold, doc_id, text).select("doc_id", "n_shingles", "component_id")
@@ -304,18 +323,19 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
     names = scratch.keep(classes.select("id", "h1", "h2", "least"), "names")
     scratch.drop("classes")
     want = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + SHARE).cast("int")
-    tally = lambda r, lists: _postings(r, lists).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST).select("t")
+    tally = lambda r, lists: _postings(r, lists).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
     long = scratch.keep(tally(rows, "first"), "long-0")
-    new, told = long, None
+    new, told, heavy = long, None, []
     for turn in itertools.count(1):
         # The order is by hash, long lists last: the first shingles in it, from what is at hand where that is enough.
-        # A later turn looks for its newly long lists only.
-        fresh = scratch.keep(rows.select("id", F.explode("first").alias("t")).join(new, "t", "left_semi"), f"hits-{turn}")
+        # A later turn looks for its newly long lists only. The longest, HEAVY in all, are looked up where they are: a group of any
+        # size that shares them makes no rows.
+        heavy += [r.t for r in new.orderBy(F.desc("c"), "t").limit(HEAVY - len(heavy)).collect()]
+        fresh = scratch.keep(_hits(rows.select("id", "first"), "first", new, heavy), f"hits-{turn}")
         told = fresh if told is None else told.unionByName(fresh)
-        hits = told.groupBy("id").agg(F.collect_set("t").alias("lt"))
-        listed = rows.join(hits, "id", "left").withColumn("lt", F.coalesce("lt", F.array().cast("array<long>"))).withColumn("rest", F.array_except("first", "lt"))
+        listed = _split(rows, "first", told, heavy, want)
         at_hand = (F.size("rest") >= want) | (F.size("first") == F.col("n"))
-        listed = listed.select("id", "one", "node", "n", "alone", F.slice("rest", F.lit(1), want).alias("short"), F.slice(F.array_sort("lt"), F.lit(1), F.greatest(F.lit(0), want - F.size("rest"))).alias("kept"), at_hand.alias("done"))
+        listed = listed.select("id", "one", "node", "n", "alone", "short", "kept", at_hand.alias("done"))
         listed = scratch.keep(listed, "listed")
         # Else from all shingles of the text, whose lists are counted in turn: with those at hand, none ends up above 2 * MOST.
         again = listed.where("not done").select("id", "node", "n", "alone", F.col("one.doc_id").alias("_doc"), F.col("one.th").alias("_th"))
@@ -327,13 +347,8 @@ def _labelled(docs: DataFrame, k: int, threshold: int, doc_id: str, text: str) -
             break
         new, long = more, scratch.keep(long.unionByName(more), f"long-{turn}")
         scratch.drop(f"long-{turn - 1}")
-    each = spelled.select("id", F.explode("every").alias("t")).join(long.withColumn("long", F.lit(True)), "t", "left")
-    # Short ones as unsigned numbers, long ones as signed ones, as above.
-    order = F.struct(F.coalesce("long", F.lit(False)).alias("long"), (F.col("long").isNull() & (F.col("t") < 0)).alias("high"), "t")
-    sorted_ = each.groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    sorted_ = spelled.select("id", "node", "n", "alone").join(sorted_, "id").withColumn("l", F.slice("l", F.lit(1), want))
-    sorted_ = sorted_.select("id", "node", "n", "alone", F.filter("l", lambda x: ~x["long"])["t"].alias("short"), F.filter("l", lambda x: x["long"])["t"].alias("kept"))
-    sorted_ = scratch.keep(sorted_, "again")
+    sorted_ = _split(spelled, "every", _hits(spelled, "every", long, heavy), heavy, want)
+    sorted_ = scratch.keep(sorted_.select("id", "node", "n", "alone", "short", "kept"), "again")
     listed = listed.where("done").select(*sorted_.columns).unionByName(sorted_)
     members = scratch.keep(rows.select("id", "one", "n", "node"), "members")
     scratch.drop("nodes", "spelled", f"long-{turn - 1}", *[f"{x}-{i}" for x in ("hits", "more") for i in range(1, turn + 1)])

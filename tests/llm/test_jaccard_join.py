@@ -130,6 +130,31 @@ def test_candidates_are_settled_pair_by_pair(spark, monkeypatch):
     assert pairs > classes and tasks <= 2 * pairs and largest < classes / 2
 
 
+def test_longest_lists_are_told_without_rows(spark, monkeypatch):
+    """Unlike texts around one passage: its lists are the longest, and telling each text which it has makes no row for them."""
+    monkeypatch.setattr(J, "MOST", 30)
+    r = random.Random(9)
+    own = lambda i, n: [f"o{i}x{r.randrange(10**6)}" for _ in range(n)]
+    passage, rare = ([f"{p}{i}" for i in range(40)] for p in "cd")
+    rows = [(i, " ".join([*own(i, 30), *passage, *(rare if i % 5 == 0 else [])])) for i in range(200)]
+    rows += [(1000 + i, " ".join([*passage, f"e{i}"])) for i in range(40)]  # of long lists nearly throughout
+    made = {}
+
+    def spied(self, df, name, by=None, keep=J.Scratch.keep):
+        out = keep(self, df, name, by)
+        if name.startswith("hits-"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J.Scratch, "keep", spied)
+    check(spark, rows, 3, 90)
+    assert made and not any(made.values())
+    monkeypatch.setattr(J, "HEAVY", 20)  # all others by the join
+    made.clear()
+    check(spark, rows, 3, 90)
+    assert made["hits-1"] > 0
+
+
 def test_t_occurrence_asks_only_what_is_indexed():
     r = random.Random(5)
     sets = [J.np.unique(J.np.array(r.sample(range(60), r.randint(20, 40)), J.np.uint64)) for _ in range(60)]
