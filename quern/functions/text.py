@@ -23,6 +23,17 @@ def strip(c: Column | str) -> Column:
     return F.btrim(c if isinstance(c, Column) else F.col(c), F.lit(_EDGE))
 
 
+def stays(c: Column, empty: bool = False) -> Column:
+    """Whether a text says anything; with ``empty``, an empty text keeps its place too, and only mere white space goes."""
+    said = F.ltrim(c, F.lit(_EDGE)) != ""  # unlike strip, stops at the first character that stays
+    return said | (c == "") if empty else said
+
+
+def unblank(c: Column) -> Column:
+    """The text, emptied if it is mere white space."""
+    return F.when(stays(c), c).when(c.isNotNull(), "")
+
+
 def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     """f of c, which is computed once, however often f uses it: within lambdas Spark shares no common parts."""
     return F.transform(F.array(c), f)[0]
@@ -93,9 +104,9 @@ def render_value(c: Column, kind: DataType, nested: bool = False) -> Column:
     return _scalar(c, kind)
 
 
-def record_text(df: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
+def record_text(df: DataFrame, exclude: tuple[str, ...] = (), empty: bool = False) -> Column:
     """render_record over all columns of a frame, of any types."""
-    return render_record({f.name: render_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name not in exclude})
+    return render_record({f.name: render_value(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name not in exclude}, empty)
 
 
 def render_messages(messages: Column) -> Column:
@@ -105,13 +116,16 @@ def render_messages(messages: Column) -> Column:
     return F.array_join(F.transform(lines, lambda m: F.when(m["r"] == "", m["c"]).otherwise(F.concat(m["r"], F.lit(": "), m["c"]))), "\n")
 
 
-def render_record(columns: dict[str, Column]) -> Column:
-    """A record's text: its known keys by priority, else all public keys in order; distinct parts, blank-line joined; else null."""
+def render_record(columns: dict[str, Column], empty: bool = False) -> Column:
+    """A record's text: its known keys by priority, else all public keys in order; distinct parts, blank-line joined; else null.
+
+    With ``empty``, empty parts keep their places beside others.
+    """
 
     def joined(parts: list[Column]) -> Column:
         if not parts:
             return F.lit(None).cast("string")
-        kept = F.filter(F.transform(F.array(*parts), strip), lambda x: x != "")
+        kept = F.transform(F.filter(F.array(*parts), lambda x: stays(x, empty)), strip)
         return F.nullif(F.array_join(F.array_distinct(kept), "\n\n"), F.lit(""))
 
     known = [columns[k] for k in TEXT_KEYS if k in columns]
