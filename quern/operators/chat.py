@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import bound, plain, strip
+from quern.functions.text import bound, plain, stays, strip
 from quern.operators.ordering import uniform
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -46,10 +46,14 @@ def _mapped(role: Column, names: dict[str, str], strict: bool) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unsupported role: "), low)).cast("string") if strict else F.lit(None))
 
 
-def normalise(raw: Column, role: str = "role", content: str = "content", strict: bool = True) -> Column:
-    """Known roles, stripped contents, blank messages dropped; an unknown role fails, or is dropped if not strict."""
-    all_ = F.transform(raw, lambda m: message(_mapped(m[role], ROLES, strict), strip(plain(m[content]))))
-    return F.filter(all_, lambda m: (m["content"] != "") & m["role"].isNotNull())
+def normalise(raw: Column, role: str = "role", content: str = "content", strict: bool = True, empty: bool = False) -> Column:
+    """Known roles, stripped contents, blank messages dropped; an unknown role fails, or is dropped if not strict.
+
+    With ``empty``, here and in the mappers below, a message without any content keeps its turn; one of mere white space is dropped still.
+    """
+    all_ = F.transform(raw, lambda m: message(_mapped(m[role], ROLES, strict), plain(m[content])))
+    kept = F.filter(all_, lambda m: stays(m["content"], empty) & m["role"].isNotNull())
+    return F.transform(kept, lambda m: message(m["role"], strip(m["content"])))
 
 
 def valid(messages: Column) -> Column:
@@ -114,11 +118,11 @@ def _first(df: DataFrame, *names: str) -> Column:
     return next((F.col(n) for n in names if n in df.columns), F.lit(""))
 
 
-def from_conversations(df: DataFrame, prompt: str = "") -> DataFrame:
+def from_conversations(df: DataFrame, prompt: str = "", empty: bool = False) -> DataFrame:
     """conversations of (from, value) or (role, content); a frame without that column fails."""
     inner = df.schema["conversations"].dataType.elementType.names
     role, content = ("role", "content") if {"role", "content"} <= set(inner) else ("from", "value")
-    return df.select(with_system(normalise(F.col("conversations"), role, content), False, prompt).alias("messages"))
+    return df.select(with_system(normalise(F.col("conversations"), role, content, empty=empty), False, prompt).alias("messages"))
 
 
 def from_reasoning(df: DataFrame, prompt: str = "") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators import chat
 from quern.plans import catalogue
 from tests.test_catalogue import norm
 
@@ -40,3 +41,16 @@ def test_places_of_empty_parts(spark):
     assert [shown("", "b"), shown(" ", "b"), shown("", " ", "c")] == ["b", "b", "c"]
     assert [shown("", "b", empty=True), shown(" ", "b", empty=True), shown("", "", empty=True)] == ["\n\nb", "b", None]
     assert [r.t for r in spark.createDataFrame([(x,) for x in ("", " \n", " a", None)], "t string").select(text.unblank(F.col("t")).alias("t")).collect()] == ["", "", " a", None]
+
+
+def turns(spark, mapper, *said, name="messages", fields=("role", "content"), **k):
+    """(role, content) of what a mapper makes of (role, content) pairs, without the system message."""
+    ddl = f"system string, tools string, {name} array<struct<`{fields[0]}`:string,`{fields[1]}`:string>>"
+    return [tuple(m) for m in mapper(spark.createDataFrame([("", "", list(said))], ddl), **k).first().messages[1:]]
+
+
+def test_map_conversations(spark, docs):
+    same(spark, docs, "map_conversations")
+    said = [("human", ""), ("gpt", " \n"), ("gpt", " a ")]
+    shown = lambda **k: turns(spark, chat.from_conversations, *said, name="conversations", fields=("from", "value"), **k)
+    assert shown() == [("assistant", "a")] and shown(empty=True) == [("user", ""), ("assistant", "a")]
