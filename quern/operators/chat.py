@@ -90,16 +90,15 @@ def _dialogue(user: Column, assistant: Column, prompt: str) -> Column:
     return with_system(F.array(message("user", user), message("assistant", assistant)), False, prompt)
 
 
-def _tagged(raw: Column, names: dict[str, tuple[str, str]]) -> Column:
+def _tagged(raw: Column, names: dict[str, tuple[str, str]], empty: bool) -> Column:
     def one(m: Column) -> Column:
         low, value = F.lower(strip(plain(m["from"]))), strip(plain(m["value"]))
         text = F.when(F.lit(False), F.lit(""))
         for k, (_, form) in names.items():
             text = text.when(low == k, fill(form, value))
-        return F.struct(_mapped(m["from"], {k: r for k, (r, _) in names.items()}, True).alias("role"), text.alias("content"), value.alias("v"))
+        return message(_mapped(m["from"], {k: r for k, (r, _) in names.items()}, True), text)
 
-    kept = F.filter(F.transform(F.filter(raw, lambda m: strip(plain(m["value"])) != ""), one), lambda m: m["v"] != "")
-    return F.transform(kept, lambda m: message(m["role"], m["content"]))
+    return F.transform(F.filter(raw, lambda m: stays(plain(m["value"]), empty)), one)
 
 
 def _system(prompt: str, *parts: Column) -> Column:
@@ -176,14 +175,14 @@ def from_single_call(df: DataFrame, prompt: str = "") -> DataFrame:
     return df.select(F.array(*turns).alias("messages"))
 
 
-def from_tool_turns(df: DataFrame, prompt: str = "") -> DataFrame:
+def from_tool_turns(df: DataFrame, prompt: str = "", empty: bool = False) -> DataFrame:
     head = _system(prompt, strip(plain(_first(df, "system"))), F.lit("/no_think"))
-    return df.select(F.concat(F.array(head), _tagged(F.col("conversations"), TOOL_ROLES)).alias("messages"))
+    return df.select(F.concat(F.array(head), _tagged(F.col("conversations"), TOOL_ROLES, empty)).alias("messages"))
 
 
-def from_function_calls(df: DataFrame, prompt: str = "") -> DataFrame:
+def from_function_calls(df: DataFrame, prompt: str = "", empty: bool = False) -> DataFrame:
     head = _system(prompt, strip(plain(_first(df, "system"))), F.lit("/no_think"), _tools(_first(df, "tools")))
-    return df.select(F.concat(F.array(head), _tagged(F.col("conversations"), CALL_ROLES)).alias("messages"))
+    return df.select(F.concat(F.array(head), _tagged(F.col("conversations"), CALL_ROLES, empty)).alias("messages"))
 
 
 def dialogues(turns: DataFrame, strict: bool = True) -> DataFrame:

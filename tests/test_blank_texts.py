@@ -54,3 +54,11 @@ def test_map_conversations(spark, docs):
     said = [("human", ""), ("gpt", " \n"), ("gpt", " a ")]
     shown = lambda **k: turns(spark, chat.from_conversations, *said, name="conversations", fields=("from", "value"), **k)
     assert shown() == [("assistant", "a")] and shown(empty=True) == [("user", ""), ("assistant", "a")]
+
+
+def test_map_function_calls(spark, docs):
+    same(spark, docs, "map_function_calls")
+    said = [("human", ""), ("gpt", " \n"), ("observation", " a ")]
+    shown = lambda **k: turns(spark, chat.from_function_calls, *said, name="conversations", fields=("from", "value"), **k)
+    answer = ("user", "<tool_response>\na\n</tool_response>")
+    assert shown() == [answer] and shown(empty=True) == [("user", ""), answer]
