@@ -129,8 +129,8 @@ def from_reasoning(df: DataFrame, prompt: str = "") -> DataFrame:
     return df.select(with_system(out, True, prompt).alias("messages"))
 
 
-def from_messages(df: DataFrame, prompt: str = "") -> DataFrame:
-    return df.select(with_system(normalise(F.col("messages")), False, prompt).alias("messages"))
+def from_messages(df: DataFrame, prompt: str = "", empty: bool = False) -> DataFrame:
+    return df.select(with_system(normalise(F.col("messages"), empty=empty), False, prompt).alias("messages"))
 
 
 def from_text_output(df: DataFrame, prompt: str = "") -> DataFrame:

@@ -62,3 +62,11 @@ def test_map_function_calls(spark, docs):
     shown = lambda **k: turns(spark, chat.from_function_calls, *said, name="conversations", fields=("from", "value"), **k)
     answer = ("user", "<tool_response>\na\n</tool_response>")
     assert shown() == [answer] and shown(empty=True) == [("user", ""), answer]
+
+
+def test_map_messages(spark, docs):
+    """The query's own blank turn goes, that of a blank text stays."""
+    same(spark, docs, "map_messages")
+    said = [("system", "s"), ("user", "  "), ("user", ""), ("assistant", "\ta")]
+    assert turns(spark, chat.from_messages, *said) == [("assistant", "a")]
+    assert turns(spark, chat.from_messages, *said, empty=True) == [("user", ""), ("assistant", "a")]
