@@ -74,16 +74,17 @@ def with_system(messages: Column, think: bool = False, prompt: str = "") -> Colu
     return bound(messages, led)
 
 
-def think_format(text: Column) -> Column:
-    """<think> block and answer, where an answer mark splits the text into two non-empty parts."""
-    both = lambda p: F.when((p["answer"] != "") & (p["thought"] != ""), F.concat(F.lit("<think>\n"), p["thought"], F.lit("\n</think>\n\n"), p["answer"]))
+def think_format(text: Column, empty: bool = False) -> Column:
+    """<think> block and answer, where an answer mark splits the text into two non-empty parts; with ``empty``, also where the text begins with a mark."""
+    both = lambda p: F.concat(F.lit("<think>\n"), p["thought"], F.lit("\n</think>\n\n"), p["answer"])
 
-    def marked(t: Column, mark: str) -> Column:
+    def marked(t: Column, mark: str, led: bool = True) -> Column:
         parts = F.struct(strip(F.regexp_extract(t, mark, 1)).alias("answer"), strip(F.regexp_replace(t, mark, "")).alias("thought"))
-        return F.when(t.rlike(mark), bound(parts, both))
+        return F.when(t.rlike(mark), bound(parts, lambda p: F.when((p["answer"] != "") & ((p["thought"] != "") if led else (p["thought"] == "")), both(p))))
 
     whole = lambda t: F.when(F.contains(t, F.lit("<think>")) & F.contains(t, F.lit("</think>")), t)
-    return bound(strip(text), lambda t: F.coalesce(whole(t), *[marked(t, mark) for mark in ANSWER_MARKS], t))
+    bare = lambda t: [marked(F.concat(F.lit("\n"), t), mark, False) for mark in ANSWER_MARKS] if empty else []
+    return bound(strip(text), lambda t: F.coalesce(whole(t), *[marked(t, mark) for mark in ANSWER_MARKS], *bare(t), t))
 
 
 def _dialogue(user: Column, assistant: Column, prompt: str) -> Column:
@@ -124,8 +125,8 @@ def from_conversations(df: DataFrame, prompt: str = "", empty: bool = False) ->
     return df.select(with_system(normalise(F.col("conversations"), role, content, empty=empty), False, prompt).alias("messages"))
 
 
-def from_reasoning(df: DataFrame, prompt: str = "") -> DataFrame:
-    out = F.transform(normalise(F.col("messages")), lambda m: message(m["role"], F.when(m["role"] == "assistant", think_format(m["content"])).otherwise(m["content"])))
+def from_reasoning(df: DataFrame, prompt: str = "", empty: bool = False) -> DataFrame:
+    out = F.transform(normalise(F.col("messages"), empty=empty), lambda m: message(m["role"], F.when(m["role"] == "assistant", think_format(m["content"], empty)).otherwise(m["content"])))
     return df.select(with_system(out, True, prompt).alias("messages"))
 
 

@@ -70,3 +70,11 @@ def test_map_messages(spark, docs):
     said = [("system", "s"), ("user", "  "), ("user", ""), ("assistant", "\ta")]
     assert turns(spark, chat.from_messages, *said) == [("assistant", "a")]
     assert turns(spark, chat.from_messages, *said, empty=True) == [("user", ""), ("assistant", "a")]
+
+
+def test_map_reasoning(spark, docs):
+    same(spark, docs, "map_reasoning")
+    said = [("user", ""), ("assistant", " \n答え： 5 "), ("assistant", "why\n#### 6"), ("assistant", "answer: 7\n")]
+    rest = [("assistant", "<think>\nwhy\n</think>\n\n6"), ("assistant", "answer: 7")]
+    assert turns(spark, chat.from_reasoning, *said) == [("assistant", "答え： 5"), *rest]
+    assert turns(spark, chat.from_reasoning, *said, empty=True) == [("user", ""), ("assistant", "<think>\n\n</think>\n\n5"), *rest]
