@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import TEXT_KEYS, python_float, strip
+from quern.functions.text import TEXT_KEYS, python_float, stays, strip
 
 #: Levels of lists and mappings that are rendered; what lies deeper comes as JSON text.
 DEPTH = 4
@@ -59,14 +59,25 @@ def _turns(messages: Column, told: bool) -> Column:
     return F.transform(rows, lambda m: F.struct(F.lit(told).alias("told"), F.coalesce(F.try_variant_get(of(m, "role"), "$", "string"), F.lit("")).alias("role"), of(m, "content").alias("value")))
 
 
-def render(v: Column, depth: int = DEPTH) -> Column:
+def _plain(v: Column, empty: bool) -> Column:
+    """Text of a scalar without white space around it; with ``empty``, null for null and for mere white space."""
+    said = strip(scalar(v))
+    return F.when(stays(F.try_variant_get(v, "$", "string"), True), said) if empty else said
+
+
+def _stays(said: Column, empty: bool) -> Column:
+    return said.isNotNull() if empty else said != ""
+
+
+def render(v: Column, depth: int = DEPTH, empty: bool = False) -> Column:
     """Text of a VARIANT, without white space around it.
 
+    With ``empty``, empty strings keep their places among items, turns and parts, and null stands for what says nothing.
     A list of mappings as ``role: content`` lines, any other list as the lines of its non-blank items; a mapping by its
     messages if they say anything, else its content, else its text, else as JSON; scalars by ``scalar``.
     """
     if depth == 0:
-        return F.when(_list(v).isNotNull() | _mapping(v).isNotNull(), json_text(v)).otherwise(strip(scalar(v)))
+        return F.when(_list(v).isNotNull() | _mapping(v).isNotNull(), json_text(v)).otherwise(_plain(v, empty))
     none = F.array().cast(_ITEM)
     item = lambda x: F.struct(F.lit(False).alias("told"), F.lit("").alias("role"), x.alias("value"))
 
@@ -79,30 +90,32 @@ def render(v: Column, depth: int = DEPTH) -> Column:
         parts = parts.when(has("content"), F.array(item(F.try_element_at(mapping, F.lit("content")))))
         parts = parts.when(has("text"), F.array(item(F.try_element_at(mapping, F.lit("text"))))).otherwise(none)
         listed = F.concat(F.coalesce(_turns(messages, True), none), parts)
-        said = F.transform(listed, lambda x: F.struct(x["told"].alias("told"), x["role"].alias("role"), render(x["value"], depth - 1).alias("text")))
-        said = F.filter(said, lambda x: x["text"] != "")
+        said = F.transform(listed, lambda x: F.struct(x["told"].alias("told"), x["role"].alias("role"), render(x["value"], depth - 1, empty).alias("text")))
+        said = F.filter(said, lambda x: _stays(x["text"], empty))
 
         def joined(rows: Column) -> Column:
             told = F.exists(rows, lambda x: x["told"])
             chosen = F.filter(rows, lambda x: x["told"] == told)
             lines = F.array_join(F.transform(chosen, lambda x: F.when(x["role"] == "", x["text"]).otherwise(F.concat(x["role"], F.lit(": "), x["text"]))), "\n")
+            lines = F.when(F.size(rows) > 0, lines) if empty else lines
             plain = mapping.isNotNull() & ~told & ~has("content") & ~has("text")
-            return F.when(plain, json_text(s["whole"])).when(items.isNotNull() | mapping.isNotNull(), lines).otherwise(strip(scalar(s["whole"])))
+            return F.when(plain, json_text(s["whole"])).when(items.isNotNull() | mapping.isNotNull(), lines).otherwise(_plain(s["whole"], empty))
 
         return _let(said, joined)
 
     return _let(F.struct(v.alias("whole"), _list(v).alias("items"), _mapping(v).alias("mapping")), text)
 
 
-def record_text(json: Column, depth: int = DEPTH) -> Column:
+def record_text(json: Column, depth: int = DEPTH, empty: bool = False) -> Column:
     """Text of a JSON record: its known keys by priority, else all public keys in their order; distinct parts, blank-line joined.
 
-    Null if nothing is said, and for what is no JSON mapping (of repeated keys, too: see ``fault``).
+    Null if nothing is said, and for what is no JSON mapping (of repeated keys, too: see ``fault``). ``empty`` is as in ``render``.
     """
+    whole = lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")) if empty else F.nullif(F.array_join(parts, "\n\n"), F.lit(""))
 
     def text(mapping: Column) -> Column:
-        parts = lambda keys: F.filter(F.transform(keys, lambda k: render(F.try_element_at(mapping, k), depth)), lambda x: x != "")
-        joined = lambda keys: F.nullif(F.array_join(F.array_distinct(parts(keys)), "\n\n"), F.lit(""))
+        parts = lambda keys: F.filter(F.transform(keys, lambda k: render(F.try_element_at(mapping, k), depth, empty)), lambda x: _stays(x, empty))
+        joined = lambda keys: _let(F.array_distinct(parts(keys)), whole) if empty else whole(F.array_distinct(parts(keys)))
         public = F.filter(F.json_object_keys(json), lambda k: ~F.startswith(k, F.lit("_")))
         there = F.map_keys(mapping)
         known = F.filter(F.array(*[F.lit(k) for k in TEXT_KEYS]), lambda k: F.array_contains(there, k))

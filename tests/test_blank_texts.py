@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import records, text
 from quern.operators import chat
 from quern.plans import catalogue
 from tests.test_catalogue import norm
@@ -86,3 +86,21 @@ def test_map_tool_turns(spark, docs):
     shown = lambda **k: turns(spark, chat.from_tool_turns, *said, name="conversations", fields=("from", "value"), **k)
     answer = ("user", "<tool_response>\na\n</tool_response>")
     assert shown() == [answer] and shown(empty=True) == [("user", ""), answer]
+
+
+def test_mixed_record_lines(spark, docs):
+    same(spark, docs, "mixed_record_lines")
+
+
+def test_places_of_empty_strings(spark):
+    """In records of any shape; null, empty lists and mere white space say nothing still."""
+    lines = {
+        '{"content": "", "ignored": 1}': ("1", ""),
+        '{"content": ["", "a", " ", null, [], [" "]], "title": ["\\n"]}': ("a", "\na"),
+        '{"content": [{"role": "user", "content": ""}, {"role": "user", "content": " "}, {"role": "user"}, {"content": "b"}]}': ("b", "user: \nb"),
+        '{"z": {"text": ""}, "y": {"content": " "}, "a": "c"}': ("c", "\n\nc"),
+        '{"text": " ", "title": null}': (None, None),
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "j string")
+    got = df.select("j", records.record_text(F.col("j")).alias("a"), records.record_text(F.col("j"), empty=True).alias("b")).collect()
+    assert {r.j: (r.a, r.b) for r in got} == lines
